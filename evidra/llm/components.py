@@ -1,0 +1,30 @@
+"""Connected components of a table of links, by minimum-label propagation with pointer jumping."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .shared import stored
+
+
+def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+    """Rows (node, root): every node that has a link, and the smallest node of its component.
+
+    Each round takes the least label among a node's neighbours and then the label of that label, so a chain of length n
+    needs about log n rounds. Labels are written to the shared folder after each round. No link gives no row; loops and
+    repeated links change nothing; rows with a null end are no links.
+    """
+    ends = links.select(F.col(a).alias("node"), F.col(b).alias("other")).where("node IS NOT NULL AND other IS NOT NULL")
+    edges = stored(ends.union(ends.select("other", "node")).distinct(), "edges")
+    labels = stored(edges.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("root")), "labels")
+    for _ in range(max_rounds):
+        near = edges.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("root").alias("near"))
+        hop = labels.join(near, "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("via"))
+        onward = labels.select(F.col("node").alias("via"), F.col("root").alias("onward"))
+        jumped = hop.join(onward, "via").select("node", "was", F.least("via", "onward").alias("root"))
+        after = stored(jumped, "labels")
+        labels = after.select("node", "root")
+        if not after.where(F.col("was") != F.col("root")).head(1):
+            return labels
+    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
