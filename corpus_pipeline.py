@@ -1,12 +1,65 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next.
+
+All stages but the last return the columns of documents. Documents are whole rows throughout: a stage drops rows, or, in
+the mix, repeats them; it changes no text.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from evidra.llm import decontaminate, minhash, mixing, quality, sharding
+from evidra.llm.shared import new_folder, stored, table
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learned from ``labels`` outside the held-out fold, does not reject (score >= 0.5)."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.scored(docs, model).where("quality_score >= 0.5").drop("quality_score")
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each class of near duplicates: that of the least id, or of its least text, source and language where rows
+    repeat it. Rows with a null text stay, for they are like no other; so do rows with a null id whose text has no other."""
+    found = minhash.near_duplicates(docs)
+    heads = found.where(F.col("id").eqNullSafe(F.col("class_id"))).select(F.col("id").alias("__id"), F.col("node").alias("__node")).distinct()
+    own = docs.withColumn("__own", F.unhex(F.md5("text")))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("__own").eqNullSafe(F.col("__node"))
+    kept = own.join(heads, same, "left_semi").drop("__own")
+    return kept.dropDuplicates(["doc_id", "text"])
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of a benchmark item occurs."""
+    found = decontaminate.find_passages(docs, table(spark, sf_dir, "benchmark"))
+    return found.where("n_hit = 0").select(*docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.mixed(docs)
+
+
+def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with the shard of the compacted store that holds them."""
+    return sharding.sharded(docs, new_folder(spark, "shards"))
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("minhash near-dedup", near_dedup_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("mixing to target weights", mixing_stage),
+    ("sharding", sharding_stage),
+]
 
-STAGES: list = []
+#: A learned classifier and sampled signatures are not SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

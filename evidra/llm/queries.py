@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash
-from .shared import table
+from . import decontaminate, fingerprint, lm, minhash, mixing, quality, sharding, tokencount, urlgraph, warc
+from .shared import new_folder, table
+
+#: Vocabulary of the token counts: a SentencePiece model file, installed on the machine that plans the job.
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,8 +20,47 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "class_id", "n_copies", (F.col("id") == F.col("class_id")).alias("representative"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, records, _ = warc.archived(spark, table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: the shard that holds it after compaction, and the digest of its text as read from there."""
+    held = sharding.sharded(table(spark, sf_dir, "documents"), new_folder(spark, "shards"))
+    return held.select("doc_id", F.sha2("text", 256).alias("text_sha256"), "shard", "shard_bytes", "shard_level", "manifest_version")
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken_words(table(spark, sf_dir, "documents"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.judged(table(spark, sf_dir, "documents"))
+
+
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlgraph.judged_urls(table(spark, sf_dir, "pages"))
+
+
+def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(table(spark, sf_dir, "documents"), tokencount.sentencepiece_vocabulary(VOCABULARY))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_minhash": op1_minhash,
+    f.__name__: f for f in (op1_minhash, op2_warc, op3_decontamination, op4_fingerprints, op5_sharding, op6_mixing, op7_quality, op8_lm, op9_urls, op10_tokens)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_warc": warc.SQL, "op3_decontamination": decontaminate.SQL, "op6_mixing": mixing.SQL, "op9_urls": urlgraph.SQL}
