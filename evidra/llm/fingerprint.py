@@ -88,7 +88,8 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     taken = source.join(wanted, "from_key").select("to_key", "half", F.expr("substring(from_text, 1, CAST(half AS INT))").alias("taken"))
     if repeated:
         taken = taken.groupBy("to_key", "half").agg(F.min("taken").alias("taken"))
-    joined = placed.join(taken, (F.col("key") == F.col("to_key")) & (F.expr("char_length(text) div 2") == F.col("half")))
+    # Joined by the key alone, so that the grouping by key stands on this partitioning; the lengths are a filter, not a key.
+    joined = placed.join(taken, F.col("key") == F.col("to_key")).where(F.abs(F.expr("char_length(text) div 2") - F.col("half")) < 1)
     edited = joined.select("key", F.xxhash64("text").alias("digest"), "text", F.concat(F.expr("substring(text, 1, CAST(char_length(text) - half AS INT))"), "taken").alias("edited"))
     both = edited.select("key", "digest", F.posexplode(F.array("text", "edited")).alias("which", "version"))
     signed = fingerprints(both, ["key", "digest", "which"], "version", samples).groupBy("key", "digest").agg(
@@ -96,7 +97,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
     # Both sides stand on the same exchanges, which Spark makes once.
     facts = edited.select("key", "digest", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
-    wide = stored(signed.join(facts, ["key", "digest"]), "fingerprints")
+    wide = stored(signed.join(facts, ["key", "digest"]) if repeated else signed.join(facts.drop("digest"), "key"), "fingerprints")
     ends = wide.groupBy("key").agg(F.min("fingerprint").alias("next_fingerprint")) if repeated else wide.select("key", F.col("fingerprint").alias("next_fingerprint"))
     out = wide.join(nexts, "key").join(ends.withColumnRenamed("key", "next_key"), "next_key")
     if repeated:
