@@ -93,9 +93,9 @@ class ShardStore:
         out = self._fs.create(draft, False)
         out.write(bytearray(json.dumps({"version": base + 1, "schema": schema, "shards": [asdict(s) for s in shards]}, sort_keys=True).encode()))
         out.close()
-        if self._fs.exists(final) or not self._fs.rename(draft, final):
+        if self.version() != base or not self._fs.rename(draft, final):
             self._fs.delete(draft, False)
-            raise Conflict(f"version {base + 1} exists")
+            raise Conflict(f"version {base} is not the last one")
         return base + 1
 
     def _write(self, rows: DataFrame, level: int) -> list[Shard]:
