@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 def cohen_kappa(ratings: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataFrame:
     """(by, n, po, pe, kappa, se, label): kappa with the large-sample standard error of Fleiss, Cohen and Everitt; null where
     n is 0 or chance agreement is 1. Rows with a null rating take no part."""
-    by = by or []
+    if not by:
+        return cohen_kappa(ratings.withColumn("__all", F.lit(1)), a, b, ["__all"]).drop("__all")
     cells = ratings.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*by, F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b")).agg(F.count(F.lit(1)).cast("double").alias("c"))
     n = cells.groupBy(*by).agg(F.sum("c").alias("n"))
-    join = (lambda x, y: x.join(y, by)) if by else (lambda x, y: x.join(F.broadcast(y), F.lit(True)))  # the total is one row
-    p = join(cells, n).select(*by, "a", "b", "n", (F.col("c") / F.col("n")).alias("p"))
+    p = cells.join(n, by).select(*by, "a", "b", "n", (F.col("c") / F.col("n")).alias("p"))
     row = p.groupBy(*by, "a").agg(F.sum("p").alias("row_p"))
     col = p.groupBy(*by, "b").agg(F.sum("p").alias("col_p"))
     # The marginal of a category on the other side is 0 where that side never used it.
@@ -21,33 +21,33 @@ def cohen_kappa(ratings: DataFrame, a: str, b: str, by: list[str] | None = None)
     full = p.join(rows_as_b, [*by, "b"], "left").join(cols_as_a, [*by, "a"], "left").na.fill(0.0, ["row_of_b", "col_of_a"])
     pe = row.join(col.withColumnRenamed("b", "a"), [*by, "a"]).groupBy(*by).agg(F.sum(F.col("row_p") * F.col("col_p")).alias("pe"))
     po = p.groupBy(*by).agg(F.first("n").alias("n"), F.sum(F.when(F.col("a") == F.col("b"), F.col("p")).otherwise(0.0)).alias("po"))
-    base = (po.join(pe, by, "left") if by else po.join(F.broadcast(pe), F.lit(True), "left")).na.fill(0.0, ["pe"])
+    base = po.join(pe, by, "left").na.fill(0.0, ["pe"])
     kappa = F.when(F.col("pe") < 1, (F.col("po") - F.col("pe")) / F.nullif(1 - F.col("pe"), F.lit(0.0)))
     base = base.withColumn("kappa", kappa)
-    k = join(full, base.select(*by, "kappa"))
+    k = full.join(base.select(*by, "kappa"), by)
     same = F.when(F.col("a") == F.col("b"), F.col("p") * F.pow(1 - (F.col("col_of_a") + F.col("row_of_b")) * (1 - F.col("kappa")), 2)).otherwise(0.0)
     off = F.when(F.col("a") != F.col("b"), F.col("p") * F.pow(F.col("col_of_a") + F.col("row_of_b"), 2)).otherwise(0.0)
     parts = k.groupBy(*by).agg(F.sum(same).alias("s1"), F.sum(off).alias("s2"))
-    out = base.join(parts, by) if by else base.join(F.broadcast(parts), F.lit(True))
+    out = base.join(parts, by)
     shift = F.col("kappa") - F.col("pe") * (1 - F.col("kappa"))
     v = F.col("s1") + F.pow(1 - F.col("kappa"), 2) * F.col("s2") - shift * shift
     label = F.when(F.col("kappa") < 0, "poor").when(F.col("kappa") <= 0.2, "slight").when(F.col("kappa") <= 0.4, "fair").when(F.col("kappa") <= 0.6, "moderate").when(F.col("kappa") <= 0.8, "substantial").when(F.col("kappa").isNotNull(), "almost perfect")
-    return out.select(*by, F.col("n").cast("long").alias("n"), "po", "pe", "kappa", (F.sqrt(F.greatest(v, F.lit(0.0))) / ((1 - F.col("pe")) * F.sqrt("n"))).alias("se"), label.alias("label"))
+    return out.select(*by, F.col("n").cast("long").alias("n"), "po", "pe", "kappa", (F.sqrt(F.greatest(v, F.lit(0.0))) / F.nullif((1 - F.col("pe")) * F.sqrt("n"), F.lit(0.0))).alias("se"), label.alias("label"))
 
 
 def icc(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """(n, icc): ICC(A,1) of two measurements of the same subjects, absolute agreement."""
     rows = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
-    m = rows.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("a").alias("ma"), F.avg("b").alias("mb"))
-    x = rows.join(F.broadcast(m), F.lit(True))  # one row of means
-    grand, subject = (F.col("ma") + F.col("mb")) / 2, (F.col("a") + F.col("b")) / 2
-    sums = x.agg(
-        F.first("n").alias("n"), F.sum(2 * F.pow(subject - grand, 2)).alias("ssr"), (F.first("n") * F.first(F.pow(F.col("ma") - grand, 2) + F.pow(F.col("mb") - grand, 2))).alias("ssc"),
+    count, mean_a, mean_b = rows.agg(F.count(F.lit(1)), F.avg("a"), F.avg("b")).first()
+    grand, subject = F.lit(((mean_a or 0.0) + (mean_b or 0.0)) / 2), (F.col("a") + F.col("b")) / 2
+    between = count * ((mean_a or 0.0) - (mean_b or 0.0)) ** 2 / 2
+    sums = rows.agg(
+        F.count(F.lit(1)).cast("double").alias("n"), F.sum(2 * F.pow(subject - grand, 2)).alias("ssr"), F.lit(between).alias("ssc"),
         F.sum(F.pow(F.col("a") - grand, 2) + F.pow(F.col("b") - grand, 2)).alias("sst"),
     )
     n = F.col("n")
     msr, msc, mse = F.col("ssr") / F.nullif(n - 1, F.lit(0.0)), F.col("ssc"), (F.col("sst") - F.col("ssr") - F.col("ssc")) / F.nullif(n - 1, F.lit(0.0))
-    return sums.select(n.cast("long").alias("n"), ((msr - mse) / F.nullif(msr + mse + 2 * (msc - mse) / n, F.lit(0.0))).alias("icc"))
+    return sums.select(n.cast("long").alias("n"), ((msr - mse) / F.nullif(msr + mse + 2 * (msc - mse) / F.nullif(n, F.lit(0.0)), F.lit(0.0))).alias("icc"))
 
 
 def bland_altman(pairs: DataFrame, a: str, b: str) -> DataFrame:
