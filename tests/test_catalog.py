@@ -1,6 +1,6 @@
 import pytest
 
-from evidra.plans import catalog, catalog_more, catalog_records  # noqa: F401
+from evidra.plans import catalog, catalog_more, catalog_records, catalog_rules  # noqa: F401
 
 from .compare import assert_same
 from .conftest import SF
