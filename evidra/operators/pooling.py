@@ -91,7 +91,7 @@ def heterogeneity(studies: DataFrame) -> DataFrame:
     )
     ln_h = F.log(F.greatest(h, F.lit(1.0)))
     low, high = F.greatest(F.exp(ln_h - Z975 * se), F.lit(1.0)), F.exp(ln_h + Z975 * se)
-    i2 = F.when(q > 0, F.greatest(F.lit(0.0), (q - df) / F.nullif(q, F.lit(0.0)))).otherwise(0.0)
+    i2 = F.when((k > 1) & (q > 0), F.greatest(F.lit(0.0), (q - df) / F.nullif(q, F.lit(0.0)))).otherwise(0.0)
     share = lambda x: F.when(k >= 3, (x * x - 1) / (x * x))
     return m.select(KEY, "k", "q", df.alias("df"), i2.alias("i2"), h.alias("h"), "c", F.col("tau2").alias("tau2_dl"), share(low).alias("i2_low"), F.when(k >= 3, F.greatest(F.lit(0.0), (high * high - 1) / (high * high))).alias("i2_high"))
 

@@ -201,7 +201,7 @@ def pool_ivhet(spark: SparkSession, sf_dir: str) -> DataFrame:
     "het_block",
     f"WITH {_ST}, {_M}, h0 AS (SELECT *, (k - 1)::DOUBLE AS df, sqrt(q / nullif(k - 1, 0)) AS h, CASE WHEN q > k THEN 0.5 * (ln(CASE WHEN q > k THEN q END) - ln(CASE WHEN k > 1 THEN k - 1 END)) / (sqrt(2 * q) - sqrt(greatest(2 * k - 3, 0))) ELSE sqrt(CASE WHEN k > 2 THEN 1.0 / (2 * (k - 2)) * (1 - 1.0 / (3.0 * (k - 2) * (k - 2))) END) END AS se FROM m), "
     f"h1 AS (SELECT *, greatest(exp(ln(greatest(h, 1)) - {E.Z975} * se), 1) AS lo, exp(ln(greatest(h, 1)) + {E.Z975} * se) AS hi FROM h0) SELECT analysis_id, k, "
-    + r(q="q", df="df", i2="CASE WHEN q > 0 THEN greatest(0, (q - df) / q) ELSE 0 END", h="h", c="c", tau2_dl="coalesce(greatest(0, (q - df) / nullif(c, 0)), 0)", i2_low="CASE WHEN k >= 3 THEN (lo * lo - 1) / (lo * lo) END", i2_high="CASE WHEN k >= 3 THEN greatest(0, (hi * hi - 1) / (hi * hi)) END") + " FROM h1",
+    + r(q="q", df="df", i2="CASE WHEN k > 1 AND q > 0 THEN greatest(0, (q - df) / q) ELSE 0 END", h="h", c="c", tau2_dl="coalesce(greatest(0, (q - df) / nullif(c, 0)), 0)", i2_low="CASE WHEN k >= 3 THEN (lo * lo - 1) / (lo * lo) END", i2_high="CASE WHEN k >= 3 THEN greatest(0, (hi * hi - 1) / (hi * hi)) END") + " FROM h1",
 )
 def het_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(pooling.heterogeneity(binary_studies(spark, sf_dir)))

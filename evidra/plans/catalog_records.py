@@ -221,7 +221,7 @@ def prisma_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return screening.flow_findings(f)
 
 
-_GRADE = ", h AS (SELECT analysis_id, CASE WHEN q > 0 THEN greatest(0, (q - (k - 1)) / q) ELSE 0 END AS i2 FROM m), g AS (SELECT p.analysis_id, (CASE WHEN i2 >= 0.5 THEN 1 ELSE 0 END)::INT AS inconsistency, (CASE WHEN lo < -0.1 AND hi > -0.1 AND lo < 0.1 AND hi > 0.1 THEN 2 WHEN (lo < -0.1 AND hi > -0.1) OR (lo < 0.1 AND hi > 0.1) OR (lo < 0 AND hi > 0) THEN 1 ELSE 0 END)::INT AS imprecision, (CASE WHEN k < 10 THEN 1 ELSE 0 END)::INT AS few FROM (SELECT *, mu - 1.959963984540054 * se AS lo, mu + 1.959963984540054 * se AS hi FROM p) p JOIN h ON p.analysis_id = h.analysis_id) SELECT *, least(4, greatest(1, 4 - inconsistency - imprecision - few))::INT AS certainty FROM g"
+_GRADE = ", h AS (SELECT analysis_id, CASE WHEN k > 1 AND q > 0 THEN greatest(0, (q - (k - 1)) / q) ELSE 0 END AS i2 FROM m), g AS (SELECT p.analysis_id, (CASE WHEN i2 >= 0.5 THEN 1 ELSE 0 END)::INT AS inconsistency, (CASE WHEN lo < -0.1 AND hi > -0.1 AND lo < 0.1 AND hi > 0.1 THEN 2 WHEN (lo < -0.1 AND hi > -0.1) OR (lo < 0.1 AND hi > 0.1) OR (lo < 0 AND hi > 0) THEN 1 ELSE 0 END)::INT AS imprecision, (CASE WHEN k < 10 THEN 1 ELSE 0 END)::INT AS few FROM (SELECT *, mu - 1.959963984540054 * se AS lo, mu + 1.959963984540054 * se AS hi FROM p) p JOIN h ON p.analysis_id = h.analysis_id) SELECT *, least(4, greatest(1, 4 - inconsistency - imprecision - few))::INT AS certainty FROM g"
 
 
 @query("grade_arith", _pool_sql("DL") + _GRADE)
