@@ -24,6 +24,7 @@ from .textnum import SPACED, blocks, mix64, spans, text_bytes, word_hashes
 
 BUCKETS, DIM, NGRAMS = 1 << 17, 16, (1, 2, 3)
 SAMPLE, EPOCHS, RATE, SEED = 6000, 6, 2.0, 7
+LEAST_STEPS = 1000  # few labelled documents are gone through more often
 FOLDS, HELD_OUT = 3, 1
 
 
@@ -77,9 +78,10 @@ class Model:
 
 
 def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> Model:
-    """Vectors and a two-way softmax by SGD over shuffled documents, the rate falling to zero. Without documents of both
-    labels the score is their share everywhere (one half without any)."""
+    """Vectors and a two-way softmax by SGD over shuffled documents, the rate falling to zero: ``epochs`` times, or as often as
+    makes LEAST_STEPS. Without documents of both labels the score is their share everywhere (one half without any)."""
     n = len(texts)
+    epochs = max(epochs, -(-LEAST_STEPS // max(1, n)))
     positive = float((labels.sum() + 1) / (n + 2))
     if not 0 < labels.sum() < n:
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(positive / (1 - positive))))

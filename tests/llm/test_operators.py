@@ -213,6 +213,15 @@ def test_held_out_accuracy(spark):
     assert np.mean([r["predicted"] == r["quality"] for r in rows]) > 0.93
 
 
+def test_few_labels_are_learned():
+    rng = random.Random(6)
+    labels = np.array([int(k % 5 > 0) for k in range(40)])  # four fifths of label 1
+    words = (["buy", "now", "cheap", "click"], ["river", "stone", "window", "garden"])
+    texts = [" ".join(rng.choice(words[y]) for _ in range(rng.randint(10, 60))) for y in labels]
+    found = quality.train(texts, labels).scores(pa.array(texts, pa.string()))
+    assert ((found >= 0.5) == labels).all()
+
+
 def test_scores_without_labels_and_of_odd_texts(spark):
     docs = spark.createDataFrame([(1, None, "x"), (2, "", "y"), (None, "a " * 50_000, "z")], "doc_id long, text string, quality_score string")
     rows = quality.judged(docs, spark.createDataFrame([], "doc_id long, quality int")).collect()
