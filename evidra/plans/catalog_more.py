@@ -169,11 +169,11 @@ def funnel_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("analysis_id", "z", *[(F.round(c, 6) + 0.0).alias(c) for c in ("left_x", "right_x", "top_se")])
 
 
-@query("typical_variance", f"WITH {_ST}, {_M} SELECT analysis_id, " + r(s2="(k - 1) / nullif(c, 0)", harmonic="(SELECT count(*) / sum(1 / (n1 + n2)) FROM st WHERE st.analysis_id = m.analysis_id)") + " FROM m")
+@query("typical_variance", f"WITH {_ST}, {_M} SELECT analysis_id, " + r(s2="CASE WHEN k > 1 THEN (k - 1) / nullif(c, 0) END", harmonic="(SELECT count(*) / sum(1 / (n1 + n2)) FROM st WHERE st.analysis_id = m.analysis_id)") + " FROM m")
 def typical_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = binary_studies(spark, sf_dir)
     h = pooling.usable(own).groupBy("analysis_id").agg((F.count(F.lit(1)) / F.sum(1.0 / (F.col("n1") + F.col("n2")))).alias("harmonic"))
-    return rounded(pooling.weighted(own).join(h, "analysis_id").select("analysis_id", ((F.col("k") - 1) / F.nullif(F.col("c"), F.lit(0.0))).alias("s2"), "harmonic"))
+    return rounded(pooling.weighted(own).join(h, "analysis_id").select("analysis_id", F.when(F.col("k") > 1, (F.col("k") - 1) / F.nullif(F.col("c"), F.lit(0.0))).alias("s2"), "harmonic"))
 
 
 # Comparisons of versions --------------------------------------------------------------------------------------------------------------
