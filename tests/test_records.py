@@ -64,3 +64,14 @@ def test_nine_digit_ids_need_their_check_digit(spark):
     text = f"a@b.example 12345678{check} and 12345678{(check + 1) % 10}"
     rows = spark.createDataFrame([(1, text), (2, None)], "id long, t string")
     assert sorted(map(tuple, search.phi_scan(rows, "id", "t").collect())) == [(1, "email", 1), (1, "nine_digit_id", 1)]
+
+
+def test_final_judgements_come_from_the_whole_table(spark):
+    from evidra.plans import catalog, catalog_rules  # noqa: F401
+
+    from .conftest import SF
+
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").where("l_quantity <= 4 OR l_quantity >= 50")
+    found = catalog.QUERIES["rob_final_all"](spark, SF).collect()
+    assert {r["study"] for r in found} == {r[0] for r in lines.select("l_partkey").distinct().collect()}
+    assert {r["basis"] for r in found} == {"consensus", "conflict", "human", "approved"}
