@@ -7,9 +7,8 @@ within its class is its count plus one over the sum of those (one more for words
 probability and all of them sum to one.
 
 Training is truncated backpropagation through time in numpy: a first model from a bounded sample of documents in one
-task, then every task trains that model on its part of the training documents (the share ``TRAIN_SHARE`` of them, by a
-hash of the id) and the models are averaged by tokens seen, so what is learned from grows with the corpus. In scoring
-the state is carried from window to window through each whole document.
+task, then every task trains that model on all its training documents and the models are averaged by tokens seen. In
+scoring the state is carried from window to window through each whole document.
 """
 
 from __future__ import annotations
@@ -29,7 +28,7 @@ from .textnum import SPACED, blocks, spans, text_bytes, word_hashes
 HEAD, CLASS_WORDS, HIDDEN = 1024, 32, 24
 TOP = 1 << 17  # words whose counts are broadcast; those of all others are joined
 FIRST_DOCS, FIRST_EPOCHS, FIRST_RATE = 1500, 3, 0.01
-TRAIN_SHARE, RATE = 4, 0.002  # one in so many training documents
+RATE = 0.002
 STEPS, LANES, SCORE_LANES = 16, 128, 256
 FOLDS, HELD_OUT = 7, 2
 MODELS_A_TASK = 64
@@ -343,7 +342,7 @@ def _average(models: DataFrame) -> tuple[int, bytes] | None:
     return weight, sum(r[0] * np.frombuffer(r[1], np.float32).astype(np.float64) for r in rows).__truediv__(weight).astype(np.float32).tobytes()
 
 
-def fit(training: DataFrame, counts: Counts, share: int = TRAIN_SHARE, first_docs: int = FIRST_DOCS) -> bytes:
+def fit(training: DataFrame, counts: Counts, first_docs: int = FIRST_DOCS) -> bytes:
     """The model's parameters from rows (doc_id, text). The first sample is the rows whose hashed id lies in the share of the
     hash space that makes about ``first_docs`` of them."""
     shared = training.sparkSession.sparkContext.broadcast(counts)
@@ -375,8 +374,7 @@ def fit(training: DataFrame, counts: Counts, share: int = TRAIN_SHARE, first_doc
         if tokens:
             yield pa.RecordBatch.from_arrays([pa.array([tokens], pa.int64()), pa.array([model.packed()], pa.binary()), pa.array([TaskContext.get().partitionId()], pa.int64())], ["tokens", "params", "task"])
 
-    part = training.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(13)), F.lit(share)) == 0).select("text")
-    found = _average(part.mapInArrow(go_on, "tokens long, params binary, task long"))
+    found = _average(training.select("text").mapInArrow(go_on, "tokens long, params binary, task long"))
     return found[1] if found else first.value
 
 

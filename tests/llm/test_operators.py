@@ -282,6 +282,15 @@ def test_state_is_carried_through_windows():
     assert np.allclose(one, model.score(documents, lanes=6, steps=1000), rtol=1e-4)
 
 
+def test_every_training_document_reaches_the_network(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"w{k % 7} w{k % 5} w{k % 3}") for k in range(200)], "doc_id long, text string").coalesce(2)
+    counts = lm.gathered(lm.word_counts(docs).cache())
+    seen = []
+    monkeypatch.setattr(lm, "_average", lambda models: seen.append(models.agg({"tokens": "sum"}).first()[0]))
+    lm.fit(docs, counts, first_docs=20)
+    assert seen == [200 * 4] == [counts.tokens]
+
+
 def test_lm_of_nothing(spark):
     schema = "doc_id long, text string"
     assert lm.judged(spark.createDataFrame([], schema)).count() == 0
