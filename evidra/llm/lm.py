@@ -25,13 +25,13 @@ from pyspark.sql import functions as F
 from .shared import crc_mod, stored
 from .textnum import SPACED, blocks, spans, text_bytes, word_hashes
 
-HEAD, CLASS_WORDS, HIDDEN = 1024, 32, 24
+HEAD, CLASS_WORDS, HIDDEN = 1 << 15, 256, 24
 TOP = 1 << 17  # words whose counts are broadcast; those of all others are joined
 FIRST_DOCS, FIRST_EPOCHS, FIRST_RATE = 1500, 3, 0.01
 RATE = 0.002
 STEPS, LANES, SCORE_LANES = 16, 128, 256
 FOLDS, HELD_OUT = 7, 2
-MODELS_A_TASK = 64
+MODELS_A_TASK = 16  # of about 13 MB each
 _LN10 = float(np.log(10.0))
 
 
@@ -158,8 +158,18 @@ class Gru:
         if n_head % CLASS_WORDS:
             self.p["wb"][-1, n_head % CLASS_WORDS :] = -1e4  # places without a word
         self.moments: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        self.touched: dict[str, np.ndarray] = {}  # rows of the large tables that the last window used
+        self.room: dict[str, np.ndarray] = {}  # gradients of the large tables
         self.step = 0
 
+    def _cleared(self, key: str) -> np.ndarray:
+        """The gradient of a large table, zero again where the window before used it."""
+        if key not in self.room or self.room[key].dtype != self.p[key].dtype:
+            self.room[key] = np.zeros_like(self.p[key])
+        elif key in self.touched:
+            self.room[key][self.touched[key]] = 0
+        return self.room[key]
+
     def packed(self) -> bytes:
         return b"".join(a.tobytes() for a in self.p.values())
 
@@ -210,15 +220,14 @@ class Gru:
             chance /= total[:, None]
             chance[m, group] -= 1
             grads["c"], grads["cb"] = states.T @ chance, chance.sum(axis=0)
-            grads["w"], grads["wb"] = np.zeros_like(p["w"]), np.zeros_like(p["wb"])
+            grads["w"], grads["wb"] = self._cleared("w"), self._cleared("wb")
             back = chance @ p["c"].T
         words = np.flatnonzero(group < self.word_classes)
         order = words[np.argsort(group[words], kind="stable")]
-        ends = np.searchsorted(group[order], np.arange(self.word_classes + 1))
-        for k in range(self.word_classes):
-            own = order[ends[k] : ends[k + 1]]
-            if not own.size:
-                continue
+        used = np.unique(group[order])
+        if grads is not None:
+            self.touched["w"] = self.touched["wb"] = used
+        for k, own in zip(used, np.split(order, np.searchsorted(group[order], used)[1:]), strict=False):
             place, here = targets[own] % CLASS_WORDS, states[own]
             logits = here @ p["w"][k] + p["wb"][k]
             logits -= logits.max(axis=1, keepdims=True)
@@ -251,11 +260,12 @@ class Gru:
             later = dg @ self.p["u"].T + dh * z
             later[inputs[t] == self.n_head] = 0
         grads["u"] = du
-        grads["x"] = np.zeros_like(self.p["x"])
+        grads["x"] = self._cleared("x")
         order = np.argsort(inputs.ravel(), kind="stable")
         sorted_inputs = inputs.ravel()[order]
         first = np.flatnonzero(np.concatenate(([True], sorted_inputs[1:] != sorted_inputs[:-1])))
         grads["x"][sorted_inputs[first]] = np.add.reduceat(given.reshape(-1, 3 * h)[order], first, axis=0)
+        self.touched["x"] = sorted_inputs[first]
         self._adam(grads, rate, targets.size)
         return hs[-1], float(logs.sum())
 
@@ -263,12 +273,17 @@ class Gru:
         self.step += 1
         fix = rate * (1 - 0.99**self.step) ** 0.5 / (1 - 0.9**self.step)
         for key, g in grads.items():
-            g = g / np.float32(n)
-            m, v = self.moments.get(key) or (np.zeros_like(g), np.zeros_like(g))
-            m += np.float32(0.1) * (g - m)
-            v += np.float32(0.01) * (g * g - v)
-            self.moments[key] = (m, v)
-            self.p[key] -= np.float32(fix) * m / (np.sqrt(v) + np.float32(1e-6))
+            if key not in self.moments:
+                self.moments[key] = (np.zeros_like(g), np.zeros_like(g))
+            used = self.touched.get(key)
+            # Eight classes at a time, so that a piece stays in the processor's cache.
+            for rows in [slice(None)] if used is None else [used[k : k + 8] for k in range(0, used.size, 8)] if key == "w" else [used]:
+                part = g[rows] / np.float32(n)
+                m, v = (a[rows] for a in self.moments[key])
+                m += np.float32(0.1) * (part - m)
+                v += np.float32(0.01) * (part * part - v)
+                self.moments[key][0][rows], self.moments[key][1][rows] = m, v
+                self.p[key][rows] -= np.float32(fix) * m / (np.sqrt(v) + np.float32(1e-6))
 
     def train(self, stream: np.ndarray, rate: float, lanes: int = LANES, steps: int = STEPS) -> float:
         """Trains on a stream of symbols in which an end token stands before each document and behind the last; mean log chance."""

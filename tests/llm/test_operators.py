@@ -282,6 +282,11 @@ def test_state_is_carried_through_windows():
     assert np.allclose(one, model.score(documents, lanes=6, steps=1000), rtol=1e-4)
 
 
+def test_the_network_tells_most_word_tokens_apart(spark):
+    counts = lm.gathered(lm.word_counts(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").coalesce(4)).cache())
+    assert counts.n_head > 1024 and counts.head_tokens / (counts.tokens - counts.ends) > 0.75
+
+
 def test_every_training_document_reaches_the_network(spark, monkeypatch):
     docs = spark.createDataFrame([(k, f"w{k % 7} w{k % 5} w{k % 3}") for k in range(200)], "doc_id long, text string").coalesce(2)
     counts = lm.gathered(lm.word_counts(docs).cache())
