@@ -321,6 +321,16 @@ def test_rules_and_graph(spark):
     assert urlgraph.judged_urls(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_distrust_reaches_hosts_beyond_ten_links(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        rows = [(k, f"http://h{k}.info/", f'<a href="http://h{k + 1}.info/">') for k in range(13)] + [(13, "http://h13.info/", '<a href="http://x.org/">'), (14, "http://x.org/es/", ""), (15, "http://far.info/", "")]
+        found = {r["page_id"]: r["verdict"] for r in urlgraph.judged_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert [k for k, verdict in sorted(found.items()) if verdict == "block"] == list(range(15))
+
+
 # Tokens
 
 
