@@ -3,12 +3,14 @@
 Steps, all of them Spark jobs over whole texts:
 
 1. document frequencies of shingles, counted over every row in a hashed feature space of fixed size (as feature hashing
-   in common IDF estimators): bounded to ``FEATURES`` numbers, whatever the input;
+   in common IDF estimators): bounded to ``FEATURES`` numbers, whatever the input; they weigh samples only, and so name
+   candidates;
 2. for each row, ``BANDS * ROWS`` ICWS samples of its shingles, weighted by term frequency times inverse document
    frequency; ``ROWS`` samples make one band key;
 3. rows of equal text become one node; nodes that share a band key become candidates of a pivot in that bucket, never of
    each other all at once;
-4. each candidate pair is verified by the exact weighted Jaccard similarity of the two whole texts;
+4. each candidate pair is verified by the exact weighted Jaccard similarity of the two whole texts, with weights from the
+   exact document frequency of each shingle (a written table that is joined to the candidates' shingles);
 5. where members of a bucket are still in different components, those outside its largest component are compared by
    their exact weights with all its members, block by block inside tasks, so that no link is lost; a block sends on only
    the links that join what was apart. Components of all links are the classes.
@@ -153,58 +155,120 @@ def signatures(docs: DataFrame, idf: np.ndarray, text_col: str = "text", bands:
     return docs.select("id", "node", F.col(text_col)).mapInArrow(sign, "id long, node binary, keys array<long>")
 
 
+def shingle_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(shingle, df): in how many rows each shingle is, and under the null shingle the rows that have one. Tasks count before
+    they send."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = 0, 0
+        held: list[np.ndarray] = []
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            terms, n = np.unique(np.concatenate(held), return_counts=True)
+            for k in range(0, terms.size, 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(terms[k : k + 100_000].view(np.int64)), pa.array(n[k : k + 100_000].astype(np.int64))], ["shingle", "df"])
+
+        for batch in batches:
+            for _, _, terms_of in _row_terms(batch.column(0)):
+                filled = [t for t, _ in terms_of if t.size]
+                rows += len(filled)
+                held += filled
+                size += sum(t.size for t in filled)
+                if size > 4_000_000:
+                    yield from sent()
+                    held, size = [], 0
+        if held:
+            yield from sent()
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([rows], pa.int64())], ["shingle", "df"])
+
+    return docs.select(F.col(text_col)).mapInArrow(count, "shingle long, df long").groupBy("shingle").agg(F.sum("df").alias("df"))
+
+
+def with_frequencies(texts: DataFrame, counts: DataFrame) -> DataFrame:
+    """``texts`` (number, node, text) with df, the exact document frequencies of its distinct shingles in their sorted order.
+    ``counts`` holds those above one."""
+
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers = batch.column(0).to_numpy()
+            for i, j, terms_of in _row_terms(batch.column(1)):
+                sizes = np.array([t.size for t, _ in terms_of])
+                terms = np.concatenate([t for t, _ in terms_of])
+                places = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(numbers[i:j], sizes)), pa.array(places), pa.array(terms.view(np.int64))], ["number", "place", "shingle"])
+
+    own = texts.select("number", "text").mapInArrow(expand, "number long, place int, shingle long")
+    # Shingles that one row alone has need no place in the lists.
+    found = own.join(counts, "shingle").groupBy("number").agg(F.collect_list("place").alias("places"), F.collect_list("df").alias("dfs"))
+    return texts.join(found, "number", "left").select("node", "text", "places", "dfs")
+
+
+def _weights(terms_of: list[tuple[np.ndarray, np.ndarray]], places: pa.ListArray, dfs: pa.ListArray, n_docs: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(terms, weights) of each row: term frequency times log((1 + N) / (1 + df)) + 1, df one where it is not listed."""
+    out = []
+    for k, (terms, tf) in enumerate(terms_of):
+        df = np.ones(terms.size)
+        if places[k].is_valid:
+            df[places[k].values.to_numpy(zero_copy_only=False)] = dfs[k].values.to_numpy(zero_copy_only=False)
+        out.append((terms, tf * (np.log((1 + n_docs) / (1 + df)) + 1)))
+    return out
+
+
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], idf: np.ndarray) -> float:
     """Sum of the lesser over sum of the greater weights of two shingle counts; 0 where either has none."""
     (ta, ca), (tb, cb) = a, b
     if not ta.size or not tb.size:
         return 0.0
     wa, wb = (c * idf[(t & np.uint64(FEATURES - 1)).astype(np.int64)] for t, c in (a, b))
+    return likeness((ta, wa), (tb, wb))
+
+
+def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Sum of the lesser over sum of the greater of two rows' weights."""
+    (ta, wa), (tb, wb) = a, b
     _, ia, ib = np.intersect1d(ta, tb, assume_unique=True, return_indices=True)
     low = np.minimum(wa[ia], wb[ib]).sum()
     return float(low / (wa.sum() + wb.sum() - low))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: float = SIMILARITY) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, n_docs: int, similarity: float = SIMILARITY) -> DataFrame:
     """Those (member, pivot) pairs of nodes whose whole texts are similar enough. The pivot's side is joined last: a
     pivot of very many members is one that the adaptive skew join splits."""
-    shared_idf = pairs.sparkSession.sparkContext.broadcast(idf)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight = shared_idf.value
         last: tuple[bytes, tuple] = (b"", ())
         for batch in batches:
             keep = []
             pivots, pivot_texts = batch.column(1), batch.column(3)
-            for _, j, terms_of in _row_terms(batch.column(2)):
-                for row, own in zip(range(j - len(terms_of), j), terms_of, strict=True):
+            for i, j, terms_of in _row_terms(batch.column(2)):
+                weighed = _weights(terms_of, batch.column(4).slice(i, j - i), batch.column(5).slice(i, j - i), n_docs)
+                for row, own in zip(range(i, j), weighed, strict=True):
                     pivot = pivots[row].as_py()
                     if pivot != last[0]:
-                        last = (pivot, next(_row_terms(pivot_texts.slice(row, 1)))[2][0])
-                    keep.append(weighted_jaccard(own, last[1], weight) >= similarity)
+                        last = (pivot, _weights(next(_row_terms(pivot_texts.slice(row, 1)))[2], batch.column(6).slice(row, 1), batch.column(7).slice(row, 1), n_docs)[0])
+                    keep.append(likeness(own, last[1]) >= similarity)
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    members = pairs.join(texts.select(F.col("node").alias("member"), F.col("text").alias("member_text")), "member")
-    both = members.join(texts.select(F.col("node").alias("pivot"), F.col("text").alias("pivot_text")), "pivot")
-    return both.select("member", "pivot", "member_text", "pivot_text").mapInArrow(compare, "member binary, pivot binary")
+    members = pairs.join(texts.select(F.col("node").alias("member"), F.col("text").alias("member_text"), F.col("places").alias("member_places"), F.col("dfs").alias("member_dfs")), "member")
+    both = members.join(texts.select(F.col("node").alias("pivot"), F.col("text").alias("pivot_text"), F.col("places").alias("pivot_places"), F.col("dfs").alias("pivot_dfs")), "pivot")
+    return both.select("member", "pivot", "member_text", "pivot_text", "member_places", "member_dfs", "pivot_places", "pivot_dfs").mapInArrow(compare, "member binary, pivot binary")
 
 
-def open_links(rooted: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: float = SIMILARITY) -> DataFrame:
+def open_links(rooted: DataFrame, texts: DataFrame, n_docs: int, similarity: float = SIMILARITY) -> DataFrame:
     """Links (member, pivot) that join the roots of open buckets: rows (node, bucket, root) of ``rooted`` whose bucket has
     several roots. Members outside the bucket's largest component meet all its members, BLOCK_ROWS by BLOCK_ROWS, and the
     exact weighted Jaccard similarity of every such pair of different roots decides."""
-    shared_idf = rooted.sparkSession.sparkContext.broadcast(idf)
     parts = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
     totals = parts.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n")).where("n > top.n").select(
         "bucket", F.col("top.root").alias("largest"), F.ceil(F.col("n") / BLOCK_ROWS).alias("blocks"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK_ROWS).alias("few_blocks")
     )
     rows = rooted.join(totals, "bucket").join(texts, "node")
     number = F.xxhash64("node", "bucket")
-    fields = ["bucket", "i", "j", "few", "node", "root", "text"]
+    fields = ["bucket", "i", "j", "few", "node", "root", "text", "places", "dfs"]
     few = rows.where(F.col("root") != F.col("largest")).withColumns({"i": F.pmod(number, "few_blocks"), "few": F.lit(True)}).withColumn("j", F.explode(F.expr("sequence(0L, blocks - 1)")))
     every = rows.withColumns({"j": F.pmod(number, "blocks"), "few": F.lit(False)}).withColumn("i", F.explode(F.expr("sequence(0L, few_blocks - 1)")))
 
     def meet(group: pa.Table) -> pa.Table:
-        weight = shared_idf.value
         nodes, few_side, roots = (group.column(k).to_pylist() for k in ("node", "few", "root"))
         text = group.column("text").combine_chunks()
         terms_of = [x for c in (text.chunks if isinstance(text, pa.ChunkedArray) else [text]) for _, _, made in _row_terms(c) for x in made]
@@ -213,7 +277,8 @@ def open_links(rooted: DataFrame, texts: DataFrame, idf: np.ndarray, similarity:
         left, right = [], []
         if own.size and others.size:
             _, place = np.unique(np.concatenate([t for t, _ in terms_of]), return_inverse=True)
-            w = np.concatenate([n * weight[(t & np.uint64(FEATURES - 1)).astype(np.int64)] for t, n in terms_of])
+            places, dfs = (pa.concat_arrays(group.column(k).chunks) for k in ("places", "dfs"))
+            w = np.concatenate([w for _, w in _weights(terms_of, places, dfs, n_docs)])
             ends = np.concatenate(([0], np.cumsum([t.size for t, _ in terms_of])))
             total = np.add.reduceat(w, ends[:-1])
             at = np.concatenate([np.arange(ends[k], ends[k + 1]) for k in others])
@@ -267,16 +332,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     todo = stored(members.join(weight, "node").select("node", "bucket", F.struct("met", "node").alias("rank")), "ranked")
     used = weight.select("node")
     texts = given.join(used, "node", "left_semi").join(nodes.select("node", F.col("least_id").alias("own")), "node")
-    texts = stored(texts.where(F.col("id").eqNullSafe(F.col("own"))).dropDuplicates(["node"]).select("node", "text"), "texts")
+    texts = stored(texts.where(F.col("id").eqNullSafe(F.col("own"))).dropDuplicates(["node"]).select(F.monotonically_increasing_id().alias("number"), "node", "text"), "texts")
+    counts = stored(shingle_counts(given).where("shingle IS NULL OR df > 1"), "frequencies")
+    n_docs = counts.where("shingle IS NULL").agg(F.sum("df")).first()[0] or 0
+    texts = stored(with_frequencies(texts, counts.where("shingle IS NOT NULL")), "texts")
 
     pivots = todo.groupBy("bucket").agg(F.min("rank").alias("top"))
     pairs = todo.join(pivots, "bucket").where(F.col("rank") != F.col("top")).select(F.col("node").alias("member"), F.col("top.node").alias("pivot")).distinct()
-    links = stored(verified(pairs, texts, idf, similarity), "links")
+    links = stored(verified(pairs, texts, n_docs, similarity), "links")
     roots = components(links, "member", "pivot")
     rooted = stored(todo.select("node", "bucket").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     # In a bucket of two, the pivot was all that there was to compare.
     several = rooted.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("n")).where("r0 <> r1 AND n > 2").select("bucket")
-    more = stored(open_links(rooted.join(several, "bucket", "left_semi"), texts, idf, similarity), "links")
+    more = stored(open_links(rooted.join(several, "bucket", "left_semi"), texts, n_docs, similarity), "links")
     roots = components(links.union(more), "member", "pivot")
 
     classes = nodes.select("node", "least_id", "n_copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

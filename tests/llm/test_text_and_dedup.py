@@ -110,3 +110,18 @@ def test_empty_table_and_null_ids(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (None, None), (5, "a b c d e f"), (5, "a b c d e f")], "doc_id long, text string")
     found = Counter((r["id"], r["class_id"]) for r in minhash.near_duplicates(docs).collect())
     assert found == {(None, 5): 1, (None, None): 1, (5, 5): 2}
+
+
+def test_hashed_frequencies_do_not_decide(spark):
+    texts = made_texts()
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    terms = [row for _, _, rows in minhash._row_terms(pa.array(texts, pa.string())) for row in rows]
+    df = Counter(int(s) for t, _ in terms for s in t)
+    counts = minhash.shingle_counts(docs)
+    n_docs = counts.where("shingle IS NULL").first()["df"]
+    assert n_docs == sum(t.size > 0 for t, _ in terms)
+    nodes = spark.createDataFrame([(k, bytes([k]), texts[k]) for k in (40, 44, 3)], "number long, node binary, text string")
+    for row in minhash.with_frequencies(nodes, counts.where("shingle IS NOT NULL AND df > 1")).collect():
+        own = terms[row["node"][0]][0]
+        found = dict(zip(row["places"], row["dfs"], strict=True))
+        assert [found.get(k, 1) for k in range(own.size)] == [df[int(s)] for s in own]
