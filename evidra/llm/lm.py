@@ -2,13 +2,14 @@
 
 Words are lower-cased (A-Z) runs of non-blank characters, and each document ends with one end token. Counts of all words
 are taken over all training documents. The most frequent ``HEAD`` words, the end and "any other word" are the symbols of
-a GRU whose output softmax is factored: first the symbol's class, then the word within its class. Any other word's share
-within its class is its count plus one over the sum of those (one more for words never seen), so every word has a
-probability and all of them sum to one.
+a GRU whose output softmax is factored by classes: first a class or group of classes, then the class within its group,
+then the word within its class. Any other word's share is its count plus one over the sum of those (one more for words
+never seen), so every word has a probability and all of them sum to one.
 
 Training is truncated backpropagation through time in numpy: a first model from a bounded sample of documents in one
-task, then every task trains that model on all its training documents and the models are averaged by tokens seen. In
-scoring the state is carried from window to window through each whole document.
+task, then every training document goes to a task by its hash, each task trains that model on all its tokens, and the
+models are averaged by tokens seen. So no task's size grows with the input, and how the input's files are cut changes no
+score. In scoring the state is carried from window to window through each whole document.
 """
 
 from __future__ import annotations
@@ -25,13 +26,15 @@ from pyspark.sql import functions as F
 from .shared import crc_mod, stored
 from .textnum import SPACED, blocks, spans, text_bytes, word_hashes
 
-HEAD, CLASS_WORDS, HIDDEN = 1 << 15, 256, 24
+HEAD, HIDDEN = 1 << 15, 24
+FINE, FINE_WORDS, CLASS_WORDS, CLASSES_A_GROUP = 1024, 64, 256, 4
 TOP = 1 << 17  # words whose counts are broadcast; those of all others are joined
-FIRST_DOCS, FIRST_EPOCHS, FIRST_RATE = 1500, 3, 0.01
-RATE = 0.002
-STEPS, LANES, SCORE_LANES = 16, 128, 256
+FIRST_DOCS, FIRST_TOKENS, FIRST_EPOCHS, FIRST_RATE, FIRST_LANES = 1500, 600_000, 2, 0.01, 64
+RATE, TASK_TOKENS = 0.004, 3_000_000
+STEPS, LANES, SCORE_LANES, WINDOWS = 32, 512, 512, 4
+PIECE = 512  # states whose choices are weighed at once, so that they stay in the processor's cache
 FOLDS, HELD_OUT = 7, 2
-MODELS_A_TASK = 16  # of about 13 MB each
+MODELS_A_GROUP, SLICES = 16, 64  # a model has about 7 MB, a slice of it 0.1 MB
 _LN10 = float(np.log(10.0))
 
 
@@ -61,6 +64,14 @@ class Counts:
         """The sum of count plus one over words that are no symbol, and one for words never seen."""
         return self.tokens - self.ends - self.head_tokens + self.distinct - 1 - self.n_head + 1
 
+    def frequency(self) -> np.ndarray:
+        """Counts of the symbols; that of ``other`` is its mass."""
+        out = np.zeros(self.n_head + 2)
+        head = self.symbol < self.n_head
+        out[self.symbol[head]] = self.counts[head]
+        out[self.end], out[self.other] = self.ends, self.other_mass
+        return out
+
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place of each hash among the top words, and whether it is there."""
         if not self.hashes.size:
@@ -141,64 +152,77 @@ def symbols_of(hashes: np.ndarray, counts: Counts) -> np.ndarray:
 
 
 class Gru:
-    """Parameters as float32 arrays. Symbols: head words, then the end, then other. Classes: CLASS_WORDS head words each, by
-    frequency, then one class for the end and one for other words."""
+    """Parameters as float32 arrays. Symbols: head words, then the end, then other. The output is factored: words stand in
+    classes, runs of them by frequency (FINE_WORDS each among the first FINE words, CLASS_WORDS each behind them), and the
+    classes behind the first ones in groups of CLASSES_A_GROUP. The first choice is among fine classes, groups, the end and
+    other words, the next among a group's classes, the last among a class's words."""
 
-    def __init__(self, n_head: int, hidden: int = HIDDEN, seed: int = 5) -> None:
+    def __init__(self, n_head: int, hidden: int = HIDDEN, seed: int = 5, frequency: np.ndarray | None = None) -> None:
         self.n_head, self.hidden = n_head, hidden
-        self.word_classes = -(-n_head // CLASS_WORDS)
-        self.classes = self.word_classes + 2
+        most = min(n_head, FINE)
+        self.starts = np.concatenate([np.arange(0, most, FINE_WORDS), np.arange(most, n_head, CLASS_WORDS), [n_head]])
+        classes, self.fine = self.starts.size - 1, -(-most // FINE_WORDS)
+        self.group_starts = np.append(np.arange(0, classes - self.fine, CLASSES_A_GROUP), classes - self.fine)
+        self.class_of = np.repeat(np.arange(classes), np.diff(self.starts))
+        first = self.fine + self.group_starts.size - 1
+        self.root_of = np.append(np.where(self.class_of < self.fine, self.class_of, self.fine + (self.class_of - self.fine) // CLASSES_A_GROUP), [first, first + 1])
         rng = np.random.default_rng(seed)
         draw = lambda *shape, scale: (rng.standard_normal(shape) * scale).astype(np.float32)
         h = hidden
         self.p = {
-            "x": draw(n_head + 2, 3 * h, scale=0.1), "u": draw(h, 3 * h, scale=h**-0.5), "c": draw(h, self.classes, scale=0.1), "cb": np.zeros(self.classes, np.float32),
-            "w": draw(self.word_classes, h, CLASS_WORDS, scale=0.1), "wb": np.zeros((self.word_classes, CLASS_WORDS), np.float32),
+            "e": draw(n_head + 2, h, scale=0.3), "i": draw(h, 3 * h, scale=h**-0.5), "ib": np.zeros(3 * h, np.float32), "u": draw(h, 3 * h, scale=h**-0.5),
+            "r": draw(first + 2, h, scale=0.1), "rb": np.zeros(first + 2, np.float32), "g": draw(classes - self.fine, h, scale=0.1), "gb": np.zeros(classes - self.fine, np.float32),
+            "w": draw(n_head, h, scale=0.1), "wb": np.zeros(n_head, np.float32),
         }
-        if n_head % CLASS_WORDS:
-            self.p["wb"][-1, n_head % CLASS_WORDS :] = -1e4  # places without a word
+        if frequency is not None:  # the first guess is that of counts
+            n = frequency + 0.5
+            root, of_class = np.bincount(self.root_of, weights=n), np.bincount(self.class_of, weights=n[:n_head], minlength=classes)
+            self.p["rb"][:] = np.log(root / root.sum())
+            grouped = np.arange(classes - self.fine) // CLASSES_A_GROUP
+            self.p["gb"][:] = np.log(of_class[self.fine :] / root[self.fine + grouped])
+            self.p["wb"][:] = np.log(n[:n_head] / of_class[self.class_of])
         self.moments: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        self.touched: dict[str, np.ndarray] = {}  # rows of the large tables that the last window used
-        self.room: dict[str, np.ndarray] = {}  # gradients of the large tables
-        self.step = 0
-
-    def _cleared(self, key: str) -> np.ndarray:
-        """The gradient of a large table, zero again where the window before used it."""
-        if key not in self.room or self.room[key].dtype != self.p[key].dtype:
-            self.room[key] = np.zeros_like(self.p[key])
-        elif key in self.touched:
-            self.room[key][self.touched[key]] = 0
-        return self.room[key]
-
-    def packed(self) -> bytes:
-        return b"".join(a.tobytes() for a in self.p.values())
-
-    def unpack(self, data: bytes | np.ndarray) -> Gru:
-        flat, at = np.frombuffer(data, np.float32) if isinstance(data, bytes) else data.astype(np.float32), 0
+        self.step = self.learned = 0  # updates, and targets learned from
+        self.safe = False  # whether exponentials need no shift, see ``_bounded``
+
+    def packed(self) -> np.ndarray:
+        return np.concatenate([a.ravel() for a in self.p.values()])
+
+    def unpack(self, flat: np.ndarray) -> Gru:
+        at = 0
         for key, a in self.p.items():
-            self.p[key] = flat[at : at + a.size].reshape(a.shape).copy()
+            self.p[key] = flat[at : at + a.size].astype(np.float32).reshape(a.shape)
             at += a.size
         return self
 
-    def class_of(self, symbols: np.ndarray) -> np.ndarray:
-        return np.where(symbols < self.n_head, symbols // CLASS_WORDS, symbols - self.n_head + self.word_classes)
+    def _bounded(self) -> bool:
+        """Whether no logit can come near the range in which float32 exponentials fail: states lie between -1 and 1. It holds
+        for the WINDOWS updates that follow, too, for none of them moves a parameter by much more than its rate."""
+        p = self.p
+        return all(not p[w].size or float((np.abs(p[w]).sum(axis=1) + np.abs(p[w + "b"])).max()) < 40 for w in ("r", "g", "w"))
 
     def states(self, inputs: np.ndarray, state: np.ndarray, keep: list | None = None) -> np.ndarray:
         """Hidden states [T, B, H] after each of ``inputs`` [T, B], from ``state`` [B, H]; an end token clears the state."""
         h, u, out = self.hidden, self.p["u"], np.empty((*inputs.shape, self.hidden), np.float32)
-        given = self.p["x"][inputs]
+        given = self.p["e"][inputs.ravel()] @ self.p["i"]
+        given += self.p["ib"]
+        given = given.reshape(*inputs.shape, 3 * h)
         clear = inputs == self.n_head
+        cleared = clear.any(axis=1)
         for t in range(inputs.shape[0]):
-            if clear[t].any():
+            if cleared[t]:
                 state = np.where(clear[t][:, None], np.float32(0), state)
             g = state @ u
             gates = given[t, :, : 2 * h] + g[:, : 2 * h]
             np.negative(gates, out=gates)
+            np.minimum(gates, np.float32(80), out=gates)
             np.exp(gates, out=gates)
             gates += 1
             np.reciprocal(gates, out=gates)
             z, r = gates[:, :h], gates[:, h:]
-            new = np.tanh(given[t, :, 2 * h :] + r * g[:, 2 * h :])
+            new = r * g[:, 2 * h :]
+            new += given[t, :, 2 * h :]
+            np.tanh(new, out=new)
             if keep is not None:
                 keep.append((state, z, r, new, g[:, 2 * h :]))
             state = new + z * (state - new)
@@ -208,119 +232,163 @@ class Gru:
     def log_chances(self, states: np.ndarray, targets: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural logs of the chances of ``targets`` [M] after ``states`` [M, H]. With ``grads`` (a dict that is filled), also
         the gradient of minus their sum by states."""
-        p, m = self.p, np.arange(targets.size)
-        group = self.class_of(targets)
-        logits = states @ p["c"] + p["cb"]
-        logits -= logits.max(axis=1, keepdims=True)
-        chance = np.exp(logits)
-        total = chance.sum(axis=1)
-        out = logits[m, group] - np.log(total)
-        back = None
-        if grads is not None:
-            chance /= total[:, None]
-            chance[m, group] -= 1
-            grads["c"], grads["cb"] = states.T @ chance, chance.sum(axis=0)
-            grads["w"], grads["wb"] = self._cleared("w"), self._cleared("wb")
-            back = chance @ p["c"].T
-        words = np.flatnonzero(group < self.word_classes)
-        order = words[np.argsort(group[words], kind="stable")]
-        used = np.unique(group[order])
+        out, back = np.zeros(targets.size), None if grads is None else np.zeros_like(states)
+        every = np.arange(targets.size)
+        root = self.root_of[targets]
+        self._choose(states, every, np.zeros(targets.size, np.intp), root, np.array([0, self.p["rb"].size]), "r", out, back, grads)
+        words = np.flatnonzero(targets < self.n_head)
+        own = self.class_of[targets[words]]
+        self._choose(states, words, own, targets[words], self.starts, "w", out, back, grads)
+        grouped = own >= self.fine
+        self._choose(states, words[grouped], root[words[grouped]] - self.fine, own[grouped] - self.fine, self.group_starts, "g", out, back, grads)
+        return out, back
+
+    def _choose(self, states: np.ndarray, at: np.ndarray, group: np.ndarray, row: np.ndarray, starts: np.ndarray, key: str, out: np.ndarray, back: np.ndarray | None, grads: dict | None) -> None:
+        """Adds to ``out`` the log chances of choosing ``row`` among the rows of ``group``, whose bounds are ``starts``, at the places
+        ``at`` of the states; and gradients to ``back`` and ``grads``."""
+        w, bias = self.p[key], self.p[key + "b"]
+        order = np.argsort(group, kind="stable") if starts.size > 2 else slice(None)
+        at, group, row = at[order], group[order], row[order]
+        here = states if at.size == len(states) and starts.size == 2 else states[at]
+        used, first = np.unique(group, return_index=True)
+        place, m = row - starts[group], np.arange(at.size)
+        totals, best = np.empty(at.size, states.dtype), np.empty(at.size, states.dtype)
         if grads is not None:
-            self.touched["w"] = self.touched["wb"] = used
-        for k, own in zip(used, np.split(order, np.searchsorted(group[order], used)[1:]), strict=False):
-            place, here = targets[own] % CLASS_WORDS, states[own]
-            logits = here @ p["w"][k] + p["wb"][k]
-            logits -= logits.max(axis=1, keepdims=True)
-            chance = np.exp(logits)
-            total = chance.sum(axis=1)
-            i = np.arange(own.size)
-            out[own] += logits[i, place] - np.log(total)
+            gw, gb, own_back = np.zeros_like(w), np.zeros_like(bias), np.empty_like(here)
+            grads[key], grads[key + "b"] = gw, gb
+        pieces = [(k, c, min(b, c + PIECE)) for k, a, b in zip(used, first, np.append(first[1:], at.size), strict=False) for c in range(a, b, PIECE)]
+        for k, a, b in pieces:
+            rows = slice(starts[k], starts[k + 1])
+            own, h, i = w[rows], here[a:b], (m[: b - a], place[a:b])
+            chance = h @ own.T
+            chance += bias[rows]
+            if not self.safe:
+                chance -= chance.max(axis=1, keepdims=True)
+            best[a:b] = chance[i]
+            np.exp(chance, out=chance)
+            total = totals[a:b] = chance.sum(axis=1)
             if grads is not None:
-                chance /= total[:, None]
-                chance[i, place] -= 1
-                grads["w"][k], grads["wb"][k] = here.T @ chance, chance.sum(axis=0)
-                back[own] += chance @ p["w"][k].T
-        return out, back
+                chance *= (1 / total)[:, None]
+                chance[i] -= 1
+                gw[rows] += chance.T @ h
+                gb[rows] += chance.sum(axis=0)
+                own_back[a:b] = chance @ own
+        out[at] += best - np.log(totals)
+        if grads is not None:
+            back[at] += own_back
 
     def learn(self, inputs: np.ndarray, targets: np.ndarray, state: np.ndarray, rate: float) -> tuple[np.ndarray, float]:
-        """One window of truncated backpropagation [T, B]; the state after it and the sum of log chances."""
+        """One window of truncated backpropagation [T, B], in which targets below 0 are none; the state after it and the sum of
+        log chances."""
         h, kept, grads = self.hidden, [], {}
         hs = self.states(inputs, state, kept)
-        logs, back = self.log_chances(hs.reshape(-1, h), targets.ravel(), grads)
+        there = targets.ravel() >= 0
+        if there.all():
+            logs, back = self.log_chances(hs.reshape(-1, h), targets.ravel(), grads)
+        else:
+            logs, found = self.log_chances(hs.reshape(-1, h)[there], targets.ravel()[there], grads)
+            back = np.zeros((inputs.size, h), np.float32)
+            back[there] = found
         back = back.reshape(hs.shape)
         du, later = np.zeros_like(self.p["u"]), np.zeros_like(state)
         given = np.empty((*inputs.shape, 3 * h), np.float32)
         for t in range(inputs.shape[0] - 1, -1, -1):
             before, z, r, new, gn = kept[t]
             dh = back[t] + later
-            dn = dh * (1 - z) * (1 - new * new)
-            dg = np.concatenate([dh * (before - new) * z * (1 - z), dn * gn * r * (1 - r), dn * r], axis=1)
+            kz = dh * z
+            dn = (dh - kz) * (1 - new * new)
+            dg = np.concatenate([kz * (1 - z) * (before - new), dn * gn * r * (1 - r), dn * r], axis=1)
             given[t, :, : 2 * h], given[t, :, 2 * h :] = dg[:, : 2 * h], dn
             du += before.T @ dg
-            later = dg @ self.p["u"].T + dh * z
+            later = dg @ self.p["u"].T
+            later += kz
             later[inputs[t] == self.n_head] = 0
-        grads["u"] = du
-        grads["x"] = self._cleared("x")
-        order = np.argsort(inputs.ravel(), kind="stable")
-        sorted_inputs = inputs.ravel()[order]
-        first = np.flatnonzero(np.concatenate(([True], sorted_inputs[1:] != sorted_inputs[:-1])))
-        grads["x"][sorted_inputs[first]] = np.add.reduceat(given.reshape(-1, 3 * h)[order], first, axis=0)
-        self.touched["x"] = sorted_inputs[first]
-        self._adam(grads, rate, targets.size)
+        flat, given = inputs.ravel(), given.reshape(-1, 3 * h)
+        grads["u"], grads["i"], grads["ib"] = du, self.p["e"][flat].T @ given, given.sum(axis=0)
+        order = np.argsort(flat, kind="stable")
+        rows, first = np.unique(flat[order], return_index=True)
+        n = max(1, int(there.sum()))
+        self.learned += int(there.sum())
+        self._adam(grads, rate, n, rows, np.add.reduceat((given @ self.p["i"].T)[order], first, axis=0))
         return hs[-1], float(logs.sum())
 
-    def _adam(self, grads: dict[str, np.ndarray], rate: float, n: int) -> None:
+    def _adam(self, grads: dict[str, np.ndarray], rate: float, n: int, rows: np.ndarray, row_grads: np.ndarray) -> None:
+        """One step of Adam for the mean over ``n`` targets; of the embeddings, only the window's ``rows`` move."""
         self.step += 1
-        fix = rate * (1 - 0.99**self.step) ** 0.5 / (1 - 0.9**self.step)
-        for key, g in grads.items():
+        fix = np.float32(rate * (1 - 0.99**self.step) ** 0.5 / (1 - 0.9**self.step))
+        for key, g in [*grads.items(), ("e", row_grads)]:
             if key not in self.moments:
-                self.moments[key] = (np.zeros_like(g), np.zeros_like(g))
-            used = self.touched.get(key)
-            # Eight classes at a time, so that a piece stays in the processor's cache.
-            for rows in [slice(None)] if used is None else [used[k : k + 8] for k in range(0, used.size, 8)] if key == "w" else [used]:
-                part = g[rows] / np.float32(n)
-                m, v = (a[rows] for a in self.moments[key])
-                m += np.float32(0.1) * (part - m)
-                v += np.float32(0.01) * (part * part - v)
+                self.moments[key] = (np.zeros_like(self.p[key]), np.zeros_like(self.p[key]))
+            m, v = self.moments[key]
+            if key == "e":
+                m, v = m[rows], v[rows]
+            g *= np.float32(0.1 / n)
+            m *= np.float32(0.9)
+            m += g
+            g *= g  # a hundredth of the square
+            v *= np.float32(0.99)
+            v += g
+            np.sqrt(v, out=g)
+            g += np.float32(1e-6)
+            np.divide(m, g, out=g)
+            g *= fix
+            if key == "e":
                 self.moments[key][0][rows], self.moments[key][1][rows] = m, v
-                self.p[key][rows] -= np.float32(fix) * m / (np.sqrt(v) + np.float32(1e-6))
+                self.p[key][rows] -= g
+            else:
+                self.p[key] -= g
 
     def train(self, stream: np.ndarray, rate: float, lanes: int = LANES, steps: int = STEPS) -> float:
-        """Trains on a stream of symbols in which an end token stands before each document and behind the last; mean log chance."""
-        lanes = max(1, min(lanes, (stream.size - 1) // steps))
-        length = (stream.size - 1) // lanes
-        if length < 1:
+        """Trains on a stream of symbols in which an end token stands before each document and behind the last: each symbol but
+        the first is a target once. Mean log chance."""
+        n = stream.size - 1
+        if n < 1:
             return 0.0
-        inputs, targets = (stream[k : k + lanes * length].reshape(lanes, length).T for k in (0, 1))
+        lanes = max(1, min(lanes, n // steps))
+        length = -(-n // lanes)
+        padded = np.full(lanes * length + 1, -1, np.int64)
+        padded[: stream.size] = stream
+        inputs, targets = (padded[k : k + lanes * length].reshape(lanes, length).T for k in (0, 1))
         state, total = np.zeros((lanes, self.hidden), np.float32), 0.0
         for t in range(0, length, steps):
-            state, logs = self.learn(inputs[t : t + steps], targets[t : t + steps], state, rate)
+            if t % (steps * WINDOWS) == 0:
+                self.safe = self._bounded()
+            given = inputs[t : t + steps]
+            state, logs = self.learn(np.where(given < 0, self.n_head, given), targets[t : t + steps], state, rate)
             total += logs
-        return total / (lanes * length)
+        return total / n
 
-    def score(self, documents: list[np.ndarray], lanes: int = SCORE_LANES, steps: int = 2 * STEPS) -> np.ndarray:
+    def score(self, documents: list[np.ndarray], lanes: int = SCORE_LANES, steps: int = STEPS) -> np.ndarray:
         """Natural log chance of each document's symbols (its end among them), the state carried through all its windows."""
-        out = np.zeros(len(documents))
-        lengths = np.array([d.size for d in documents])
+        out, held, size = np.zeros(len(documents)), [], 0
+        self.safe = self._bounded()
+        lengths = np.array([d.size for d in documents], np.int64)
+        flat, first = np.concatenate([*documents, [0]]), np.concatenate(([0], np.cumsum(lengths)))[:-1]
         order = np.argsort(-lengths, kind="stable")
+
+        def settle() -> None:
+            states, targets, of = (np.concatenate(x) for x in zip(*held, strict=True))
+            out[:] += np.bincount(of, weights=self.log_chances(states, targets)[0], minlength=out.size)
+
         for k in range(0, order.size, lanes):
             own = order[k : k + lanes]
             state = np.zeros((own.size, self.hidden), np.float32)
             last = np.full(own.size, self.n_head)
-            for t in range(0, int(lengths[own[0]]), steps):
-                active = int(np.searchsorted(-lengths[own], -t, side="left"))
-                width = min(steps, int(lengths[own[0]]) - t)
-                targets = np.full((active, width), -1)
-                for lane in range(active):
-                    piece = documents[own[lane]][t : t + width]
-                    targets[lane, : piece.size] = piece
-                inputs = np.concatenate([last[:active, None], np.where(targets < 0, 0, targets)[:, :-1]], axis=1).T
-                hs = self.states(np.ascontiguousarray(inputs), state[:active])
-                there = targets.T >= 0
-                logs, _ = self.log_chances(hs[there], targets.T[there])
-                lane_of = np.broadcast_to(np.arange(active), there.shape)[there]
-                out[own[:active]] += np.bincount(lane_of, weights=logs, minlength=active)
-                state, last = hs[-1], targets[:, -1]
+            longest = int(lengths[own[0]])
+            for t in range(0, longest, steps):
+                active = own[: int(np.searchsorted(-lengths[own], -t, side="left"))]
+                at = t + np.arange(min(steps, longest - t))
+                there = at[:, None] < lengths[active]
+                targets = np.where(there, flat[np.where(there, first[active] + at[:, None], -1)], self.n_head)
+                hs = self.states(np.concatenate([last[None, : active.size], targets[:-1]]), state[: active.size])
+                held.append((hs[there], targets[there], np.broadcast_to(active, there.shape)[there]))
+                size += held[-1][1].size
+                state, last = hs[-1], targets[-1]
+                if size >= LANES * STEPS:
+                    settle()
+                    held, size = [], 0
+        if held:
+            settle()
         return out
 
 
@@ -335,68 +403,86 @@ def stream_of(hashes: np.ndarray, bounds: np.ndarray, counts: Counts) -> np.ndar
     return out
 
 
-def _average(models: DataFrame) -> tuple[int, bytes] | None:
-    """The mean of (tokens, params) rows weighted by tokens, MODELS_A_TASK at a time until few are left."""
+def train_all(model: Gru, streams: Iterator[np.ndarray], rate: float, lanes: int = LANES, steps: int = STEPS) -> None:
+    """Trains on streams one behind the other, WINDOWS windows at a time; what is left of one goes before the next."""
+    rest, whole = np.zeros(0, np.int64), lanes * steps * WINDOWS
+    for stream in streams:
+        rest = np.concatenate([rest, stream[1:] if rest.size else stream])
+        while rest.size > whole:
+            model.train(rest[: whole + 1], rate, lanes, steps)
+            rest = rest[whole:]
+    model.train(rest, rate, lanes, steps)
+
+
+def _average(models: DataFrame, tasks: int) -> np.ndarray | None:
+    """The mean of parameters in rows (task, slice, tokens, params), weighted by tokens: slice by slice, MODELS_A_GROUP models
+    at a time until one is left."""
 
     def mean(group: pa.Table) -> pa.Table:
+        group = group.sort_by("task")
         weights = np.array(group.column("tokens").to_pylist(), np.float64)
-        total = sum(w * np.frombuffer(p, np.float32).astype(np.float64) for w, p in zip(weights, group.column("params").to_pylist(), strict=True))
-        return pa.table({"tokens": [int(weights.sum())], "params": [(total / weights.sum()).astype(np.float32).tobytes()], "task": [int(min(group.column("task").to_pylist()))]})
-
-    models = stored(models, "models")
-    n = models.count()
-    while n > 1:
-        models = stored(models.groupBy(F.pmod(F.xxhash64("task"), F.lit(-(-n // MODELS_A_TASK))).alias("part")).applyInArrow(mean, "tokens long, params binary, task long"), "models")
-        n, before = models.count(), n
-        if n >= before:
+        total = sum(w * np.frombuffer(p.as_buffer(), np.float32) for w, p in zip(weights, group.column("params"), strict=True))
+        return pa.table({"task": group.column("part").slice(0, 1), "slice": group.column("slice").slice(0, 1), "tokens": [int(weights.sum())], "params": [(total / weights.sum()).astype(np.float32).tobytes()]})
+
+    while True:
+        groups = -(-tasks // MODELS_A_GROUP)
+        dealt = models.withColumn("part", F.col("task") % groups)
+        models = stored(dealt.groupBy("slice", "part").applyInArrow(mean, "task long, slice int, tokens long, params binary"), "models")
+        if groups == 1:
             break
-    rows = models.orderBy("task").select("tokens", "params").collect()  # one, or a few where hashes left groups of one
-    if not rows:
-        return None
-    weight = sum(r[0] for r in rows)
-    return weight, sum(r[0] * np.frombuffer(r[1], np.float32).astype(np.float64) for r in rows).__truediv__(weight).astype(np.float32).tobytes()
+        tasks = groups
+    rows = models.orderBy("slice").select("params").collect()  # SLICES rows: one model
+    return np.concatenate([np.frombuffer(r[0], np.float32) for r in rows]) if rows else None
 
 
-def fit(training: DataFrame, counts: Counts, first_docs: int = FIRST_DOCS) -> bytes:
-    """The model's parameters from rows (doc_id, text). The first sample is the rows whose hashed id lies in the share of the
-    hash space that makes about ``first_docs`` of them."""
-    shared = training.sparkSession.sparkContext.broadcast(counts)
-    cut = F.lit(min(1.0, first_docs / max(1, counts.ends)))
-    rank = F.xxhash64(F.col("doc_id"), F.lit(11))
-    chosen = training.select("text", rank.alias("rank")).where(F.shiftrightunsigned("rank", 11) * F.lit(2.0**-53) < cut)
+def fit(training: DataFrame, counts: Counts, first_docs: int = FIRST_DOCS, task_tokens: int = TASK_TOKENS) -> np.ndarray:
+    """The model's parameters from rows (doc_id, text). The first sample is the rows whose hash lies in the share of the hash
+    space that makes about ``first_docs`` of them, FIRST_TOKENS tokens of it at most; after it, every row is learned from once.
+
+    Rows go to tasks by hash, as many tasks as make about ``task_tokens`` each, in the order of the hash, so how files are cut
+    changes no score.
+    """
+    sc = training.sparkSession.sparkContext
+    shared = sc.broadcast(counts)
+    ranked = training.select("text", F.xxhash64("doc_id", "text").alias("rank"))
+    chosen = ranked.where(F.shiftrightunsigned("rank", 11) * F.lit(2.0**-53) < F.lit(min(1.0, first_docs / max(1, counts.ends))))
 
     def begin(group: pa.Table) -> pa.Table:
-        model, known = Gru(shared.value.n_head), shared.value
-        streams = [stream_of(hashes, bounds, known) for c in group.sort_by("rank").column("text").chunks for _, _, hashes, bounds in _documents(c)]
-        stream = np.concatenate(streams)
+        known = shared.value
+        model, stream = Gru(known.n_head, frequency=known.frequency()), np.array([known.end])
+        for column in group.sort_by([("rank", "ascending"), ("text", "ascending")]).column("text").chunks:
+            for _, _, hashes, bounds in _documents(column):
+                if stream.size <= FIRST_TOKENS:
+                    stream = np.concatenate([stream, stream_of(hashes, bounds, known)[1:]])
         for k in range(FIRST_EPOCHS):
-            model.train(stream, FIRST_RATE / (k + 1), lanes=32)
-        return pa.table({"params": [model.packed()]})
+            model.train(stream[: FIRST_TOKENS + 1], FIRST_RATE / (k + 1), FIRST_LANES)
+        return pa.table({"params": [model.packed().tobytes()]})
 
     made = chosen.groupBy(F.lit(1).alias("all")).applyInArrow(begin, "params binary").collect()
     if not made:
-        return Gru(counts.n_head).packed()
-    first = training.sparkSession.sparkContext.broadcast(bytes(made[0][0]))
+        return Gru(counts.n_head, frequency=counts.frequency()).packed()
+    first = sc.broadcast(np.frombuffer(made[0][0], np.float32))
+    tasks = max(1, round(counts.tokens / task_tokens))
 
     def go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        model, tokens = Gru(known.n_head).unpack(first.value), 0
-        for batch in batches:
-            for _, _, hashes, bounds in _documents(batch.column(0)):
-                stream = stream_of(hashes, bounds, known)
-                model.train(stream, RATE)
-                tokens += stream.size - 1
-        if tokens:
-            yield pa.RecordBatch.from_arrays([pa.array([tokens], pa.int64()), pa.array([model.packed()], pa.binary()), pa.array([TaskContext.get().partitionId()], pa.int64())], ["tokens", "params", "task"])
+        model = Gru(known.n_head).unpack(first.value)
+        train_all(model, (stream_of(hashes, bounds, known) for batch in batches for _, _, hashes, bounds in _documents(batch.column(0))), RATE)
+        if model.learned:
+            task, parts = TaskContext.get().partitionId(), np.array_split(model.packed(), SLICES)
+            for k, part in enumerate(parts):
+                yield pa.RecordBatch.from_arrays([pa.array([task], pa.int64()), pa.array([k], pa.int32()), pa.array([model.learned], pa.int64()), pa.array([part.tobytes()], pa.binary())], ["task", "slice", "tokens", "params"])
 
-    found = _average(training.select("text").mapInArrow(go_on, "tokens long, params binary, task long"))
-    return found[1] if found else first.value
+    dealt = ranked.repartition(tasks, "rank").sortWithinPartitions("rank", "text").select("text")
+    models = stored(dealt.mapInArrow(go_on, "task long, slice int, tokens long, params binary"), "models")
+    found = _average(models, tasks)
+    return first.value if found is None else found
 
 
 _ROWS = "row long, doc_id long, held_out boolean, n_tokens long, n_top long, log_counts double, n_other long, log_symbols double, rest array<long>, rest_n array<int>"
 
 
-def scored_rows(rows: DataFrame, counts: Counts, params: bytes) -> DataFrame:
+def scored_rows(rows: DataFrame, counts: Counts, params: np.ndarray) -> DataFrame:
     """Per row of (doc_id, held_out, text): what the model and the broadcast counts give, and the words that are left to join."""
     sc = rows.sparkSession.sparkContext
     shared, weights = sc.broadcast(counts), sc.broadcast(params)

@@ -248,24 +248,32 @@ def test_base_score_and_counts(spark):
     assert np.mean(better) > 0
 
 
-def test_chances_sum_to_one_and_gradients_are_right():
+def test_chances_sum_to_one_and_gradients_are_right(monkeypatch):
+    for name, value in (("FINE", 16), ("FINE_WORDS", 4), ("CLASS_WORDS", 8), ("CLASSES_A_GROUP", 2)):
+        monkeypatch.setattr(lm, name, value)
     model = lm.Gru(70, hidden=5)
     states = np.random.default_rng(0).standard_normal((1, 5)).astype(np.float32)
     total = sum(math.exp(model.log_chances(states, np.array([s]))[0][0]) for s in range(72))
     assert total == pytest.approx(1, abs=1e-5)
     model.p = {k: a.astype(np.float64) for k, a in model.p.items()}
-    inputs, targets, state = np.array([[70, 1], [3, 2], [71, 70]]), np.array([[3, 2], [71, 70], [5, 6]]), np.zeros((2, 5))
-    kept, grads = {}, {}
+    inputs, targets, state = np.array([[70, 1], [3, 2], [71, 70], [5, 40]]), np.array([[3, 2], [71, 70], [5, 40], [69, -1]]), np.zeros((2, 5))
+    there, grads = targets.ravel() >= 0, {}
 
     def loss():
-        return -model.log_chances(model.states(inputs, state).reshape(-1, 5).astype(np.float64), targets.ravel())[0].sum()
+        return -model.log_chances(model.states(inputs, state).reshape(-1, 5).astype(np.float64)[there], targets.ravel()[there])[0].sum()
 
-    model._adam = lambda g, rate, n: grads.update(g)
+    def keep(g, rate, n, rows, row_grads):
+        grads.update(g)
+        grads["e"] = np.zeros_like(model.p["e"])
+        grads["e"][rows] = row_grads
+        assert n == there.sum() == 7
+
+    model._adam = keep
     model.learn(inputs, targets, state, 0.1)
-    for key in ("x", "u", "c", "w", "cb", "wb"):
+    assert set(grads) == set(model.p)
+    for key in grads:
         at = np.unravel_index(np.argmax(np.abs(grads[key])), grads[key].shape)
         before = model.p[key][at]
-        kept[key] = before
         model.p[key][at] = before + 1e-3
         up = loss()
         model.p[key][at] = before - 1e-3
@@ -274,6 +282,31 @@ def test_chances_sum_to_one_and_gradients_are_right():
         assert (up - down) / 2e-3 == pytest.approx(grads[key][at], rel=2e-2, abs=1e-3)
 
 
+def test_the_first_guess_is_that_of_counts(monkeypatch):
+    for name, value in (("FINE", 16), ("FINE_WORDS", 4), ("CLASS_WORDS", 8), ("CLASSES_A_GROUP", 2)):
+        monkeypatch.setattr(lm, name, value)
+    frequency = np.arange(42.0)[::-1] * 10
+    model = lm.Gru(40, hidden=6, frequency=frequency)
+    found = np.exp([model.log_chances(np.zeros((1, 6), np.float32), np.array([s]))[0][0] for s in range(42)])
+    assert np.allclose(found, (frequency + 0.5) / (frequency + 0.5).sum(), rtol=1e-4)
+
+
+def test_every_token_is_learned_once():
+    rng = np.random.default_rng(3)
+    streams = [np.append(40, rng.integers(0, 42, n)) for n in (0, 1, 70, 501, 3, 1000)]
+    model = lm.Gru(40, hidden=4)
+    seen, learn = [], model.learn
+
+    def watched(inputs, targets, state, rate):
+        seen.append(targets[targets >= 0])
+        return learn(inputs, targets, state, rate)
+
+    model.learn = watched
+    lm.train_all(model, iter(streams), 0.01, lanes=4, steps=8)
+    assert model.learned == sum(s.size - 1 for s in streams)
+    assert sorted(np.concatenate(seen)) == sorted(np.concatenate([s[1:] for s in streams]))
+
+
 def test_state_is_carried_through_windows():
     model = lm.Gru(40, hidden=6)
     rng = np.random.default_rng(1)
@@ -291,9 +324,23 @@ def test_every_training_document_reaches_the_network(spark, monkeypatch):
     docs = spark.createDataFrame([(k, f"w{k % 7} w{k % 5} w{k % 3}") for k in range(200)], "doc_id long, text string").coalesce(2)
     counts = lm.gathered(lm.word_counts(docs).cache())
     seen = []
-    monkeypatch.setattr(lm, "_average", lambda models: seen.append(models.agg({"tokens": "sum"}).first()[0]))
-    lm.fit(docs, counts, first_docs=20)
-    assert seen == [200 * 4] == [counts.tokens]
+    monkeypatch.setattr(lm, "_average", lambda models, tasks: seen.append((tasks, models.where("slice = 0").agg({"tokens": "sum"}).first()[0])))
+    lm.fit(docs, counts, first_docs=20, task_tokens=200)
+    assert seen == [(4, 200 * 4)] and counts.tokens == 800
+
+
+def test_scores_do_not_depend_on_how_rows_are_dealt(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    one, two = ({r["doc_id"]: r["score"] for r in lm.judged(d).collect()} for d in (docs.coalesce(1), docs.repartition(7)))
+    assert one.keys() == two.keys() and all(one[k] == pytest.approx(two[k], rel=1e-6) for k in one)
+
+
+def test_models_are_averaged_by_tokens(spark, monkeypatch):
+    monkeypatch.setattr(lm, "MODELS_A_GROUP", 2)
+    rows = [(task, part, task + 1, np.full(3, 10.0 * task + part, np.float32).tobytes()) for task in range(5) for part in range(lm.SLICES)]
+    found = lm._average(spark.createDataFrame(rows, "task long, slice int, tokens long, params binary"), 5)
+    weights = np.arange(1, 6)
+    assert np.allclose(found, np.repeat([(weights * (10.0 * np.arange(5) + part)).sum() / 15 for part in range(lm.SLICES)], 3))
 
 
 def test_lm_of_nothing(spark):
