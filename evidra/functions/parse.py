@@ -2,16 +2,10 @@
 
 from __future__ import annotations
 
-import base64
-import hashlib
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import distributions as D
+from .special import norm_ppf
 
 _NUM = r"[-+]?\d+(?:\.\d+)?"
 
@@ -34,12 +28,13 @@ def author_year(rows: DataFrame, key: str, column: str) -> DataFrame:
     return rows.where(x.rlike(pattern)).select(key, F.regexp_extract(x, pattern, 1).alias("surname"), F.regexp_extract(x, pattern, 2).cast("int").alias("year"), F.nullif(F.regexp_extract(x, pattern, 3), F.lit("")).alias("suffix"))
 
 
-def reference_ranges(rows: DataFrame, key: str, column: str) -> DataFrame:
-    """(key, ref) of each number in brackets, ranges like 24–28 expanded (100 numbers at most)."""
+def reference_ranges(rows: DataFrame, key: str, column: str, most: int = 10_000) -> DataFrame:
+    """(key, ref) of each number in brackets, ranges like 24–28 expanded; a range of more than ``most`` numbers is taken for
+    something else."""
     inside = F.explode(F.regexp_extract_all(F.col(column), F.lit(r"\[([\d,\s–-]+)\]"), 1))
     parts = rows.select(key, inside.alias("p")).select(key, F.explode(F.split("p", r"\s*,\s*")).alias("p"))
     first, last = F.regexp_extract("p", r"^\s*(\d+)", 1).try_cast("int"), F.regexp_extract("p", r"[–-]\s*(\d+)\s*$", 1).try_cast("int")
-    ends = parts.select(key, first.alias("a"), F.coalesce(last, first).alias("b")).where("a IS NOT NULL AND b BETWEEN a AND a + 99")
+    ends = parts.select(key, first.alias("a"), F.coalesce(last, first).alias("b")).where(f"a IS NOT NULL AND b BETWEEN a AND a + {most - 1}")
     return ends.select(key, F.explode(F.sequence("a", "b")).alias("ref"))
 
 
@@ -60,13 +55,8 @@ def means_from_medians(n: Column, m: Column, q1: Column, q3: Column, a: Column,
 
 def sds_from_medians(rows: DataFrame) -> DataFrame:
     """(row_index, from_range, from_quartiles) by Wan's divisors."""
-
-    @F.pandas_udf("double")
-    def quantile(p: pd.Series) -> pd.Series:
-        return pd.Series(D.norm_ppf_array(p.to_numpy(float)) if len(p) else np.zeros(0))
-
-    n = F.col("n")
-    return rows.where("n >= 2").select("row_index", ((F.col("hi") - F.col("lo")) / (2 * quantile((n - 0.375) / (n + 0.25)))).alias("from_range"), ((F.col("q3") - F.col("q1")) / (2 * quantile((0.75 * n - 0.125) / (n + 0.25)))).alias("from_quartiles"))
+    q = {"a": norm_ppf("((n - 0.375e0) / (n + 0.25e0))"), "b": norm_ppf("((0.75e0 * n - 0.125e0) / (n + 0.25e0))")}
+    return rows.where("n >= 2").select("row_index", F.expr(f"(hi - lo) / (2e0 * {q['a']})").alias("from_range"), F.expr(f"(q3 - q1) / (2e0 * {q['b']})").alias("from_quartiles"))
 
 
 def split_shared_control(rows: DataFrame, key: str, arms: str, n: str) -> DataFrame:
@@ -88,18 +78,18 @@ def nice_step(raw: Column) -> Column:
     return p * F.when(x <= 1, 1.0).when(x <= 2, 2.0).when(x <= 2.5, 2.5).when(x <= 5, 5.0).otherwise(10.0)
 
 
-def row_uids(rows: DataFrame, label: str, index: str) -> DataFrame:
-    """(index, row_uid): r and six characters of the base-32 SHA-1 of ``label|index``; rows that meet get ``|1``, ``|2`` and so on
-    behind the hashed text, in the order of their index."""
-
-    @F.pandas_udf("string")
-    def uid(text: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in text:
-            yield batch.map(lambda s: "r" + base64.b32encode(hashlib.sha1(s.encode()).digest()).decode()[:6].lower())
+def _uid(text: Column) -> Column:
+    """r and the first six letters of the base-32 form of the text's SHA-1: thirty bits of it, five to a letter."""
+    bits = F.shiftright(F.conv(F.substring(F.sha1(text), 1, 8), 16, 10).cast("long"), 2)
+    letters = [F.substring(F.lit("abcdefghijklmnopqrstuvwxyz234567"), F.shiftright(bits, 5 * (5 - k)).bitwiseAND(F.lit(31)).cast("int") + 1, F.lit(1)) for k in range(6)]
+    return F.concat(F.lit("r"), *letters)
 
-    from pyspark.sql import Window
 
+def row_uids(rows: DataFrame, label: str, index: str) -> DataFrame:
+    """(index, row_uid, met): the uid of ``label|index``; rows that meet get ``|1``, ``|2`` and so on behind the hashed text, in the
+    order of their index."""
     plain = F.concat_ws("|", F.coalesce(F.col(label), F.lit("")), F.col(index))
-    first = rows.select(index, plain.alias("__t")).withColumn("__u", uid("__t"))
-    met = first.withColumn("__n", F.row_number().over(Window.partitionBy("__u").orderBy(index)) - 1)
-    return met.select(index, F.when(F.col("__n") == 0, F.col("__u")).otherwise(uid(F.concat_ws("|", "__t", "__n"))).alias("row_uid"))
+    first = rows.select(index, plain.alias("__t")).withColumn("__u", _uid(F.col("__t")))
+    same = Window.partitionBy("__u")
+    met = first.withColumns({"__n": F.row_number().over(same.orderBy(index)) - 1, "met": F.count(F.lit(1)).over(same) > 1})
+    return met.select(index, F.when(F.col("__n") == 0, F.col("__u")).otherwise(_uid(F.concat_ws("|", "__t", "__n"))).alias("row_uid"), "met")

@@ -5,26 +5,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidra.sources.shared import stored
+from evidra.sources.shared import forget, stored
+
+#: Rows of one key that meet in one task; the number of keys above it that may be broadcast.
+SPREAD, MOST_HOT = 256, 100_000
+
+
+def dealt_join(many: DataFrame, one: DataFrame, key: str, by: str) -> DataFrame:
+    """The inner join of ``many`` with ``one`` (a row for each key). A key of more than SPREAD rows of ``many`` is dealt over
+    several tasks by the hash of ``by``, and its row of ``one`` goes to each of them."""
+    hot = many.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / SPREAD).cast("int").alias("__copies")).where("__copies > 1")
+    n = hot.count()
+    if not n:
+        return many.join(one, key)
+    hot = F.broadcast(hot) if n <= MOST_HOT else hot
+    copies = F.coalesce("__copies", F.lit(1))
+    left = many.join(hot, key, "left").withColumn("__part", F.pmod(F.xxhash64(by), copies).cast("int")).drop("__copies")
+    right = one.join(hot, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), copies - 1))).drop("__copies")
+    return left.join(right, [key, "__part"]).drop("__part")
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """Rows (node, root): every node that has a link, and the smallest node of its component.
 
     Each round takes the least label among a node's neighbours and then the label of that label, so a chain of length n
-    needs about log n rounds. Labels are written to the shared folder after each round. No link gives no row; loops and
-    repeated links change nothing; rows with a null end are no links.
+    needs about log n rounds. Labels are written to the shared folder after each round. A node of very many links is dealt
+    over tasks. No link gives no row; loops and repeated links change nothing; rows with a null end are no links.
     """
     ends = links.select(F.col(a).alias("node"), F.col(b).alias("other")).where("node IS NOT NULL AND other IS NOT NULL")
     edges = stored(ends.union(ends.select("other", "node")).distinct(), "edges")
     labels = stored(edges.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("root")), "labels")
     for _ in range(max_rounds):
-        near = edges.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("root").alias("near"))
-        hop = labels.join(near, "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("via"))
+        near = dealt_join(edges, labels.select(F.col("node").alias("other"), "root"), "other", "node").groupBy("node").agg(F.min("root").alias("near"))
+        hop = stored(labels.join(near, "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("via")), "hops")
         onward = labels.select(F.col("node").alias("via"), F.col("root").alias("onward"))
-        jumped = hop.join(onward, "via").select("node", "was", F.least("via", "onward").alias("root"))
-        after = stored(jumped, "labels")
+        after = stored(dealt_join(hop, onward, "via", "node").select("node", "was", F.least("via", "onward").alias("root")), "labels")
+        forget(labels, hop)
         labels = after.select("node", "root")
+        labels._stored_at = after._stored_at
         if not after.where(F.col("was") != F.col("root")).head(1):
+            forget(edges)
             return labels
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -1,14 +1,53 @@
-"""Record linkage: blocking, fuzzy comparison, grouping, and the overlap of reviews."""
+"""Record linkage: identifiers, guarded merging, blocking, similar titles, grouping, and the overlap of reviews.
+
+Records are rows (rec_id, title, author, journal, year). Records that agree in title, first author and year stand behind
+the least of them (``signatures``), so groups of copies make no squares of pairs.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidra.functions.text import folded
+from evidra.functions import names as N
+
+from evidra.sources.shared import stored
 
 from .components import components
 
+#: Identifiers from the strongest to the weakest.
+KINDS = ("pmid", "doi", "pmcid", "eid", "openalex", "nct")
+GUARD, POSSIBLE, PROBABLE, PREFIX_SIMILARITY, PREFIX_WORDS = 0.5, 0.8, 0.9, 0.95, 6
+
+
+def jaccard(a: Column, b: Column) -> Column:
+    """The similarity of two arrays of distinct words; null where both are empty."""
+    return F.size(F.array_intersect(a, b)) / F.nullif(F.size(F.array_union(a, b)), F.lit(0))
+
+
+def title_similarity(a: Column, b: Column) -> Column:
+    """Of two normalised titles: the Jaccard similarity of their words, at least 0.95 where one of six words or more begins the
+    other; null where either is null or empty."""
+    short, long = F.when(F.length(a) <= F.length(b), a).otherwise(b), F.when(F.length(a) <= F.length(b), b).otherwise(a)
+    begins = long.startswith(F.concat(short, F.lit(" "))) & (F.size(F.split(short, " ")) >= PREFIX_WORDS)
+    words = lambda x: F.array_distinct(F.split(x, " "))
+    made = F.when(a == b, 1.0).otherwise(F.greatest(jaccard(words(a), words(b)), F.when(begins, PREFIX_SIMILARITY).otherwise(0.0)))
+    return F.when((a != "") & (b != ""), made)
+
+
+def signatures(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((rep, title, author, journal, year, n), (rec_id, rep)): one row for each normalised title, first author's key and year, with
+    the least record of it, its least journal and the number of records; and every record with its representative."""
+    own = records.select("rec_id", N.norm_title(F.col("title")).alias("title"), N.norm_surname(F.col("author")).alias("author"), N.journal_key(F.col("journal")).alias("journal"), "year")
+    keys = ["title", "author", "year"]
+    own = own.fillna("", ["title", "author"])
+    reps = own.groupBy(*keys).agg(F.min("rec_id").alias("rep"), F.min("journal").alias("journal"), F.count(F.lit(1)).alias("n"))
+    same = [own[k].eqNullSafe(reps[k]) for k in keys]
+    return reps, own.join(reps, same).select("rec_id", "rep")
+
+
+# Identity -------------------------------------------------------------------------------------------------------------
+
 
 def identity_links(ids: DataFrame) -> DataFrame:
     """(a, b) links of records (rec_id, kind, value) that share an identifier: each to the least record of that identifier, so a
@@ -18,38 +57,224 @@ def identity_links(ids: DataFrame) -> DataFrame:
     return known.join(heads, ["kind", "value"]).where("rec_id <> head").select(F.col("rec_id").alias("a"), F.col("head").alias("b")).distinct()
 
 
-def merged_records(records: DataFrame, ids: DataFrame) -> DataFrame:
-    """(rec_id, canonical): every record with the least record that it is the same as, through any chain of identifiers."""
-    found = components(identity_links(ids))
-    return records.select("rec_id").join(found.withColumnRenamed("node", "rec_id"), "rec_id", "left").select("rec_id", F.coalesce("root", "rec_id").alias("canonical"))
+def guarded_links(records: DataFrame, ids: DataFrame) -> DataFrame:
+    """(a, b, verdict) of each link of ``identity_links``: id_conflict where another kind has two values, bib_conflict where the
+    titles' similarity is below 0.5 and not both the first author and the year (one apart at most) agree, else same."""
+    known = ids.where("value IS NOT NULL").groupBy("rec_id", "kind").agg(F.min("value").alias("value"))
+    of = known.groupBy("rec_id").agg(F.map_from_entries(F.collect_list(F.struct("kind", "value"))).alias("ids"))
+    bib = records.select("rec_id", N.norm_title(F.col("title")).alias("title"), N.norm_surname(F.col("author")).alias("author"), "year").join(of, "rec_id", "left")
+    both = identity_links(ids)
+    for side in ("a", "b"):
+        both = both.join(bib.select(*[F.col(c).alias(f"{c}_{side}") for c in bib.columns]).withColumnRenamed(f"rec_id_{side}", side), side)
+    other = lambda k: F.element_at("ids_a", k) != F.element_at("ids_b", k)
+    clash = F.exists(F.map_keys("ids_a"), lambda k: F.coalesce(other(k), F.lit(False)))
+    similar = title_similarity(F.col("title_a"), F.col("title_b"))
+    gap = F.abs(F.col("year_a") - F.col("year_b"))
+    agree = (F.col("author_a") == F.col("author_b")) & (F.col("author_a") != "") & F.coalesce(gap <= 1, F.lit(True))
+    mismatch = F.coalesce((similar < GUARD) & ~F.coalesce(agree, F.lit(False)), F.lit(False))
+    return both.select("a", "b", F.when(clash, "id_conflict").when(mismatch, "bib_conflict").otherwise("same").alias("verdict"))
+
+
+def merged_records(records: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((rec_id, canonical), (root, kind, n_values)): every record with the least record that it is the same as through any
+    chain of links without conflict, and the refused clusters: those in which a kind of identifier has several values. Their
+    records stay apart."""
+    found = components(guarded_links(records, ids).where("verdict = 'same'"))
+    placed = ids.where("value IS NOT NULL").join(found.withColumnRenamed("node", "rec_id"), "rec_id")
+    refused = placed.groupBy("root", "kind").agg(F.countDistinct("value").alias("n_values")).where("n_values > 1")
+    kept = found.join(refused.select("root").distinct(), "root", "left_anti").withColumnRenamed("node", "rec_id")
+    merged = records.select("rec_id").join(kept, "rec_id", "left").select("rec_id", F.coalesce("root", "rec_id").alias("canonical"))
+    return merged, refused
+
+
+def canonical_map(moves: DataFrame) -> DataFrame:
+    """(rec_id, canonical) from rows (rec_id, merged_into): the end of each chain of merges; of a cycle, its least record."""
+    own = components(moves.where("merged_into IS NOT NULL"), "rec_id", "merged_into").withColumnRenamed("node", "rec_id")
+    ends = moves.where("merged_into IS NULL").select("rec_id").join(own, "rec_id").groupBy("root").agg(F.min("rec_id").alias("end"))
+    placed = own.join(ends, "root", "left").select("rec_id", F.coalesce("end", "root").alias("canonical"))
+    return moves.select("rec_id").distinct().join(placed, "rec_id", "left").select("rec_id", F.coalesce("canonical", "rec_id").alias("canonical"))
+
+
+def effective_origins(records: DataFrame, canonical: DataFrame) -> DataFrame:
+    """(canonical, origins) from rows (rec_id, origins array): the sorted union over all records that were merged."""
+    each = records.join(canonical, "rec_id").select("canonical", F.explode("origins").alias("o")).distinct()
+    return each.groupBy("canonical").agg(F.array_sort(F.collect_list("o")).alias("origins"))
+
+
+def hit_groups(hits: DataFrame, ids: DataFrame, source_rank: dict[str, int]) -> DataFrame:
+    """(hit_group, sources, title, year): search hits (rec_id, source, title, year) that share any identifier, with the first value
+    that is there in the order of the sources' ranks."""
+    found = components(identity_links(ids)).withColumnRenamed("node", "rec_id")
+    rank = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in source_rank.items() for x in pair]), F.col("source")), F.lit(99))
+    rows = hits.join(found, "rec_id", "left").withColumns({"hit_group": F.coalesce("root", "rec_id"), "rank": rank})
+    first = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct("rank", "rec_id", c)))[c].alias(c)
+    return rows.groupBy("hit_group").agg(F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"), first("title"), first("year"))
+
+
+# Blocking and similar titles ------------------------------------------------------------------------------------------
+
+
+def title_tokens(reps: DataFrame) -> DataFrame:
+    """(rep, token, n_tokens) of normalised titles: distinct words of three letters or more that are no numbers."""
+    words = F.filter(F.array_distinct(F.split("title", " ")), lambda t: (F.length(t) >= 3) & ~t.rlike("^[0-9]+$"))
+    return reps.select("rep", words.alias("w")).select("rep", F.size("w").alias("n_tokens"), F.explode("w").alias("token"))
+
+
+def blocked_pairs(reps: DataFrame, max_df: int = 50) -> DataFrame:
+    """(a, b, shared, same_author) of representatives that share the first author, or two title tokens (one where either title
+    has two at most). Tokens in more than the larger of ``max_df`` and a tenth of the titles name no pair here;
+    ``similar_titles`` has no such limit."""
+    tokens = title_tokens(reps)
+    df = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    rare = tokens.join(df.where(F.col("df") <= max(float(max_df), reps.count() / 10.0)), "token").select("rep", "token", "n_tokens")
+    x, y = rare.alias("x"), rare.alias("y")
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.rep") < F.col("y.rep")))
+    met = met.groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.least("x.n_tokens", "y.n_tokens").alias("least")).agg(F.count(F.lit(1)).alias("shared"))
+    by_token = met.where("shared >= 2 OR least <= 2").select("a", "b", "shared", F.lit(False).alias("same_author"))
+    p, q = reps.where("author <> ''").alias("p"), reps.where("author <> ''").alias("q")
+    by_author = p.join(q, (F.col("p.author") == F.col("q.author")) & (F.col("p.rep") < F.col("q.rep"))).select(F.col("p.rep").alias("a"), F.col("q.rep").alias("b"), F.lit(0).cast("long").alias("shared"), F.lit(True).alias("same_author"))
+    return by_token.union(by_author).groupBy("a", "b").agg(F.max("shared").alias("shared"), F.max("same_author").alias("same_author"))
+
+
+def similar_titles(reps: DataFrame, least: float = POSSIBLE) -> DataFrame:
+    """(title_a, title_b, similarity), title_a < title_b: all pairs of different titles with ``title_similarity`` of ``least`` or
+    more, and each title with itself.
+
+    Titles of a Jaccard similarity of ``least`` share one of their rarest words, n - ceil(least n) + 1 of n, so only those are
+    joined; a title that begins another meets it through the other's beginnings. No word is too frequent to count.
+    """
+    titles = reps.where("title <> ''").select("title").distinct()
+    words = titles.select("title", F.array_distinct(F.split("title", " ")).alias("w")).withColumn("n", F.size("w"))
+    each = words.select("title", "n", F.explode("w").alias("word"))
+    df = each.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    place = F.row_number().over(Window.partitionBy("title").orderBy("df", "word"))
+    head = each.join(df, "word").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1)
+    x, y = head.select("word", F.col("title").alias("title_a"), F.col("n").alias("n_a")), head.select("word", F.col("title").alias("title_b"), F.col("n").alias("n_b"))
+    fit = (F.col("n_a") >= least * F.col("n_b") - 1e-9) & (F.col("n_b") >= least * F.col("n_a") - 1e-9)
+    by_words = x.join(y, "word").where((F.col("title_a") < F.col("title_b")) & fit).select("title_a", "title_b").distinct()
+    # Of titles that begin alike, each is cut to the lengths that the others have: equal texts meet.
+    split = titles.select("title", F.split("title", " ").alias("s")).select("title", "s", F.size("s").alias("k"), F.array_join(F.slice("s", 1, PREFIX_WORDS), " ").alias("head")).where(F.col("k") >= PREFIX_WORDS)
+    lengths = split.select("head", "k").distinct().withColumnRenamed("k", "cut")
+    spaced = split.join(lengths, "head").where("cut < k").select("title", F.array_join(F.slice("s", 1, F.col("cut")), " ").alias("begin"))
+    begun = spaced.join(titles.select(F.col("title").alias("begin")), "begin").select(F.least("begin", "title").alias("title_a"), F.greatest("begin", "title").alias("title_b"))
+    pairs = by_words.union(begun).distinct().withColumn("similarity", title_similarity(F.col("title_a"), F.col("title_b"))).where(F.col("similarity") >= least)
+    return pairs.union(titles.select("title", F.col("title").alias("title_b"), F.lit(1.0)))
 
 
-def title_tokens(records: DataFrame, max_df: int = 50) -> DataFrame:
-    """(rec_id, token) of folded titles; tokens in more than the larger of ``max_df`` and a tenth of the records block nothing."""
-    words = records.select("rec_id", F.explode(F.array_distinct(F.split(folded(F.col("title")), " "))).alias("token")).where("length(token) >= 3")
-    df = words.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    limit = F.lit(float(max_df)) if max_df is None else F.greatest(F.lit(float(max_df)), F.lit(records.count() / 10.0))
-    return words.join(df.where(F.col("df") <= limit), "token").select("rec_id", "token")
+def classified(reps: DataFrame) -> DataFrame:
+    """(a, b, similarity, score, class) of representatives: probable with a similarity of 0.9, the same first author and years one
+    apart at most; possible with 0.8 and either. Without a title on either side: possible with the same author and year, and
+    no similarity. The score adds 0.03 for the same journal and takes 0.05 for each year between, within 0 and 1."""
+    own = reps.select("rep", "title", "author", "journal", "year")
+    left, right = (own.select(*[F.col(c).alias(f"{c}_{s}") for c in own.columns]) for s in ("a", "b"))
+    pairs = stored(similar_titles(reps), "titles")
+    both = pairs.union(pairs.where("title_a <> title_b").select("title_b", "title_a", "similarity"))
+    # Through the author, and through years one apart at most: equal keys only, whatever the number of records of a title.
+    near = right.withColumn("__year", F.explode(F.sequence(F.col("year_b") - 1, F.col("year_b") + 1)))
+    with_left = both.join(left, "title_a")
+    by_author = with_left.where("author_a <> ''").join(right, (F.col("author_a") == F.col("author_b")) & with_left["title_b"].eqNullSafe(right["title_b"])).drop(right["title_b"])
+    by_year = with_left.join(near, (F.col("year_a") == F.col("__year")) & with_left["title_b"].eqNullSafe(near["title_b"])).drop(near["title_b"]).drop("__year")
+    met = by_author.unionByName(by_year).where("rep_a < rep_b").dropDuplicates(["rep_a", "rep_b"])
+    no_title = left.where("author_a <> ''").join(right, (F.col("author_a") == F.col("author_b")) & (F.col("year_a") == F.col("year_b"))).where("rep_a < rep_b AND (title_a = '' OR title_b = '')").withColumn("similarity", F.lit(None).cast("double"))
+    columns = ["rep_a", "rep_b", "similarity", "author_a", "author_b", "journal_a", "journal_b", "year_a", "year_b"]
+    rows = met.select(columns).union(no_title.select(columns))
+    gap = F.abs(F.col("year_a") - F.col("year_b"))
+    author, year = (F.col("author_a") == F.col("author_b")) & (F.col("author_a") != ""), F.coalesce(gap <= 1, F.lit(False))
+    kind = F.when(F.col("similarity").isNull(), "possible").when((F.col("similarity") >= PROBABLE) & author & year, "probable").when(author | year, "possible")
+    bonus = F.when((F.col("journal_a") == F.col("journal_b")) & (F.col("journal_a") != ""), 0.03).otherwise(0.0)
+    score = F.when(F.col("similarity").isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("similarity") + bonus - 0.05 * F.coalesce(gap, F.lit(0)))))
+    return rows.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), "similarity", score.alias("score"), kind.alias("class"))
 
 
-def blocked_pairs(records: DataFrame, least_shared: int = 2, max_df: int = 50) -> DataFrame:
-    """(a, b, shared) of records that share at least ``least_shared`` title tokens that are not frequent."""
-    tokens = title_tokens(records, max_df)
-    x, y = tokens.alias("x"), tokens.alias("y")
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.rec_id") < F.col("y.rec_id")))
-    return pairs.groupBy(F.col("x.rec_id").alias("a"), F.col("y.rec_id").alias("b")).agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least_shared)
+# Groups of reports ----------------------------------------------------------------------------------------------------
 
 
-def classified(records: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b, similarity, class): token Jaccard of titles, with first author and year. probable: 0.9, same author, a year apart
-    at most; possible: 0.8 and either."""
-    own = records.select("rec_id", F.array_distinct(F.split(folded(F.col("title")), " ")).alias("t"), "author", "year")
-    both = pairs.join(own.select(*[F.col(c).alias(f"{c}_a") for c in own.columns]), F.col("a") == F.col("rec_id_a")).join(own.select(*[F.col(c).alias(f"{c}_b") for c in own.columns]), F.col("b") == F.col("rec_id_b"))
-    similarity = F.size(F.array_intersect("t_a", "t_b")) / F.size(F.array_union("t_a", "t_b"))
-    author = F.coalesce(folded(F.col("author_a")) == folded(F.col("author_b")), F.lit(False))
-    year = F.coalesce(F.abs(F.col("year_a") - F.col("year_b")) <= 1, F.lit(False))
-    kind = F.when((F.col("similarity") >= 0.9) & author & year, "probable").when((F.col("similarity") >= 0.8) & (author | year), "possible")
-    return both.withColumn("similarity", similarity).withColumn("class", kind).where("class IS NOT NULL").select("a", "b", "similarity", "class")
+def review_groups(items: DataFrame) -> DataFrame:
+    """(review, group_key, members, n) of reports (review, group_key, rec) that a review lists under one heading, two at least."""
+    m = items.where("group_key IS NOT NULL").groupBy("review", "group_key").agg(F.array_sort(F.collect_set("rec")).alias("members"))
+    return m.withColumn("n", F.size("members").cast("long")).where("n >= 2").select("review", "group_key", F.array_join("members", ",").alias("members"), "n")
+
+
+def splitting_reviews(items: DataFrame) -> DataFrame:
+    """(review, group_key, other): other reviews that put reports of a group into several groups of theirs."""
+    own = items.where("group_key IS NOT NULL").select("review", "group_key", "rec").distinct()
+    theirs = own.select(F.col("review").alias("other"), F.col("group_key").alias("other_key"), "rec")
+    m = own.join(theirs, "rec").where("review <> other").groupBy("review", "group_key", "other").agg(F.countDistinct("other_key").alias("n"))
+    return m.where("n >= 2").select("review", "group_key", "other")
+
+
+def registry_groups(mentions: DataFrame) -> DataFrame:
+    """(registry, members, certainty) from rows (registry, rec, strength): strong and confirming mentions together name a probable
+    study if there are two reports of them (one strong at least), review mentions make it possible, weak ones only with a strong
+    one, as a hint."""
+    of = lambda s: F.collect_set(F.when(F.col("strength") == s, F.col("rec")))
+    m = mentions.groupBy("registry").agg(*[of(s).alias(s) for s in ("strong", "confirming", "review", "weak")])
+    sure = F.array_union("strong", "confirming")
+    some = F.array_union(sure, F.col("review"))
+    every = F.array_union(some, F.col("weak"))
+    rules = [((F.size("strong") >= 1) & (F.size(sure) >= 2), sure, "probable"), ((F.size(some) >= 2) & (F.size("strong") + F.size("review") >= 1), some, "possible"), ((F.size("strong") >= 1) & (F.size(every) >= 2), every, "hint")]
+    members, certainty = F.lit(None), F.lit(None)
+    for condition, value, name in reversed(rules):
+        members, certainty = F.when(condition, value).otherwise(members), F.when(condition, name).otherwise(certainty)
+    out = m.select("registry", members.alias("m"), certainty.alias("certainty")).where("certainty IS NOT NULL")
+    return out.select("registry", F.array_join(F.array_sort("m"), ",").alias("members"), "certainty")
+
+
+def errata(records: DataFrame) -> DataFrame:
+    """(erratum, parent) of records (rec_id, erratum_of) whose parent is a record too."""
+    parents = records.select(F.col("rec_id").alias("parent"))
+    return records.where("erratum_of IS NOT NULL").join(parents, F.col("erratum_of") == F.col("parent")).select(F.col("rec_id").alias("erratum"), "parent")
+
+
+def report_series(reps: DataFrame, known: DataFrame, years: int = 5) -> DataFrame:
+    """(a, b, rule): reports of one series that ``known`` pairs (a, b) don't hold: author, the same first author within ``years`` and
+    titles of a Jaccard similarity of 0.4; title, titles of 0.85 two years or more apart. Representatives of ``signatures``."""
+    own = reps.where("title <> '' AND author <> '' AND year IS NOT NULL").select("rep", "title", "author", "year")
+    p, q = (own.select(*[F.col(c).alias(f"{c}_{s}") for c in own.columns]) for s in ("a", "b"))
+    near = p.join(q, (F.col("author_a") == F.col("author_b")) & (F.abs(F.col("year_a") - F.col("year_b")) <= years) & (F.col("rep_a") < F.col("rep_b")))
+    words = lambda c: F.array_distinct(F.split(c, " "))
+    by_author = near.where(jaccard(words("title_a"), words("title_b")) >= 0.4).select("rep_a", "rep_b", F.lit("author").alias("rule"))
+    alike = similar_titles(reps, 0.85).where("title_a <> title_b")
+    apart = alike.join(p, "title_a").join(q, "title_b").where("abs(year_a - year_b) >= 2")
+    by_title = apart.select(F.least("rep_a", "rep_b").alias("rep_a"), F.greatest("rep_a", "rep_b").alias("rep_b"), F.lit("title").alias("rule"))
+    out = by_author.union(by_title).groupBy(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).agg(F.min("rule").alias("rule"))
+    return out.join(known.select("a", "b").distinct(), ["a", "b"], "left_anti")
+
+
+def same_signature(proposals: DataFrame) -> DataFrame:
+    """(signature, reviews, n): proposals (signature, review) with the same members as one, with all their reviews."""
+    m = proposals.groupBy("signature").agg(F.array_sort(F.collect_set("review")).alias("r"))
+    return m.select("signature", F.array_join("r", ",").alias("reviews"), F.size("r").cast("long").alias("n"))
+
+
+def stable_ids(current: DataFrame, prior: DataFrame, order: str) -> DataFrame:
+    """(signature, id): the id that a signature had in ``prior`` (signature, id), else the next free numbers in the order of
+    ``order``. New ones are counted in ranges of that order, so that no task gets all of them."""
+    from .ranking import global_places
+
+    kept = current.join(prior, "signature")
+    fresh = current.join(prior.select("signature"), "signature", "left_anti")
+    last = prior.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
+    numbered = global_places(fresh, [F.asc(order), F.asc("signature")]).join(F.broadcast(last)).select("signature", (F.col("last") + F.col("place")).alias("id"))
+    return kept.select("signature", "id").union(numbered)
+
+
+def study_labels(members: DataFrame, prior: DataFrame) -> DataFrame:
+    """(study, n_reports, id) of clusters (study, rec): the least id that any of its records had in ``prior`` (rec, id); a new
+    cluster has none. An id that two clusters claim goes to the one with more of its records, then to the lesser study."""
+    claims = members.join(prior, "rec").groupBy("study", "id").agg(F.count(F.lit(1)).alias("n"))
+    best = claims.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n"), "study"))).where("k = 1")
+    own = best.groupBy("study").agg(F.min("id").alias("id"))
+    return members.groupBy("study").agg(F.countDistinct("rec").alias("n_reports")).join(own, "study", "left").select("study", "n_reports", "id")
+
+
+def membership_problems(members: DataFrame, active: DataFrame) -> DataFrame:
+    """(rec, problem): records in several studies, and active records (rec) in none."""
+    several = members.groupBy("rec").agg(F.countDistinct("study").alias("n")).where("n > 1").select("rec", F.lit("several").alias("problem"))
+    return several.union(active.select("rec").distinct().join(members.select("rec"), "rec", "left_anti").select("rec", F.lit("none").alias("problem")))
+
+
+# Overlap --------------------------------------------------------------------------------------------------------------
 
 
 def overlap(incidence: DataFrame) -> DataFrame:
@@ -64,6 +289,17 @@ def band(cca: Column) -> Column:
     return F.when(whole <= 5, "slight").when(whole <= 10, "moderate").when(whole <= 15, "high").when(whole.isNotNull(), "very high")
 
 
+def weighted_overlap(incidence: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(r, c, wcca): the covered area with each study weighted by the root of its size ``n`` (study, n); null unless every study
+    has one."""
+    rows = incidence.select("study", "review").distinct().groupBy("study").agg(F.count(F.lit(1)).alias("times"))
+    c = incidence.agg(F.countDistinct("review").alias("c"))
+    w = rows.join(sizes, "study", "left").withColumn("w", F.sqrt("n"))
+    m = w.agg(F.count(F.lit(1)).alias("r"), F.count("w").alias("known"), F.sum("w").alias("sw"), F.sum(F.col("w") * (F.col("times") - 1)).alias("again"))
+    both = m.join(F.broadcast(c))  # one row each
+    return both.select("r", "c", F.when(F.col("known") == F.col("r"), 100.0 * F.col("again") / F.nullif(F.col("sw") * (F.col("c") - 1), F.lit(0.0))).alias("wcca"))
+
+
 def overlap_pairs(incidence: DataFrame) -> DataFrame:
     """(a, b, shared, n_a, n_b, cca) of each two reviews that share a study."""
     rows = incidence.select("study", "review").distinct()
@@ -82,15 +318,44 @@ def overlap_by_review(incidence: DataFrame) -> DataFrame:
     return marked.groupBy("review").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("times") == 1).cast("long")).alias("unique"), F.sum((F.col("first") == F.col("review")).cast("long")).alias("index"))
 
 
+def overlap_matrix(incidence: DataFrame, reviews: list) -> DataFrame:
+    """(study, one column r<review> for each of ``reviews`` with 1 or 0), the wide form of the incidence."""
+    cells = [F.max((F.col("review") == v).cast("int")).alias(f"r{v}") for v in reviews]
+    return incidence.groupBy("study").agg(*cells)
+
+
 def conflicts(values: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     """(study, field, reviews, low, high): fields for which reviews give numbers that differ by more than ``tolerance``."""
     m = values.where("value IS NOT NULL").groupBy("study", "field").agg(F.countDistinct("review").alias("reviews"), F.min("value").alias("low"), F.max("value").alias("high"))
     return m.where((F.col("reviews") >= 2) & (F.col("high") - F.col("low") > tolerance * F.greatest(F.abs("high"), F.abs("low"), F.lit(1.0))))
 
 
+def decided_values(values: DataFrame, decisions: DataFrame) -> DataFrame:
+    """(review, study, field, outcome, arm, value, decision): each value with the decision (review, study, field, outcome, arm,
+    decision) of all five keys, else with the one of review, study and field whose outcome and arm are null."""
+    exact = decisions.where("outcome IS NOT NULL AND arm IS NOT NULL").select("review", "study", "field", "outcome", "arm", F.col("decision").alias("d5"))
+    loose = decisions.where("outcome IS NULL AND arm IS NULL").select("review", "study", "field", F.col("decision").alias("d3"))
+    out = values.join(exact, ["review", "study", "field", "outcome", "arm"], "left").join(loose, ["review", "study", "field"], "left")
+    return out.select("review", "study", "field", "outcome", "arm", "value", F.coalesce("d5", "d3").alias("decision"))
+
+
 def upsert(existing: DataFrame, arrivals: DataFrame, key: str, route: str) -> DataFrame:
     """Idempotent integration: rows of ``route`` are replaced by ``arrivals``, others stay; one row for each key and route, that
     of the greatest ``version``."""
     rows = existing.where(F.col("route") != route).unionByName(arrivals.withColumn("route", F.lit(route)))
     latest = Window.partitionBy(key, "route").orderBy(F.desc("version"))
     return rows.withColumn("__n", F.row_number().over(latest)).where("__n = 1").drop("__n")
+
+
+def merged_studies(reports: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(study, status, n_reports, n_reviews, flags) of studies whose reports (study, rec, status, retracted, preprint) are cited by
+    a selected candidate (rec, review, selected, has_evidence) with evidence: included if any report is, else pending, else
+    excluded if all are, else awaiting. Studies that no such candidate cites are left out."""
+    cited = candidates.where("selected AND has_evidence").select("rec", "review").distinct()
+    found = reports.join(cited, "rec")
+    reviews = found.groupBy("study").agg(F.countDistinct("review").alias("n_reviews"))
+    has = lambda v: F.max((F.col("status") == v).cast("int")) == 1
+    status = F.when(has("included"), "included").when(has("pending"), "pending").when(F.min((F.col("status") == "excluded").cast("int")) == 1, "excluded").otherwise("awaiting")
+    flags = F.concat_ws(",", F.when(F.max(F.col("preprint").cast("int")) == 1, "preprint"), F.when(F.max(F.col("retracted").cast("int")) == 1, "retracted"))
+    m = reports.groupBy("study").agg(status.alias("status"), F.count(F.lit(1)).alias("n_reports"), flags.alias("flags"))
+    return m.join(reviews, "study").select("study", "status", "n_reports", "n_reviews", "flags")

@@ -11,15 +11,19 @@ def natural_places(rows: DataFrame, label: str, key: str) -> DataFrame:
     x = F.col(label)
     number = lambda p, k: F.nullif(F.regexp_extract(x, p, k), F.lit("")).try_cast("long")
     ranked = rows.select(key, F.regexp_extract(x, r"^(\D*)", 1).alias("head"), number(r"(\d+)", 1).alias("first"), number(r"-(\d+)$", 1).alias("last"))
-    # Ordered by range, so that no task gets all rows; places continue from part to part.
+    order = [F.asc_nulls_last("head"), F.asc_nulls_last("first"), F.asc_nulls_last("last"), F.asc(key)]
+    return global_places(ranked, order).select(key, "place")
+
+
+def global_places(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """``rows`` with ``place``, their number from 1 in ``order``: counted in ranges of that order, so that no task gets all rows."""
     from evidra.sources.shared import stored
 
-    order = [F.asc_nulls_last("head"), F.asc_nulls_last("first"), F.asc_nulls_last("last"), F.asc(key)]
-    dealt = stored(ranked.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranges")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    own = F.row_number().over(Window.partitionBy("part").orderBy(*order))
-    return dealt.withColumn("own", own).join(offsets, "part").select(key, (F.col("offset") + F.col("own")).alias("place"))
+    dealt = stored(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    offsets = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__offset"))
+    own = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return dealt.withColumn("__own", own).join(offsets, "__part").withColumn("place", F.col("__offset") + F.col("__own")).drop("__part", "__own", "__offset")
 
 
 def review_score(title: Column, text: Column, terms: list[str], year: Column, size: Column, today: int) -> Column:

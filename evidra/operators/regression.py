@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidra.functions import distributions as D
+from evidra.functions.special import norm_cdf
 
 from .iterative import _grouped
 from .pooling import usable
@@ -60,15 +58,34 @@ def meta_regression(studies: DataFrame, moderators: list[str]) -> DataFrame:
     return _grouped(own, fit, "term string, estimate double, se double, z double, p double, tau2 double, qe double, qm double, k long", ("row_index", "yi", "vi", *moderators))
 
 
-def power(grid: DataFrame, heterogeneity: float = 4 / 3, alpha: float = 0.05) -> DataFrame:
-    """``grid`` (k, effect, n1, n2) with ``power`` of the two-sided z test of the pooled standardised mean difference."""
-    critical = D.norm_ppf(1 - alpha / 2)
+#: Factors of the pooled variance for heterogeneity in words: rounded, and as exact thirds.
+FACTORS = {"rounded": {"fixed": 1.0, "low": 1.33, "moderate": 1.67, "high": 2.0}, "exact": {"fixed": 1.0, "low": 4 / 3, "moderate": 5 / 3, "high": 2.0}}
+
+
+def _power(factor: float, alpha: float = 0.05) -> str:
+    """The two-sided z test's power for columns k, effect and v, as SQL text."""
+    critical, ratio = D.norm_ppf(1 - alpha / 2), f"effect / sqrt({factor!r}e0 * v / k)"
+    return f"({norm_cdf(f'({ratio} - {critical!r}e0)')} + {norm_cdf(f'(-{ratio} - {critical!r}e0)')})"
+
+
+def with_variance(designs: DataFrame) -> DataFrame:
+    """``designs`` (effect, n1, n2) with v, the variance of one study's standardised mean difference."""
+    n1, n2, d = F.col("n1"), F.col("n2"), F.col("effect")
+    return designs.withColumn("v", (n1 + n2) / (n1 * n2) + d * d / (2 * (n1 + n2)))
+
+
+def power(grid: DataFrame, factors: str = "rounded", alpha: float = 0.05) -> DataFrame:
+    """``grid`` (k, effect, n1, n2) with the power of the pooled effect's test at each degree of heterogeneity."""
+    return with_variance(grid).withColumns({name: F.expr(_power(f, alpha)) for name, f in FACTORS[factors].items()}).drop("v")
 
-    @F.pandas_udf("double")
-    def tail(x: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in x:
-            z = batch.to_numpy(float)
-            yield pd.Series(D.norm_cdf_array(z - critical) + D.norm_cdf_array(-z - critical) if z.size else z)
 
-    v = (1 / F.col("n1") + 1 / F.col("n2") + F.col("effect") * F.col("effect") / (2 * (F.col("n1") + F.col("n2")))) * heterogeneity
-    return grid.withColumn("power", tail(F.col("effect") / F.sqrt(v / F.col("k"))))
+def studies_needed(designs: DataFrame, heterogeneity: str = "fixed", target: float = 0.8, most: int = 1 << 17, factors: str = "rounded", alpha: float = 0.05) -> DataFrame:
+    """``designs`` with k, the least number of studies that reaches the target power, null beyond ``most``: by halving, for power
+    grows with k."""
+    test, rows = _power(FACTORS[factors][heterogeneity], alpha), with_variance(designs).withColumns({"low": F.lit(0.0), "high": F.lit(float(most))})
+    for _ in range(most.bit_length() - 1):
+        rows = rows.withColumn("k", F.floor((F.col("low") + F.col("high")) / 2).cast("double"))
+        reached = F.expr(test) >= target
+        rows = rows.withColumns({"low": F.when(reached, F.col("low")).otherwise(F.col("k")), "high": F.when(reached, F.col("k")).otherwise(F.col("high"))})
+    rows = rows.withColumn("k", F.col("high"))
+    return rows.withColumn("k", F.when(F.expr(test) >= target, F.col("high")).cast("long")).drop("low", "high", "v")

@@ -66,8 +66,8 @@ def es_md(spark: SparkSession, sf_dir: str) -> DataFrame:
     + r(g="g", v_ls="1 / n1 + 1 / n2 + g * g / (2 * n)", v_ls2="j * j * (n / (n1 * n2) + d * d / (2 * n))", v_ub="1 / n1 + 1 / n2 + (1 - (m - 2) / (m * j * j)) * g * g") + " FROM g",
 )
 def es_smd_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = {f"v_{t.lower()}": E.smd(*cols(*C), vtype=t)[1] for t in ("LS", "LS2", "UB")}
-    return rounded(S.arms_continuous(spark, sf_dir).select("row_index", E.smd(*cols(*C))[0].alias("g"), *[v.alias(k) for k, v in own.items()]))
+    own = {f"v_{t.lower()}": E.smd(*cols(*C), vtype=t, j_method="approx")[1] for t in ("LS", "LS2", "UB")}
+    return rounded(S.arms_continuous(spark, sf_dir).select("row_index", E.smd(*cols(*C), j_method="approx")[0].alias("g"), *[v.alias(k) for k, v in own.items()]))
 
 
 @query("es_glass", f"WITH {S.CONTINUOUS}, d AS (SELECT *, (m1 - m2) / nullif(sd2, 0) AS y FROM arms) SELECT row_index, " + r(y="y", v="(n1 + n2) / (n1 * n2) + y * y / (2 * (n2 - 1))") + " FROM d")
@@ -89,7 +89,7 @@ def es_rom(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def es_smcc(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = S.paired(spark, sf_dir).withColumns({"mc": F.col("m1") - F.col("m2"), "sdd": E.sd_diff(*cols("sd1", "sd2", "r"))})
-    y, v = E.smcc(*cols("mc", "sdd", "n"))
+    y, v = E.smcc(*cols("mc", "sdd", "n"), j_method="approx")
     return rounded(d.select("row_index", "mc", (F.col("sdd") * F.col("sdd") / F.col("n")).alias("v_mc"), y.alias("smcc"), v.alias("v_smcc")))
 
 

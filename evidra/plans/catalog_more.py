@@ -40,11 +40,6 @@ def table_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.typed(_text_cells(spark, sf_dir), "row")[1]
 
 
-@query("row_uid")
-def row_uid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.row_uids(S.supplier_regions(spark, sf_dir), "label", "row_index")
-
-
 # Conversions ------------------------------------------------------------------------------------------------------------------
 
 _Q = "q AS (SELECT l_suppkey AS row_index, count(*)::DOUBLE AS n, quantile_cont(l_quantity, 0.25) AS q1, quantile_cont(l_quantity, 0.5) AS med, quantile_cont(l_quantity, 0.75) AS q3, min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem GROUP BY l_suppkey)"
@@ -63,11 +58,6 @@ def mean_from_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_quantiles(spark, sf_dir).select("row_index", *[v.alias(k) for k, v in made.items()]))
 
 
-@query("sd_from_median")
-def sd_from_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(P.sds_from_medians(_quantiles(spark, sf_dir)))
-
-
 @query("se_conversions", f"WITH {S.CONTINUOUS}, c AS (SELECT *, m1 - m2 AS md, sqrt(sd1 * sd1 / n1 + sd2 * sd2 / n2) AS se FROM arms) SELECT row_index, " + r(sd="se * sqrt(n1 + n2)", se_from_ci=f"((md + {E.Z975} * se) - (md - {E.Z975} * se)) / (2 * {E.Z975})", sd_from_t="abs(md / nullif(md / se, 0)) / sqrt(1 / n1 + 1 / n2)", d_from_t="md / se * sqrt(1 / n1 + 1 / n2)") + " FROM c")
 def se_conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = S.arms_continuous(spark, sf_dir).withColumns({"md": F.col("m1") - F.col("m2"), "se": F.sqrt(F.expr("sd1 * sd1 / n1 + sd2 * sd2 / n2"))})
@@ -211,9 +201,3 @@ def duplicates_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def metareg_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = binary_studies(spark, sf_dir).withColumn("size", F.log(F.col("n1") + F.col("n2")))
     return rounded(regression.meta_regression(own, ["moderator", "size"]))
-
-
-@query("power_grid")
-def power_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = spark.range(2, 41).select(F.col("id").alias("k"), F.explode(F.array(F.lit(0.2), F.lit(0.5))).alias("effect"), F.lit(20.0).alias("n1"), F.lit(20.0).alias("n2"))
-    return rounded(regression.power(grid))

@@ -113,35 +113,6 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").alias("rec_id"), F.split("text", "\n")[0].alias("title"), F.split("text", " ")[0].alias("author"), F.col("source").alias("journal"), (1990 + F.col("doc_id") % 30).cast("int").alias("year"), "text")
 
 
-@query(
-    "l1_components",
-    f"WITH RECURSIVE {_REC}, ids AS (SELECT rec_id, 'md5' AS kind, md5(text) AS value FROM rec WHERE text IS NOT NULL UNION SELECT rec_id, 'head', substr(text, 1, 60) FROM rec WHERE text IS NOT NULL), h AS (SELECT kind, value, min(rec_id) AS head FROM ids GROUP BY ALL), e AS (SELECT DISTINCT ids.rec_id AS a, head AS b FROM ids JOIN h USING (kind, value) WHERE ids.rec_id <> head), ee AS (SELECT a, b FROM e UNION SELECT b, a FROM e), "
-    "w AS (SELECT rec_id AS node, rec_id AS root FROM rec UNION SELECT ee.b, w.root FROM w JOIN ee ON w.node = ee.a) SELECT node AS rec_id, min(root) AS canonical FROM w GROUP BY node",
-)
-def l1_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rec = records(spark, sf_dir)
-    ids = rec.select("rec_id", F.lit("md5").alias("kind"), F.md5("text").alias("value")).union(rec.select("rec_id", F.lit("head"), F.substring("text", 1, 60)))
-    return linkage.merged_records(rec, ids)
-
-
-_TOK = f"tok0 AS (SELECT rec_id, unnest(list_distinct(string_split({T.folded_sql('title')}, ' '))) AS token FROM rec), tok1 AS (SELECT * FROM tok0 WHERE length(token) >= 3), dfs AS (SELECT token, count(*) AS df FROM tok1 GROUP BY token), tok AS (SELECT tok1.* FROM tok1 JOIN dfs USING (token) WHERE df <= greatest(50, (SELECT count(*) FROM rec) / 10.0)), blk AS (SELECT x.rec_id AS a, y.rec_id AS b, count(*) AS shared FROM tok x JOIN tok y ON x.token = y.token AND x.rec_id < y.rec_id GROUP BY ALL HAVING count(*) >= 2)"
-
-
-@query("l2_block", f"WITH {_REC}, {_TOK} SELECT a, b, shared FROM blk")
-def l2_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linkage.blocked_pairs(records(spark, sf_dir))
-
-
-@query(
-    "l2_classify",
-    f"WITH {_REC}, {_TOK}, rt AS (SELECT rec_id, list_distinct(string_split({T.folded_sql('title')}, ' ')) AS t, {T.folded_sql('author')} AS au, year FROM rec), s AS (SELECT a, b, len(list_intersect(x.t, y.t))::DOUBLE / len(list_distinct(list_concat(x.t, y.t))) AS similarity, coalesce(x.au = y.au, false) AS au, coalesce(abs(x.year - y.year) <= 1, false) AS yr FROM blk JOIN rt x ON x.rec_id = a JOIN rt y ON y.rec_id = b) "
-    "SELECT a, b, round(similarity, 6) + 0.0 AS similarity, CASE WHEN similarity >= 0.9 AND au AND yr THEN 'probable' ELSE 'possible' END AS class FROM s WHERE similarity >= 0.8 AND (au OR yr)",
-)
-def l2_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rec = records(spark, sf_dir)
-    return rounded(linkage.classified(rec, linkage.blocked_pairs(rec)))
-
-
 _INC = "inc AS (SELECT DISTINCT l_partkey AS study, s_nationkey AS review FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)"
 
 

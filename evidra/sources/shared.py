@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one of this machine only where the session names none."""
+    """The folder named in spark.checkpoint.dir, or the one set on the context. Only a local session may do without: it gets a
+    temporary folder of its machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     set_already = sc._jsc.sc().getCheckpointDir()
     if not set_already.isDefined():
+        if not root and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(root or tempfile.mkdtemp(prefix="evidra-"))
         set_already = sc._jsc.sc().getCheckpointDir()
     return (root or set_already.get()).rstrip("/")
@@ -29,7 +32,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes the files of tables that ``stored`` gave and that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,10 +1,12 @@
 import pytest
 
-from evidra.plans import catalog, catalog_more, catalog_records, catalog_rules  # noqa: F401
+from evidra.plans import catalog, load_all
 
 from .compare import assert_same
 from .conftest import SF
 
+load_all()
+
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
 def test_query_against_sql(spark, name):
