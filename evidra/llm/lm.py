@@ -14,6 +14,7 @@ score. In scoring the state is carried from window to window through each whole
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,11 +32,11 @@ FINE, FINE_WORDS, CLASS_WORDS, CLASSES_A_GROUP = 1024, 64, 256, 4
 TOP = 1 << 17  # words whose counts are broadcast; those of all others are joined
 FIRST_DOCS, FIRST_TOKENS, FIRST_EPOCHS, FIRST_RATE, FIRST_LANES = 1500, 600_000, 2, 0.01, 64
 RATE, TASK_TOKENS = 0.004, 3_000_000
-STEPS, LANES, SCORE_LANES, WINDOWS = 32, 512, 512, 4
+STEPS, LANES, SCORE_LANES, WINDOWS = 64, 512, 512, 2
 PIECE = 512  # states whose choices are weighed at once, so that they stay in the processor's cache
 FOLDS, HELD_OUT = 7, 2
 MODELS_A_GROUP, SLICES = 16, 64  # a model has about 7 MB, a slice of it 0.1 MB
-_LN10 = float(np.log(10.0))
+_LN10, _SLOT = float(np.log(10.0)), np.uint64((1 << 20) - 1)
 
 
 @dataclass
@@ -50,6 +51,8 @@ class Counts:
     distinct: int  # with the end
     ends: int
     head_tokens: int  # of head words
+    slots: np.ndarray | None = None
+    crowded: np.ndarray | None = None
 
     @property
     def end(self) -> int:
@@ -76,8 +79,17 @@ class Counts:
         """Place of each hash among the top words, and whether it is there."""
         if not self.hashes.size:
             return np.zeros(hashes.size, np.int64), np.zeros(hashes.size, bool)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), self.hashes.size - 1)
-        return at, self.hashes[at] == hashes
+        if self.slots is None:  # the first word of each slot, and by its side whether the slot has others
+            self.slots, own = np.zeros(1 << 20, np.int32), (self.hashes & _SLOT).astype(np.int64)
+            self.slots[own[::-1]] = np.arange(own.size, dtype=np.int32)[::-1]
+            self.crowded = np.bincount(own, minlength=1 << 20) > 1
+        slot = (hashes & _SLOT).astype(np.int64)
+        at = self.slots[slot].astype(np.int64)
+        there = self.hashes[at] == hashes
+        again = np.flatnonzero(~there & self.crowded[slot])
+        at[again] = np.minimum(np.searchsorted(self.hashes, hashes[again]), self.hashes.size - 1)
+        there[again] = self.hashes[at[again]] == hashes[again]
+        return at, there
 
 
 def _documents(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -202,31 +214,33 @@ class Gru:
         return all(not p[w].size or float((np.abs(p[w]).sum(axis=1) + np.abs(p[w + "b"])).max()) < 40 for w in ("r", "g", "w"))
 
     def states(self, inputs: np.ndarray, state: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """Hidden states [T, B, H] after each of ``inputs`` [T, B], from ``state`` [B, H]; an end token clears the state."""
-        h, u, out = self.hidden, self.p["u"], np.empty((*inputs.shape, self.hidden), np.float32)
+        """Hidden states [T, B, H] after each of ``inputs`` [T, B], from ``state`` [B, H]; an end token clears the state. ``keep`` gets
+        what backpropagation needs of each step: the state before, both gates, the candidate and its recurrent part."""
+        h, u, n = self.hidden, self.p["u"], inputs.shape[0]
+        out = np.empty((*inputs.shape, h), self.p["u"].dtype)
         given = self.p["e"][inputs.ravel()] @ self.p["i"]
         given += self.p["ib"]
         given = given.reshape(*inputs.shape, 3 * h)
         clear = inputs == self.n_head
         cleared = clear.any(axis=1)
-        for t in range(inputs.shape[0]):
-            if cleared[t]:
-                state = np.where(clear[t][:, None], np.float32(0), state)
-            g = state @ u
-            gates = given[t, :, : 2 * h] + g[:, : 2 * h]
-            np.negative(gates, out=gates)
-            np.minimum(gates, np.float32(80), out=gates)
-            np.exp(gates, out=gates)
-            gates += 1
-            np.reciprocal(gates, out=gates)
-            z, r = gates[:, :h], gates[:, h:]
-            new = r * g[:, 2 * h :]
-            new += given[t, :, 2 * h :]
-            np.tanh(new, out=new)
-            if keep is not None:
-                keep.append((state, z, r, new, g[:, 2 * h :]))
-            state = new + z * (state - new)
-            out[t] = state
+        with np.errstate(over="ignore"):  # an infinite exponential is a closed gate
+            for t in range(n):
+                if cleared[t]:
+                    state = np.where(clear[t][:, None], out.dtype.type(0), state)
+                g = state @ u
+                gates = g[:, : 2 * h] + given[t, :, : 2 * h]
+                np.negative(gates, out=gates)
+                np.exp(gates, out=gates)
+                gates += 1
+                np.reciprocal(gates, out=gates)
+                new = gates[:, h:] * g[:, 2 * h :]
+                new += given[t, :, 2 * h :]
+                np.tanh(new, out=new)
+                if keep is not None:
+                    keep.append((state, gates[:, :h], gates[:, h:], new, g[:, 2 * h :]))
+                state = np.subtract(state, new, out=out[t])
+                state *= gates[:, :h]
+                state += new
         return out
 
     def log_chances(self, states: np.ndarray, targets: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
@@ -287,22 +301,33 @@ class Gru:
             logs, back = self.log_chances(hs.reshape(-1, h), targets.ravel(), grads)
         else:
             logs, found = self.log_chances(hs.reshape(-1, h)[there], targets.ravel()[there], grads)
-            back = np.zeros((inputs.size, h), np.float32)
+            back = np.zeros((inputs.size, h), hs.dtype)
             back[there] = found
         back = back.reshape(hs.shape)
-        du, later = np.zeros_like(self.p["u"]), np.zeros_like(state)
-        given = np.empty((*inputs.shape, 3 * h), np.float32)
+        later, ends, du, ut = np.zeros_like(state), inputs == self.n_head, np.zeros_like(self.p["u"]), np.ascontiguousarray(self.p["u"].T)
+        given = np.empty((*inputs.shape, 3 * h), hs.dtype)
         for t in range(inputs.shape[0] - 1, -1, -1):
-            before, z, r, new, gn = kept[t]
-            dh = back[t] + later
+            before, z, r, new, part = kept.pop()
+            own, dh = given[t], later
+            dh += back[t]
             kz = dh * z
-            dn = (dh - kz) * (1 - new * new)
-            dg = np.concatenate([kz * (1 - z) * (before - new), dn * gn * r * (1 - r), dn * r], axis=1)
-            given[t, :, : 2 * h], given[t, :, 2 * h :] = dg[:, : 2 * h], dn
+            dh -= kz
+            slope = new * new
+            np.subtract(1, slope, out=slope)
+            dn = np.multiply(dh, slope, out=own[:, 2 * h :])
+            np.subtract(before, new, out=slope)
+            slope *= 1 - z
+            np.multiply(kz, slope, out=own[:, :h])
+            np.subtract(1, r, out=slope)
+            slope *= r
+            slope *= part
+            np.multiply(dn, slope, out=own[:, h : 2 * h])
+            dg = own.copy()
+            dg[:, 2 * h :] *= r
             du += before.T @ dg
-            later = dg @ self.p["u"].T
+            later = dg @ ut
             later += kz
-            later[inputs[t] == self.n_head] = 0
+            later[ends[t]] = 0
         flat, given = inputs.ravel(), given.reshape(-1, 3 * h)
         grads["u"], grads["i"], grads["ib"] = du, self.p["e"][flat].T @ given, given.sum(axis=0)
         order = np.argsort(flat, kind="stable")
@@ -359,36 +384,40 @@ class Gru:
         return total / n
 
     def score(self, documents: list[np.ndarray], lanes: int = SCORE_LANES, steps: int = STEPS) -> np.ndarray:
-        """Natural log chance of each document's symbols (its end among them), the state carried through all its windows."""
-        out, held, size = np.zeros(len(documents)), [], 0
+        """Natural log chance of each document's symbols (its end among them), the state carried through all its windows. Documents
+        follow each other in lanes of about equal length; the end of one clears the state for the next."""
+        out = np.zeros(len(documents))
+        if not documents:
+            return out
         self.safe = self._bounded()
         lengths = np.array([d.size for d in documents], np.int64)
-        flat, first = np.concatenate([*documents, [0]]), np.concatenate(([0], np.cumsum(lengths)))[:-1]
-        order = np.argsort(-lengths, kind="stable")
-
-        def settle() -> None:
-            states, targets, of = (np.concatenate(x) for x in zip(*held, strict=True))
-            out[:] += np.bincount(of, weights=self.log_chances(states, targets)[0], minlength=out.size)
-
-        for k in range(0, order.size, lanes):
-            own = order[k : k + lanes]
-            state = np.zeros((own.size, self.hidden), np.float32)
-            last = np.full(own.size, self.n_head)
-            longest = int(lengths[own[0]])
-            for t in range(0, longest, steps):
-                active = own[: int(np.searchsorted(-lengths[own], -t, side="left"))]
-                at = t + np.arange(min(steps, longest - t))
-                there = at[:, None] < lengths[active]
-                targets = np.where(there, flat[np.where(there, first[active] + at[:, None], -1)], self.n_head)
-                hs = self.states(np.concatenate([last[None, : active.size], targets[:-1]]), state[: active.size])
-                held.append((hs[there], targets[there], np.broadcast_to(active, there.shape)[there]))
-                size += held[-1][1].size
-                state, last = hs[-1], targets[-1]
-                if size >= LANES * STEPS:
-                    settle()
-                    held, size = [], 0
-        if held:
-            settle()
+        loads: list[tuple[int, int]] = [(0, lane) for lane in range(min(lanes, len(documents)))]
+        dealt: list[list[int]] = [[] for _ in loads]
+        for k in np.argsort(-lengths, kind="stable").tolist():
+            load, lane = heapq.heappop(loads)
+            dealt[lane].append(k)
+            heapq.heappush(loads, (load + int(lengths[k]), lane))
+        dealt.sort(key=lambda own: -int(lengths[own].sum()))
+        symbols = [np.concatenate([documents[k] for k in own]) for own in dealt]
+        owners = [np.repeat(own, lengths[own]) for own in dealt]
+        sizes = np.array([s.size for s in symbols])
+        state, last = np.zeros((sizes.size, self.hidden), np.float32), np.full(sizes.size, self.n_head)
+        for t in range(0, int(sizes[0]), steps):
+            active = int(np.searchsorted(-sizes, -t, side="left"))
+            width = min(steps, int(sizes[0]) - t)
+            targets, owner = np.full((active, width), -1), np.zeros((active, width), np.int64)
+            for lane in range(active):
+                piece = symbols[lane][t : t + width]
+                targets[lane, : piece.size], owner[lane, : piece.size] = piece, owners[lane][t : t + width]
+            targets, owner = targets.T, owner.T.ravel()
+            there = targets.ravel() >= 0
+            given = np.where(targets < 0, self.n_head, targets)
+            hs = self.states(np.concatenate([last[None, :active], given[:-1]]), state[:active])
+            state, last = hs[-1], given[-1]
+            flat, wanted = hs.reshape(-1, self.hidden), given.ravel()
+            if not there.all():
+                flat, wanted, owner = flat[there], wanted[there], owner[there]
+            out += np.bincount(owner, weights=self.log_chances(flat, wanted)[0], minlength=out.size)
         return out
 
 
@@ -464,17 +493,17 @@ def fit(training: DataFrame, counts: Counts, first_docs: int = FIRST_DOCS, task_
     first = sc.broadcast(np.frombuffer(made[0][0], np.float32))
     tasks = max(1, round(counts.tokens / task_tokens))
 
-    def go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+    def go_on(group: pa.Table) -> pa.Table:
+        known, part = shared.value, group.column("part")[0].as_py()
         model = Gru(known.n_head).unpack(first.value)
-        train_all(model, (stream_of(hashes, bounds, known) for batch in batches for _, _, hashes, bounds in _documents(batch.column(0))), RATE)
-        if model.learned:
-            task, parts = TaskContext.get().partitionId(), np.array_split(model.packed(), SLICES)
-            for k, part in enumerate(parts):
-                yield pa.RecordBatch.from_arrays([pa.array([task], pa.int64()), pa.array([k], pa.int32()), pa.array([model.learned], pa.int64()), pa.array([part.tobytes()], pa.binary())], ["task", "slice", "tokens", "params"])
-
-    dealt = ranked.repartition(tasks, "rank").sortWithinPartitions("rank", "text").select("text")
-    models = stored(dealt.mapInArrow(go_on, "task long, slice int, tokens long, params binary"), "models")
+        texts = group.sort_by([("rank", "ascending"), ("text", "ascending")]).column("text")
+        train_all(model, (stream_of(hashes, bounds, known) for c in texts.chunks for _, _, hashes, bounds in _documents(c)), RATE)
+        slices = [x.tobytes() for x in np.array_split(model.packed(), SLICES)]
+        return pa.table({"task": [part] * SLICES, "slice": pa.array(range(SLICES), pa.int32()), "tokens": [model.learned] * SLICES, "params": slices})
+
+    # About ``task_tokens`` a group, some tens of megabytes, whatever the input.
+    dealt = ranked.withColumn("part", F.pmod(F.xxhash64("rank", F.lit(7)), F.lit(tasks)))
+    models = stored(dealt.groupBy("part").applyInArrow(go_on, "task long, slice int, tokens long, params binary"), "models")
     found = _average(models, tasks)
     return first.value if found is None else found
 
