@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidra.functions.effects import Z975
+from evidra.functions.special import norm_cdf, norm_ppf
 
 from .pooling import KEY, pooled, usable, weighted
 
@@ -50,7 +51,7 @@ def peters(arms: DataFrame, studies: DataFrame) -> DataFrame:
 def begg(studies: DataFrame) -> DataFrame:
     """(analysis_id, k, s, tau_b): Kendall's rank correlation of standardised deviates with variances.
 
-    Pairs are formed within an analysis only, whose studies number tens to hundreds.
+    Pairs are formed within an analysis, whose size must be bounded.
     """
     m = weighted(studies).select(KEY, "mu", "sw")
     rows = usable(studies).join(m, KEY).withColumn("v_star", F.col("vi") - 1.0 / F.col("sw")).where("v_star > 0")
@@ -62,6 +63,53 @@ def begg(studies: DataFrame) -> DataFrame:
     return rows.groupBy(KEY).agg(F.count(F.lit(1)).alias("k")).join(sums, KEY).select(KEY, "k", "s", (F.col("s") / F.nullif(F.sqrt(F.col("nz") * F.col("nv")), F.lit(0.0))).alias("tau_b"))
 
 
+def begg_normal(studies: DataFrame, continuity: bool = False) -> DataFrame:
+    """(analysis_id, k, s, tau_b, sd_s, z, p): ``begg`` with the variance of s corrected for ties and the normal test; with
+    ``continuity``, s is moved by one towards 0."""
+    m = weighted(studies).select(KEY, "mu", "sw")
+    rows = usable(studies).join(m, KEY).withColumn("v_star", F.col("vi") - 1.0 / F.col("sw")).where("v_star > 0").withColumn("z", (F.col("yi") - F.col("mu")) / F.sqrt("v_star"))
+
+    def ties(column: str, name: str) -> DataFrame:
+        c = F.col("c").cast("double")
+        one = rows.groupBy(KEY, column).agg(F.count(F.lit(1)).alias("c"))
+        return one.groupBy(KEY).agg(F.sum(c * (c - 1) * (2 * c + 5)).alias(f"{name}3"), F.sum(c * (c - 1)).alias(f"{name}1"), F.sum(c * (c - 1) * (c - 2)).alias(f"{name}2"))
+
+    both = begg(studies).join(ties("z", "a"), KEY).join(ties("vi", "b"), KEY)
+    k = F.col("k").cast("double")
+    v = (k * (k - 1) * (2 * k + 5) - F.col("a3") - F.col("b3")) / 18 + F.col("a1") * F.col("b1") / (2 * k * (k - 1)) + F.when(k > 2, F.col("a2") * F.col("b2") / (9 * k * (k - 1) * F.nullif(k - 2, F.lit(0.0)))).otherwise(0.0)
+    sd = F.sqrt(F.when(v > 0, v))
+    s = F.signum("s") * F.greatest(F.lit(0.0), F.abs("s") - 1) if continuity else F.col("s")
+    made = both.withColumns({"sd_s": sd, "z": s / sd})
+    return made.select(KEY, "k", "s", "tau_b", "sd_s", "z", F.least(F.lit(1.0), 2 * F.expr(norm_cdf("(-abs(z))"))).alias("p"))
+
+
+def line_test(fit: DataFrame, coefficient: str) -> DataFrame:
+    """(analysis_id, k, estimate, se, t, df, p) of the intercept or slope of ``regression``: t(k - 2)."""
+    from .profiles import t_p
+
+    m = fit.select(KEY, "k", F.col(coefficient).alias("estimate"), F.col(f"se_{coefficient}").alias("se"))
+    m = m.withColumns({"t": F.col("estimate") / F.nullif(F.col("se"), F.lit(0.0)), "df": F.col("k") - 2.0})
+    return m.withColumn("p", t_p("t", "df"))
+
+
+def lfk(studies: DataFrame) -> DataFrame:
+    """(analysis_id, k, lfk, asymmetry): areas on both sides of the Doi plot's apex; to 1 none, to 2 minor, else major. Effects in
+    order have N = 100 max v / v each, their normal scores are those of the running mid-ranks less 0.5, and the apex is the
+    score nearest 0. Fewer than three studies, or equal effects, have none."""
+    whole = Window.partitionBy(KEY)
+    order = whole.orderBy("yi", "row_index")
+    rows = usable(studies).withColumns({"k": F.count(F.lit(1)).over(whole), "n": 100.0 * F.max("vi").over(whole) / F.col("vi")})
+    rows = rows.withColumns({"mid": F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n") / 2, "all": F.sum("n").over(whole)}).withColumn("p", (F.col("mid") - 0.5) / F.col("all"))
+    rows = rows.withColumn("z", F.expr(norm_ppf("p")))
+    m = rows.groupBy(KEY).agg(F.first("k").alias("k"), F.sum("z").alias("sz"), F.sum("yi").alias("sy"), (F.max("z") - F.min("z")).alias("rz"), (F.max("yi") - F.min("yi")).alias("ry"), F.min(F.struct(F.abs("z").alias("a"), "yi", "row_index")).alias("apex"))
+    k = F.col("k").cast("double")
+    slope = F.col("rz") / F.nullif(F.col("ry"), F.lit(0.0))
+    value = F.when(k >= 3, 5 / (2 * k) * (F.col("sz") + slope * (F.col("sy") - k * F.col("apex.yi"))))
+    m = m.withColumn("lfk", value)
+    kind = F.when(F.abs("lfk") <= 1, "none").when(F.abs("lfk") <= 2, "minor").when(F.col("lfk").isNotNull(), "major")
+    return m.select(KEY, "k", "lfk", kind.alias("asymmetry"))
+
+
 def failsafe(studies: DataFrame) -> DataFrame:
     """Rosenthal's number of null studies that would undo significance at 0.05 (one-sided)."""
     m = usable(studies).groupBy(KEY).agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("yi") / F.sqrt("vi")).alias("sum_z"))
@@ -104,6 +152,32 @@ def cumulative(studies: DataFrame, order: str) -> DataFrame:
     return made.select(KEY, F.col("at").alias("row_index"), "k", "tau2", (F.col("swy") / F.col("sw")).alias("estimate"), (1.0 / F.sqrt("sw")).alias("se"))
 
 
+def leave_one_out_fixed(studies: DataFrame) -> DataFrame:
+    """(analysis_id, row_index, estimate, se): fixed-effect fits without each study, from the sums of all; analyses of three or more."""
+    w = 1.0 / F.col("vi")
+    rows = usable(studies)
+    sums = rows.groupBy(KEY).agg(F.count(F.lit(1)).alias("k"), F.sum(w).alias("sw"), F.sum(w * F.col("yi")).alias("swy")).where("k >= 3")
+    left = rows.join(sums, KEY)
+    return left.select(KEY, "row_index", ((F.col("swy") - w * F.col("yi")) / (F.col("sw") - w)).alias("estimate"), (1.0 / F.sqrt(F.col("sw") - w)).alias("se"))
+
+
+def cumulative_fixed(studies: DataFrame, order: str) -> DataFrame:
+    """(analysis_id, row_index, k, estimate, se): fixed-effect fits of growing prefixes, in one pass over each analysis."""
+    growing = Window.partitionBy(KEY).orderBy(F.asc_nulls_last(order), "row_index").rowsBetween(Window.unboundedPreceding, 0)
+    w = 1.0 / F.col("vi")
+    rows = usable(studies).withColumns({"k": F.count(F.lit(1)).over(growing), "sw": F.sum(w).over(growing), "swy": F.sum(w * F.col("yi")).over(growing)})
+    return rows.select(KEY, "row_index", "k", (F.col("swy") / F.col("sw")).alias("estimate"), (1.0 / F.sqrt("sw")).alias("se"))
+
+
+def child_run(base: DataFrame, child: DataFrame) -> DataFrame:
+    """(analysis_id, k_base, k_child, other_side, other_crossing): whether a run on some of the rows has its estimate on the other side
+    of 0, or its interval crosses 0 where the base run's does not, or the reverse."""
+    crosses = lambda s: (F.col(f"ci_low_{s}") <= 0) & (F.col(f"ci_high_{s}") >= 0)
+    own = [df.select(KEY, *[F.col(c).alias(f"{c}_{s}") for c in ("k", "estimate", "ci_low", "ci_high")]) for df, s in ((base, "base"), (child, "child"))]
+    both = own[0].join(own[1], KEY)
+    return both.select(KEY, "k_base", "k_child", (F.signum("estimate_base") != F.signum("estimate_child")).alias("other_side"), (crosses("base") != crosses("child")).alias("other_crossing"))
+
+
 def outliers(studies: DataFrame, method: str = "DL") -> DataFrame:
     """(analysis_id, row_index, side): studies whose own interval lies wholly above or below the pooled one."""
     p = pooled(studies, method).select(KEY, "ci_low", "ci_high")

@@ -1,7 +1,7 @@
-"""Estimates that need iteration within an analysis, in one grouped map: PM, REML and ML variances, Q-profile limits,
-t-based intervals, trim and fill, the LFK index and influence.
+"""Estimates that refit an analysis many times, in one grouped map: trim and fill, and influence.
 
-An analysis (tens to some thousands of studies) is a group; the number of analyses is not bounded.
+An analysis is a group in one task, so its size must be bounded (some thousands of studies); the number of analyses is
+not. Single fits, whatever the size, are in ``evidra.operators.profiles``.
 """
 
 from __future__ import annotations
@@ -82,7 +82,7 @@ def tau2_dl(y, v) -> float:
     return max(0.0, (q_at(y, v, 0.0) - (y.size - 1)) / c) if y.size > 1 and c > 0 else 0.0
 
 
-METHODS = {"DL": tau2_dl, "PM": tau2_pm, "REML": lambda y, v: tau2_likelihood(y, v), "ML": lambda y, v: tau2_likelihood(y, v, False)}
+METHODS = {"FE": lambda y, v: 0.0, "DL": tau2_dl, "PM": tau2_pm, "REML": lambda y, v: tau2_likelihood(y, v), "ML": lambda y, v: tau2_likelihood(y, v, False)}
 
 
 def _grouped(studies: DataFrame, fn, schema: str, columns: tuple[str, ...] = ("row_index", "yi", "vi")) -> DataFrame:
@@ -104,89 +104,86 @@ def _grouped(studies: DataFrame, fn, schema: str, columns: tuple[str, ...] = ("r
     return rows.groupBy(KEY).applyInArrow(run, full)
 
 
-def random_effects(studies: DataFrame, method: str = "REML", level: float = 0.95) -> DataFrame:
-    """(analysis_id, k, tau2, tau2_low, tau2_high, estimate, se, se_hksj, ci_low, ci_high, pi_low, pi_high, p_value, q_p).
-
-    Limits of tau2 are those of the Q profile; the interval of the estimate is Hartung-Knapp's with t(k - 1), the prediction
-    interval has t(k - 2). What too few studies leave undefined is null.
-    """
-
-    def fit(_, y, v):
-        k, tau2 = y.size, METHODS[method](y, v)
-        mu, w = _mean(y, v, tau2)
-        se = math.sqrt(1 / w.sum())
-        none = None
-        if k < 2:
-            return [(k, tau2, none, none, mu, se, none, none, none, none, none, float(2 * D.norm_cdf(-abs(mu / se))), none)]
-        tail = (1 - level) / 2
-        low, high = (_root_of_q(y, v, float(D.chi2_ppf(p, k - 1))) for p in (1 - tail, tail))
-        hk = se * math.sqrt(q_at(y, v, tau2) / (k - 1))
-        t = float(D.t_ppf(1 - tail, k - 1))
-        spread = float(D.t_ppf(1 - tail, k - 2)) * math.sqrt(tau2 + se * se) if k > 2 else none
-        return [(k, tau2, low, high, mu, se, hk, mu - t * hk, mu + t * hk, mu - spread if spread else none, mu + spread if spread else none, float(2 * D.norm_cdf(-abs(mu / se))), float(1 - D.chi2_cdf(q_at(y, v, 0.0), k - 1)))]
-
-    return _grouped(studies, fit, "k long, tau2 double, tau2_low double, tau2_high double, estimate double, se double, se_hksj double, ci_low double, ci_high double, pi_low double, pi_high double, p_value double, q_p double")
+def side_slope(y, v, method: str) -> float:
+    """The slope of y on the root of v in a meta-regression whose residual variance ``method`` estimates (0 for FE, else moments for
+    DL, restricted likelihood for others)."""
+    x = np.column_stack([np.ones(y.size), np.sqrt(v)])
+
+    def fit(tau2):
+        w = 1 / (v + tau2)
+        xtwx = x.T @ (x * w[:, None])
+        return np.linalg.solve(xtwx, x.T @ (w * y)), xtwx, w
+
+    if method == "FE":
+        return float(fit(0.0)[0][1])
+    if method == "DL":
+        b, xtwx, w = fit(0.0)
+        trace = w.sum() - np.trace(np.linalg.solve(xtwx, x.T @ (x * (w * w)[:, None])))
+        return float(fit(max(0.0, (float((w * (y - x @ b) ** 2).sum()) - (y.size - 2)) / trace) if trace > 0 else 0.0)[0][1])
+
+    def likelihood(tau2):
+        b, xtwx, w = fit(tau2)
+        return -0.5 * (np.log(v + tau2).sum() + np.linalg.slogdet(xtwx)[1] + (w * (y - x @ b) ** 2).sum())
+
+    low, high = 0.0, 2 * float(((y - y.mean()) ** 2).sum()) + 2 * float(v.max())
+    grid = np.concatenate(([0.0], high * np.logspace(-10, 0, 200)))
+    for _ in range(8):
+        k = int(np.argmax([likelihood(t) for t in grid]))
+        low, high = grid[max(0, k - 1)], grid[min(grid.size - 1, k + 1)]
+        grid = np.linspace(low, high, 21)
+    return float(fit((low + high) / 2)[0][1])
+
+
+def missing_studies(z, v, method: str, estimator: str) -> tuple[int, float]:
+    """(k0, centre) of effects sorted so that studies are missing below: the number to trim from the top, by L0 or R0."""
+    k, k0, before, tol = z.size, 0, -1, 1e-12 * float(np.abs(z).max())
+    centre = 0.0
+    for _turn in range(100):
+        if k0 == before:
+            break
+        before = k0
+        kept = slice(0, max(k - k0, 1))
+        centre, _w = _mean(z[kept], v[kept], METHODS[method](z[kept], v[kept]))
+        gaps = z - centre
+        ranks = np.empty(k)
+        ranks[np.argsort(np.abs(gaps), kind="stable")] = np.arange(1, k + 1)
+        above = gaps > tol
+        if estimator == "R0":
+            top = np.flatnonzero(~above[np.argsort(-ranks)])
+            found = (int(top[0]) if top.size else k) - 1
+        else:
+            found = (4 * ranks[above].sum() - k * (k + 1)) / (2 * k - 1)
+        k0 = min(k - 1, max(0, round(float(found))))
+    return k0, centre
 
 
-def trim_and_fill(studies: DataFrame, method: str = "DL") -> DataFrame:
-    """(analysis_id, k, k0, side, estimate, filled_estimate): the L0 number of missing studies, mirrored about the trimmed mean."""
+def trim_and_fill(studies: DataFrame, method: str = "REML", estimator: str = "L0", trim_method: str | None = None) -> DataFrame:
+    """(analysis_id, k, k0, side, estimate, filled_estimate, filled_se): the missing studies, mirrored about the trimmed mean, and the
+    model refitted with them. The side is right where the slope of effects on standard errors is negative, with the residual
+    variance of the trimming model (``trim_method``, the model's own if null). Fewer than three studies, equal effects or equal
+    variances have no side."""
+    own = trim_method or method
 
     def fit(_, y, v):
         k = y.size
-        mu, _w = _mean(y, v, METHODS[method](y, v))
-        if k < 3 or np.ptp(y) == 0:
-            return [(k, 0, None, mu, mu)]
-        x = np.sqrt(v)
-        w = 1 / v
-        slope = (w * (x - (w * x).sum() / w.sum()) * y).sum()
-        sign = -1.0 if slope > 0 else 1.0  # missing on the left: mirror, so that they are missing on the right
-        z = sign * y
-        order = np.argsort(z, kind="stable")
-        z, u = z[order], v[order]
-        k0 = 0
-        for _turn in range(100):
-            kept = slice(k0, None) if k0 < k - 1 else slice(k - 2, None)
-            centre, _w = _mean(z[kept], u[kept], METHODS[method](z[kept], u[kept]))
-            gaps = z - centre
-            ranks = np.empty(k)
-            ranks[np.argsort(np.abs(gaps), kind="stable")] = np.arange(1, k + 1)
-            t = ranks[gaps < 0].sum()
-            new = int(max(0, round((4 * t - k * (k + 1)) / (2 * k - 1))))
-            new = min(new, k - 2)
-            if new == k0:
-                break
-            k0 = new
-        full_y = np.concatenate([z, 2 * centre - z[:k0]])
-        full_v = np.concatenate([u, u[:k0]])
-        filled, _w = _mean(full_y, full_v, METHODS[method](full_y, full_v))
-        return [(k, k0, "left" if sign < 0 else "right", mu, sign * filled)]
-
-    return _grouped(studies, fit, "k long, k0 long, side string, estimate double, filled_estimate double")
-
-
-def lfk_index(studies: DataFrame) -> DataFrame:
-    """(analysis_id, k, lfk, asymmetry): areas on both sides of the Doi plot's apex; below 1 none, up to 2 minor, else major."""
-
-    def fit(_, y, v):
-        k = y.size
-        if k < 3:
-            return [(k, None, None)]
-        order = np.argsort(y, kind="stable")
-        y, v = y[order], v[order]
-        n = 100 * v.max() / v
-        mid = np.cumsum(n) - n / 2 + 0.5
-        z = D.norm_ppf_array(np.clip((mid - 0.5) / n.sum(), 1e-12, 1 - 1e-12))
-        apex = int(np.argmin(np.abs(z)))
-        span = float(np.ptp(y)) or 1.0
-        out = float(5 / (2 * k) * (z + 5 / span * (y - y[apex])).sum())
-        return [(k, out, "none" if abs(out) <= 1 else "minor" if abs(out) <= 2 else "major")]
+        mu, w = _mean(y, v, METHODS[method](y, v))
+        if k < 3 or np.ptp(y) <= 1e-12 * float(np.abs(y).max()) or np.ptp(v) <= 1e-12 * float(v.max()):
+            return [(k, None, None, mu, None, None)]
+        side = "right" if side_slope(y, v, own) < 0 else "left"
+        sign = -1.0 if side == "right" else 1.0
+        order = np.argsort(sign * y, kind="stable")
+        z, u = sign * y[order], v[order]
+        k0, centre = missing_studies(z, u, own, estimator)
+        full_y, full_v = np.concatenate([y, sign * (2 * centre - z[k - k0 :])]), np.concatenate([v, u[k - k0 :]])
+        filled, w = _mean(full_y, full_v, METHODS[method](full_y, full_v))
+        return [(k, k0, side, mu, filled, math.sqrt(1 / w.sum()))]
 
-    return _grouped(studies, fit, "k long, lfk double, asymmetry string")
+    return _grouped(studies, fit, "k long, k0 long, side string, estimate double, filled_estimate double, filled_se double")
 
 
 def influence(studies: DataFrame, method: str = "REML") -> DataFrame:
-    """(analysis_id, row_index, rstudent, dffits, cook, cov_ratio, tau2_del, q_del, hat, flagged) of each study, from refits
-    without it; analyses of three studies or more."""
+    """(analysis_id, row_index, rstudent, dffits, cook, cov_ratio, tau2_del, q_del, hat, dfbetas, flagged) of each study, from
+    refits without it; analyses of three studies or more."""
 
     def fit(rows, y, v):
         k = y.size
@@ -205,8 +202,8 @@ def influence(studies: DataFrame, method: str = "REML") -> DataFrame:
             shift = mu - mu_del
             dffits = shift / math.sqrt(hat * (v[i] + t_del))
             cook = shift * shift * w.sum()
-            flagged = abs(dffits) > 3 * math.sqrt(1 / (k - 1)) or cook > 0.4549364231195724 or hat > 3 / k
-            out.append((int(rows[i]), student, dffits, cook, var_del * w.sum(), t_del, q_at(y[keep], v[keep], 0.0), hat, bool(flagged)))
+            flagged = abs(dffits) > 3 * math.sqrt(1 / (k - 1)) or cook > 0.4549364231195724 or hat > 3 / k or abs(shift / math.sqrt(var_del)) > 1
+            out.append((int(rows[i]), student, dffits, cook, var_del * w.sum(), t_del, q_at(y[keep], v[keep], 0.0), hat, shift / math.sqrt(var_del), bool(flagged)))
         return out
 
-    return _grouped(studies, fit, "row_index long, rstudent double, dffits double, cook double, cov_ratio double, tau2_del double, q_del double, hat double, flagged boolean")
+    return _grouped(studies, fit, "row_index long, rstudent double, dffits double, cook double, cov_ratio double, tau2_del double, q_del double, hat double, dfbetas double, flagged boolean")

@@ -31,31 +31,88 @@ def residual_tau2(x, y, v) -> float:
     return max(0.0, (qe - (y.size - x.shape[1])) / trace) if trace > 0 else 0.0
 
 
-def meta_regression(studies: DataFrame, moderators: list[str]) -> DataFrame:
-    """(analysis_id, term, estimate, se, z, p, tau2, qe, qm, k): DL residual variance and z tests. Analyses with fewer studies
-    than coefficients and one more, or with moderators that do not vary, give no rows; rows with a null moderator take no part."""
+def design(values: dict[str, np.ndarray], categories: list[str], intercept: bool = True) -> tuple[list[str], np.ndarray]:
+    """(terms, columns): the intercept, numeric moderators, and a column for each level of a category but its first in the order of
+    rows. Columns that don't vary are left out."""
+    n = len(next(iter(values.values())))
+    names, columns = (["intercept"], [np.ones(n)]) if intercept else ([], [])
+    for name, x in values.items():
+        if name in categories:
+            levels = list(dict.fromkeys(x.tolist()))
+            made = [(f"{name}={level}", (x == level).astype(float)) for level in levels[1:]]
+        else:
+            made = [(name, x.astype(float))]
+        for term, column in made:
+            if np.ptp(column) > 0:
+                names.append(term)
+                columns.append(column)
+    return names, np.column_stack(columns)
+
+
+def perfect_fit(rss: float, tss: float, swy2: float) -> bool:
+    """Whether what is left is rounding: then tests by it mean nothing."""
+    return rss <= 1e-26 * tss or rss <= 1e-28 * swy2
+
+
+def fit(y, v, names: list[str], x, test: str = "z") -> list[tuple]:
+    """Rows (term, estimate, se, stat, df, p, se_robust, p_robust, tau2, qe, qm, k) of one analysis; none where there are not more
+    studies than terms or the columns depend on each other. ``test``: z, or knha (scaled by the weighted residuals, with t);
+    the robust errors are those of HC1, with t. A perfect fit has no tests."""
+    k, p = x.shape
+    scale = np.maximum(np.abs(x).max(axis=0), 1e-300)
+    if k < p + 1 or np.linalg.matrix_rank(x / scale, tol=1e-7) < p:
+        return []
+    x = x / scale
+    tau2 = residual_tau2(x, y, v)
+    w = 1 / (v + tau2)
+    b, cov = _wls(x, y, w)
+    e = y - x @ b
+    rss = float((w * e * e).sum())
+    centre = float((w * y).sum() / w.sum())
+    exact = perfect_fit(rss, float((w * (y - centre) ** 2).sum()), float((w * y * y).sum()))
+    fixed, _c = _wls(x, y, 1 / v)
+    qe = float(((y - x @ fixed) ** 2 / v).sum())
+    rest = [i for i, name in enumerate(names) if name != "intercept"]
+    qm = float(b[rest] @ np.linalg.solve(cov[np.ix_(rest, rest)], b[rest])) if rest else 0.0
+    meat = x.T @ (x * (w * w * e * e)[:, None])
+    robust = cov @ meat @ cov * k / (k - p)
+    grown = rss / (k - p) if test == "knha" else 1.0
+    out = []
+    for i, name in enumerate(names):
+        se, hc1 = float(np.sqrt(cov[i, i] * grown)), float(np.sqrt(robust[i, i]))
+        stat = float(b[i] / se) if se > 0 and not exact else None
+        df = float(k - p) if test == "knha" else None
+        chance = None if stat is None else float(D.t_two_sided(np.array([stat]), np.array([df]))[0]) if df else 2 * D.norm_cdf(-abs(stat))
+        p_robust = None if exact or hc1 == 0 else float(D.t_two_sided(np.array([b[i] / hc1]), np.array([float(k - p)]))[0])
+        out.append((name, float(b[i] / scale[i]), se / float(scale[i]), stat, df, chance, hc1 / float(scale[i]), p_robust, tau2, qe, qm, k))
+    return out
+
+
+_FIT = "term string, estimate double, se double, stat double, df double, p double, se_robust double, p_robust double, tau2 double, qe double, qm double, k long"
+
+
+def meta_regression(studies: DataFrame, moderators: list[str], categories: list[str] | None = None, test: str = "z") -> DataFrame:
+    """(analysis_id, term, ...) of ``fit``, with the moment estimate of the residual variance: numeric ``moderators`` and
+    ``categories``. Moderators that don't vary within an analysis are left out of it; rows with a null moderator take no part.
+    An analysis is one group, so its size must be bounded."""
+    categories = categories or []
     own = usable(studies)
-    for m in moderators:
+    for m in [*moderators, *categories]:
         own = own.where(F.col(m).isNotNull())
 
-    def fit(_, y, v, *columns):
-        x = np.column_stack([np.ones(y.size), *columns])
-        scale = np.maximum(np.abs(x).max(axis=0), 1e-300)
-        if y.size < x.shape[1] + 1 or np.linalg.matrix_rank(x / scale, tol=1e-7) < x.shape[1]:
-            return []
-        x = x / scale
-        tau2 = residual_tau2(x, y, v)
-        b, cov = _wls(x, y, 1 / (v + tau2))
-        fixed, _c = _wls(x, y, 1 / v)
-        qe = float(((y - x @ fixed) ** 2 / v).sum())
-        qm = float(b[1:] @ np.linalg.solve(cov[1:, 1:], b[1:]))
-        out = []
-        for k, name in enumerate(["intercept", *moderators]):
-            se = float(np.sqrt(cov[k, k]))
-            out.append((name, float(b[k] / scale[k]), se / float(scale[k]), float(b[k] / se), 2 * D.norm_cdf(-abs(float(b[k] / se))), tau2, qe, qm, y.size))
-        return out
-
-    return _grouped(own, fit, "term string, estimate double, se double, z double, p double, tau2 double, qe double, qm double, k long", ("row_index", "yi", "vi", *moderators))
+    def run(_, y, v, *columns):
+        names, x = design(dict(zip([*moderators, *categories], columns, strict=True)), categories)
+        return fit(y, v, names, x, test)
+
+    return _grouped(own, run, _FIT, ("row_index", "yi", "vi", *moderators, *categories))
+
+
+def predicted(coefficients: DataFrame, points: DataFrame, level: float = 0.95) -> DataFrame:
+    """(analysis_id, point, estimate): the sums of coefficients (analysis_id, term, estimate) times values of ``points`` (point, term,
+    value); the intercept's value is 1 where a point does not give it."""
+    every = points.select("point").distinct().withColumns({"term": F.lit("intercept"), "value": F.lit(1.0)})
+    given = points.union(every.join(points.where("term = 'intercept'").select("point"), "point", "left_anti").select(*points.columns))
+    return coefficients.join(given, "term").groupBy("analysis_id", "point").agg(F.sum(F.col("estimate") * F.col("value")).alias("estimate"))
 
 
 #: Factors of the pooled variance for heterogeneity in words: rounded, and as exact thirds.

@@ -6,32 +6,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidra.functions import text as T
+from evidra.sources.shared import stored
 
 K1, B = 1.2, 0.75
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, token, tf, length) of folded texts."""
-    words = chunks.select("chunk_id", F.explode(F.split(T.folded(F.col("text")), " ")).alias("token")).where("token <> ''")
-    counted = words.groupBy("chunk_id", "token").agg(F.count(F.lit(1)).alias("tf"))
-    return counted.join(counted.groupBy("chunk_id").agg(F.sum("tf").alias("length")), "chunk_id")
+def postings(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((chunk_id, token, tf), (chunk_id, length)) of folded texts, both written: an index that many searches read."""
+    words = chunks.select("chunk_id", F.filter(F.split(T.folded(F.col("text")), " "), lambda w: w != "").alias("w"))
+    lengths = words.select("chunk_id", F.size("w").cast("long").alias("length")).where("length > 0")
+    tokens = words.select("chunk_id", F.explode("w").alias("token")).groupBy("chunk_id", "token").agg(F.count(F.lit(1)).alias("tf"))
+    return stored(tokens, "postings"), stored(lengths, "lengths")
 
 
-def bm25(index: DataFrame, terms: list[str], limit: int | None = None) -> DataFrame:
-    """(chunk_id, score) of chunks that hold every term, best first; ``terms`` are folded tokens, a trailing * asks for a prefix."""
-    totals = index.select("chunk_id", "length").distinct().agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
-    n, mean = totals.first()
+def bm25(index: tuple[DataFrame, DataFrame], terms: list[str], limit: int | None = None) -> DataFrame:
+    """(chunk_id, score) of chunks that hold every term; ``terms`` are folded tokens, a trailing * asks for a prefix. With
+    ``limit``, the best ones only, ties by id."""
+    tokens, lengths = index
+    n, mean = lengths.agg(F.count(F.lit(1)), F.avg("length")).first()
     if not n:
-        return index.select("chunk_id", F.lit(0.0).alias("score")).limit(0)
-    found = None
-    for k, term in enumerate(terms):
-        hit = F.col("token").startswith(term[:-1]) if term.endswith("*") else F.col("token") == term
-        own = index.where(hit).groupBy("chunk_id").agg(F.sum("tf").alias("tf"), F.first("length").alias("length")).withColumn("term", F.lit(k))
-        found = own if found is None else found.union(own)
-    df = found.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
+        return lengths.select("chunk_id", F.lit(0.0).alias("score")).limit(0)
+    hits = [F.col("token").startswith(t[:-1]) if t.endswith("*") else F.col("token") == t for t in terms]
+    # One scan: which terms a token answers, then a row for each chunk and term.
+    marked = tokens.withColumn("term", F.explode(F.array_compact(F.array(*[F.when(h, F.lit(k)) for k, h in enumerate(hits)]))))
+    found = stored(marked.groupBy("chunk_id", "term").agg(F.sum("tf").alias("tf")), "hits")
+    df = found.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))  # as many rows as terms
     idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / float(mean)))
-    out = found.join(F.broadcast(df), "term").groupBy("chunk_id").agg(F.count(F.lit(1)).alias("hits"), F.sum(part).alias("score")).where(F.col("hits") == len(terms)).select("chunk_id", "score")
+    scored = found.join(F.broadcast(df), "term").join(lengths, "chunk_id").groupBy("chunk_id").agg(F.count(F.lit(1)).alias("hits"), F.sum(part).alias("score"))
+    out = scored.where(F.col("hits") == len(terms)).select("chunk_id", "score")
     return out if limit is None else out.orderBy(F.desc("score"), "chunk_id").limit(limit)
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from evidra.functions import effects as E
 from evidra.operators import bias, pooling
 from evidra.sources import studies as S
+from evidra.sources.shared import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -163,12 +164,21 @@ def conversions_basic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def binary_studies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(analysis_id, row_index, label, moderator, subgroup, yi, vi, e1, n1, e2, n2): log odds ratios of suppliers by region."""
+    """(analysis_id, row_index, label, moderator, subgroup, yi, vi, e1, n1, e2, n2): log odds ratios of suppliers by region, written
+    once, for most queries take several passes over them."""
     y, v = E.two_by_two("OR", *cols(*B))
-    return S.arms2x2(spark, sf_dir).withColumns({"yi": y, "vi": v}).join(S.supplier_regions(spark, sf_dir), "row_index")
+    return stored(S.arms2x2(spark, sf_dir).withColumns({"yi": y, "vi": v}).join(S.supplier_regions(spark, sf_dir), "row_index"), "studies")
+
+
+def bounded_studies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``binary_studies`` in analyses of at most fifty neighbouring suppliers: refits of an analysis without each of its studies
+    take the square of its size, so they are asked for on analyses of bounded size."""
+    block = F.expr("analysis_id * 1000000 + row_index div 50")
+    return binary_studies(spark, sf_dir).withColumn("analysis_id", block)
 
 
 _ST = f"{S.arms2x2_sql()}, {S.SUPPLIERS}, {_CC}, st AS (SELECT sr.*, e1, n1, e2, n2, ln(a * d / (b * c)) AS yi, 1 / a + 1 / b + 1 / c + 1 / d AS vi FROM t JOIN sr ON t.row_index = sr.row_index WHERE NOT dz)"
+_STB = _ST.replace("SELECT sr.*, e1", "SELECT sr.row_index, sr.analysis_id * 1000000 + sr.row_index // 50 AS analysis_id, sr.label, sr.moderator, sr.subgroup, e1")
 _M = "m1 AS (SELECT analysis_id, count(*) AS k, sum(1 / vi) AS sw, sum(1 / (vi * vi)) AS sw2, sum(yi / vi) / sum(1 / vi) AS mu, avg(yi) AS my, avg(vi) AS mv FROM st GROUP BY analysis_id), m AS (SELECT m1.*, q, ss, sw - sw2 / sw AS c FROM m1 JOIN (SELECT st.analysis_id, sum((yi - mu) * (yi - mu) / vi) AS q, sum((yi - my) * (yi - my)) AS ss FROM st JOIN m1 ON st.analysis_id = m1.analysis_id GROUP BY st.analysis_id) USING (analysis_id))"
 _TAU = {
     "FE": "SELECT analysis_id, k, 0.0::DOUBLE AS tau2 FROM m",
@@ -295,11 +305,11 @@ def peters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "begg_tau",
-    f"WITH {_ST}, {_M}, z AS (SELECT st.analysis_id, row_index, vi, (yi - mu) / sqrt(vi - 1 / sw) AS z FROM st JOIN m ON st.analysis_id = m.analysis_id WHERE vi - 1 / sw > 0), pr AS (SELECT a.analysis_id, sign(a.z - b.z) AS dz, sign(a.vi - b.vi) AS dv FROM z a JOIN z b ON a.analysis_id = b.analysis_id AND a.row_index < b.row_index), n AS (SELECT analysis_id, count(*) AS k FROM z GROUP BY analysis_id) "
+    f"WITH {_STB}, {_M}, z AS (SELECT st.analysis_id, row_index, vi, (yi - mu) / sqrt(vi - 1 / sw) AS z FROM st JOIN m ON st.analysis_id = m.analysis_id WHERE vi - 1 / sw > 0), pr AS (SELECT a.analysis_id, sign(a.z - b.z) AS dz, sign(a.vi - b.vi) AS dv FROM z a JOIN z b ON a.analysis_id = b.analysis_id AND a.row_index < b.row_index), n AS (SELECT analysis_id, count(*) AS k FROM z GROUP BY analysis_id) "
     "SELECT analysis_id, any_value(k) AS k, " + r(s="sum(dz * dv)", tau_b="sum(dz * dv) / nullif(sqrt(sum(abs(dz)) * sum(abs(dv))), 0)") + " FROM pr JOIN n USING (analysis_id) GROUP BY analysis_id",
 )
 def begg_tau(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(bias.begg(binary_studies(spark, sf_dir)))
+    return rounded(bias.begg(bounded_studies(spark, sf_dir)))
 
 
 @query("failsafe", f"WITH {_ST} SELECT analysis_id, count(*) AS k, " + r(sum_z="sum(yi / sqrt(vi))", n_failsafe=f"greatest(0, sum(yi / sqrt(vi)) * sum(yi / sqrt(vi)) / {bias.Z95_ONE_SIDED**2} - count(*))") + " FROM st GROUP BY analysis_id")
@@ -313,14 +323,14 @@ _REFIT = (
 )
 
 
-@query("loo_dl", f"WITH {_ST}, fr AS (SELECT a.analysis_id, a.row_index AS pos, b.yi, b.vi FROM st a JOIN st b ON a.analysis_id = b.analysis_id AND a.row_index <> b.row_index), {_REFIT} SELECT analysis_id, row_index, " + r(tau2="tau2", estimate="estimate", se="se") + " FROM f3 WHERE k >= 2")
+@query("loo_dl", f"WITH {_STB}, fr AS (SELECT a.analysis_id, a.row_index AS pos, b.yi, b.vi FROM st a JOIN st b ON a.analysis_id = b.analysis_id AND a.row_index <> b.row_index), {_REFIT} SELECT analysis_id, row_index, " + r(tau2="tau2", estimate="estimate", se="se") + " FROM f3 WHERE k >= 2")
 def loo_dl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(bias.leave_one_out(binary_studies(spark, sf_dir)))
+    return rounded(bias.leave_one_out(bounded_studies(spark, sf_dir)))
 
 
-@query("cumulative_dl", f"WITH {_ST}, fr AS (SELECT a.analysis_id, a.row_index AS pos, b.yi, b.vi FROM st a JOIN st b ON a.analysis_id = b.analysis_id AND (b.moderator, b.row_index) <= (a.moderator, a.row_index)), {_REFIT} SELECT analysis_id, row_index, k, " + r(tau2="tau2", estimate="estimate", se="se") + " FROM f3")
+@query("cumulative_dl", f"WITH {_STB}, fr AS (SELECT a.analysis_id, a.row_index AS pos, b.yi, b.vi FROM st a JOIN st b ON a.analysis_id = b.analysis_id AND (b.moderator, b.row_index) <= (a.moderator, a.row_index)), {_REFIT} SELECT analysis_id, row_index, k, " + r(tau2="tau2", estimate="estimate", se="se") + " FROM f3")
 def cumulative_dl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(bias.cumulative(binary_studies(spark, sf_dir), "moderator"))
+    return rounded(bias.cumulative(bounded_studies(spark, sf_dir), "moderator"))
 
 
 @query("outliers", _pool_sql("DL") + f" SELECT st.analysis_id, row_index, CASE WHEN yi - {E.Z975} * sqrt(vi) > mu + {E.Z975} * se THEN 'above' ELSE 'below' END AS side FROM st JOIN p ON st.analysis_id = p.analysis_id WHERE yi - {E.Z975} * sqrt(vi) > mu + {E.Z975} * se OR yi + {E.Z975} * sqrt(vi) < mu - {E.Z975} * se")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evidra.functions import effects as E
 from evidra.functions import text as T
-from evidra.operators import agreement, iterative, linkage, pooling, screening, search, validate
+from evidra.operators import agreement, linkage, pooling, screening, search, validate
 from evidra.sources import studies as S
 from evidra.sources.shared import table
 from evidra.streaming import events as stream
@@ -286,27 +286,6 @@ def page_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.page_facts(table(spark, sf_dir, "pages"))
 
 
-# Iterative estimators: checked by tests against brute force -----------------------------------------------------------------------------
-
-for _name, _method in (("pool_reml", "REML"), ("pool_ml", "ML"), ("pool_pm", "PM")):
-    query(_name)(lambda spark, sf_dir, method=_method: rounded(iterative.random_effects(binary_studies(spark, sf_dir), method)))
-
-
-@query("trim_and_fill")
-def trim_and_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(iterative.trim_and_fill(binary_studies(spark, sf_dir)))
-
-
-@query("lfk_index")
-def lfk_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(iterative.lfk_index(binary_studies(spark, sf_dir)))
-
-
-@query("influence")
-def influence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(iterative.influence(binary_studies(spark, sf_dir), "DL"))
-
-
 # Streaming ---------------------------------------------------------------------------------------------------------------------------
 
 
