@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -82,3 +82,57 @@ def cause_hints(cells: DataFrame) -> DataFrame:
     digits = lambda x: F.array_join(F.array_sort(F.split(F.abs(x).cast("long").cast("string"), "")), "")
     hint = F.when(a == -b, "sign").when(near(10.0) | near(0.1), "factor 10").when(near(100.0) | near(0.01), "factor 100").when((a == F.floor(a)) & (b == F.floor(b)) & (digits(a) == digits(b)), "digits swapped").when(F.round(a, 1) == F.round(b, 1), "rounding")
     return cells.where("status = 'differs'").withColumn("hint", hint)
+
+
+def icc_label(x: Column) -> Column:
+    return F.when(x < 0.5, "poor").when(x < 0.75, "moderate").when(x < 0.9, "good").when(x.isNotNull(), "excellent")
+
+
+def agreement_summary(cells: DataFrame) -> DataFrame:
+    """(field, compared, agree, disagree, missing, percent) of ``table_diff`` cells: equal and within tolerance agree."""
+    n = lambda *v: F.sum(F.col("status").isin(*v).cast("long"))
+    m = cells.groupBy("field").agg(n("equal", "within_tolerance").alias("agree"), n("differs").alias("disagree"), n("missing_a", "missing_b").alias("missing"))
+    return m.select("field", (F.col("agree") + F.col("disagree")).alias("compared"), "agree", "disagree", "missing", (100.0 * F.col("agree") / F.nullif(F.col("agree") + F.col("disagree"), F.lit(0))).alias("percent"))
+
+
+def appraisal_agreement(pairs: DataFrame) -> DataFrame:
+    """(level, name, n, kappa, label) of two appraisers' answers (level, name, a, b): by item, by domain and overall."""
+    return cohen_kappa(pairs, "a", "b", ["level", "name"]).select("level", "name", "n", "kappa", "label")
+
+
+def field_types(cells: DataFrame) -> DataFrame:
+    """(field, type) of text cells (field, value): numeric if all are numbers, categorical with ten values at most that are no more than
+    the larger of two and half the cells, else text. Blank cells don't count."""
+    value = F.nullif(F.trim("value"), F.lit(""))
+    number = F.replace(value, F.lit(","), F.lit(".")).try_cast("double")
+    m = cells.select("field", value.alias("v"), number.alias("x")).where("v IS NOT NULL").groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.count("x").alias("numbers"), F.countDistinct("v").alias("values"))
+    return m.select("field", F.when(F.col("numbers") == F.col("n"), "numeric").when((F.col("values") <= 10) & (F.col("values") <= F.greatest(F.lit(2.0), F.col("n") / 2)), "categorical").otherwise("text").alias("type"))
+
+
+def reconciled(cells: DataFrame, decisions: DataFrame, key: list[str]) -> DataFrame:
+    """(key, field, value, state) of ``table_diff`` cells: agreeing ones keep a's value; others take a decision (key, field, chosen,
+    value, seen_a, seen_b): a, b or other, stale if the cells are no longer those it saw, open without one."""
+    both = cells.join(decisions.withColumnRenamed("value", "other"), [*key, "field"], "left")
+    agree = F.col("status").isin("equal", "within_tolerance", "both_empty")
+    stale = ~F.col("a").eqNullSafe(F.col("seen_a")) | ~F.col("b").eqNullSafe(F.col("seen_b"))
+    state = F.when(agree, "agreed").when(F.col("chosen").isNull(), "open").when(stale, "stale").otherwise("decided")
+    value = F.when(state == "agreed", F.col("a")).when(state == "decided", F.when(F.col("chosen") == "a", F.col("a")).when(F.col("chosen") == "b", F.col("b")).otherwise(F.col("other")))
+    return both.select(*key, "field", value.alias("value"), state.alias("state"))
+
+
+def impact(studies: DataFrame, disputed: DataFrame) -> DataFrame:
+    """(analysis_id, row_index, base, other, shift, material): the fixed-effect estimate of each analysis (analysis_id, row_index, yi, vi)
+    with one study as the other extraction has it (analysis_id, row_index, yi_b, vi_b), from the sums of all; material from 0.05
+    standard errors on."""
+    w = 1.0 / F.col("vi")
+    sums = studies.groupBy("analysis_id").agg(F.sum(w).alias("sw"), F.sum(w * F.col("yi")).alias("swy"))
+    both = studies.join(disputed, ["analysis_id", "row_index"]).join(sums, "analysis_id")
+    wb = 1.0 / F.col("vi_b")
+    base, other = F.col("swy") / F.col("sw"), (F.col("swy") - w * F.col("yi") + wb * F.col("yi_b")) / (F.col("sw") - w + wb)
+    made = both.select("analysis_id", "row_index", base.alias("base"), other.alias("other"), "sw")
+    return made.select("analysis_id", "row_index", "base", "other", (F.col("other") - F.col("base")).alias("shift"), (F.abs(F.col("other") - F.col("base")) * F.sqrt("sw") >= 0.05).alias("material"))
+
+
+def rob_changes(table: DataFrame, finals: DataFrame) -> DataFrame:
+    """(study, now, proposed): cells of a study table (study, rob) that the final judgement (study, level) would change."""
+    return table.join(finals, "study").where("level IS NOT NULL AND NOT (rob <=> level)").select("study", F.col("rob").alias("now"), F.col("level").alias("proposed"))

@@ -185,13 +185,6 @@ def branch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flow(spark, sf_dir)
 
 
-@query("prisma_check", f"WITH {_FLOW}, t AS (SELECT coalesce(route, 'all') AS flow, identified, duplicates + CASE WHEN route = 'src1' THEN 1 ELSE 0 END AS duplicates, screened, excluded, included + CASE WHEN route = 'src2' THEN 100000 ELSE 0 END AS included FROM fl) SELECT flow, 'P001' AS code FROM t WHERE screened <> identified - duplicates UNION ALL SELECT flow, 'P002' FROM t WHERE included > screened - excluded UNION ALL SELECT flow, 'P004' FROM t WHERE included > screened")
-def prisma_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = _flow(spark, sf_dir).withColumn("flow", F.coalesce("route", F.lit("all")))
-    f = f.withColumns({"duplicates": F.col("duplicates") + F.when(F.col("route") == "src1", 1).otherwise(0), "included": F.col("included") + F.when(F.col("route") == "src2", 100000).otherwise(0)})
-    return screening.flow_findings(f)
-
-
 _GRADE = ", h AS (SELECT analysis_id, CASE WHEN k > 1 AND q > 0 THEN greatest(0, (q - (k - 1)) / q) ELSE 0 END AS i2 FROM m), g AS (SELECT p.analysis_id, (CASE WHEN i2 >= 0.5 THEN 1 ELSE 0 END)::INT AS inconsistency, (CASE WHEN lo < -0.1 AND hi > -0.1 AND lo < 0.1 AND hi > 0.1 THEN 2 WHEN (lo < -0.1 AND hi > -0.1) OR (lo < 0.1 AND hi > 0.1) OR (lo < 0 AND hi > 0) THEN 1 ELSE 0 END)::INT AS imprecision, (CASE WHEN k < 10 THEN 1 ELSE 0 END)::INT AS few FROM (SELECT *, mu - 1.959963984540054 * se AS lo, mu + 1.959963984540054 * se AS hi FROM p) p JOIN h ON p.analysis_id = h.analysis_id) SELECT *, least(4, greatest(1, 4 - inconsistency - imprecision - few))::INT AS certainty FROM g"
 
 

@@ -45,29 +45,6 @@ def classify_new(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.classified_new(d.where("rec_id % 4 = 0"), d.where("rec_id % 4 <> 0"))
 
 
-_JUD = "j AS (SELECT l_partkey AS study, CASE WHEN l_linenumber = 7 THEN 'consensus' WHEN l_linenumber <= 2 THEN 'human' WHEN l_linenumber = 3 THEN 'approved' ELSE 'draft' END AS kind, CASE WHEN l_discount > 0.07 THEN 'high' WHEN l_discount > 0.03 THEN 'some' ELSE 'low' END AS level FROM lineitem WHERE l_orderkey % 50 = 0)"
-
-
-@query("rob_final", f"WITH {_JUD}, m AS (SELECT study, max(level) FILTER (kind = 'consensus') AS c, min(level) FILTER (kind = 'human') AS h0, max(level) FILTER (kind = 'human') AS h1, max(level) FILTER (kind = 'approved') AS p FROM j GROUP BY study), b AS (SELECT *, CASE WHEN c IS NOT NULL THEN 'consensus' WHEN h0 <> h1 THEN 'conflict' WHEN h0 IS NOT NULL THEN 'human' WHEN p IS NOT NULL THEN 'approved' END AS basis FROM m) SELECT study, CASE basis WHEN 'consensus' THEN c WHEN 'human' THEN h0 WHEN 'approved' THEN p END AS level, basis FROM b WHERE basis IS NOT NULL")
-def rob_final(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n, d = F.col("l_linenumber"), F.col("l_discount")
-    kind = F.when(n == 7, "consensus").when(n <= 2, "human").when(n == 3, "approved").otherwise("draft")
-    rows = table(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0").select(F.col("l_partkey").alias("study"), kind.alias("kind"), F.when(d > 0.07, "high").when(d > 0.03, "some").otherwise("low").alias("level"))
-    return rules.final_judgement(rows)
-
-
-_JUDGED = "j AS (SELECT l_partkey AS study, CASE WHEN l_quantity >= 50 THEN 'consensus' WHEN l_quantity <= 2 THEN 'human' WHEN l_quantity <= 4 THEN 'approved' ELSE 'draft' END AS kind, CASE WHEN l_discount > 0.07 THEN 'high' WHEN l_discount > 0.03 THEN 'some' ELSE 'low' END AS level FROM lineitem)"
-
-
-@query("rob_final_all", f"WITH {_JUDGED}, m AS (SELECT study, max(level) FILTER (kind = 'consensus') AS c, min(level) FILTER (kind = 'human') AS h0, max(level) FILTER (kind = 'human') AS h1, max(level) FILTER (kind = 'approved') AS p FROM j GROUP BY study), b AS (SELECT *, CASE WHEN c IS NOT NULL THEN 'consensus' WHEN h0 <> h1 THEN 'conflict' WHEN h0 IS NOT NULL THEN 'human' WHEN p IS NOT NULL THEN 'approved' END AS basis FROM m) SELECT study, CASE basis WHEN 'consensus' THEN c WHEN 'human' THEN h0 WHEN 'approved' THEN p END AS level, basis FROM b WHERE basis IS NOT NULL")
-def rob_final_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Judgements of the whole table; ``rob_final`` takes one order in fifty, as its SQL does."""
-    n, d = F.col("l_quantity"), F.col("l_discount")
-    kind = F.when(n >= 50, "consensus").when(n <= 2, "human").when(n <= 4, "approved").otherwise("draft")
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("study"), kind.alias("kind"), F.when(d > 0.07, "high").when(d > 0.03, "some").otherwise("low").alias("level"))
-    return rules.final_judgement(rows)
-
-
 @query("study_status", "WITH s AS (SELECT o_custkey AS study, min(CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'P' THEN 2 WHEN 'O' THEN 3 END) AS n FROM orders GROUP BY o_custkey) SELECT study, CASE n WHEN 1 THEN 'included' WHEN 2 THEN 'pending' ELSE 'excluded' END AS status FROM s WHERE n IS NOT NULL")
 def study_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("o_orderstatus")
