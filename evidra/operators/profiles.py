@@ -198,3 +198,9 @@ def heterogeneity_intervals(studies: DataFrame) -> DataFrame:
         KEY, "k", F.greatest(F.lit(1.0), F.sqrt(ratio)).alias("h"), ratio.alias("h2"), F.greatest(F.lit(0.0), ratio - 1).alias("h2_modified"), (100 * F.col("tau2") / (F.col("tau2") + s2)).alias("i2_from_tau2"),
         F.greatest(F.lit(1.0), low).alias("h_low"), F.greatest(F.lit(1.0), high).alias("h_high"), limit(low).alias("tau2_low"), limit(high).alias("tau2_high"), limit(low_book).alias("tau2_low_book"), limit(high_book).alias("tau2_high_book"),
     )
+
+
+def sd_from_interval(rows: DataFrame, level: float = 0.95) -> DataFrame:
+    """``rows`` (lower, upper, n) with sd, of one group's mean: the root of n times the width over twice t(n - 1)."""
+    t = t_quantile(F.lit(1 - (1 - level) / 2), F.col("n") - 1.0)
+    return rows.withColumn("sd", F.sqrt("n") * (F.col("upper") - F.col("lower")) / (2 * t))

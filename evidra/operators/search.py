@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,3 +72,21 @@ def page_facts(pages: DataFrame) -> DataFrame:
     n = lambda p: F.size(F.regexp_extract_all(h, F.lit(p), 0)).cast("long")
     plain = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(h, r"(?s)<(script|style)[^>]*>.*?</(script|style)>", " "), r"(?s)<[^>]*>", " "), r"\s+", " "))
     return pages.select("page_id", F.regexp_extract(h, r"<title>([^<]*)</title>", 1).alias("title"), n(r"<h[1-6][^>]*>").alias("headings"), n(r"<a [^>]*href=").alias("links"), n(r"<p[^>]*>").alias("paragraphs"), F.length(plain).cast("long").alias("text_chars"))
+
+
+#: Words of headers that point to personal data, and the kind they point to.
+PERSONAL = {
+    "name": ("name", "surname", "firstname", "patient name"), "birth": ("birth", "dob", "born"), "address": ("address", "street", "zip", "postcode"), "phone": ("phone", "mobile", "tel"),
+    "email": ("email", "mail"), "record": ("mrn", "record number", "case number"), "patient_id": ("patient id", "ssn", "insurance"),
+}
+
+
+def personal_columns(header: list[str]) -> dict[str, str]:
+    """header -> kind of personal data that its words point to; study and variable names are none."""
+    out = {}
+    for column in header:
+        words = " ".join(re.findall("[a-z]+", re.sub("([a-z])([A-Z])", r"\1 \2", column).lower()))
+        for kind, names in PERSONAL.items():
+            if any(re.search(rf"\b{n}\b", words) for n in names) and not re.search(r"\b(study|author|file|variable|column)\b", words):
+                out.setdefault(column, kind)
+    return out

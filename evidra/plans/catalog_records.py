@@ -284,4 +284,4 @@ def page_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 6) + 0.0 AS total FROM events GROUP BY ALL")
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(stream.drained(stream.window_counts(stream.event_stream(spark, f"{sf_dir}/events.parquet")), "windows").withColumn("window_start", F.col("window_start").cast("timestamp_ntz")))
+    return rounded(stream.drained(stream.window_counts(stream.event_stream(spark, f"{sf_dir}/events.parquet")), "windows", ["window_start", "event_type"]).withColumn("window_start", F.col("window_start").cast("timestamp_ntz")))

@@ -70,13 +70,6 @@ def section_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", rules.section_kind(title).alias("kind"))
 
 
-@query("secret_redaction", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'api_key=*** kept' ELSE 'Password: ***' END AS line FROM documents")
-def secret_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("doc_id")
-    line = F.when(k % 2 == 0, F.concat(F.lit("api_key=k"), k, F.lit(" kept"))).otherwise(F.concat(F.lit("Password: p"), k))
-    return table(spark, sf_dir, "documents").select("doc_id", rules.redacted(line).alias("line"))
-
-
 @query("content_fingerprints", "SELECT c_custkey, sha256('c_mktsegment=' || coalesce('''' || c_mktsegment || '''', 'null') || ';c_name=' || coalesce('''' || c_name || '''', 'null') || ';c_nationkey=' || coalesce('''' || c_nationkey || '''', 'null')) AS digest FROM customer")
 def content_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", rules.fingerprint(["c_name", "c_nationkey", "c_mktsegment"]).alias("digest"))
@@ -87,12 +80,6 @@ def sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.sentences(table(spark, sf_dir, "documents"), "doc_id", "text").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("search_snippets", "SELECT doc_id, instr(lower(text), 'thon') AS place FROM documents WHERE contains(lower(text), 'thon')")
-def search_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").withColumn("snippet", rules.snippet(F.col("text"), "thon")).where("snippet IS NOT NULL")
-    return d.select("doc_id", F.instr(F.lower("text"), "thon").cast("long").alias("place"))
-
-
 @query("table_stats", "SELECT 'customer' AS name, count(*) AS n FROM customer UNION ALL SELECT 'supplier', count(*) FROM supplier UNION ALL SELECT 'documents', count(*) FROM documents UNION ALL SELECT 'events', count(*) FROM events")
 def table_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None

@@ -16,22 +16,25 @@ def event_stream(spark: SparkSession, path: str) -> DataFrame:
 
 
 def window_counts(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
-    """(window_start, event_type, n, total) of tumbling windows, in the session's time zone; rows later than ``late`` behind the newest are left out."""
+    """(window_start, event_type, n, total) of tumbling windows, in the session's time zone; once the newest event is ``late`` behind
+    a window's end, the window is closed and later rows of it are left out."""
     grouped = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     return grouped.select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
 
 
-def drained(stream: DataFrame, name: str) -> DataFrame:
-    """Runs ``stream`` over all that its source has now, each batch written whole under its number, and reads the last state of
-    each batch; a batch that is repeated after a failure overwrites itself."""
+def drained(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """Runs ``stream`` in update mode over all that its source has now and gives the last row of each of ``keys``: a batch writes only
+    what it changed, under its number, and state behind the watermark is dropped. A batch that is repeated after a failure
+    overwrites itself."""
     spark = stream.sparkSession
     out = new_folder(spark, name)
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    query = stream.writeStream.outputMode("complete").option("checkpointLocation", f"{out}-state").foreachBatch(write).trigger(availableNow=True).start()
+    query = stream.writeStream.outputMode("update").option("checkpointLocation", f"{out}-state").foreachBatch(write).trigger(availableNow=True).start()
     query.awaitTermination()
     found = spark.read.parquet(out)
-    last = found.agg(F.max("batch")).first()[0]
-    return found.where(F.col("batch") == last).drop("batch")
+    values = [c for c in stream.columns if c not in keys]
+    last = found.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v"))
+    return last.select(*keys, "v.*").select(*stream.columns)
