@@ -6,6 +6,8 @@ the mix, repeats them; it changes no text.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,27 +15,38 @@ from evidra.llm import decontaminate, minhash, mixing, quality, sharding
 from evidra.llm.shared import new_folder, stored, table
 
 
+def around(docs: DataFrame, names: tuple[str, ...], stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``stage`` of ``docs`` whose columns called like ``names``, which the stage adds of its own, are set aside until it is done."""
+    aside = {c: f"__kept_{c}" for c in docs.columns if c in names}
+    found = stage(docs.withColumnsRenamed(aside))
+    return found.select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns])
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, learned from ``labels`` outside the held-out fold, does not reject (score >= 0.5)."""
+    """Documents that the classifier, learned from ``labels`` outside the held-out fold, does not reject (score >= 0.5). Null and
+    empty texts have a score, too."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.scored(docs, model).where("quality_score >= 0.5").drop("quality_score")
+    return around(docs, ("quality_score",), lambda d: quality.scored(d, model).where("quality_score >= 0.5"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each class of near duplicates: that of the least id, or of its least text, source and language where rows
-    repeat it. Rows with a null text stay, for they are like no other; so do rows with a null id whose text has no other."""
+    """One row of each class of near duplicates: that of the least id; where rows repeat its id and text, the one with the least
+    other columns in their order. Rows with a null text all stay, for they are like no other; so do rows with a null id whose
+    text has no other (one of each text)."""
     found = minhash.near_duplicates(docs)
-    heads = found.where(F.col("id").eqNullSafe(F.col("class_id"))).select(F.col("id").alias("__id"), F.col("node").alias("__node")).distinct()
-    own = docs.withColumn("__own", F.unhex(F.md5("text")))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("__own").eqNullSafe(F.col("__node"))
-    kept = own.join(heads, same, "left_semi").drop("__own")
-    return kept.dropDuplicates(["doc_id", "text"])
+    heads = found.where("node IS NOT NULL AND id <=> class_id").select(F.col("id").alias("__id"), F.col("node").alias("__node")).distinct()
+    own = docs.where("text IS NOT NULL").withColumn("__own", F.unhex(F.md5("text")))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__node"))
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    least = own.join(heads, same, "left_semi").groupBy("doc_id", "__own").agg(F.any_value("text").alias("text"), F.min(F.struct(*[F.col(f"`{c}`") for c in rest])).alias("__rest"))
+    kept = least.select(*[F.col("__rest")[c].alias(c) if c in rest else F.col(c) for c in docs.columns])
+    return kept.unionByName(docs.where("text IS NULL"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item occurs."""
-    found = decontaminate.find_passages(docs, table(spark, sf_dir, "benchmark"))
-    return found.where("n_hit = 0").select(*docs.columns)
+    """Documents in which no window of a benchmark item occurs; a null text has none."""
+    benchmark = table(spark, sf_dir, "benchmark")
+    return around(docs, ("n_words", "n_hit", "items"), lambda d: decontaminate.find_passages(d, benchmark).where("n_hit = 0"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
