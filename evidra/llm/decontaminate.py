@@ -4,8 +4,9 @@ Patterns are windows of ``WINDOW`` consecutive words of benchmark texts. Symbols
 a shift table maps the hash of a block of two words (one, if m is 1) to how far the search may move on; where the shift
 is 0, the buckets of that block's hash name the patterns that end so, and the words themselves are compared.
 
-The benchmark is cut into parts of at most ``PART_WORDS`` words, so that what is broadcast has a bound; whole documents
-pass through one search for each part.
+The benchmark is cut into parts of at most ``PART_WORDS`` words, so that what the driver builds and broadcasts has a bound.
+Whole documents pass through one search for each part; what it finds is written before the next part's tables are made,
+so only one part's tables are held at a time.
 """
 
 from __future__ import annotations
@@ -17,10 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import forget, stored
 from .textnum import ALNUM, LOWER, blocks, mix64, spans, text_bytes, word_hashes
 
 WINDOW = 10
-PART_WORDS = 2_000_000
+PART_WORDS = 500_000
 _SECOND = np.uint64(0x8CB92BA72F3D8DD7)
 
 
@@ -119,11 +121,17 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, p
     columns = found.columns
     found = found.withColumn("__spans", F.expr("cast(array() AS array<struct<a:bigint,b:bigint>>)")).withColumn("__items", F.expr("cast(array() AS array<string>)")).withColumn("__n_words", F.lit(0).cast("long"))
     chosen = benchmark.select("item_id", "text")
-    parts = 0
+    shared = held = None
     for part in _parts(chosen, part_words):
-        found = _search_part(found, spark.sparkContext.broadcast(tables(part, window)), text_col)
-        parts += 1
-    if not parts:
+        if shared is not None:
+            found, before = stored(found, "passages"), held
+            held = found
+            shared.destroy()
+            if before is not None:
+                forget(before)
+        shared = spark.sparkContext.broadcast(tables(part, window))
+        found = _search_part(found, shared, text_col)
+    if shared is None:
         found = _search_part(found, spark.sparkContext.broadcast(([], [])), text_col)
     hit = F.aggregate(
         F.array_sort("__spans"),

@@ -21,15 +21,18 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per page: the record that its archive holds for it, read back through the index."""
     _, records, _ = warc.archived(spark, table(spark, sf_dir, "pages"))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: how many of its words lie in windows of which benchmark items."""
     return decontaminate.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: fingerprints of its text and of the edited one, and their likeness."""
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
@@ -40,22 +43,27 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: the words that the mix takes of it, and its source's size and target."""
     return mixing.taken_words(table(spark, sf_dir, "documents"))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its quality score, and whether its label was held out."""
     return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its log-likelihood under the model and under counts alone."""
     return lm.judged(table(spark, sf_dir, "documents"))
 
 
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per page: host, path, the rule that fits its url, and the verdict."""
     return urlgraph.judged_urls(table(spark, sf_dir, "pages"))
 
 
 def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its number of tokens and of characters that no piece covers."""
     return tokencount.token_counts(table(spark, sf_dir, "documents"), tokencount.sentencepiece_vocabulary(VOCABULARY))
 
 

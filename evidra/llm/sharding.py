@@ -5,12 +5,18 @@ within a factor of ``fanout``), as soon as there are ``fanout`` of them, and mer
 target size; a merge is one task that reads its shards and writes one file, so nothing is shuffled and nothing but shard
 names and sizes reaches the driver. A new manifest version names the live shards; it is written under a name of its own
 and renamed to ``v<number>``, which fails if another writer has taken that number, so readers see whole versions only.
+That holds where a rename does not overwrite, as on HDFS and local disks; a store on an object store needs a file system
+client with conditional renames.
+
+Deletion waits: ``vacuum`` removes only what no kept version names and what is older than ``KEEP_SECONDS``, so that readers
+of the versions before, and writers whose shards no version names yet, keep their files.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 from dataclasses import asdict, dataclass
 
@@ -19,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 TARGET_BYTES, SMALLEST_BYTES, FANOUT, MERGES_A_JOB = 128 << 20, 1 << 20, 4, 64
+KEEP_VERSIONS, KEEP_SECONDS = 2, 24 * 3600
 
 
 class Conflict(RuntimeError):
@@ -103,16 +110,24 @@ class ShardStore:
         rows.write.option("compression", "zstd").parquet(f"{self.path}/{run}")
         return [Shard(f"{run}/{name}", size, level) for name, size in self._list(run) if name.startswith("part-") and size]
 
-    def append(self, rows: DataFrame) -> int:
-        """Writes ``rows`` as new level-0 shards, one per partition that has rows, and commits them."""
-        base, schema, shards = self.manifest()
-        given = rows.schema.json()
-        if schema is not None and StructType.fromJson(json.loads(schema)) != StructType.fromJson(json.loads(given)):
-            raise ValueError("the arrivals have other columns than the store")
-        return self.commit(base, given, shards + self._write(rows, 0))
+    def append(self, rows: DataFrame, retries: int = 20) -> int:
+        """Writes ``rows`` as new level-0 shards, one per partition that has rows, and commits them; if another writer was first,
+        they go into the version after its own."""
+        given, made = rows.schema.json(), None
+        for _ in range(retries):
+            base, schema, shards = self.manifest()
+            if schema is not None and StructType.fromJson(json.loads(schema)) != StructType.fromJson(json.loads(given)):
+                raise ValueError("the arrivals have other columns than the store")
+            made = self._write(rows, 0) if made is None else made
+            try:
+                return self.commit(base, given, shards + made)
+            except Conflict:
+                continue
+        raise Conflict(f"{retries} other versions came first")
 
     def compact(self, target: int = TARGET_BYTES, smallest: int = SMALLEST_BYTES, fanout: int = FANOUT) -> int:
-        """Merges until no tier has ``fanout`` shards that fit together; every job's merges are committed at once."""
+        """Merges until no tier has ``fanout`` shards that fit together; every job's merges are committed at once. Merged shards stay
+        until ``vacuum``."""
         while True:
             base, schema, shards = self.manifest()
             groups = merges(shards, target, smallest, fanout)[:MERGES_A_JOB]
@@ -125,23 +140,28 @@ class ShardStore:
                 whole = whole.union(part)
             made = self._write(whole, 1 + max(s.level for g in groups for s in g))
             gone = {s.name for g in groups for s in g}
-            self.commit(base, schema, [s for s in shards if s.name not in gone] + made)
-            self.vacuum()
-
-    def vacuum(self, keep_versions: int = 1) -> None:
-        """Deletes shards that none of the last ``keep_versions`` versions names, and older manifests."""
-        last = self.version()
+            try:
+                self.commit(base, schema, [s for s in shards if s.name not in gone] + made)
+            except Conflict:  # the merged shards are of a version that is no longer the last: they are left to vacuum
+                continue
+
+    def vacuum(self, keep_versions: int = KEEP_VERSIONS, keep_seconds: float = KEEP_SECONDS) -> int:
+        """Deletes files that none of the last ``keep_versions`` versions names, and older manifests, if they are more than
+        ``keep_seconds`` old; the number of files deleted. A writer that takes longer than that to commit may lose its shards."""
+        last, before = self.version(), (time.time() - keep_seconds) * 1000
         live = {s.name for v in range(max(1, last - keep_versions + 1), last + 1) for s in self.manifest(v)[2]}
-        runs = {n.rpartition("/")[0] for n in live}
-        for name, _ in self._list("shards"):
-            if f"shards/{name}" not in runs:
-                self._fs.delete(self._path(f"{self.path}/shards/{name}"), True)
-            else:
-                for file, _ in self._list(f"shards/{name}"):
-                    if file.startswith("part-") and f"shards/{name}/{file}" not in live:
-                        self._fs.delete(self._path(f"{self.path}/shards/{name}/{file}"), False)
+        gone = 0
+        for run, _ in self._list("shards"):
+            for file in self._fs.listStatus(self._path(f"{self.path}/shards/{run}")):
+                name = file.getPath().getName()
+                if name.startswith("part-") and f"shards/{run}/{name}" not in live and file.getModificationTime() < before:
+                    self._fs.delete(file.getPath(), False)
+                    gone += 1
         for v in range(1, last - keep_versions + 1):
-            self._fs.delete(self._path(f"{self.path}/manifest/v{v:08d}"), False)
+            at = self._path(f"{self.path}/manifest/v{v:08d}")
+            if self._fs.exists(at) and self._fs.getFileStatus(at).getModificationTime() < before:
+                self._fs.delete(at, False)
+        return gone
 
     def read(self, version: int | None = None) -> DataFrame:
         """Rows of a version, with the columns ``shard`` (name), ``shard_bytes``, ``shard_level`` and ``manifest_version`` behind

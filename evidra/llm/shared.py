@@ -1,40 +1,13 @@
-"""Folders that driver and executors share, and small helpers of the operators in this subpackage."""
+"""Small helpers of the operators in this subpackage; folders and tables are those of ``evidra.sources.shared``."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from evidra.sources.shared import checkpoint_root, forget, new_folder, stored, table
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one of this machine only where the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
-    set_already = sc._jsc.sc().getCheckpointDir()
-    if not set_already.isDefined():
-        sc.setCheckpointDir(root or tempfile.mkdtemp(prefix="evidra-"))
-        set_already = sc._jsc.sc().getCheckpointDir()
-    return (root or set_already.get()).rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A path under the shared root that no other run uses."""
-    return f"{checkpoint_root(spark)}/evidra-{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet into the shared root and read again: lineage ends there, so lost executors cost no rework."""
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["checkpoint_root", "crc_mod", "forget", "new_folder", "stored", "table"]
 
 
 def crc_mod(doc_id: Column, n: int) -> Column:

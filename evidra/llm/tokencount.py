@@ -26,11 +26,12 @@ REMEMBERED, REMEMBERED_CHARS = 300_000, 64
 
 
 def sentencepiece_vocabulary(path: str) -> list[tuple[str, float]]:
-    """(piece, score) in order of id from a SentencePiece model file; read where the job is planned."""
+    """(piece, score) in order of id from a SentencePiece model file, without its control pieces and the unknown one, which no
+    text holds; read where the job is planned."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    return [(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size())]
+    return [(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i))]
 
 
 class UnigramCounter:
@@ -41,7 +42,7 @@ class UnigramCounter:
         for piece, score in vocabulary:
             if piece:
                 self.scores[piece] = score
-        self.unknown_score = min(score for _, score in vocabulary) - UNKNOWN_PENALTY
+        self.unknown_score = min((score for _, score in vocabulary), default=0.0) - UNKNOWN_PENALTY  # of no piece, every character is unknown
         self.has_bytes = [f"<0x{b:02X}>" in self.scores for b in range(256)]
         self.automaton = ahocorasick.Automaton()
         for piece, score in self.scores.items():

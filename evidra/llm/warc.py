@@ -121,11 +121,14 @@ def read_frame(source, frame: tuple[int, int, int]) -> bytes:
 
 def with_record_types(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", url_col: str = "url", least: int = REVISIT_LEAST) -> DataFrame:
     """(id, url, payload binary, digest, refers_to) of each page: refers_to is the least id among the rows of an equal
-    payload of at least ``least`` bytes, null for rows with that id. Digests meet, payloads of long records follow them."""
+    payload of at least ``least`` bytes, null for rows with that id. Shorter payloads refer to none, so however many are equal,
+    they are dealt by their rows."""
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
     first = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    found = rows.join(first, "digest", "left")
+    alone = F.concat_ws("-", "id", F.xxhash64("url").cast("string"))
+    keyed = rows.withColumn("__key", F.when(F.octet_length("payload") >= least, F.col("digest")).otherwise(alone))
+    found = keyed.join(first.withColumnRenamed("digest", "__key"), "__key", "left")
     return found.select("id", "url", "payload", "digest", F.when(F.col("id").eqNullSafe(F.col("first_id")), None).otherwise(F.col("first_id")).alias("refers_to"))
 
 

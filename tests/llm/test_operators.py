@@ -143,6 +143,47 @@ def test_store_keeps_rows_and_versions(spark):
         store.append(spark.range(1))
 
 
+def test_readers_and_writers_keep_their_files(spark):
+    store, other = (sharding.ShardStore(spark, path) for path in [new_folder(spark, "store")] * 2)
+    for k in range(4):
+        store.append(spark.range(k * 10, k * 10 + 10).coalesce(1))
+    reader = other.read()
+    base, schema, shards = other.manifest()
+    pending = other._write(spark.range(100, 105).coalesce(1), 0)  # no version names it yet
+    assert store.compact() == base + 1 and store.vacuum() == 0
+    assert reader.count() == 40
+    with pytest.raises(sharding.Conflict):
+        other.commit(base, schema, shards + pending)
+    base, schema, shards = other.manifest()
+    other.commit(base, schema, shards + pending)
+    assert sorted(r[0] for r in store.read().select("id").collect()) == [*range(40), *range(100, 105)]
+    assert store.vacuum(keep_versions=1, keep_seconds=-60) == 4 and store.read().count() == 45
+
+
+def test_two_writers_append_both(spark, monkeypatch):
+    first, second = (sharding.ShardStore(spark, path) for path in [new_folder(spark, "store")] * 2)
+    write = first._write
+
+    def late(rows, level):
+        made = write(rows, level)
+        second.append(spark.range(10, 20).coalesce(1))
+        monkeypatch.setattr(first, "_write", write)
+        return made
+
+    monkeypatch.setattr(first, "_write", late)
+    first.append(spark.range(10).coalesce(1))
+    assert sorted(r[0] for r in first.read().select("id").collect()) == list(range(20)) and first.version() == 2
+
+
+def test_store_of_odd_rows(spark):
+    rows = spark.createDataFrame([(1, None, "a"), (1, None, "a"), (None, "", None)], "doc_id long, text string, shard_bytes string")
+    store = sharding.ShardStore(spark, new_folder(spark, "store"))
+    store.append(rows)
+    store.append(rows.limit(0))
+    store.compact(fanout=1)
+    assert sorted(((r["doc_id"], r["text"]) for r in store.read().collect()), key=repr) == [(1, None), (1, None), (None, "")]
+
+
 def test_merges_stay_in_their_tier_and_below_the_target():
     shards = [sharding.Shard(f"a{k}", 100, 0) for k in range(7)] + [sharding.Shard(f"b{k}", 5000, 0) for k in range(3)]
     groups = sharding.merges(shards, target=350, smallest=10, fanout=4)

@@ -43,3 +43,26 @@ def test_empty_documents_pass_all_stages(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stored(stage(spark, docs, SF), "empty")
         assert docs.count() == 0
+
+
+def test_dedup_stage_keeps_null_texts_and_the_least_of_repeated_rows(spark):
+    rows = [(None, None, "en", "b"), (None, None, "en", "a"), (7, None, "de", "b"), (7, None, "de", "b"), (5, "x y", "de", "b"), (5, "x y", "de", "a"), (5, "x y", "en", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found = corpus_pipeline.near_dedup_stage(spark, docs, SF)
+    assert found.columns == docs.columns
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted([*rows[:4], (5, "x y", "de", "a")], key=repr)
+
+
+def test_stages_keep_columns_of_their_own_names(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    docs = docs.withColumns({"quality_score": F.lit("q"), "n_hit": F.lit(-1), "n_words": F.lit("w"), "items": F.lit(3.5), "size": F.lit("s"), "node": F.lit(1)})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stored(stage(spark, docs, SF), "clash-" + name.replace(" ", "-"))
+        assert docs.columns[5:] == ["quality_score", "n_hit", "n_words", "items", "size", "node"]
+        assert {tuple(r[5:]) for r in docs.collect()} <= {("q", -1, "w", 3.5, "s", 1)}
+
+
+def test_stages_take_null_texts_and_sources(spark):
+    docs = spark.createDataFrame([(1, None, None, None), (2, "", "en", None), (None, "words of a plain sort " * 4, None, "s")], "doc_id long, text string, lang string, source string")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, SF).count() <= 6
