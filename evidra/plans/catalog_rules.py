@@ -75,7 +75,7 @@ def content_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", rules.fingerprint(["c_name", "c_nationkey", "c_mktsegment"]).alias("digest"))
 
 
-@query("sentence_counts")
+@query("sentence_counts", "SELECT doc_id, (len(regexp_extract_all(trim(text), '[.!?]\\s+\\p{Lu}')) + 1)::BIGINT AS n FROM documents WHERE text IS NOT NULL AND trim(text) <> ''")
 def sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.sentences(table(spark, sf_dir, "documents"), "doc_id", "text").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidra.functions.text import ACCENTED, PLAIN
 
+from .shared import new_folder
+
 #: Cells that mean "not available".
 NA = ("", "na", "n/a", "nan", "-", "—", "nr", "none", "null")
 #: Canonical columns and the headers that name them, after folding.
@@ -75,8 +78,23 @@ def typed(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     return rows.select(*columns), findings.select(key, "column", "value", "code")
 
 
+#: Encodings that Spark's reader takes itself.
+_OWN = ("utf-8", "utf-16", "utf-16be", "utf-16le", "utf-32", "iso-8859-1", "us-ascii")
+
+
 def read_delimited(spark: SparkSession, path: str, delimiter: str = ";", encoding: str = "UTF-8") -> DataFrame:
-    """Cells as text under their headers."""
+    """Cells as text under their headers. Files in an encoding that Spark does not read are copied to the shared folder as UTF-8,
+    file by file."""
+    if encoding.lower() not in _OWN:
+        codec = encoding.lower().replace("windows-", "cp")
+
+        def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([bytes(c.as_py()).decode(codec, "replace") for c in batch.column(0)], pa.string())], ["value"])
+
+        copies = new_folder(spark, "utf8")
+        spark.read.format("binaryFile").load(path).select("content").mapInArrow(decode, "value string").write.option("maxRecordsPerFile", 1).text(copies)
+        path, encoding = copies, "UTF-8"
     return spark.read.option("header", True).option("sep", delimiter).option("encoding", encoding).option("multiLine", True).csv(path)
 
 

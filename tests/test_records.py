@@ -67,10 +67,11 @@ def test_nine_digit_ids_need_their_check_digit(spark):
 
 
 def test_final_judgements_come_from_the_whole_table(spark):
-    from evidra.plans import catalog, catalog_rules  # noqa: F401
+    from evidra.plans import catalog, load_all
 
     from .conftest import SF
 
+    load_all()
     lines = spark.read.parquet(f"{SF}/lineitem.parquet").where("l_quantity <= 4 OR l_quantity >= 50")
     found = catalog.QUERIES["rob_final_all"](spark, SF).collect()
     assert {r["study"] for r in found} == {r[0] for r in lines.select("l_partkey").distinct().collect()}
