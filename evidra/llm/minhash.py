@@ -2,15 +2,14 @@
 
 Steps, all of them Spark jobs over whole texts:
 
-1. document frequencies of shingles, counted over every row in a hashed feature space of fixed size (as feature hashing
-   in common IDF estimators): bounded to ``FEATURES`` numbers, whatever the input; they weigh samples only, and so name
-   candidates;
+1. document frequencies of shingles, counted over every row and written; the greatest one of each of ``FEATURES`` hash
+   buckets is broadcast, which bounds what is sent, whatever the input: it weighs samples only, and so names candidates;
 2. for each row, ``BANDS * ROWS`` ICWS samples of its shingles, weighted by term frequency times inverse document
    frequency; ``ROWS`` samples make one band key;
 3. rows of equal text become one node; nodes that share a band key become candidates of a pivot in that bucket, never of
    each other all at once;
 4. each candidate pair is verified by the exact weighted Jaccard similarity of the two whole texts, with weights from the
-   exact document frequency of each shingle (a written table that is joined to the candidates' shingles);
+   exact document frequency of each shingle (joined to the candidates' shingles);
 5. where members of a bucket are still in different components, those outside its largest component are compared by
    their exact weights with all its members, block by block inside tasks, so that no link is lost; a block sends on only
    the links that join what was apart. Components of all links are the classes.
@@ -26,8 +25,9 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
-from .shared import stored
+from evidra.operators.components import components, dealt_join
+from evidra.sources.shared import forget, stored
+
 from .textnum import ALNUM, blocks, mix64, shingles, spans, text_bytes, word_hashes
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -38,7 +38,6 @@ BLOCK_ROWS = 512
 
 _LEVELS = 1 << 16
 _UNIFORM = (np.arange(_LEVELS) + 0.5) / _LEVELS
-_MINUS_LOG = -np.log(_UNIFORM)
 
 
 def _gamma_quantiles() -> np.ndarray:
@@ -51,7 +50,8 @@ def _gamma_quantiles() -> np.ndarray:
     return (low + high) / 2
 
 
-_GAMMA = _gamma_quantiles()
+#: Single precision: the same term and weight give the same numbers everywhere, which is all that samples need.
+_GAMMA, _BETA, _MINUS_LOG = (x.astype(np.float32) for x in (_gamma_quantiles(), _UNIFORM, -np.log(_UNIFORM)))
 
 
 def _row_terms(column: pa.Array) -> Iterator[tuple[int, int, list[tuple[np.ndarray, np.ndarray]]]]:
@@ -64,31 +64,15 @@ def _row_terms(column: pa.Array) -> Iterator[tuple[int, int, list[tuple[np.ndarr
         yield i, j, [np.unique(made[a:b], return_counts=True) for a, b in zip(made_bounds[:-1], made_bounds[1:], strict=True)]
 
 
-def document_frequencies(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """idf of each hashed feature as float64[FEATURES + 1]: log((1 + N) / (1 + df)) + 1, the last one that of no row.
-
-    Every row with at least one shingle counts. Each task sends at most FEATURES counts, which are summed before the
-    shuffle's reducers send as many numbers to the driver.
-    """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df = np.zeros(FEATURES + 1, np.int64)
-        for batch in batches:
-            for _, _, rows in _row_terms(batch.column(0)):
-                for terms, _ in rows:
-                    if terms.size:
-                        df[np.unique(terms & np.uint64(FEATURES - 1)).astype(np.int64)] += 1
-                        df[FEATURES] += 1
-        seen = np.flatnonzero(df)
-        for k in range(0, seen.size, 50_000):
-            part = seen[k : k + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(df[part])], ["feature", "df"])
-
-    counted = docs.select(F.col(text_col)).mapInArrow(count, "feature int, df long").groupBy("feature").agg(F.sum("df").alias("df"))
-    total = np.zeros(FEATURES + 1)
-    for row in counted.collect():  # at most FEATURES + 1 rows
-        total[row[0]] = row[1]
-    return np.log((1 + total[FEATURES]) / (1 + total)) + 1
+def bucket_weights(counts: DataFrame, n_docs: int) -> np.ndarray:
+    """float32[FEATURES]: log((1 + N) / (1 + df)) + 1 of the most frequent shingle in each hash bucket, for samples only. ``counts``
+    (shingle, df) holds those above one."""
+    bucket = F.col("shingle").bitwiseAND(F.lit(FEATURES - 1)).cast("int").alias("bucket")
+    found = counts.where("shingle IS NOT NULL").groupBy(bucket).agg(F.max("df").alias("df")).collect()  # FEATURES rows at most
+    df = np.ones(FEATURES)
+    for row in found:
+        df[row[0]] = row[1]
+    return (np.log((1 + n_docs) / (1 + df)) + 1).astype(np.float32)
 
 
 def icws(terms: np.ndarray, weights: np.ndarray, bounds: np.ndarray, n_samples: int) -> np.ndarray:
@@ -98,20 +82,25 @@ def icws(terms: np.ndarray, weights: np.ndarray, bounds: np.ndarray, n_samples:
     t = floor(ln w / r + beta), ln a = ln c - r (t - beta) - r, and the least a is sampled. Equal samples have the
     probability of the generalised Jaccard similarity. The result holds hashes and integers only, never floats.
     """
-    log_w = np.log(weights)
+    log_w = np.log(weights.astype(np.float32))
     lengths = np.diff(bounds)
     first = bounds[:-1]
     low = np.uint64(_LEVELS - 1)
     out = np.empty((first.size, n_samples), np.uint64)
     for k in range(n_samples):
         x = mix64(terms + np.uint64((0xA0761D6478BD642F * (k + 1)) & 0xFFFFFFFFFFFFFFFF))
-        r = _GAMMA[(x & low).astype(np.intp)]
-        beta = _UNIFORM[((x >> np.uint64(16)) & low).astype(np.intp)]
-        c = _MINUS_LOG[((x >> np.uint64(32)) & low).astype(np.intp)]
-        c += _MINUS_LOG[(x >> np.uint64(48)).astype(np.intp)]
-        t = np.floor(log_w / r + beta)
+        r = _GAMMA[(x & low).view(np.int64)]
+        beta = _BETA[((x >> np.uint64(16)) & low).view(np.int64)]
+        c = _MINUS_LOG[((x >> np.uint64(32)) & low).view(np.int64)]
+        c += _MINUS_LOG[(x >> np.uint64(48)).view(np.int64)]
+        t = log_w / r
+        t += beta
+        np.floor(t, out=t)
         np.log(c, out=c)
-        c -= r * (t - beta + 1)
+        beta -= t
+        beta -= np.float32(1)
+        beta *= r
+        c += beta
         least = np.minimum.reduceat(c, first)
         hits = np.flatnonzero(c == np.repeat(least, lengths))
         won = hits[np.searchsorted(hits, first)]
@@ -132,7 +121,7 @@ def band_keys(samples: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 def signatures(docs: DataFrame, idf: np.ndarray, text_col: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(id, node, keys) of each row: node is the text's MD5 as binary, keys its band keys (none if it has no word)."""
-    shared_idf = docs.sparkSession.sparkContext.broadcast(idf)  # FEATURES + 1 numbers
+    shared_idf = docs.sparkSession.sparkContext.broadcast(idf)  # FEATURES numbers
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = shared_idf.value
@@ -214,15 +203,6 @@ def _weights(terms_of: list[tuple[np.ndarray, np.ndarray]], places: pa.ListArray
     return out
 
 
-def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], idf: np.ndarray) -> float:
-    """Sum of the lesser over sum of the greater weights of two shingle counts; 0 where either has none."""
-    (ta, ca), (tb, cb) = a, b
-    if not ta.size or not tb.size:
-        return 0.0
-    wa, wb = (c * idf[(t & np.uint64(FEATURES - 1)).astype(np.int64)] for t, c in (a, b))
-    return likeness((ta, wa), (tb, wb))
-
-
 def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Sum of the lesser over sum of the greater of two rows' weights."""
     (ta, wa), (tb, wb) = a, b
@@ -308,6 +288,12 @@ def open_links(rooted: DataFrame, texts: DataFrame, n_docs: int, similarity: flo
     return few.select(fields).union(every.select(fields)).groupBy("bucket", "i", "j").applyInArrow(meet, "member binary, pivot binary")
 
 
+def of_least_id(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those of ``rows`` (id, node, ...) whose id is the least of their text: both are keys of the join, so copies are spread."""
+    own = nodes.select(F.col("node").alias("__node"), F.col("least_id").alias("__id"))
+    return rows.join(own, (F.col("node") == F.col("__node")) & F.col("id").eqNullSafe(F.col("__id"))).drop("__node", "__id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(id, node, class_id, n_copies) of every row of ``docs``.
 
@@ -318,37 +304,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are not read, whatever their names.
     """
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("node", F.unhex(F.md5("text")))
-    idf = document_frequencies(given)
-    rows = stored(signatures(given, idf), "signatures")
+    counts = stored(shingle_counts(given).where("shingle IS NULL OR df > 1"), "frequencies")
+    n_docs = counts.where("shingle IS NULL").agg(F.sum("df")).first()[0] or 0
+    rows = stored(signatures(given, bucket_weights(counts, n_docs)), "signatures")
     nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("least_id"), F.count(F.lit(1)).alias("n_copies"))
     nodes = stored(nodes, "nodes")
     # One row of each text; rows that repeat both id and text are alike, and the first of them serves.
-    single = rows.join(nodes.select("node", F.col("least_id").alias("own")), "node").where(F.col("id").eqNullSafe(F.col("own"))).dropDuplicates(["node"])
+    single = of_least_id(rows, nodes).dropDuplicates(["node"])
     members = single.select("node", F.explode("keys").alias("bucket"))
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = stored(members.join(sizes, "bucket"), "members")
     # Those that meet many others in many bands are the best pivots.
     weight = members.groupBy("node").agg((-F.sum("n")).alias("met"))
     todo = stored(members.join(weight, "node").select("node", "bucket", F.struct("met", "node").alias("rank")), "ranked")
-    used = weight.select("node")
-    texts = given.join(used, "node", "left_semi").join(nodes.select("node", F.col("least_id").alias("own")), "node")
-    texts = stored(texts.where(F.col("id").eqNullSafe(F.col("own"))).dropDuplicates(["node"]).select(F.monotonically_increasing_id().alias("number"), "node", "text"), "texts")
-    counts = stored(shingle_counts(given).where("shingle IS NULL OR df > 1"), "frequencies")
-    n_docs = counts.where("shingle IS NULL").agg(F.sum("df")).first()[0] or 0
-    texts = stored(with_frequencies(texts, counts.where("shingle IS NOT NULL")), "texts")
+    plain = of_least_id(given, nodes.join(weight.select("node"), "node", "left_semi")).dropDuplicates(["node"])
+    plain = stored(plain.select(F.monotonically_increasing_id().alias("number"), "node", "text"), "texts")
+    texts = stored(with_frequencies(plain, counts.where("shingle IS NOT NULL")), "texts")
+    forget(members, plain, counts)
 
     pivots = todo.groupBy("bucket").agg(F.min("rank").alias("top"))
     pairs = todo.join(pivots, "bucket").where(F.col("rank") != F.col("top")).select(F.col("node").alias("member"), F.col("top.node").alias("pivot")).distinct()
     links = stored(verified(pairs, texts, n_docs, similarity), "links")
-    roots = components(links, "member", "pivot")
-    rooted = stored(todo.select("node", "bucket").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    first_roots = components(links, "member", "pivot")
+    rooted = stored(todo.select("node", "bucket").join(first_roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     # In a bucket of two, the pivot was all that there was to compare.
     several = rooted.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("n")).where("r0 <> r1 AND n > 2").select("bucket")
     more = stored(open_links(rooted.join(several, "bucket", "left_semi"), texts, n_docs, similarity), "links")
     roots = components(links.union(more), "member", "pivot")
+    forget(texts, todo, links, more, rooted, first_roots)
 
     classes = nodes.select("node", "least_id", "n_copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = classes.groupBy("root").agg(F.min("least_id").alias("class_id"))
     classes = classes.join(least, "root").select("node", "class_id", "n_copies")
-    out = rows.select("id", "node").join(classes, "node", "left")
-    return out.select("id", "node", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
+    out = dealt_join(rows.where("node IS NOT NULL").select("id", "node"), classes, "node", "id").select("id", "node", "class_id", "n_copies")
+    return out.union(rows.where("node IS NULL").select("id", "node", "id", F.lit(1).cast("long")))
