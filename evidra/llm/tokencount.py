@@ -59,7 +59,7 @@ class UnigramCounter:
         best = [0.0] * (n + 1)
         known = [False] * (n + 1)
         matches: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-        for last, (length, score) in self.automaton.iter(text):
+        for last, (length, score) in self.automaton.iter(text) if self.scores else ():
             matches[last + 1].append((length, score))
         count, unknown = [0] * (n + 1), [0] * (n + 1)
         # Of the unknown run at the end of the best path: its units, and the pieces before it.

@@ -451,3 +451,48 @@ def test_ties_go_to_the_longest_last_piece():
         text = "".join(rng.choice("aab c") for _ in range(rng.randint(1, 12)))
         marked = "▁" + text.replace(" ", "▁")
         assert counter.count(text)[0] == len(reference.encode(marked, add_special_tokens=False).ids)
+
+
+def test_mass_is_that_of_the_power_iteration(spark):
+    """A random graph with cycles and hosts without links, whose mass returns to the seeds."""
+    rng = random.Random(9)
+    n, seed = 12, {0: 3.0, 4: 1.0}
+    links = Counter((rng.randrange(9), rng.randrange(n)) for _ in range(40))
+    links = {(a, b): k for (a, b), k in links.items() if a != b}
+    out = Counter()
+    for (a, _), k in links.items():
+        out[a] += k
+    step = np.zeros((n, n))
+    for (a, b), k in links.items():
+        step[b, a] = k / out[a]
+    start = np.array([seed.get(k, 0.0) for k in range(n)])
+    for k in range(n):
+        if not out[k]:
+            step[:, k] = start / start.sum()
+    expected = np.linalg.solve(np.eye(n) - 0.85 * step, 0.15 * start)
+    edges = spark.createDataFrame([(str(a), str(b), k / out[a]) for (a, b), k in links.items()], "a string, b string, share double")
+    seeds = spark.createDataFrame([(str(k), v) for k, v in seed.items()], "host string, seed double")
+    found = {int(r["host"]): r["mass"] for r in urlgraph._spread(edges, seeds, 0.85).collect()}
+    assert np.allclose([found.get(k, 0.0) for k in range(n)], expected, atol=1e-4)
+
+
+def test_long_texts_ties_and_repeated_rows(spark):
+    long = "wörd " * 60_000
+    docs = spark.createDataFrame([(1, long, "a"), (2, long, "a"), (2, long, "a"), (3, "x" * 300_000, "b"), (4, None, None)], "doc_id long, text string, source string")
+    benchmark = spark.createDataFrame([(7, "wörd " * 12), (8, None), (7, "wörd " * 12)], "item_id long, text string")
+    hit = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"]) for r in decontaminate.judged(docs, benchmark).collect()}
+    assert hit == {1: (60_000, 60_000, 1), 2: (60_000, 60_000, 1), 3: (1, 0, 0), 4: (0, 0, 0)}
+    assert mixing.taken_words(docs).count() == 5
+    prints = {(r["doc_id"], r["fingerprint"]) for r in fingerprint.edited_fingerprints(docs.select("doc_id", "text")).collect()}
+    assert len({f for k, f in prints if k in (1, 2)}) == 1
+    counts = tokencount.token_counts(docs, [("▁", -1.0), ("x", -2.0), ("xx", -2.5), ("▁wörd", -1.5)]).collect()
+    assert sorted((r["doc_id"], r["n_tokens"]) for r in counts)[:1] == [(1, 60_001)] and len(counts) == 5
+    assert tokencount.token_counts(docs.where("doc_id = 1"), []).first()["n_unknown"] > 0
+    scores = lm.judged(docs.select("doc_id", "text")).collect()
+    assert len(scores) == 5 and len({r["score"] for r in scores if r["doc_id"] in (1, 2)}) == 1
+
+
+def test_parts_of_a_benchmark_give_what_one_does(spark):
+    docs, benchmark = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
+    one, many = (sorted(map(tuple, decontaminate.find_passages(docs.select("doc_id", "text"), benchmark, part_words=n).select("doc_id", "n_hit", F.array_join("items", ",")).collect())) for n in (500_000, 400))
+    assert one == many and any(r[1] for r in one)
