@@ -34,7 +34,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     other columns in their order. Rows with a null text all stay, for they are like no other; so do rows with a null id whose
     text has no other (one of each text)."""
     found = minhash.near_duplicates(docs)
-    heads = found.where("node IS NOT NULL AND id <=> class_id").select(F.col("id").alias("__id"), F.col("node").alias("__node")).distinct()
+    heads = found.where("node IS NOT NULL AND representative").select(F.col("id").alias("__id"), F.col("node").alias("__node")).distinct()
     own = docs.where("text IS NOT NULL").withColumn("__own", F.unhex(F.md5("text")))
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__node"))
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]

@@ -295,10 +295,12 @@ def of_least_id(rows: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """(id, node, class_id, n_copies) of every row of ``docs``.
+    """(id, node, class_id, n_copies, representative) of every row of ``docs``.
 
     ``class_id`` is the least id among the rows of a class; classes are the components of links between texts whose
-    weighted Jaccard similarity is at least ``similarity``. ``n_copies`` rows have this very text.
+    weighted Jaccard similarity is at least ``similarity``. ``n_copies`` rows have this very text. The representative is the
+    row of the least (id, node), so a class whose least id stands in rows of several texts has one still; rows that repeat
+    both id and text are one document, and each says the same.
     Texts without a word are alike only if equal. A null text is like no other row and its class is its own id; null ids
     are never a class's least id unless it has no other. An empty table gives an empty result; other columns of ``docs``
     are not read, whatever their names.
@@ -334,7 +336,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     forget(texts, todo, links, more, rooted, first_roots)
 
     classes = nodes.select("node", "least_id", "n_copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = classes.groupBy("root").agg(F.min("least_id").alias("class_id"))
-    classes = classes.join(least, "root").select("node", "class_id", "n_copies")
-    out = dealt_join(rows.where("node IS NOT NULL").select("id", "node"), classes, "node", "id").select("id", "node", "class_id", "n_copies")
-    return out.union(rows.where("node IS NULL").select("id", "node", "id", F.lit(1).cast("long")))
+    least = classes.groupBy("root").agg(F.min(F.struct(F.isnull("least_id").alias("no_id"), "least_id", "node")).alias("head"))
+    classes = classes.join(least, "root").select("node", F.col("head.least_id").alias("class_id"), "n_copies", (F.col("node") == F.col("head.node")).alias("heads"))
+    own = F.col("heads") & F.col("id").eqNullSafe(F.col("class_id"))
+    out = dealt_join(rows.where("node IS NOT NULL").select("id", "node"), classes, "node", "id").select("id", "node", "class_id", "n_copies", own.alias("representative"))
+    return out.union(rows.where("node IS NULL").select("id", "node", "id", F.lit(1).cast("long"), F.lit(True)))

@@ -17,7 +17,7 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: its class of near duplicates, the rows with its very text, and whether it is the class's representative."""
     found = minhash.near_duplicates(table(spark, sf_dir, "documents"))
-    return found.select(F.col("id").alias("doc_id"), "class_id", "n_copies", (F.col("id") == F.col("class_id")).alias("representative"))
+    return found.select(F.col("id").alias("doc_id"), "class_id", "n_copies", "representative")
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
