@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, lm, minhash, mixing, quality, sharding, tokencount, urlgraph, warc
+from . import decontaminate, filteraudit, fingerprint, lm, minhash, mixing, quality, sharding, spelling, tokencount, urlgraph, warc, wavelet
 from .shared import new_folder, table
 
 #: Vocabulary of the token counts: a SentencePiece model file, installed on the machine that plans the job.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 
+#: Tokenizer of the token ids: a file of the ``tokenizers`` library, installed on the machine that plans the job.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: its class of near duplicates, the rows with its very text, and whether it is the class's representative."""
@@ -67,8 +70,24 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), tokencount.sentencepiece_vocabulary(VOCABULARY))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per part, order of five filters and step: what the step removes, and what it would remove in other orders."""
+    return filteraudit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document, read back from wavelet matrix shards: where its token ids start, how many they are, and their crc32."""
+    index = wavelet.written(table(spark, sf_dir, "documents"), TOKENIZER, new_folder(spark, "tokens"))
+    return wavelet.document_rows(index)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per word that is frequent enough: its most frequent near word, the end of the chain of such words, and counts."""
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash, op2_warc, op3_decontamination, op4_fingerprints, op5_sharding, op6_mixing, op7_quality, op8_lm, op9_urls, op10_tokens)
+    f.__name__: f for f in (op1_minhash, op2_warc, op3_decontamination, op4_fingerprints, op5_sharding, op6_mixing, op7_quality, op8_lm, op9_urls, op10_tokens, op11_filter_audit, op12_token_ids, op13_spelling_variants)
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_warc": warc.SQL, "op3_decontamination": decontaminate.SQL, "op6_mixing": mixing.SQL, "op9_urls": urlgraph.SQL}
+ORACLE_SQL: dict[str, str] = {"op2_warc": warc.SQL, "op3_decontamination": decontaminate.SQL, "op6_mixing": mixing.SQL, "op9_urls": urlgraph.SQL, "op11_filter_audit": filteraudit.SQL, "op13_spelling_variants": spelling.SQL}
