@@ -84,10 +84,11 @@ def begg_normal(studies: DataFrame, continuity: bool = False) -> DataFrame:
 
 
 def line_test(fit: DataFrame, coefficient: str) -> DataFrame:
-    """(analysis_id, k, estimate, se, t, df, p) of the intercept or slope of ``regression``: t(k - 2)."""
+    """(analysis_id, k, estimate, se, t, df, p) of the intercept or slope of ``regression``: t(k - 2). An analysis of fewer than three
+    studies has no test and no row."""
     from .profiles import t_p
 
-    m = fit.select(KEY, "k", F.col(coefficient).alias("estimate"), F.col(f"se_{coefficient}").alias("se"))
+    m = fit.where("k >= 3").select(KEY, "k", F.col(coefficient).alias("estimate"), F.col(f"se_{coefficient}").alias("se"))
     m = m.withColumns({"t": F.col("estimate") / F.nullif(F.col("se"), F.lit(0.0)), "df": F.col("k") - 2.0})
     return m.withColumn("p", t_p("t", "df"))
 

@@ -14,6 +14,7 @@ from evidra.functions import names as N
 from evidra.sources.shared import stored
 
 from .components import components
+from .titles import met_in_blocks, with_ratio
 
 #: Identifiers from the strongest to the weakest.
 KINDS = ("pmid", "doi", "pmcid", "eid", "openalex", "nct")
@@ -27,7 +28,7 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def title_similarity(a: Column, b: Column) -> Column:
     """Of two normalised titles: the Jaccard similarity of their words, at least 0.95 where one of six words or more begins the
-    other; null where either is null or empty."""
+    other; null where either is null or empty. Functions that are ``full`` take the greater of this and the sequence ratio."""
     short, long = F.when(F.length(a) <= F.length(b), a).otherwise(b), F.when(F.length(a) <= F.length(b), b).otherwise(a)
     begins = long.startswith(F.concat(short, F.lit(" "))) & (F.size(F.split(short, " ")) >= PREFIX_WORDS)
     words = lambda x: F.array_distinct(F.split(x, " "))
@@ -36,12 +37,16 @@ def title_similarity(a: Column, b: Column) -> Column:
 
 
 def signatures(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((rep, title, author, journal, year, n), (rec_id, rep)): one row for each normalised title, first author's key and year, with
-    the least record of it, its least journal and the number of records; and every record with its representative."""
-    own = records.select("rec_id", N.norm_title(F.col("title")).alias("title"), N.norm_surname(F.col("author")).alias("author"), N.journal_key(F.col("journal")).alias("journal"), "year")
+    """((rep, title, author, journal, year, n, keys), (rec_id, rep)): one row for each normalised title, first author's key and year,
+    with the least record of it, its least journal, the number of records and all keys of the author's names; and every record
+    with its representative."""
+    own = records.select(
+        "rec_id", N.norm_title(F.col("title")).alias("title"), N.norm_surname(F.col("author")).alias("author"), N.journal_key(F.col("journal")).alias("journal"), "year",
+        F.coalesce(N.name_keys(F.col("author")), F.array().cast("array<string>")).alias("keys"),
+    )
     keys = ["title", "author", "year"]
     own = own.fillna("", ["title", "author"])
-    reps = own.groupBy(*keys).agg(F.min("rec_id").alias("rep"), F.min("journal").alias("journal"), F.count(F.lit(1)).alias("n"))
+    reps = own.groupBy(*keys).agg(F.min("rec_id").alias("rep"), F.min("journal").alias("journal"), F.count(F.lit(1)).alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("keys")))).alias("keys"))
     same = [own[k].eqNullSafe(reps[k]) for k in keys]
     return reps, own.join(reps, same).select("rec_id", "rep")
 
@@ -57,12 +62,13 @@ def identity_links(ids: DataFrame) -> DataFrame:
     return known.join(heads, ["kind", "value"]).where("rec_id <> head").select(F.col("rec_id").alias("a"), F.col("head").alias("b")).distinct()
 
 
-def guarded_links(records: DataFrame, ids: DataFrame) -> DataFrame:
+def guarded_links(records: DataFrame, ids: DataFrame, full: bool = True) -> DataFrame:
     """(a, b, verdict) of each link of ``identity_links``: id_conflict where another kind has two values, bib_conflict where the
-    titles' similarity is below 0.5 and not both the first author and the year (one apart at most) agree, else same."""
+    titles' similarity is below 0.5 and not both the first author (by any key of the name) and the year (one apart at most) agree,
+    else same. Unless ``full``, titles are compared by their words alone and authors by equal surnames."""
     known = ids.where("value IS NOT NULL").groupBy("rec_id", "kind").agg(F.min("value").alias("value"))
     of = known.groupBy("rec_id").agg(F.map_from_entries(F.collect_list(F.struct("kind", "value"))).alias("ids"))
-    bib = records.select("rec_id", N.norm_title(F.col("title")).alias("title"), N.norm_surname(F.col("author")).alias("author"), "year").join(of, "rec_id", "left")
+    bib = records.select("rec_id", N.norm_title(F.col("title")).alias("title"), N.norm_surname(F.col("author")).alias("author"), N.name_keys(F.col("author")).alias("keys"), "year").join(of, "rec_id", "left")
     both = identity_links(ids)
     for side in ("a", "b"):
         both = both.join(bib.select(*[F.col(c).alias(f"{c}_{side}") for c in bib.columns]).withColumnRenamed(f"rec_id_{side}", side), side)
@@ -70,16 +76,20 @@ def guarded_links(records: DataFrame, ids: DataFrame) -> DataFrame:
     clash = F.exists(F.map_keys("ids_a"), lambda k: F.coalesce(other(k), F.lit(False)))
     similar = title_similarity(F.col("title_a"), F.col("title_b"))
     gap = F.abs(F.col("year_a") - F.col("year_b"))
-    agree = (F.col("author_a") == F.col("author_b")) & (F.col("author_a") != "") & F.coalesce(gap <= 1, F.lit(True))
+    if full:
+        both = with_ratio(both, GUARD)
+        similar = F.greatest(similar, F.when(similar.isNotNull(), F.col("ratio")))
+    author = (F.col("author_a") != "") & (F.col("author_b") != "") & ((F.col("author_a") == F.col("author_b")) | (F.arrays_overlap("keys_a", "keys_b") if full else F.lit(False)))
+    agree = author & F.coalesce(gap <= 1, F.lit(True))
     mismatch = F.coalesce((similar < GUARD) & ~F.coalesce(agree, F.lit(False)), F.lit(False))
     return both.select("a", "b", F.when(clash, "id_conflict").when(mismatch, "bib_conflict").otherwise("same").alias("verdict"))
 
 
-def merged_records(records: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+def merged_records(records: DataFrame, ids: DataFrame, full: bool = True) -> tuple[DataFrame, DataFrame]:
     """((rec_id, canonical), (root, kind, n_values)): every record with the least record that it is the same as through any
     chain of links without conflict, and the refused clusters: those in which a kind of identifier has several values. Their
     records stay apart."""
-    found = components(guarded_links(records, ids).where("verdict = 'same'"))
+    found = components(guarded_links(records, ids, full).where("verdict = 'same'"))
     placed = ids.where("value IS NOT NULL").join(found.withColumnRenamed("node", "rec_id"), "rec_id")
     refused = placed.groupBy("root", "kind").agg(F.countDistinct("value").alias("n_values")).where("n_values > 1")
     kept = found.join(refused.select("root").distinct(), "root", "left_anti").withColumnRenamed("node", "rec_id")
@@ -161,25 +171,41 @@ def similar_titles(reps: DataFrame, least: float = POSSIBLE) -> DataFrame:
     return pairs.union(titles.select("title", F.col("title").alias("title_b"), F.lit(1.0)))
 
 
-def classified(reps: DataFrame) -> DataFrame:
-    """(a, b, similarity, score, class) of representatives: probable with a similarity of 0.9, the same first author and years one
-    apart at most; possible with 0.8 and either. Without a title on either side: possible with the same author and year, and
-    no similarity. The score adds 0.03 for the same journal and takes 0.05 for each year between, within 0 and 1."""
-    own = reps.select("rep", "title", "author", "journal", "year")
+def ratio_pairs(reps: DataFrame, least: float = POSSIBLE) -> DataFrame:
+    """(title_a, title_b, similarity), title_a < title_b: titles of a sequence ratio of ``least`` or more whose records share a key
+    of the first author's name or are a year apart at most, each group of them in blocks."""
+    titled = reps.where("title <> ''")
+    by_author = titled.where("author <> ''").select(F.explode(F.transform("keys", lambda k: F.concat(F.lit("a"), k))).alias("key"), "title")
+    by_year = titled.where("year IS NOT NULL").select(F.explode(F.transform(F.array(F.col("year"), F.col("year") + 1), lambda y: F.concat(F.lit("y"), y.cast("string")))).alias("key"), "title")
+    return met_in_blocks(by_author.union(by_year), least).groupBy("title_a", "title_b").agg(F.max("ratio").alias("similarity"))
+
+
+def classified(reps: DataFrame, full: bool = True) -> DataFrame:
+    """(a, b, similarity, score, class) of representatives: probable with a similarity of 0.9, the same first author (by any key of
+    the name) and years one apart at most; possible with 0.8 and either. Without a title on either side: possible with the same
+    author and year, and no similarity. The score adds 0.03 for the same journal and takes 0.05 for each year between, within 0
+    and 1. Unless ``full``, titles are compared by their words alone and authors by equal surnames."""
+    own = reps.select("rep", "title", "author", "journal", "year", F.col("keys") if full else F.array("author").alias("keys"))
     left, right = (own.select(*[F.col(c).alias(f"{c}_{s}") for c in own.columns]) for s in ("a", "b"))
-    pairs = stored(similar_titles(reps), "titles")
+    found = similar_titles(reps)
+    if full:
+        found = found.union(ratio_pairs(reps)).groupBy("title_a", "title_b").agg(F.max("similarity").alias("similarity"))
+    pairs = stored(found, "titles")
     both = pairs.union(pairs.where("title_a <> title_b").select("title_b", "title_a", "similarity"))
-    # Through the author, and through years one apart at most: equal keys only, whatever the number of records of a title.
+    # Through the author's keys, and through years one apart at most: equal keys only, whatever the number of records of a title.
     near = right.withColumn("__year", F.explode(F.sequence(F.col("year_b") - 1, F.col("year_b") + 1)))
+    keyed = right.where("author_b <> ''").withColumn("__key", F.explode("keys_b"))
     with_left = both.join(left, "title_a")
-    by_author = with_left.where("author_a <> ''").join(right, (F.col("author_a") == F.col("author_b")) & with_left["title_b"].eqNullSafe(right["title_b"])).drop(right["title_b"])
+    with_keys = with_left.where("author_a <> ''").withColumn("__key", F.explode("keys_a"))
+    by_author = with_keys.join(keyed, (with_keys["__key"] == keyed["__key"]) & with_keys["title_b"].eqNullSafe(keyed["title_b"])).drop(keyed["title_b"]).drop("__key")
     by_year = with_left.join(near, (F.col("year_a") == F.col("__year")) & with_left["title_b"].eqNullSafe(near["title_b"])).drop(near["title_b"]).drop("__year")
     met = by_author.unionByName(by_year).where("rep_a < rep_b").dropDuplicates(["rep_a", "rep_b"])
-    no_title = left.where("author_a <> ''").join(right, (F.col("author_a") == F.col("author_b")) & (F.col("year_a") == F.col("year_b"))).where("rep_a < rep_b AND (title_a = '' OR title_b = '')").withColumn("similarity", F.lit(None).cast("double"))
-    columns = ["rep_a", "rep_b", "similarity", "author_a", "author_b", "journal_a", "journal_b", "year_a", "year_b"]
+    left_keys = left.where("author_a <> ''").withColumn("__key", F.explode("keys_a"))
+    no_title = left_keys.join(keyed, (left_keys["__key"] == keyed["__key"]) & (F.col("year_a") == F.col("year_b"))).drop("__key").where("rep_a < rep_b AND (title_a = '' OR title_b = '')").dropDuplicates(["rep_a", "rep_b"]).withColumn("similarity", F.lit(None).cast("double"))
+    columns = ["rep_a", "rep_b", "similarity", "author_a", "author_b", "keys_a", "keys_b", "journal_a", "journal_b", "year_a", "year_b"]
     rows = met.select(columns).union(no_title.select(columns))
     gap = F.abs(F.col("year_a") - F.col("year_b"))
-    author, year = (F.col("author_a") == F.col("author_b")) & (F.col("author_a") != ""), F.coalesce(gap <= 1, F.lit(False))
+    author, year = (F.col("author_a") != "") & (F.col("author_b") != "") & F.arrays_overlap("keys_a", "keys_b"), F.coalesce(gap <= 1, F.lit(False))
     kind = F.when(F.col("similarity").isNull(), "possible").when((F.col("similarity") >= PROBABLE) & author & year, "probable").when(author | year, "possible")
     bonus = F.when((F.col("journal_a") == F.col("journal_b")) & (F.col("journal_a") != ""), 0.03).otherwise(0.0)
     score = F.when(F.col("similarity").isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("similarity") + bonus - 0.05 * F.coalesce(gap, F.lit(0)))))
@@ -226,15 +252,21 @@ def errata(records: DataFrame) -> DataFrame:
     return records.where("erratum_of IS NOT NULL").join(parents, F.col("erratum_of") == F.col("parent")).select(F.col("rec_id").alias("erratum"), "parent")
 
 
-def report_series(reps: DataFrame, known: DataFrame, years: int = 5) -> DataFrame:
+def report_series(reps: DataFrame, known: DataFrame, years: int = 5, full: bool = True) -> DataFrame:
     """(a, b, rule): reports of one series that ``known`` pairs (a, b) don't hold: author, the same first author within ``years`` and
-    titles of a Jaccard similarity of 0.4; title, titles of 0.85 two years or more apart. Representatives of ``signatures``."""
+    titles of a Jaccard similarity of 0.4; title, titles of 0.85 two years or more apart, where the sequence ratio counts, too, if
+    the words' similarity is 0.6 (and ``full``). Representatives of ``signatures``; titles of one author meet in blocks."""
     own = reps.where("title <> '' AND author <> '' AND year IS NOT NULL").select("rep", "title", "author", "year")
     p, q = (own.select(*[F.col(c).alias(f"{c}_{s}") for c in own.columns]) for s in ("a", "b"))
-    near = p.join(q, (F.col("author_a") == F.col("author_b")) & (F.abs(F.col("year_a") - F.col("year_b")) <= years) & (F.col("rep_a") < F.col("rep_b")))
-    words = lambda c: F.array_distinct(F.split(c, " "))
-    by_author = near.where(jaccard(words("title_a"), words("title_b")) >= 0.4).select("rep_a", "rep_b", F.lit("author").alias("rule"))
-    alike = similar_titles(reps, 0.85).where("title_a <> title_b")
+    same = own.select(F.col("author").alias("key"), "title").distinct()
+    near = met_in_blocks(same, 1.0, overlap=0.4).select("key", "title_a", "title_b")
+    near = near.union(near.select("key", "title_b", "title_a")).union(same.select("key", "title", "title"))
+    met = near.join(p, (F.col("key") == F.col("author_a")) & near["title_a"].eqNullSafe(p["title_a"])).drop(p["title_a"])
+    met = met.join(q, (F.col("key") == F.col("author_b")) & met["title_b"].eqNullSafe(q["title_b"])).drop(q["title_b"])
+    by_author = met.where(F.abs(F.col("year_a") - F.col("year_b")) <= years).where("rep_a < rep_b").select("rep_a", "rep_b", F.lit("author").alias("rule"))
+    alike = similar_titles(reps, 0.6 if full else 0.85).where("title_a <> title_b")
+    if full:
+        alike = with_ratio(alike, 0.85).where("similarity >= 0.85 OR ratio >= 0.85").drop("ratio")
     apart = alike.join(p, "title_a").join(q, "title_b").where("abs(year_a - year_b) >= 2")
     by_title = apart.select(F.least("rep_a", "rep_b").alias("rep_a"), F.greatest("rep_a", "rep_b").alias("rep_b"), F.lit("title").alias("rule"))
     out = by_author.union(by_title).groupBy(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).agg(F.min("rule").alias("rule"))

@@ -130,17 +130,17 @@ def identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("l1_guard", f"WITH {_GUARDED} SELECT a, b, verdict FROM ver")
 def l1_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linkage.guarded_links(records(spark, sf_dir), identifiers(spark, sf_dir))
+    return linkage.guarded_links(records(spark, sf_dir), identifiers(spark, sf_dir), full=False)
 
 
 @query("l1_components", f"WITH RECURSIVE {_GUARDED}, {_MERGED} SELECT node AS rec_id, CASE WHEN root IN (SELECT root FROM bad) THEN node ELSE root END AS canonical FROM c")
 def l1_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linkage.merged_records(records(spark, sf_dir), identifiers(spark, sf_dir))[0]
+    return linkage.merged_records(records(spark, sf_dir), identifiers(spark, sf_dir), full=False)[0]
 
 
 @query("l1_refused", f"WITH RECURSIVE {_GUARDED}, {_MERGED} SELECT root, kind, n_values FROM bad")
 def l1_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linkage.merged_records(records(spark, sf_dir), identifiers(spark, sf_dir))[1]
+    return linkage.merged_records(records(spark, sf_dir), identifiers(spark, sf_dir), full=False)[1]
 
 
 _MOVES = "mv AS (SELECT c_custkey AS rec_id, CASE WHEN c_custkey % 4 = 0 THEN NULL WHEN c_custkey % 17 = 1 THEN c_custkey WHEN c_custkey % 4 = 3 THEN c_custkey - 3 ELSE c_custkey + 1 END AS merged_into FROM customer)"
@@ -223,6 +223,18 @@ _PAIRS = (
     "CASE WHEN s IS NOT NULL AND s >= 0.9 AND au AND dy <= 1 THEN 'probable' ELSE 'possible' END AS class FROM pr WHERE s >= 0.8 OR (s IS NULL AND au AND dy = 0)",
 )
 def l2_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(linkage.classified(bibliography(spark, sf_dir)[0], full=False))
+
+
+@query("l1_guard_ratio")
+def l1_guard_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``l1_guard`` with the sequence ratio, which SQL lacks."""
+    return linkage.guarded_links(records(spark, sf_dir), identifiers(spark, sf_dir))
+
+
+@query("l2_ratio")
+def l2_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``l2_classify`` with the sequence ratio."""
     return rounded(linkage.classified(bibliography(spark, sf_dir)[0]))
 
 
@@ -281,6 +293,13 @@ def l3_errata(spark: SparkSession, sf_dir: str) -> DataFrame:
     "r AS (SELECT a, b, CASE WHEN au AND dy <= 5 AND jac >= 0.4 THEN 'author' WHEN s >= 0.85 AND dy >= 2 AND NOT eq THEN 'title' END AS rule, s >= 0.8 AND near AS known FROM z) SELECT a, b, rule FROM r WHERE rule IS NOT NULL AND NOT known",
 )
 def l4_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reps = bibliography(spark, sf_dir)[0]
+    return linkage.report_series(reps, linkage.classified(reps, full=False), full=False)
+
+
+@query("l4_ratio")
+def l4_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``l4_series`` with the sequence ratio."""
     reps = bibliography(spark, sf_dir)[0]
     return linkage.report_series(reps, linkage.classified(reps))
 

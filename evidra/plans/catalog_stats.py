@@ -53,10 +53,13 @@ def t_p_sql(t: str, df: str) -> str:
     return f"CASE WHEN {t} IS NULL OR {df} < 1 THEN NULL WHEN {df} % 2 = 1 THEN {odd} ELSE {even} END"
 
 
+_Z_P = f"2 * {X.norm_cdf('(-abs(z))')}"  # one study has no spread and is tested by z
+
+
 @query(
     "meta_hksj",
-    f"WITH RECURSIVE {_ST}, {_M}, {_solved_sql('REML')}, o AS (SELECT *, mu / nullif(se * sqrt(scale), 0) AS stat, (k - 1)::DOUBLE AS df, se * sqrt(scale) AS se1, mu / (se * sqrt(greatest(1, scale))) AS stat_adhoc FROM p JOIN h USING (analysis_id)) "
-    "SELECT analysis_id, k, " + r(estimate="mu", se="se1", stat="stat", df="df", p=t_p_sql("stat", "df"), p_adhoc=t_p_sql("stat_adhoc", "df")) + " FROM o",
+    f"WITH RECURSIVE {_ST}, {_M}, {_solved_sql('REML')}, o AS (SELECT *, mu / nullif(se * sqrt(scale), 0) AS stat, (k - 1)::DOUBLE AS df, se * sqrt(scale) AS se1, mu / (se * sqrt(greatest(1, scale))) AS stat_adhoc, mu / se AS z, se AS se0 FROM p JOIN h USING (analysis_id)) "
+    "SELECT analysis_id, k, " + r(estimate="mu", **{c: f"CASE WHEN k = 1 THEN {one} ELSE {more} END" for c, one, more in (("se", "se0", "se1"), ("stat", "z", "stat"), ("df", "NULL", "df"), ("p", _Z_P, t_p_sql("stat", "df")), ("p_adhoc", _Z_P, t_p_sql("stat_adhoc", "df")))}) + " FROM o",
 )
 def meta_hksj(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = binary_studies(spark, sf_dir)
