@@ -4,22 +4,27 @@ Patterns are windows of ``WINDOW`` consecutive words of benchmark texts. Symbols
 a shift table maps the hash of a block of two words (one, if m is 1) to how far the search may move on; where the shift
 is 0, the buckets of that block's hash name the patterns that end so, and the words themselves are compared.
 
-The benchmark is cut into parts of at most ``PART_WORDS`` words, so that what the driver builds and broadcasts has a bound.
-Whole documents pass through one search for each part; what it finds is written before the next part's tables are made,
-so only one part's tables are held at a time.
+The benchmark is dealt into parts of about ``PART_WORDS`` words at most. Tasks build the tables of a part and write them as a file
+in the shared folder, which the searching tasks open; nothing of the benchmark but file names passes the driver. Each part is one
+search over the whole documents. Of all parts but the last only hits are kept, by the text's digest; the last search adds them.
 """
 
 from __future__ import annotations
 
+import functools
+import pickle
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .shared import forget, stored
+from .shared import new_folder, stored
 from .textnum import ALNUM, LOWER, blocks, mix64, spans, text_bytes, word_hashes
+from .warc import filesystem
 
 WINDOW = 10
 PART_WORDS = 500_000
@@ -93,19 +98,98 @@ def tables(items: list[tuple[int, str | None]], window: int = WINDOW) -> tuple[l
     return [WuManber(m, patterns) for m, patterns in sorted(by_length.items())], list(numbers)
 
 
-def _parts(benchmark: DataFrame, part_words: int) -> Iterator[list[tuple[int, str | None]]]:
-    """Items, a bounded part after the other; a longer single item is a part of its own."""
-    part: list = []
-    size = 0
-    for row in benchmark.toLocalIterator():
-        n = (len(row[1]) + 1) // 2 if row[1] else 0  # no text has more words
-        if part and size + n > part_words:
-            yield part
-            part, size = [], 0
-        part.append((row[0], row[1]))
-        size += n
-    if part:
-        yield part
+SPANS, ITEMS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])), pa.list_(pa.string())
+HITS = "__spans array<struct<a:bigint,b:bigint>>, __items array<string>, __n_words bigint"
+
+
+def table_files(benchmark: DataFrame, window: int = WINDOW, part_words: int = PART_WORDS) -> list[str]:
+    """Writes the search tables of all parts of ``benchmark`` (item_id, text) and returns their files. Items go to parts by hash, so
+    a part has half of ``part_words`` words on average; one item is never cut."""
+    spark = benchmark.sparkSession
+    folder = new_folder(spark, "benchmark")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array([spans(data, offsets, ALNUM)[0].size], pa.int64())], ["n"])
+
+    total = benchmark.select("text").mapInArrow(count, "n long").agg(F.sum("n")).first()[0] or 0
+    n_parts = max(1, -(-2 * total // part_words)) if 2 * total > part_words else 1
+
+    def build(group: pa.Table) -> pa.Table:
+        made = tables(list(zip(group.column("item_id").to_pylist(), group.column("text").to_pylist(), strict=True)), window)
+        store, root = filesystem(folder)
+        store.create_dir(root, recursive=True)
+        name = f"{uuid.uuid4().hex}.tables"
+        with store.open_output_stream(f"{root}/{name}", compression=None) as sink:
+            sink.write(pickle.dumps(made, protocol=5))
+        return pa.table({"file": [name]})
+
+    items = benchmark.select("item_id", "text").where("text IS NOT NULL").withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(n_parts)))
+    files = stored(items.groupBy("part").applyInArrow(build, "file string"), "benchmark-files")
+    return [f"{folder}/{row[0]}" for row in files.sort("file").collect()]
+
+
+@functools.lru_cache(maxsize=1)
+def _opened(file: str) -> tuple[list[WuManber], list]:
+    store, path = filesystem(file)
+    with store.open_input_stream(path) as source:
+        return pickle.loads(source.read())  # a file of this job's own tasks
+
+
+def _hits(texts: pa.Array, machines: list[WuManber], ids: list[str]) -> tuple[list[int], list[list[dict]], list[list[str]]]:
+    """(words, spans of words in windows, items of those windows) of each text."""
+    data, offsets = text_bytes(texts)
+    n_words, hits, items = [], [], []
+    for i, j in blocks(offsets):
+        part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        start, end, bounds = spans(part, at, ALNUM)
+        hashes = word_hashes(part, start, end)
+        low = LOWER[part].tobytes()
+        n_words += np.diff(bounds).tolist()
+        own_hits: list[list] = [[] for _ in range(j - i)]
+        own_items: list[set] = [set() for _ in range(j - i)]
+        for machine in machines:
+            if hashes.size < machine.m:
+                continue
+            keys = machine.block_keys(hashes)
+            shifts = machine.shifts(keys).tolist()
+            for row in range(j - i):
+                a, b = int(bounds[row]), int(bounds[row + 1])
+                upto = b - machine.block + 1
+                if b - a < machine.m:
+                    continue
+                for first, owners in machine.search(shifts[a:upto], keys[a:upto], low, start[a:b], end[a:b]):
+                    spans_of = own_hits[row]
+                    if spans_of and spans_of[-1]["b"] >= first >= spans_of[-1]["a"]:
+                        spans_of[-1]["b"] = max(spans_of[-1]["b"], first + machine.m)
+                    else:
+                        spans_of.append({"a": first, "b": first + machine.m})
+                    own_items[row].update(owners)
+        hits += own_hits
+        items += [[ids[k] for k in sorted(x)] for x in own_items]
+    return n_words, hits, items
+
+
+def _searched(rows: DataFrame, text_col: str, file: str | None, hit_only: bool = False) -> DataFrame:
+    """``rows`` with spans, items and n_words behind, from the tables in ``file``; only rows that are hit, without their text, if
+    ``hit_only``."""
+    text_at = rows.columns.index(text_col)
+    kept = [k for k in range(len(rows.columns)) if not (hit_only and k == text_at)]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machines, ids = _opened(file) if file else ([], [])
+        ids = ["" if x is None else str(x) for x in ids]
+        for batch in batches:
+            n_words, hits, items = _hits(batch.column(text_at), machines, ids)
+            made = [pa.array(hits, SPANS), pa.array(items, ITEMS), pa.array(n_words, pa.int64())]
+            out = pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), *made], [*(batch.schema.names[k] for k in kept), "__spans", "__items", "__n_words"])
+            yield out.filter(pa.array([bool(x) for x in hits], pa.bool_())) if hit_only else out
+
+    schema = rows.select(*[f"`{rows.columns[k]}`" for k in kept]).schema
+    for field in StructType.fromDDL(HITS).fields:
+        schema = schema.add(field)
+    return rows.mapInArrow(search, schema)
 
 
 def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_words: int = PART_WORDS, text_col: str = "text") -> DataFrame:
@@ -116,23 +200,21 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, p
     window. Items of one id count once; a null item id is the empty string. An empty benchmark hits nothing. Rows of
     ``docs`` are kept one for one, with all their columns (but for former n_words, n_hit and items).
     """
-    spark = docs.sparkSession
-    found = docs.drop("n_words", "n_hit", "items")
-    columns = found.columns
-    found = found.withColumn("__spans", F.expr("cast(array() AS array<struct<a:bigint,b:bigint>>)")).withColumn("__items", F.expr("cast(array() AS array<string>)")).withColumn("__n_words", F.lit(0).cast("long"))
-    chosen = benchmark.select("item_id", "text")
-    shared = held = None
-    for part in _parts(chosen, part_words):
-        if shared is not None:
-            found, before = stored(found, "passages"), held
-            held = found
-            shared.destroy()
-            if before is not None:
-                forget(before)
-        shared = spark.sparkContext.broadcast(tables(part, window))
-        found = _search_part(found, shared, text_col)
-    if shared is None:
-        found = _search_part(found, spark.sparkContext.broadcast(([], [])), text_col)
+    rows = docs.drop("n_words", "n_hit", "items")
+    columns = rows.columns
+    files = table_files(benchmark, window, part_words)
+    # Equal texts have equal hits: of each part but the last, one row a text that is hit.
+    digest = F.unhex(F.sha2(F.col(f"`{text_col}`"), 256))
+    before = [stored(_searched(rows.select(digest.alias("__digest"), f"`{text_col}`"), text_col, file, hit_only=True).drop("__n_words").dropDuplicates(["__digest"]), "passages") for file in files[:-1]]
+    if before:
+        rows = rows.withColumn("__digest", digest)
+    found = _searched(rows, text_col, files[-1] if files else None)
+    if before:
+        every = functools.reduce(DataFrame.union, before)
+        held = every.groupBy("__digest").agg(F.flatten(F.collect_list("__spans")).alias("__more"), F.flatten(F.collect_list("__items")).alias("__theirs"))
+        found = found.join(stored(held, "passages"), "__digest", "left")
+        for own, more in (("__spans", "__more"), ("__items", "__theirs")):
+            found = found.withColumn(own, F.when(F.col(more).isNull(), F.col(own)).otherwise(F.concat(own, more)))
     hit = F.aggregate(
         F.array_sort("__spans"),
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("upto")),
@@ -142,52 +224,6 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, p
     return found.select(*[F.col(f"`{c}`") for c in columns], F.col("__n_words").alias("n_words"), hit.alias("n_hit"), F.array_sort(F.array_distinct("__items")).alias("items"))
 
 
-def _search_part(docs: DataFrame, shared, text_col: str) -> DataFrame:
-    text_at, tail = docs.columns.index(text_col), len(docs.columns) - 3
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machines, ids = shared.value
-        ids = ["" if x is None else str(x) for x in ids]
-        for batch in batches:
-            data, offsets = text_bytes(batch.column(text_at))
-            n_words, hits, items = [], [], []
-            for i, j in blocks(offsets):
-                part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                start, end, bounds = spans(part, at, ALNUM)
-                hashes = word_hashes(part, start, end)
-                low = LOWER[part].tobytes()
-                n_words += np.diff(bounds).tolist()
-                own_hits: list[list] = [[] for _ in range(j - i)]
-                own_items: list[set] = [set() for _ in range(j - i)]
-                for machine in machines:
-                    if hashes.size < machine.m:
-                        continue
-                    keys = machine.block_keys(hashes)
-                    shifts = machine.shifts(keys).tolist()
-                    for row in range(j - i):
-                        a, b = int(bounds[row]), int(bounds[row + 1])
-                        upto = b - machine.block + 1
-                        if b - a < machine.m:
-                            continue
-                        for first, owners in machine.search(shifts[a:upto], keys[a:upto], low, start[a:b], end[a:b]):
-                            spans_of = own_hits[row]
-                            if spans_of and spans_of[-1]["b"] >= first >= spans_of[-1]["a"]:
-                                spans_of[-1]["b"] = max(spans_of[-1]["b"], first + machine.m)
-                            else:
-                                spans_of.append({"a": first, "b": first + machine.m})
-                            own_items[row].update(owners)
-                hits += own_hits
-                items += [[ids[k] for k in sorted(x)] for x in own_items]
-            before_hits, before_items = batch.column(tail), batch.column(tail + 1)
-            if any(len(x) for x in before_hits):
-                hits = [x.as_py() + y for x, y in zip(before_hits, hits, strict=True)]
-                items = [x.as_py() + y for x, y in zip(before_items, items, strict=True)]
-            made = [pa.array(hits, before_hits.type), pa.array(items, before_items.type), pa.array(n_words, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:tail], *made], schema=batch.schema)
-
-    return docs.mapInArrow(search, docs.schema)
-
-
 def judged(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256 and contaminated."""
     found = find_passages(docs.select("doc_id", "text"), benchmark, window)

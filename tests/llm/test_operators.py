@@ -84,6 +84,18 @@ def test_passages_are_those_of_brute_force(spark, part_words):
         assert (row["n_words"], row["n_hit"], row["items"]) == brute_passages(texts[row["doc_id"]], items)
 
 
+def test_parts_write_hits_without_texts(spark, monkeypatch):
+    kept = []
+    real = decontaminate.stored
+    monkeypatch.setattr(decontaminate, "stored", lambda df, name: kept.append((name, df.columns, df.count())) or real(df, name))
+    docs = spark.createDataFrame([(k, f"plain {k} " * 20) for k in range(30)] + [(99, "one two three four"), (98, "one two three four")], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, f"one two three {w}") for k, w in enumerate(["four", "five", "six", "seven", "eight"])], "item_id long, text string")
+    found = {r["doc_id"]: r["n_hit"] for r in decontaminate.find_passages(docs, bench, window=4, part_words=4).collect()}
+    assert found == {**{k: 0 for k in range(30)}, 98: 4, 99: 4}
+    parts = [(columns, n) for name, columns, n in kept if name == "passages"]
+    assert len(parts) > 2 and all("text" not in columns and n <= 1 for columns, n in parts)
+
+
 def test_empty_benchmark(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     row = decontaminate.judged(docs, spark.createDataFrame([], "item_id long, text string")).first()
