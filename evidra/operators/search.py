@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidra.functions import text as T
@@ -40,6 +40,43 @@ def bm25(index: tuple[DataFrame, DataFrame], terms: list[str], limit: int | None
     return out if limit is None else out.orderBy(F.desc("score"), "chunk_id").limit(limit)
 
 
+def term_places(chunks: DataFrame, terms: list[str]) -> DataFrame:
+    """(chunk_id, place, term) of the folded ``terms`` alone: other words go no further than the scan."""
+    words = F.filter(F.split(T.folded(F.col("text")), " "), lambda w: w != "")
+    return chunks.select("chunk_id", F.posexplode(words).alias("place", "term")).where(F.col("term").isin(*terms))
+
+
+def near(chunks: DataFrame, first: str, second: str, distance: int, ordered: bool = False) -> DataFrame:
+    """(chunk_id, n): occurrences of ``first`` with ``second`` at most ``distance`` words away, or behind it alone if ``ordered``;
+    chunks with one at least. The nearest ones on both sides decide, so places are not paired."""
+    rows = term_places(chunks, [first, second])
+    order = Window.partitionBy("chunk_id").orderBy("place")
+    at = F.when(F.col("term") == second, F.col("place"))
+    before = F.last(at, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first(at, ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    close = F.coalesce(after - F.col("place") <= distance, F.lit(False))
+    if not ordered:
+        close = close | F.coalesce(F.col("place") - before <= distance, F.lit(False))
+    return rows.withColumn("close", close).where((F.col("term") == first) & F.col("close")).groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def combined(chunks: DataFrame, every: list[str], some: list[str] = (), without: list[str] = ()) -> DataFrame:
+    """(chunk_id) of chunks that hold all folded terms of ``every``, one of ``some`` at least (if any is given) and none of
+    ``without``; a null text holds none."""
+    asked = list(dict.fromkeys([*every, *some, *without]))
+    held = term_places(chunks, asked).groupBy("chunk_id").agg(F.collect_set("term").alias("terms"))  # as many as are asked for
+    rows = held if every or some else chunks.select("chunk_id").distinct().join(held, "chunk_id", "left").select("chunk_id", F.coalesce("terms", F.array().cast("array<string>")).alias("terms"))
+    has = lambda t: F.array_contains("terms", t)
+    rule = F.lit(True)
+    for t in every:
+        rule = rule & has(t)
+    if some:
+        rule = rule & F.arrays_overlap("terms", F.array(*[F.lit(t) for t in some]))
+    for t in without:
+        rule = rule & ~has(t)
+    return rows.where(rule).select("chunk_id")
+
+
 def phrase(chunks: DataFrame, words: str) -> DataFrame:
     """(chunk_id, hits) of chunks in which the folded phrase occurs, on word boundaries."""
     own = F.concat(F.lit(" "), T.folded(F.col("text")), F.lit(" "))
