@@ -14,9 +14,11 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -34,7 +36,7 @@ END_ID = 0
 #: A shard is closed once it has so many ids.
 SHARD_TOKENS = 1 << 24
 #: Bits of a block, bytes of text that are encoded at once, and words that a worker remembers.
-BLOCK_BITS, TEXT_BYTES, REMEMBERED = 1 << 15, 2 << 20, 150_000
+BLOCK_BITS, TEXT_BYTES, REMEMBERED = 1 << 15, 4 << 20, 500_000
 MAGIC, LEVEL = b"EVWMTRX1", 1
 _FOOTER = "<QQQIQIQI8s"
 _BLOCK_BYTES = BLOCK_BITS // 8
@@ -45,14 +47,20 @@ _BLOCK_BYTES = BLOCK_BITS // 8
 #: A blank that the next character, white by either rule in use, or the text's end keeps from beginning a word.
 _ODD = r" ([\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]|$)"
 
+#: Letters, and then marks, which the expression makes two units (an apostrophe may begin another).
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
+#: The byte-level alphabet: bytes that print stand for themselves, the others, in order, for the characters from 256 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARACTERS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+
 
 class Encoder:
     """Ids of texts by a tokenizer of the ``tokenizers`` library, as ``encode(text, add_special_tokens=False)`` gives them.
 
     A byte-level tokenizer with its usual expression always cuts before a blank that a non-blank follows, so each distinct word
     (with the blank before it) is encoded once for a block of texts, and the texts are put together from the words' ids. A word of
-    ASCII letters is one unit of the model, and is remembered; the others are encoded in one string, which its ids that begin
-    with a blank cut again. Other tokenizers, and texts with several blanks in a row, are encoded as a whole.
+    Latin letters is one unit of the model and is remembered, marks behind it are another; other words are encoded in one string, which
+    its ids that begin with a blank cut again. Other tokenizers, and texts with several blanks in a row, are encoded as a whole.
     """
 
     def __init__(self, definition: str) -> None:
@@ -62,37 +70,52 @@ class Encoder:
         cut, made = (json.loads(definition).get(k) or {} for k in ("pre_tokenizer", "normalizer"))
         self.by_words = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and not made
         size = self.tokenizer.get_vocab_size()
-        self.memory: dict[str, np.ndarray] = {}
+        self.memory: dict[str, bytes] = {}
         self.begins = np.array([(self.tokenizer.id_to_token(k) or "").startswith("Ġ") for k in range(size)])
 
-    def whole(self, texts: Sequence[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)]
+    def whole(self, texts: Sequence[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)]
+
+    def _unit(self, text: str) -> bytes:
+        """Ids of a text that the expression leaves whole: its UTF-8 bytes as the model's characters are one unit of the model."""
+        mapped = text.replace(" ", "Ġ") if text.isascii() else text.encode().decode("latin-1").translate(_BYTE_CHARACTERS)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
 
-    def words(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of " " + word for words without a blank, none of them empty."""
-        memory, unit = self.memory, self.tokenizer.model.tokenize
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids of " " + word, as bytes, for words without a blank, none of them empty."""
+        memory, plain = self.memory, _PLAIN.fullmatch
         if len(memory) > REMEMBERED:
             memory.clear()
         out: list = []
-        others: list[str] = []
+        others: list[int] = []
         for word in words:
-            ids = memory.get(word)
-            if ids is None and word.isascii() and word.isalpha():
-                ids = memory[word] = np.array([t.id for t in unit("Ġ" + word)], np.uint32)
-            elif ids is None:
-                others.append(word)
+            parts = plain(word)
+            if parts is None:
+                others.append(len(out))
+                out.append(None)
+                continue
+            letters, marks = parts.groups()
+            ids = memory.get(letters)
+            if ids is None:
+                ids = memory[letters] = self._unit(" " + letters)
+            if marks:
+                tail = memory.get(marks)
+                if tail is None:
+                    tail = memory[marks] = self._unit(marks)
+                ids += tail
             out.append(ids)
-        joined = iter(self._joined(others))
-        return [next(joined) if ids is None else ids for ids in out]
+        for k, ids in zip(others, self._joined([words[k] for k in others]), strict=True):
+            out[k] = ids
+        return out
 
-    def _joined(self, words: list[str], chunk: int = 5_000) -> list[np.ndarray]:
-        out: list[np.ndarray] = []
+    def _joined(self, words: list[str], chunk: int = 5_000) -> list[bytes]:
+        out: list[bytes] = []
         for k in range(0, len(words), chunk):
             own = words[k : k + chunk]
-            ids = self.whole([" " + " ".join(own)])[0]
+            ids = np.frombuffer(self.whole([" " + " ".join(own)])[0], np.uint32)
             first = np.flatnonzero(self.begins[ids])
             if first.size == len(own) and first[0] == 0:
-                out += np.split(ids, first[1:])
+                out += [x.tobytes() for x in np.split(ids, first[1:])]
             else:
                 out += self.whole([" " + w for w in own])
         return out
@@ -111,9 +134,9 @@ class Encoder:
         coded_first, coded_rest = (flat.filter(pa.array(m)).dictionary_encode() for m in (is_first, ~is_first))
         odd = texts.filter(pa.array(~plain)).to_pylist()
         pool = self.whole(coded_first.dictionary.to_pylist()) + self.words(coded_rest.dictionary.to_pylist()) + self.whole(odd)
-        pool.append(np.array([] if end is None else [end], np.uint32))
-        sizes = np.array([x.size for x in pool], np.int64)
-        starts, ids = np.cumsum(sizes) - sizes, np.concatenate(pool)
+        pool.append(b"" if end is None else array("I", [end]).tobytes())
+        sizes = np.array([len(x) for x in pool], np.int64) // 4
+        starts, ids = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(pool), np.uint32)
         # Pieces of the pool by row: a plain text's words, another text as one piece, and the end behind either.
         pieces = np.ones(n, np.int64)
         pieces[plain] = np.diff(bounds)
