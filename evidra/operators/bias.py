@@ -9,6 +9,7 @@ from evidra.functions.effects import Z975
 from evidra.functions.special import norm_cdf, norm_ppf
 
 from .pooling import KEY, pooled, usable, weighted
+from .ranks import EXACT_MOST, concordance, exact_p
 
 Z95_ONE_SIDED = 1.6448536269514722
 
@@ -48,26 +49,34 @@ def peters(arms: DataFrame, studies: DataFrame) -> DataFrame:
     return regression(rows, 1.0 / n, F.col("yi"), 1.0 / (1.0 / e + 1.0 / F.nullif(n - e, F.lit(0.0))))
 
 
-def begg(studies: DataFrame) -> DataFrame:
-    """(analysis_id, k, s, tau_b): Kendall's rank correlation of standardised deviates with variances.
-
-    Pairs are formed within an analysis, whose size must be bounded.
-    """
+def deviates(studies: DataFrame) -> DataFrame:
+    """(analysis_id, row_index, vi, z): effects less the fixed mean over their standard errors about it."""
     m = weighted(studies).select(KEY, "mu", "sw")
     rows = usable(studies).join(m, KEY).withColumn("v_star", F.col("vi") - 1.0 / F.col("sw")).where("v_star > 0")
-    rows = rows.select(KEY, "row_index", "vi", ((F.col("yi") - F.col("mu")) / F.sqrt("v_star")).alias("z"))
-    a, b = rows.alias("a"), rows.alias("b")
-    pairs = a.join(b, (F.col(f"a.{KEY}") == F.col(f"b.{KEY}")) & (F.col("a.row_index") < F.col("b.row_index")))
-    dz, dv = F.signum(F.col("a.z") - F.col("b.z")), F.signum(F.col("a.vi") - F.col("b.vi"))
-    sums = pairs.groupBy(F.col(f"a.{KEY}").alias(KEY)).agg(F.sum(dz * dv).alias("s"), F.sum(F.abs(dz)).alias("nz"), F.sum(F.abs(dv)).alias("nv"))
-    return rows.groupBy(KEY).agg(F.count(F.lit(1)).alias("k")).join(sums, KEY).select(KEY, "k", "s", (F.col("s") / F.nullif(F.sqrt(F.col("nz") * F.col("nv")), F.lit(0.0))).alias("tau_b"))
+    return rows.select(KEY, "row_index", "vi", ((F.col("yi") - F.col("mu")) / F.sqrt("v_star")).alias("z"))
+
+
+def begg(studies: DataFrame) -> DataFrame:
+    """(analysis_id, k, s, tau_b): Kendall's rank correlation of standardised deviates with variances, of analyses of two or more; no
+    pairs are formed, so an analysis may have any size."""
+    m = concordance(deviates(studies), "z", "vi").where("k > 1")
+    return m.select(KEY, "k", "s", (F.col("s") / F.nullif(F.sqrt((F.col("pairs") - F.col("ties_x")) * (F.col("pairs") - F.col("ties_y"))), F.lit(0.0))).alias("tau_b"))
+
+
+def begg_exact(studies: DataFrame) -> DataFrame:
+    """(analysis_id, k, s, tau_b, p, method) of analyses of three or more: the chance of an s as far from 0 by its exact distribution
+    where nothing is tied and there are at most 170 studies, else by ``begg_normal``; null where all effects or variances are one."""
+    m = concordance(deviates(studies), "z", "vi").where("k >= 3")
+    free = (F.col("ties_x") + F.col("ties_y") == 0) & (F.col("k") <= EXACT_MOST)
+    normal = begg_normal(studies).select(KEY, "tau_b", F.col("p").alias("p_normal"))
+    out = m.join(normal, KEY, "left").withColumns({"method": F.when(free, "exact").otherwise("normal"), "p_exact": exact_p(F.col("s"), F.col("k"))})
+    return out.select(KEY, "k", "s", "tau_b", F.when(F.col("tau_b").isNotNull(), F.when(free, F.col("p_exact")).otherwise(F.col("p_normal"))).alias("p"), "method")
 
 
 def begg_normal(studies: DataFrame, continuity: bool = False) -> DataFrame:
     """(analysis_id, k, s, tau_b, sd_s, z, p): ``begg`` with the variance of s corrected for ties and the normal test; with
     ``continuity``, s is moved by one towards 0."""
-    m = weighted(studies).select(KEY, "mu", "sw")
-    rows = usable(studies).join(m, KEY).withColumn("v_star", F.col("vi") - 1.0 / F.col("sw")).where("v_star > 0").withColumn("z", (F.col("yi") - F.col("mu")) / F.sqrt("v_star"))
+    rows = deviates(studies)
 
     def ties(column: str, name: str) -> DataFrame:
         c = F.col("c").cast("double")

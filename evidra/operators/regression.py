@@ -67,24 +67,28 @@ def fit(y, v, names: list[str], x, test: str = "z") -> list[tuple]:
     w = 1 / (v + tau2)
     b, cov = _wls(x, y, w)
     e = y - x @ b
-    rss = float((w * e * e).sum())
     centre = float((w * y).sum() / w.sum())
-    exact = perfect_fit(rss, float((w * (y - centre) ** 2).sum()), float((w * y * y).sum()))
     fixed, _c = _wls(x, y, 1 / v)
-    qe = float(((y - x @ fixed) ** 2 / v).sum())
+    sums = {"rss": float((w * e * e).sum()), "tss": float((w * (y - centre) ** 2).sum()), "swy2": float((w * y * y).sum()), "qe": float(((y - x @ fixed) ** 2 / v).sum())}
+    return term_rows(names, b, cov, x.T @ (x * (w * w * e * e)[:, None]), sums, scale, k, tau2, test)
+
+
+def term_rows(names: list[str], b, cov, meat, sums: dict[str, float], scale, k: int, tau2: float, test: str) -> list[tuple]:
+    """The rows of ``fit`` from coefficients of scaled columns, their covariance, the HC1 middle and the sums of squares."""
+    p = len(names)
+    exact = perfect_fit(sums["rss"], sums["tss"], sums["swy2"])
     rest = [i for i, name in enumerate(names) if name != "intercept"]
     qm = float(b[rest] @ np.linalg.solve(cov[np.ix_(rest, rest)], b[rest])) if rest else 0.0
-    meat = x.T @ (x * (w * w * e * e)[:, None])
     robust = cov @ meat @ cov * k / (k - p)
-    grown = rss / (k - p) if test == "knha" else 1.0
+    grown = sums["rss"] / (k - p) if test == "knha" else 1.0
     out = []
     for i, name in enumerate(names):
         se, hc1 = float(np.sqrt(cov[i, i] * grown)), float(np.sqrt(robust[i, i]))
         stat = float(b[i] / se) if se > 0 and not exact else None
         df = float(k - p) if test == "knha" else None
-        chance = None if stat is None else float(D.t_two_sided(np.array([stat]), np.array([df]))[0]) if df else 2 * D.norm_cdf(-abs(stat))
+        chance = None if stat is None else float(D.t_two_sided(np.array([stat]), np.array([df]))[0]) if df else 2 * float(D.norm_cdf(-abs(stat)))
         p_robust = None if exact or hc1 == 0 else float(D.t_two_sided(np.array([b[i] / hc1]), np.array([float(k - p)]))[0])
-        out.append((name, float(b[i] / scale[i]), se / float(scale[i]), stat, df, chance, hc1 / float(scale[i]), p_robust, tau2, qe, qm, k))
+        out.append((name, float(b[i] / scale[i]), se / float(scale[i]), stat, df, chance, hc1 / float(scale[i]), p_robust, tau2, sums["qe"], qm, k))
     return out
 
 
