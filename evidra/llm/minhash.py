@@ -33,8 +33,8 @@ from .textnum import ALNUM, blocks, mix64, shingles, spans, text_bytes, word_has
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 4
 FEATURES = 1 << 18
-#: Members of an open bucket that meet in one block.
-BLOCK_ROWS = 512
+#: Members of an open bucket that meet in one block, and shingles that a task counts before it sends them on.
+BLOCK_ROWS, HELD_TERMS = 512, 1_000_000
 
 _LEVELS = 1 << 16
 _UNIFORM = (np.arange(_LEVELS) + 0.5) / _LEVELS
@@ -163,7 +163,7 @@ def shingle_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 rows += len(filled)
                 held += filled
                 size += sum(t.size for t in filled)
-                if size > 4_000_000:
+                if size > HELD_TERMS:
                     yield from sent()
                     held, size = [], 0
         if held:
