@@ -147,17 +147,20 @@ def meta_analysis(studies: DataFrame, method: str = "REML", ci: str = "hksj", pi
     return m.select(KEY, "k", "tau2", "estimate", "se", "stat", "df", "p", (y - F.col("crit") * se).alias("ci_low"), (y + F.col("crit") * se).alias("ci_high"), (y - F.col("spread")).alias("pi_low"), (y + F.col("spread")).alias("pi_high"))
 
 
-def random_effects(studies: DataFrame, method: str = "REML", level: float = 0.95) -> DataFrame:
+def random_effects(studies: DataFrame, method: str = "REML", level: float = 0.95, limits: bool = True) -> DataFrame:
     """(analysis_id, k, tau2, tau2_low, tau2_high, estimate, se, se_hksj, ci_low, ci_high, pi_low, pi_high, p_value, q_p): limits of
     tau2 of the Q profile, Hartung-Knapp's interval with t(k - 1), the prediction interval with t(k - 2), the normal test and
-    that of Q. What too few studies leave undefined is null."""
+    that of Q. What too few studies leave undefined is null. Limits of tau2 take as many rounds as two more estimates; without
+    ``limits`` they are null."""
     taus = stored(estimate_tau2(studies, method), "taus")
     fit = at_tau2(studies, taus)
     several = F.col("k") > 1
     upper = 1 - (1 - level) / 2
     se, hk = F.col("se_wald"), F.when(several, F.col("se_wald") * F.sqrt("q_scaled"))
     q0 = weighted(studies).select(KEY, F.col("q").alias("q0"))
-    m = fit.join(q_profile(studies, level), KEY, "left").join(q0, KEY).withColumns({"hk": hk, "stat": F.col("estimate") / se})
+    none = F.lit(None).cast("double")
+    fit = fit.join(q_profile(studies, level), KEY, "left") if limits else fit.withColumns({"tau2_low": none, "tau2_high": none})
+    m = fit.join(q0, KEY).withColumns({"hk": hk, "stat": F.col("estimate") / se})
     t1, t2 = (F.when(F.col("k") > n, t_quantile(F.lit(upper), F.col("k") - float(n))) for n in (1, 2))
     m = m.withColumns({"half": t1 * F.col("hk"), "spread": t2 * F.sqrt(F.col("tau2") + se * se)})
     y = F.col("estimate")

@@ -150,8 +150,6 @@ def rob_final(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.final_judgement(rows)
 
 
-query("rob_final_all", ORACLE_SQL["rob_final"])(rob_final)  # the name that the query over the whole table had first
-
 
 # Certainty ------------------------------------------------------------------------------------------------------------
 

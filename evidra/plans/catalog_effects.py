@@ -187,26 +187,30 @@ def row_uid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Power ----------------------------------------------------------------------------------------------------------------
 
-_GRID = "g AS (SELECT k::DOUBLE AS k, unnest([0.2, 0.5])::DOUBLE AS effect, 20.0::DOUBLE AS n1, 20.0::DOUBLE AS n2 FROM range(2, 41) t(k)), v AS (SELECT *, ((n1 + n2) / (n1 * n2) + effect * effect / (2 * (n1 + n2))) AS v FROM g)"
+_GRID = "g AS (SELECT p_partkey, (2 + p_size % 40)::DOUBLE AS k, 0.05::DOUBLE * (1 + p_partkey % 19) AS effect, (10 + p_size)::DOUBLE AS n1, (10 + p_partkey % 50)::DOUBLE AS n2 FROM part), v AS (SELECT *, ((n1 + n2) / (n1 * n2) + effect * effect / (2 * (n1 + n2))) AS v FROM g)"
 
 
 def _power_sql(factor: str) -> str:
     return f"{X.norm_cdf(f'(effect / sqrt({factor} * v / k) - 1.959963984540054e0)')} + {X.norm_cdf(f'(-effect / sqrt({factor} * v / k) - 1.959963984540054e0)')}"
 
 
-@query("power_grid", f"WITH {_GRID} SELECT k::BIGINT AS k, effect, n1, n2, " + r(fixed=_power_sql("1.0e0"), low=_power_sql("1.33e0"), moderate=_power_sql("1.67e0"), high=_power_sql("2.0e0")) + " FROM v")
+def designs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(p_partkey, k, effect, n1, n2): a planned synthesis for each part."""
+    size, key = F.col("p_size"), F.col("p_partkey")
+    return table(spark, sf_dir, "part").select("p_partkey", (2 + size % 40).cast("long").alias("k"), (0.05 * (1 + key % 19)).alias("effect"), (10 + size).cast("double").alias("n1"), (10 + key % 50).cast("double").alias("n2"))
+
+
+@query("power_grid", f"WITH {_GRID} SELECT p_partkey, k::BIGINT AS k, round(effect, 6) + 0.0 AS effect, n1, n2, " + r(fixed=_power_sql("1.0e0"), low=_power_sql("1.33e0"), moderate=_power_sql("1.67e0"), high=_power_sql("2.0e0")) + " FROM v")
 def power_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = spark.range(2, 41).select(F.col("id").alias("k"), F.explode(F.array(F.lit(0.2), F.lit(0.5))).alias("effect"), F.lit(20.0).alias("n1"), F.lit(20.0).alias("n2"))
-    return rounded(regression.power(grid))
+    return rounded(regression.power(designs(spark, sf_dir)))
 
 
 @query(
     "studies_needed",
-    f"WITH e AS (SELECT unnest([0.1, 0.2, 0.3, 0.5, 0.8])::DOUBLE AS effect), g AS (SELECT effect, k::DOUBLE AS k, 20.0::DOUBLE AS n1, 20.0::DOUBLE AS n2 FROM e, range(1, 1001) t(k)), v AS (SELECT *, ((n1 + n2) / (n1 * n2) + effect * effect / (2 * (n1 + n2))) AS v FROM g) SELECT effect, min(k)::BIGINT AS k FROM v WHERE {_power_sql('1.67e0')} >= 0.8 GROUP BY effect",
+    f"WITH {_GRID.rpartition(', v AS')[0]}, t AS (SELECT p_partkey, effect, unnest(range(1, 4097))::DOUBLE AS k, n1, n2 FROM g), v AS (SELECT *, ((n1 + n2) / (n1 * n2) + effect * effect / (2 * (n1 + n2))) AS v FROM t) SELECT p_partkey, round(effect, 6) + 0.0 AS effect, min(k) FILTER ({_power_sql('1.67e0')} >= 0.8)::BIGINT AS k FROM v GROUP BY ALL",
 )
 def studies_needed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    designs = spark.createDataFrame([(x, 20.0, 20.0) for x in (0.1, 0.2, 0.3, 0.5, 0.8)], "effect double, n1 double, n2 double")
-    return regression.studies_needed(designs, "moderate").select("effect", "k")
+    return rounded(regression.studies_needed(designs(spark, sf_dir).drop("k"), "moderate", most=4096).select("p_partkey", "effect", "k"))
 
 
 @query("typical_sd", f"WITH {S.CONTINUOUS}, {S.SUPPLIERS}, t AS (SELECT analysis_id, n1 + n2 - 2 AS w, (sd1 * sd1 / n1 + sd2 * sd2 / n2) / (1 / n1 + 1 / n2) AS s2 FROM arms JOIN sr ON arms.row_index = sr.row_index) SELECT analysis_id, " + r(sd="sqrt(sum(w * s2) / sum(w))") + " FROM t GROUP BY analysis_id")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evidra.functions import effects as E
 from evidra.functions import parse as P
-from evidra.operators import pooling, ranking, regression
+from evidra.operators import pooling, ranking, tall
 from evidra.sources import studies as S
 from evidra.sources import tables
 from evidra.sources.shared import new_folder, table
@@ -200,4 +200,4 @@ def duplicates_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("metareg_mixed")
 def metareg_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = binary_studies(spark, sf_dir).withColumn("size", F.log(F.col("n1") + F.col("n2")))
-    return rounded(regression.meta_regression(own, ["moderator", "size"]))
+    return rounded(tall.meta_regression(own, ["moderator", "size"]))

@@ -40,7 +40,7 @@ for _name, _method in _BY_NAME:
         _name,
         f"WITH RECURSIVE {_ST}, {_M}, {_solved_sql(_method)} SELECT analysis_id, k, "
         + r(tau2="tau2", estimate="mu", se="se", se_hksj="se * sqrt(scale)", p_value=f"2 * {X.norm_cdf('(-abs(mu / se))')}") + " FROM p JOIN h USING (analysis_id)",
-    )(lambda spark, sf_dir, method=_method: rounded(profiles.random_effects(binary_studies(spark, sf_dir), method).select("analysis_id", "k", "tau2", "estimate", "se", "se_hksj", "p_value")))
+    )(lambda spark, sf_dir, method=_method: rounded(profiles.random_effects(binary_studies(spark, sf_dir), method, limits=False).select("analysis_id", "k", "tau2", "estimate", "se", "se_hksj", "p_value")))
 
 _HALF_LOG_PI = "0.5723649429247001"
 

@@ -73,6 +73,6 @@ def test_final_judgements_come_from_the_whole_table(spark):
 
     load_all()
     lines = spark.read.parquet(f"{SF}/lineitem.parquet").where("l_quantity <= 4 OR l_quantity >= 50")
-    found = catalog.QUERIES["rob_final_all"](spark, SF).collect()
+    found = catalog.QUERIES["rob_final"](spark, SF).collect()
     assert {r["study"] for r in found} == {r[0] for r in lines.select("l_partkey").distinct().collect()}
     assert {r["basis"] for r in found} == {"consensus", "conflict", "human", "approved"}
