@@ -70,7 +70,8 @@ class Encoder:
         cut, made = (json.loads(definition).get(k) or {} for k in ("pre_tokenizer", "normalizer"))
         self.by_words = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and not made
         size = self.tokenizer.get_vocab_size()
-        self.memory: dict[str, bytes] = {}
+        self.memory: dict[str, bytes] = {}  # of words behind a blank
+        self.marks: dict[str, bytes] = {}  # of marks behind letters
         self.begins = np.array([(self.tokenizer.id_to_token(k) or "").startswith("Ġ") for k in range(size)])
 
     def whole(self, texts: Sequence[str]) -> list[bytes]:
@@ -84,26 +85,26 @@ class Encoder:
     def words(self, words: list[str]) -> list[bytes]:
         """Ids of " " + word, as bytes, for words without a blank, none of them empty."""
         memory, plain = self.memory, _PLAIN.fullmatch
-        if len(memory) > REMEMBERED:
+        if len(memory) + len(self.marks) > REMEMBERED:
             memory.clear()
-        out: list = []
+            self.marks.clear()
+        out = list(map(memory.get, words))
         others: list[int] = []
-        for word in words:
-            parts = plain(word)
+        for k in [k for k, ids in enumerate(out) if ids is None]:
+            parts = plain(words[k])
             if parts is None:
-                others.append(len(out))
-                out.append(None)
+                others.append(k)
                 continue
             letters, marks = parts.groups()
             ids = memory.get(letters)
             if ids is None:
                 ids = memory[letters] = self._unit(" " + letters)
             if marks:
-                tail = memory.get(marks)
+                tail = self.marks.get(marks)
                 if tail is None:
-                    tail = memory[marks] = self._unit(marks)
-                ids += tail
-            out.append(ids)
+                    tail = self.marks[marks] = self._unit(marks)
+                ids = memory[words[k]] = ids + tail
+            out[k] = ids
         for k, ids in zip(others, self._joined([words[k] for k in others]), strict=True):
             out[k] = ids
         return out
@@ -131,9 +132,14 @@ class Encoder:
         flat, bounds = split.flatten(), np.concatenate(([0], np.cumsum(split.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
         is_first = np.zeros(len(flat), bool)
         is_first[bounds[:-1]] = True
-        coded_first, coded_rest = (flat.filter(pa.array(m)).dictionary_encode() for m in (is_first, ~is_first))
+        coded = flat.dictionary_encode()
+        code, known = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
+        begins, code[is_first] = np.unique(code[is_first], return_inverse=True)  # a text's first word has no blank before it
         odd = texts.filter(pa.array(~plain)).to_pylist()
-        pool = self.whole(coded_first.dictionary.to_pylist()) + self.words(coded_rest.dictionary.to_pylist()) + self.whole(odd)
+        n_first, n_rest = begins.size, len(known)
+        code[~is_first] += n_first
+        # The empty word is only ever a first one.
+        pool = self.whole([known[k] for k in begins]) + self.words([w or "." for w in known]) + self.whole(odd)
         pool.append(b"" if end is None else array("I", [end]).tobytes())
         sizes = np.array([len(x) for x in pool], np.int64) // 4
         starts, ids = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(pool), np.uint32)
@@ -144,10 +150,6 @@ class Encoder:
         order = np.full(int(row_end[-1]) if n else 0, len(pool) - 1, np.int64)
         first_at = row_end - pieces - 1
         plain_at = np.repeat(first_at[plain] - bounds[:-1], np.diff(bounds)) + np.arange(len(flat))
-        code = np.empty(len(flat), np.int64)
-        n_first, n_rest = len(coded_first.dictionary), len(coded_rest.dictionary)
-        code[is_first] = coded_first.indices.to_numpy(zero_copy_only=False)
-        code[~is_first] = coded_rest.indices.to_numpy(zero_copy_only=False) + np.int64(n_first)
         order[plain_at] = code
         order[first_at[~plain]] = n_first + n_rest + np.arange(len(odd))
         length = sizes[order]
@@ -288,7 +290,7 @@ class WaveletFile:
             self.source.seek(a)
             raw = self.source.read(b - a)
             packed = b"".join(self._bytes(plane, k, raw[self.offsets[plane, k] - a : self.offsets[plane, k + 1] - a]) for k in range(self.n_blocks))
-            one = np.unpackbits(np.frombuffer(packed, np.uint8))[: self.n].astype(bool)
+            one = np.unpackbits(np.frombuffer(packed, np.uint8))[: self.n].view(bool)
             up, zeros = np.empty_like(values), int(self.zeros[plane])
             up[np.flatnonzero(~one)] = values[:zeros]
             up[np.flatnonzero(one)] = values[zeros:] | values.dtype.type(1 << (self.bits - 1 - plane))
