@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Endings that a stem is without, if four letters stay.
-SUFFIX = "(izations|ization|ations|ation|ments|ment|ings|ing|ies|ers|er|es|ed|s)$"
+#: Endings in the order in which they are tried.
+ENDINGS = ("ations", "ation", "ions", "ion", "ings", "ing", "ies", "ous", "us", "es", "ed", "al", "e", "s")
 MONTHS = "january february march april may june july august september october november december".split()
 #: What a report says of its conduct, by pattern.
 SIGNALS = {
@@ -20,10 +20,17 @@ SIGNALS = {
 
 
 def stem(word: Column) -> Column:
-    """A lower-cased word without its ending; words that would keep fewer than four letters stay as they are."""
+    """A lower-cased word without the first of ENDINGS that leaves four letters or more."""
     low = F.lower(word)
-    short = F.regexp_replace(low, SUFFIX, "")
-    return F.when(F.length(short) >= 4, short).otherwise(low)
+    out = low
+    for ending in reversed(ENDINGS):
+        out = F.when(low.endswith(ending) & (F.length(low) >= len(ending) + 4), F.substring(low, F.lit(1), F.length(low) - len(ending))).otherwise(out)
+    return out
+
+
+def stem_sql(word: str) -> str:
+    cases = " ".join(f"WHEN ends_with({word}, '{e}') AND length({word}) >= {len(e) + 4} THEN left({word}, length({word}) - {len(e)})" for e in ENDINGS)
+    return f"CASE {cases} ELSE {word} END"
 
 
 def clipped_quote(text: Column, term: str, limit: int = 300) -> Column:

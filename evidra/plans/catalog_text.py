@@ -12,10 +12,10 @@ from evidra.sources.shared import table
 from .catalog import query
 
 
-@query("stems", f"WITH w AS (SELECT p_partkey, lower(unnest(string_split(p_type, ' '))) AS w FROM part), s AS (SELECT p_partkey, w, regexp_replace(w, '{mining.SUFFIX}', '') AS s FROM w) SELECT p_partkey, w AS word, CASE WHEN length(s) >= 4 THEN s ELSE w END AS stem FROM s")
+@query("stems", f"WITH w AS (SELECT doc_id, lower(unnest(list_distinct(regexp_extract_all(text, '[A-Za-z]+')))) AS w FROM documents) SELECT DISTINCT w AS word, {mining.stem_sql('w')} AS stem FROM w")
 def stems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.split(F.lower("p_type"), " ")).alias("word"))
-    return words.select("p_partkey", "word", mining.stem(F.col("word")).alias("stem"))
+    words = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1)))).alias("w"))
+    return words.select(F.lower("w").alias("word")).distinct().select("word", mining.stem(F.col("word")).alias("stem"))
 
 
 @query("quotes", "WITH d AS (SELECT doc_id, text, instr(lower(text), 'thon') AS at0 FROM documents) SELECT doc_id, substr(text, greatest(1, at0 - 148), 300) AS quote FROM d WHERE at0 > 0")
