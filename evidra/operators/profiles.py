@@ -1,6 +1,7 @@
-"""Random-effects models of analyses of any size: variances that need iteration are found in rounds of aggregates.
+"""Random-effects models of analyses of any size.
 
-A round lays a grid over the interval that still holds the variance, and takes the sums of all studies at all its points
+The variances of PM, ML and REML are looked up in sums at shared points (``refits``), the limits of the Q profile found in rounds
+of aggregates: a round lays a grid over the interval that still holds the variance, and takes the sums of all studies at all its points
 at once: partial sums in the tasks that hold the studies, one row for each analysis and point behind them. Six rounds of a
 hundred points find it to about ten digits. No task gets the studies of an analysis.
 """
@@ -18,6 +19,7 @@ from evidra.functions.effects import Z975
 from evidra.functions.special import norm_cdf
 from evidra.sources.shared import stored
 
+from . import refits
 from .pooling import KEY, tau2, usable, weighted
 
 POINTS, ROUNDS = 100, 6
@@ -49,36 +51,25 @@ def chi2_tail(x: pd.Series, df: pd.Series) -> pd.Series:
 
 
 def _sums(studies: DataFrame, points: DataFrame) -> DataFrame:
-    """Per analysis, goal and point: q, score and likelihood, from centred effects (yc)."""
+    """(analysis_id, goal, wanted, t, q): Q at each point, from centred effects (yc)."""
     at = F.when(F.col("log"), F.when(F.col("i") == 0, 0.0).otherwise(F.col("high") * F.pow(F.lit(10.0), -10.0 * (1 - F.col("i") / POINTS)))).otherwise(F.col("low") + (F.col("high") - F.col("low")) * F.col("i") / POINTS)
     rows = studies.join(points, KEY).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(POINTS)))).withColumn("t", at)
     w, y = 1.0 / (F.col("vi") + F.col("t")), F.col("yc")
-    names = {"w": w, "wy": w * y, "wyy": w * y * y, "w2": w * w, "w2y": w * w * y, "w2yy": w * w * y * y, "l": -F.log(w)}
-    m = rows.groupBy(KEY, "goal", "i").agg(F.first("t").alias("t"), F.first("wanted").alias("wanted"), *[F.sum(v).alias(k) for k, v in names.items()])
-    mu = F.col("wy") / F.col("w")
-    q = F.greatest(F.lit(0.0), F.col("wyy") - mu * F.col("wy"))
-    square = F.col("w2yy") - 2 * mu * F.col("w2y") + mu * mu * F.col("w2")
-    return m.select(KEY, "goal", "wanted", "t", q.alias("q"), (square - F.col("w")).alias("ml"), (square - F.col("w") + F.col("w2") / F.col("w")).alias("reml"), (-0.5 * (F.col("l") + q)).alias("ll_ml"), (-0.5 * (F.col("l") + q + F.log("w"))).alias("ll_reml"))
-
-
-def solved(studies: DataFrame, goals: DataFrame, kind: str) -> DataFrame:
-    """(analysis_id, goal, t): where the generalised Q is ``wanted`` (kind q; 0 where it starts below), or where the likelihood is
-    greatest (ml, reml). ``studies`` (analysis_id, yc, vi) hold centred effects, ``goals`` (analysis_id, goal, wanted, high) an
-    upper bound of t."""
+    m = rows.groupBy(KEY, "goal", "i").agg(F.first("t").alias("t"), F.first("wanted").alias("wanted"), *[F.sum(v).alias(k) for k, v in {"w": w, "wy": w * y, "wyy": w * y * y}.items()])
+    return m.select(KEY, "goal", "wanted", "t", F.greatest(F.lit(0.0), F.col("wyy") - F.col("wy") * F.col("wy") / F.col("w")).alias("q"))
+
+
+def solved(studies: DataFrame, goals: DataFrame) -> DataFrame:
+    """(analysis_id, goal, t): where the generalised Q is ``wanted``, 0 where it starts below. ``studies`` (analysis_id, yc, vi) hold
+    centred effects, ``goals`` (analysis_id, goal, wanted, high) an upper bound of t."""
     points = goals.select(KEY, "goal", "wanted", F.lit(0.0).alias("low"), "high", F.lit(True).alias("log"))
     studies = stored(studies, "centred")
-    for turn in range(ROUNDS):
+    for _ in range(ROUNDS):
         m = _sums(studies, points)
-        if kind == "q" or turn:
-            rises = F.col("q") > F.col("wanted") if kind == "q" else F.col(kind) > 0
-            ends = m.groupBy(KEY, "goal", "wanted").agg(F.max(F.when(rises, F.col("t"))).alias("low"), F.min("t").alias("first"), F.max("t").alias("last"), F.array_sort(F.collect_list("t")).alias("ts"))
-            # The next point behind the last one at which the function still rises; none rises: the first point is the answer.
-            after = F.element_at(F.filter("ts", lambda t: t > F.col("low")), 1)
-            points = ends.select(KEY, "goal", "wanted", F.coalesce("low", "first").alias("low"), F.coalesce(F.when(F.col("low").isNotNull(), F.coalesce(after, "last")), F.col("first")).alias("high"), F.lit(False).alias("log"))
-        else:
-            best = m.groupBy(KEY, "goal", "wanted").agg(F.max_by("t", f"ll_{kind}").alias("best"), F.array_sort(F.collect_list("t")).alias("ts"))
-            below, above = F.filter("ts", lambda t: t < F.col("best")), F.filter("ts", lambda t: t > F.col("best"))
-            points = best.select(KEY, "goal", "wanted", F.coalesce(F.try_element_at(below, F.lit(-1)), "best").alias("low"), F.coalesce(F.try_element_at(above, F.lit(1)), "best").alias("high"), F.lit(False).alias("log"))
+        ends = m.groupBy(KEY, "goal", "wanted").agg(F.max(F.when(F.col("q") > F.col("wanted"), F.col("t"))).alias("low"), F.min("t").alias("first"), F.max("t").alias("last"), F.array_sort(F.collect_list("t")).alias("ts"))
+        # The next point behind the last one at which Q is above; above at none: the first point is the answer.
+        after = F.element_at(F.filter("ts", lambda t: t > F.col("low")), 1)
+        points = ends.select(KEY, "goal", "wanted", F.coalesce("low", "first").alias("low"), F.coalesce(F.when(F.col("low").isNotNull(), F.coalesce(after, "last")), F.col("first")).alias("high"), F.lit(False).alias("log"))
     return points.select(KEY, "goal", ((F.col("low") + F.col("high")) / 2).alias("t"))
 
 
@@ -91,16 +82,8 @@ def estimate_tau2(studies: DataFrame, method: str = "REML") -> DataFrame:
     moments = weighted(studies)
     if method in ("FE", "DL", "HE", "SJ"):
         return tau2(moments, method, studies).select(KEY, "k", "tau2")
-    own = centred(studies, moments)
-    most = usable(studies).groupBy(KEY).agg(F.max("vi").alias("v"))
-    k = F.col("k").cast("double")
-    if method == "PM":
-        goals = moments.where("k > 1").select(KEY, F.lit(0).alias("goal"), (k - 1).alias("wanted"), (F.col("ss") / (k - 1)).alias("high"))
-        found = solved(own, goals, "q")
-    else:
-        goals = moments.where("k > 1").join(most, KEY).select(KEY, F.lit(0).alias("goal"), F.lit(0.0).alias("wanted"), (2 * F.col("ss") + 2 * F.col("v")).alias("high"))
-        found = solved(own, goals, {"ML": "ml", "REML": "reml"}[method])
-    return moments.select(KEY, "k").join(found.select(KEY, F.col("t").alias("tau2")), KEY, "left").select(KEY, "k", F.coalesce("tau2", F.lit(0.0)).alias("tau2"))
+    found = refits.estimated(studies, moments, method)
+    return moments.select(KEY, "k").join(found, KEY, "left").select(KEY, "k", F.coalesce("tau2", F.lit(0.0)).alias("tau2"))
 
 
 def q_profile(studies: DataFrame, level: float = 0.95) -> DataFrame:
@@ -109,7 +92,7 @@ def q_profile(studies: DataFrame, level: float = 0.95) -> DataFrame:
     tail = (1 - level) / 2
     sides = F.explode(F.array(*[F.struct(F.lit(g).alias("goal"), F.lit(p).alias("p")) for g, p in ((0, 1 - tail), (1, tail))]))
     goals = moments.select(KEY, "k", "ss", sides.alias("s")).select(KEY, "s.goal", chi2_quantile(F.col("s.p"), F.col("k") - 1.0).alias("wanted"), "ss")
-    found = solved(centred(studies, moments), goals.select(KEY, "goal", "wanted", (F.col("ss") / F.col("wanted")).alias("high")), "q")
+    found = solved(centred(studies, moments), goals.select(KEY, "goal", "wanted", (F.col("ss") / F.col("wanted")).alias("high")))
     return found.groupBy(KEY).agg(F.max(F.when(F.col("goal") == 0, F.col("t"))).alias("tau2_low"), F.max(F.when(F.col("goal") == 1, F.col("t"))).alias("tau2_high"))
 
 

@@ -85,13 +85,47 @@ def solve(sums: np.ndarray, k: np.ndarray, points: np.ndarray, method: str) -> t
     return tau2, wy / w, w
 
 
+def _bounds(studies: DataFrame, moments: DataFrame | None = None) -> DataFrame:
+    most = usable(studies).groupBy(KEY).agg(F.max("vi").alias("v"))
+    moments = weighted(studies) if moments is None else moments
+    return moments.join(most, KEY).select(KEY, F.col("k").alias("n_all"), "mean_y", (2 * F.col("ss") + 2 * F.col("v")).alias("high"))
+
+
+def estimated(studies: DataFrame, moments: DataFrame, method: str) -> DataFrame:
+    """(analysis_id, tau2) by PM, ML or REML of analyses of two or more: one pass over parts of PART_ROWS studies, and one over the
+    sums of those analyses that have several parts. ``moments`` are those of ``pooling.weighted``."""
+    bounds = _bounds(studies, moments).where("n_all > 1")
+    rows = usable(studies).join(bounds, KEY).withColumn("part", F.pmod(F.xxhash64("row_index"), F.ceil(F.col("n_all") / PART_ROWS)))
+    rows = rows.select(KEY, "part", (F.col("yi") - F.col("mean_y")).alias("yc"), "vi", "n_all", "high")
+    kind = dict(rows.dtypes)[KEY]
+    schema = f"{KEY} {kind}, n long, high double, tau2 double, sums array<double>"
+
+    def total(key: tuple, group: pa.Table) -> pa.Table:
+        high, n = group.column("high")[0].as_py(), group.column("n_all")[0].as_py()
+        points = grid(high)
+        sums = np.zeros((points.size, _SUMS))
+        y, v = (group.column(c).to_numpy() for c in ("yc", "vi"))
+        for i in range(0, y.size, 256):
+            sums += terms(y[i : i + 256], v[i : i + 256], points).sum(axis=0)
+        whole = y.size == n
+        found = [float(solve(sums[None], np.array([n]), points, method)[0][0])] if whole else [None]
+        return pa.table({KEY: pa.array([key[0].as_py()], group.schema.field(KEY).type), "n": [n], "high": [high], "tau2": pa.array(found, pa.float64()), "sums": pa.array([None if whole else sums.reshape(-1)], pa.list_(pa.float64()))})
+
+    def together(key: tuple, group: pa.Table) -> pa.Table:
+        points = grid(group.column("high")[0].as_py())
+        sums = sum(np.array(x.as_py()) for x in group.column("sums")).reshape(1, points.size, _SUMS)
+        tau2 = solve(sums, np.array([group.column("n")[0].as_py()]), points, method)[0]
+        return pa.table({KEY: pa.array([key[0].as_py()], group.schema.field(KEY).type), "tau2": tau2})
+
+    parts = stored(rows.groupBy(KEY, "part").applyInArrow(total, schema), "part-sums")
+    several = parts.where("tau2 IS NULL").select(KEY, "n", "high", "sums").groupBy(KEY).applyInArrow(together, f"{KEY} {kind}, tau2 double")
+    return parts.where("tau2 IS NOT NULL").select(KEY, "tau2").union(several)
+
+
 def _fitted(studies: DataFrame, method: str, order: str | None) -> DataFrame:
     if method not in ("PM", "ML", "REML"):
         raise ValueError(f"{method} has a closed form")
-    moments = weighted(studies)
-    most = usable(studies).groupBy(KEY).agg(F.max("vi").alias("v"))
-    bounds = moments.join(most, KEY).select(KEY, F.col("k").alias("n_all"), "mean_y", (2 * F.col("ss") + 2 * F.col("v")).alias("high"))
-    rows = usable(studies)
+    bounds, rows = _bounds(studies), usable(studies)
     if order is None:
         rows = rows.join(bounds, KEY).withColumn("part", F.pmod(F.xxhash64("row_index"), F.ceil(F.col("n_all") / PART_ROWS))).withColumn("place", F.lit(0).cast("long"))
     else:
