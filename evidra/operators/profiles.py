@@ -37,7 +37,7 @@ def t_p(t: pd.Series, df: pd.Series) -> pd.Series:
 
 @F.pandas_udf(DoubleType())
 def t_quantile(p: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series(D.each(lambda a, n: D.t_ppf(a, n) if n > 0 else np.nan, p, df))
+    return pd.Series(D.t_quantiles(p.to_numpy(float), df.to_numpy(float)))
 
 
 @F.pandas_udf(DoubleType())
