@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from evidra.functions import distributions as D
-from evidra.operators import bias, iterative, pooling, profiles
+from evidra.operators import bias, effect_tables, iterative, pooling, profiles
 
 Y = [-0.8893, -1.5854, -1.3481, -1.4416, -0.2175, -0.7861, -1.6209, 0.0120, -0.4694, -1.3713, -0.3394, 0.4459, -0.0173]
 V = [0.3256, 0.1946, 0.4154, 0.0200, 0.0512, 0.0069, 0.2230, 0.0040, 0.0564, 0.0730, 0.0124, 0.5325, 0.0714]
@@ -72,3 +72,13 @@ def test_trim_and_fill_mirrors_the_missing_side(spark):
     v = [0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.4]
     row = iterative.trim_and_fill(rows(spark, {"a": (y, v)}), "DL").first()
     assert row["side"] == "left" and row["k0"] > 0 and row["filled_estimate"] < row["estimate"]
+
+
+def test_an_empty_arm_has_no_effect_size(spark):
+    arms = spark.createDataFrame([(1, 0.0, 0.0, 1.0, 4.0), (2, 1.0, 3.0, 0.0, 0.0), (3, 0.0, 3.0, 1.0, 4.0)], "row_index long, e1 double, n1 double, e2 double, n2 double")
+    for measure in ("OR", "RR", "RD"):
+        found = {r["row_index"]: (r["excluded"], r["yi"], r["vi"]) for r in effect_tables.compute(arms, measure).collect()}
+        assert found[1] == found[2] == ("no effect size", None, None)
+        assert found[3][0] is None and found[3][2] > 0
+    nobody = spark.createDataFrame([(1, 0.0, 0.0)], "row_index long, x double, n double")
+    assert effect_tables.compute(nobody, "PLO").first()["excluded"] == "no effect size"
