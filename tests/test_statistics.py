@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from evidra.functions import distributions as D
-from evidra.operators import bias, effect_tables, iterative, pooling, profiles
+from evidra.operators import bias, effect_tables, iterative, pooling, profiles, validate
 
 Y = [-0.8893, -1.5854, -1.3481, -1.4416, -0.2175, -0.7861, -1.6209, 0.0120, -0.4694, -1.3713, -0.3394, 0.4459, -0.0173]
 V = [0.3256, 0.1946, 0.4154, 0.0200, 0.0512, 0.0069, 0.2230, 0.0040, 0.0564, 0.0730, 0.0124, 0.5325, 0.0714]
@@ -82,3 +82,9 @@ def test_an_empty_arm_has_no_effect_size(spark):
         assert found[3][0] is None and found[3][2] > 0
     nobody = spark.createDataFrame([(1, 0.0, 0.0)], "row_index long, x double, n double")
     assert effect_tables.compute(nobody, "PLO").first()["excluded"] == "no effect size"
+
+
+def test_rows_of_empty_arms_are_reported(spark):
+    arms = spark.createDataFrame([(1, 0.0, 0.0, 1.0, 4.0), (2, 1.0, 3.0, 2.0, 4.0)], "row_index long, e1 double, n1 double, e2 double, n2 double")
+    found = [(r["row_index"], r["code"], r["detail"]) for r in validate.excluded_rows(effect_tables.compute(arms, "OR")).collect()]
+    assert found == [(1, "V022", "no effect size")]
