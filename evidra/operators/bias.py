@@ -128,7 +128,9 @@ def failsafe(studies: DataFrame) -> DataFrame:
 
 def _dl(sw: Column, sw2: Column, swy: Column, swy2: Column, k: Column) -> Column:
     q = swy2 - swy * swy / sw
-    return F.coalesce(F.greatest(F.lit(0.0), (q - (k - 1)) / F.nullif(sw - sw2 / sw, F.lit(0.0))), F.lit(0.0))
+    made = F.greatest(F.lit(0.0), (q - (k - 1)) / F.nullif(sw - sw2 / sw, F.lit(0.0)))
+    # Of one study, Q and C are 0 but for rounding, and their ratio is anything.
+    return F.coalesce(F.when(k >= 2, made), F.lit(0.0))
 
 
 def leave_one_out(studies: DataFrame) -> DataFrame:

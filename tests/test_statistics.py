@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from evidra.functions import distributions as D
 from evidra.operators import bias, effect_tables, iterative, pooling, profiles, validate
@@ -88,3 +89,10 @@ def test_rows_of_empty_arms_are_reported(spark):
     arms = spark.createDataFrame([(1, 0.0, 0.0, 1.0, 4.0), (2, 1.0, 3.0, 2.0, 4.0)], "row_index long, e1 double, n1 double, e2 double, n2 double")
     found = [(r["row_index"], r["code"], r["detail"]) for r in validate.excluded_rows(effect_tables.compute(arms, "OR")).collect()]
     assert found == [(1, "V022", "no effect size")]
+
+
+def test_a_prefix_of_one_study_has_no_tau2(spark):
+    rng = np.random.default_rng(3)
+    data = rows(spark, {f"a{k}": (rng.normal(0, 0.5, 2), rng.uniform(0.02, 0.4, 2)) for k in range(200)}).withColumn("at", F.col("row_index"))
+    first = [r for r in bias.cumulative(data, "at").collect() if r["k"] == 1]
+    assert len(first) == 200 and all(r["tau2"] == 0 for r in first)
