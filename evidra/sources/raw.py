@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from .shared import stored
 from .tables import NA, TEXT, canonical_columns, decimal_mark, number
 
-_LINES = "file string, block long, at long, text string, open_0 boolean, open_1 boolean, ends_0 boolean, ends_1 boolean"
+_LINES = "file string, block long, at long, text string, open_0 boolean, open_1 boolean, ends_0 boolean, ends_1 boolean, head_0 long, head_1 long"
+
+_HEAD = "struct<block: bigint, at: bigint>"
 
 
 def quote_states(line: str, delimiter: str) -> tuple[bool, bool]:
@@ -49,60 +51,62 @@ def quote_states(line: str, delimiter: str) -> tuple[bool, bool]:
     return out[0], out[1]
 
 
+def _head(block: Column, at: Column, earlier: Column) -> Column:
+    return F.when(at.isNotNull(), F.struct(block.alias("block"), at.alias("at"))).otherwise(earlier)
+
+
 def raw_lines(spark: SparkSession, path: str, delimiter: str = ";") -> DataFrame:
-    """(file, block, at, text, opened) of each physical line, without its line feed: ``block`` is where its byte range starts, ``at`` its
-    number within the range, ``opened`` whether it begins inside a quoted cell."""
+    """(file, block, at, text, opened, closes_open, head) of each physical line, without its line feed: ``block`` is where its byte range
+    starts, ``at`` its number within the range, ``opened`` and ``closes_open`` whether it begins and ends inside a quoted cell, and
+    ``head`` (block, at) the line that its record begins with. A task knows the heads of its own range for both states, and a line
+    before the first of them belongs to the last head of the ranges before."""
     given = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("text"))
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, at, states = None, 0, (False, True)
+        last, at, states, heads = None, 0, (False, True), [None, None]
         for batch in batches:
             rows = []
             for file, block, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 if (file, block) != last:
-                    last, at, states = (file, block), 0, (False, True)
+                    last, at, states, heads = (file, block), 0, (False, True), [None, None]
                 if block == 0 and at == 0:
                     text = text.removeprefix("﻿")
                 behind = quote_states(text, delimiter)
                 after = (behind[states[0]], behind[states[1]])
-                rows.append((file, block, at, text, *states, *after))
+                heads = [head if opened else at for opened, head in zip(states, heads, strict=True)]
+                rows.append((file, block, at, text, *states, *after, *heads))
                 states, at = after, at + 1
             if rows:
-                kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), *(pa.bool_(),) * 4)
+                kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), *(pa.bool_(),) * 4, pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in _LINES.split(", ")])
 
     lines = stored(given.mapInArrow(follow, _LINES), "raw-lines")
-    ranges = lines.groupBy("file", "block").agg(F.max_by("ends_0", "at").alias("ends_0"), F.max_by("ends_1", "at").alias("ends_1"))
-    # A row for each range of a file, in order: the state before each from those behind the ones before it.
-    folded = ranges.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("block", "ends_0", "ends_1"))).alias("r")).select(
+    ranges = lines.groupBy("file", "block").agg(*[F.max_by(c, "at").alias(c) for c in ("ends_0", "ends_1", "head_0", "head_1")])
+    # A row for each range of a file, in order: the state and the record before each from those behind the ones before it.
+    folded = ranges.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("block", "ends_0", "ends_1", "head_0", "head_1"))).alias("r")).select(
         "file",
         F.aggregate(
-            "r", F.struct(F.lit(False).alias("state"), F.expr("cast(array() AS array<struct<block: bigint, state: boolean>>)").alias("found")),
-            lambda s, x: F.struct(F.when(s.state, x.ends_1).otherwise(x.ends_0).alias("state"), F.concat(s.found, F.array(F.struct(x.block.alias("block"), s.state.alias("state")))).alias("found")),
+            "r", F.struct(F.lit(False).alias("state"), F.lit(None).cast(_HEAD).alias("head"), F.expr(f"cast(array() AS array<struct<block: bigint, state: boolean, head: {_HEAD}>>)").alias("found")),
+            lambda s, x: F.struct(
+                F.when(s.state, x.ends_1).otherwise(x.ends_0).alias("state"), _head(x.block, F.when(s.state, x.head_1).otherwise(x.head_0), s.head).alias("head"),
+                F.concat(s.found, F.array(F.struct(x.block.alias("block"), s.state.alias("state"), s.head.alias("head")))).alias("found"),
+            ),
         ).found.alias("found"),
     )
-    before = folded.select("file", F.explode("found").alias("f")).select("file", "f.block", "f.state")
-    own = lines.join(before, ["file", "block"])
-    return own.select("file", "block", "at", "text", F.when(F.col("state"), F.col("open_1")).otherwise(F.col("open_0")).alias("opened"), F.when(F.col("state"), F.col("ends_1")).otherwise(F.col("ends_0")).alias("closes_open"))
+    before = folded.select("file", F.explode("found").alias("f")).select("file", "f.block", "f.state", F.col("f.head").alias("earlier"))
+    own = lines.join(F.broadcast(before), ["file", "block"])  # a row for each range
+    of = lambda name: F.when(F.col("state"), F.col(f"{name}_1")).otherwise(F.col(f"{name}_0"))
+    return own.select("file", "block", "at", "text", of("open").alias("opened"), of("ends").alias("closes_open"), _head(F.col("block"), of("head"), F.col("earlier")).alias("head"))
 
 
 def raw_records(spark: SparkSession, path: str, delimiter: str = ";") -> DataFrame:
     """(file, block, at, text, cells, complete) of each record, in the order of block and at within a file: its text with its line
     breaks, and its cells. Empty lines are records without a cell. A quoted cell that nothing closes takes the rest of its file;
     that record is not ``complete``."""
-    lines = stored(raw_lines(spark, path, delimiter), "raw-states")
+    lines = raw_lines(spark, path, delimiter)
     whole = lines.where("NOT opened AND NOT closes_open").select("file", "block", "at", "text", F.lit(True).alias("complete"))
-    parts = lines.where("opened OR closes_open")
-    # The records of several lines, counted by their first lines: in a range, and over the ranges before it.
-    starts = parts.where("NOT opened").select("file", "block", F.col("at").alias("start"))
-    heads = starts.groupBy("file", "block").agg(F.array_sort(F.collect_list("start")).alias("starts"))
-    by_file = heads.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("block", F.array_max("starts").alias("start")))).alias("earlier"))
-    placed = parts.join(heads, ["file", "block"], "left").join(by_file, "file")
-    within = F.array_max(F.filter(F.coalesce("starts", F.array().cast("array<bigint>")), lambda s: s <= F.col("at")))
-    earlier = F.element_at(F.concat(F.array(F.lit(None).cast("struct<block: bigint, start: bigint>")), F.filter("earlier", lambda e: e.block < F.col("block"))), -1)
-    head = F.when(within.isNotNull(), F.struct(F.col("block").alias("block"), within.alias("start"))).otherwise(earlier)
-    joined = placed.withColumn("head", head).groupBy("file", "head").agg(F.array_sort(F.collect_list(F.struct("block", "at", "text", "closes_open"))).alias("l"))
-    several = joined.select("file", F.col("head.block").alias("block"), F.col("head.start").alias("at"), F.array_join(F.transform("l", lambda x: x.text), "\n").alias("text"), (~F.element_at("l", -1).closes_open).alias("complete"))
+    joined = lines.where("opened OR closes_open").groupBy("file", "head").agg(F.array_sort(F.collect_list(F.struct("block", "at", "text", "closes_open"))).alias("l"))
+    several = joined.select("file", F.col("head.block").alias("block"), F.col("head.at").alias("at"), F.array_join(F.transform("l", lambda x: x.text), "\n").alias("text"), (~F.element_at("l", -1).closes_open).alias("complete"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         csv.field_size_limit(1 << 30)

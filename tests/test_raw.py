@@ -77,3 +77,20 @@ def test_findings_of_a_raw_table(spark, tmp_path):
     assert header == ["study", "m1", "m1.2", "sd1"]
     found = {(r["column"], r["value"], r["code"]) for r in raw.raw_findings(header, rows, ",", needed=("m1",)).collect()}
     assert found == {("m1.2", None, "V028"), ("m1", "2,000", "V023"), ("sd1", "q", "V021")}
+
+
+def test_lines_carry_the_heads_of_their_records(spark, tmp_path):
+    """No task looks a line's head up among all the heads of its range: it comes with the line."""
+    (tmp_path / "t.csv").write_text('a;1\nb;"x\ny\n\nz";2\nc;3\n')
+    assert [(r["at"], r["head"]["at"], r["opened"]) for r in raw.raw_lines(spark, str(tmp_path)).orderBy("at").collect()] == [(0, 0, False), (1, 1, False), (2, 1, True), (3, 1, True), (4, 1, True), (5, 5, False)]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "6")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        lines = raw.raw_lines(spark, str(tmp_path)).orderBy("block", "at").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", old[1])
+    assert len({r["block"] for r in lines}) > 2
+    heads = [next(x["text"] for x in lines if (x["block"], x["at"]) == tuple(r["head"])) for r in lines]
+    assert heads == ["a;1", *['b;"x'] * 4, "c;3"]
