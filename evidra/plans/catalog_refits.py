@@ -90,8 +90,7 @@ def raw_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = [key.cast("string"), m1, F.when(key % 5 == 0, "n/k").otherwise("12"), F.lit("1")]
     line = F.when(key % 13 == 0, F.concat_ws(";", *cells[:2])).otherwise(F.concat_ws(";", *cells))
     folder = new_folder(spark, "raw-table")
-    header = spark.range(1).select(F.lit("study;m1;sd1;m1").alias("value"), F.lit(0).alias("first"))
-    rows = o.select(line.alias("value"), F.lit(1).alias("first"))
-    header.union(rows).repartitionByRange(1, "first").sortWithinPartitions("first").select("value").write.option("lineSep", "\n").text(folder)
+    # A header in each part file: the lines are whole, so the writer must neither cut nor quote.
+    o.select(line.alias("study;m1;sd1;m1")).write.options(header=True, sep="\u0001", quote="\u0000", lineSep="\n").csv(folder)
     names, body = raw.headed(raw.raw_records(spark, folder, ";"))
     return raw.raw_findings(names, body, ";", needed=("m1",)).groupBy("column", "value", "code").agg(F.count(F.lit(1)).alias("n"))

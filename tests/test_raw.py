@@ -1,5 +1,6 @@
 import csv
 import io
+import pathlib
 
 import numpy as np
 import pytest
@@ -94,3 +95,25 @@ def test_lines_carry_the_heads_of_their_records(spark, tmp_path):
     assert len({r["block"] for r in lines}) > 2
     heads = [next(x["text"] for x in lines if (x["block"], x["at"]) == tuple(r["head"])) for r in lines]
     assert heads == ["a;1", *['b;"x'] * 4, "c;3"]
+
+
+def test_the_raw_table_is_written_by_many_tasks(spark, tmp_path):
+    from evidra.plans import catalog, load_all
+    from evidra.sources.shared import checkpoint_root
+
+    from .conftest import SF
+
+    load_all()
+    spark.read.parquet(f"{SF}/orders.parquet").repartition(3).write.parquet(str(tmp_path / "orders.parquet"))
+    old = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")
+    root = pathlib.Path(checkpoint_root(spark).removeprefix("file:"))
+    before = set(root.glob("evidra-raw-table-*"))
+    try:
+        found = {tuple(r) for r in catalog.QUERIES["raw_findings"](spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", old)
+    (folder,) = set(root.glob("evidra-raw-table-*")) - before
+    parts = list(folder.glob("part-*"))
+    assert len(parts) > 1 and all(p.read_text().startswith("study;m1;sd1;m1\n") for p in parts)
+    assert found == {tuple(r) for r in catalog.QUERIES["raw_findings"](spark, SF).collect()}
