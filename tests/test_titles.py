@@ -124,3 +124,45 @@ def test_no_titles(spark):
     empty = spark.createDataFrame([], RECORD)
     reps = linkage.signatures(empty)[0]
     assert linkage.classified(reps).count() == 0 and titles.met_in_blocks(empty.select(F.col("author").alias("key"), "title"), 0.8).count() == 0
+
+
+@pytest.mark.parametrize("small", [0, 60, 10_000])
+def test_matching_blocks_are_those_of_difflib(monkeypatch, small):
+    monkeypatch.setattr(titles, "SMALL", small)
+    own = variants(5, 20) + ["ab" * 40, "ba" * 37, "a" * 50, "b"]
+    for k, a in enumerate(own):
+        for b in own[k:]:
+            a, b = sorted((a, b))
+            exact = difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
+            assert titles.sequence_ratio(a, b) == exact
+            assert titles.sequence_ratio(a, b, 0.5) == (exact if exact >= 0.5 else 0.0)
+            assert (titles.sequence_ratio(a, b, 0.5, decide=True) >= 0.5) == (exact >= 0.5)
+
+
+def test_long_titles_are_settled_by_their_largest_parts(monkeypatch):
+    """Two long titles of other words: a few blocks show that the ratio is too small."""
+    rng = np.random.default_rng(2)
+    words = ["".join(rng.choice(list("aeiou"), 5)) for _ in range(400)]
+    a, b = (" ".join(rng.choice(words, 900)) for _ in range(2))
+    calls = []
+    longest = titles._longest
+    monkeypatch.setattr(titles, "_longest", lambda x, y: calls.append(1) or longest(x, y))
+    monkeypatch.setattr(titles.difflib, "SequenceMatcher", None)
+    assert titles.sequence_ratio(a, b, 0.8) == 0.0 and len(calls) < 50
+
+
+def test_no_block_holds_more_than_the_common_subsequence():
+    own = variants(7, 12)
+    for a in own:
+        for b, n in zip(own, titles.common_lengths(a, own), strict=True):
+            row = [0] * (len(b) + 1)
+            for c in a:
+                row = [0] + [before for before in _step(row, c, b)]
+            assert n == row[-1]
+
+
+def _step(row, c, b):
+    left = 0
+    for j, d in enumerate(b):
+        left = row[j] + 1 if c == d else max(row[j + 1], left)
+        yield left
