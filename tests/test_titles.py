@@ -166,3 +166,14 @@ def _step(row, c, b):
     for j, d in enumerate(b):
         left = row[j] + 1 if c == d else max(row[j + 1], left)
         yield left
+
+
+def test_a_frequent_word_is_dealt_over_cells(spark, monkeypatch):
+    monkeypatch.setattr(linkage, "WORD_TITLES", 3)
+    own = sorted({t for t in variants(9, 40) if len(t.split()) > 1})
+    reps = spark.createDataFrame([(t,) for t in own], "title string")
+    words = lambda t: set(t.split(" "))
+    for least in (0.6, 0.8):
+        expected = {(a, b) for a in own for b in own if a <= b and len(words(a) & words(b)) / len(words(a) | words(b)) >= least}
+        found = linkage.similar_titles(reps, least).where("similarity <> 0.95").collect()
+        assert {(r["title_a"], r["title_b"]) for r in found} == {(a, b) for a, b in expected if len(words(a) & words(b)) / len(words(a) | words(b)) != 0.95} and len(found) == len({(r["title_a"], r["title_b"]) for r in found})
