@@ -99,7 +99,7 @@ _CELLS = f"{S.arms2x2_sql('l_partkey')}, z AS (SELECT row_index, CASE WHEN row_i
     "SELECT row_index, '#' || row_index AS label, excluded, " + r(yi="CASE WHEN excluded IS NULL THEN ln(a * d / (b * c)) END", vi="CASE WHEN excluded IS NULL THEN 1 / a + 1 / b + 1 / c + 1 / d END") + " FROM o",
 )
 def es_compute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = S.arms2x2(spark, sf_dir, "l_partkey").withColumn("e1", F.when(F.col("row_index") % 50 != 0, F.col("e1"))).withColumn("study", F.lit("  "))
+    rows = S.arms2x2(spark, sf_dir, "l_partkey").withColumn("e1", F.when(F.col("row_index") % 50 == 0, None).otherwise(F.col("e1"))).withColumn("study", F.lit("  "))
     return rounded(effect_tables.compute(rows, "OR").select("row_index", "label", "excluded", "yi", "vi"))
 
 
