@@ -1,6 +1,7 @@
 import difflib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,3 +178,35 @@ def test_a_frequent_word_is_dealt_over_cells(spark, monkeypatch):
         expected = {(a, b) for a in own for b in own if a <= b and len(words(a) & words(b)) / len(words(a) | words(b)) >= least}
         found = linkage.similar_titles(reps, least).where("similarity <> 0.95").collect()
         assert {(r["title_a"], r["title_b"]) for r in found} == {(a, b) for a, b in expected if len(words(a) & words(b)) / len(words(a) | words(b)) != 0.95} and len(found) == len({(r["title_a"], r["title_b"]) for r in found})
+
+
+def test_blocks_meet_once_and_shuffle_no_pairs(spark):
+    rng = np.random.default_rng(4)
+    own = [(k, t, str(rng.choice(["", "ames", "bohm", "chen"]))) for k, t in enumerate(["", "diet", "a 12 of"] + variants(11, 30))]
+    reps = spark.createDataFrame(own, "rep long, title string, author string")
+    words = {k: {w for w in t.split(" ") if len(w) >= 3 and not w.isdigit()} for k, t, _ in own}
+    df = {w: sum(w in x for x in words.values()) for x in words.values() for w in x}
+    rare = {k: {w for w in x if df[w] <= max(9, len(own) / 10)} for k, x in words.items()}
+    expected = set()
+    for k, (a, _, p) in enumerate(own):
+        for b, _, q in own[k + 1 :]:
+            shared = len(rare[a] & rare[b])
+            named = shared >= 2 or (shared == 1 and min(len(words[a]), len(words[b])) <= 2)
+            if named or (p == q != ""):
+                expected.add((a, b, shared if named else 0, p == q != ""))
+    for block_rows in (7, 1000):
+        made = linkage.blocked_pairs(reps, max_df=9, block_rows=block_rows)
+        found = [tuple(r) for r in made.select("a", "b", "shared", "same_author").collect()]
+        assert set(found) == expected and len(found) == len(expected)
+        assert made._jdf.queryExecution().optimizedPlan().nodeName() == "FlatMapGroupsInArrow"
+
+
+def test_pairs_are_counted_a_few_titles_at_a_time(monkeypatch):
+    rows = [(0, 0, 0, k, [k % 3, 3 + k % 5], 2, "x" if k % 4 == 0 else None) for k in range(40)]
+    names = ["i", "j", "at", "rep", "words", "n_tokens", "author"]
+    cell = pa.table({c: pa.array(list(v)) for c, v in zip(names, zip(*rows, strict=True), strict=True)})
+    pairs = lambda: sorted(tuple(r.values()) for b in linkage._met_pairs(iter(cell.to_batches())) for r in b.to_pylist())
+    whole = pairs()
+    monkeypatch.setattr(linkage, "MET_PAIRS", 50)
+    monkeypatch.setattr(linkage, "MET_BATCH", 3)
+    assert pairs() == whole and len(whole) > 100
