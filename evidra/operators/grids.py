@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,9 @@ from pyspark.sql import functions as F
 WIDEST = 1000
 #: Rows of a table that are looked at together while sections are found.
 BLOCK = 4096
+#: Cells of one section beyond which it is laid out cell by cell as it comes; so are sections of more than SIDE_MOST cells or columns or
+#: more than SIDE_PLACES places.
+SIDE_CELLS, SIDE_MOST, SIDE_PLACES = 4096, 256, 200_000
 #: A table with more leading rows of head cells than this has one header row, the first.
 MOST_HEADS = 16
 #: What the header of the column of studies says.
@@ -68,8 +73,128 @@ def laid_out(cells: DataFrame) -> DataFrame:
     return ordered.mapInArrow(_lay, f"table_id {kind}, row long, col int, text string, head boolean, from_row long, from_col int")
 
 
+_PLACES = ["table_id", "row", "col", "text", "head", "from_row", "from_col"]
+
+
 def _lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["table_id", "row", "col", "text", "head", "from_row", "from_col"]
+    """The grid of cells in order: small sections of some tens of thousands of cells side by side, others cell by cell."""
+    held: list[pa.RecordBatch] = []  # cells of the last section so far
+    waiting, key = 0, None
+
+    def scalar() -> Iterator[pa.RecordBatch]:
+        """The long section, whose cells come in as long as it goes on."""
+        while True:
+            while held:
+                yield held.pop(0)
+            try:
+                batch = next(incoming)
+            except StopIteration:
+                return
+            same = _section_starts(batch, key)
+            stop = int(same[0]) if same.size else batch.num_rows
+            if stop:
+                yield batch.slice(0, stop)
+            if stop < batch.num_rows:
+                rest.append(batch.slice(stop))
+                return
+
+    incoming, rest = iter(batches), []
+    while True:
+        batch = rest.pop() if rest else next(incoming, None)
+        if batch is None:
+            break
+        if not batch.num_rows:
+            continue
+        starts = _section_starts(batch, key)
+        last = int(starts[-1]) if starts.size else 0
+        if starts.size:
+            # All before the last section that begins here is whole.
+            if last:
+                held.append(batch.slice(0, last))
+            if held:
+                yield from _lay_whole(pa.Table.from_batches(held).combine_chunks())
+            held, waiting = [], 0
+        held.append(batch.slice(last))
+        waiting += batch.num_rows - last
+        key = _section_key(batch, batch.num_rows - 1)
+        if waiting > SIDE_CELLS:
+            yield from _lay_cells(scalar())
+            held, waiting, key = [], 0, None
+    if held:
+        yield from _lay_whole(pa.Table.from_batches(held).combine_chunks())
+
+
+def _section_key(batch: pa.RecordBatch, at: int) -> tuple:
+    return batch.column(0)[at].as_py(), batch.column(1)[at].as_py()
+
+
+def _section_starts(batch: pa.RecordBatch | pa.Table, key: tuple | None) -> np.ndarray:
+    """The places at which a section begins, after one of ``key``."""
+    first = np.ones(batch.num_rows, bool)
+    if batch.num_rows:
+        a, b = batch.column(0), batch.column(1)
+        first[1:] = pc.or_(pc.not_equal(a.slice(1), a.slice(0, len(a) - 1)), pc.not_equal(b.slice(1), b.slice(0, len(b) - 1))).to_numpy(zero_copy_only=False)
+        first[0] = _section_key(batch, 0) != key
+    return np.flatnonzero(first)
+
+
+def _lay_whole(cells: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The places of whole sections. A cell's column is the first from where the row has come to that no cell above takes; a place is
+    that of the first cell that covers it. So sections are laid out side by side, a cell of each at a time, and then all places."""
+    starts = _section_starts(cells, None)
+    counts = np.diff(np.append(starts, cells.num_rows))
+    row, until, width = (cells.column(c).to_numpy() for c in ("row", "until", "colspan"))
+    width = width.astype(np.int64)
+    columns = np.add.reduceat(width, starts)
+    places = np.add.reduceat((until - row).astype(np.float64) * width, starts)
+    small = (counts <= SIDE_MOST) & (columns <= SIDE_MOST) & (places <= SIDE_PLACES)
+    for k in np.flatnonzero(~small):
+        yield from _lay_cells(iter(cells.slice(int(starts[k]), int(counts[k])).to_batches()))
+    picked = np.flatnonzero(small)
+    ends = np.cumsum(places[picked]) // SIDE_PLACES
+    for part in np.split(picked, np.flatnonzero(np.diff(ends)) + 1):
+        if part.size:
+            yield from _lay_side_by_side(cells, starts[part], counts[part], row, until, width, int(columns[part].max()))
+
+
+def _lay_side_by_side(cells: pa.Table, starts: np.ndarray, counts: np.ndarray, row: np.ndarray, until: np.ndarray, width: np.ndarray, n_columns: int) -> Iterator[pa.RecordBatch]:
+    order = np.argsort(-counts, kind="stable")
+    starts, counts = starts[order], counts[order]
+    ends = np.full((starts.size, n_columns), np.iinfo(np.int64).min)  # where the cells above end
+    free, at = np.zeros(starts.size, np.int64), np.full(starts.size, -1)
+    column = np.arange(n_columns)
+    first = np.zeros(cells.num_rows, np.int64)
+    for k in range(int(counts[0])):
+        n = int(np.searchsorted(-counts, -k, "left"))  # sections of more than k cells
+        cell = starts[:n] + k
+        here = row[cell]
+        begun = np.where((here == at[:n]) & (k > 0), free[:n], 0)
+        at[:n] = here
+        found = ((ends[:n] <= here[:, None]) & (column >= begun[:, None])).argmax(axis=1)
+        first[cell] = found
+        free[:n] = found + width[cell]
+        over = (column >= found[:, None]) & (column < free[:n, None])
+        np.maximum(ends[:n], np.where(over, until[cell][:, None], ends[:n]), out=ends[:n])
+    own = np.sort(np.repeat(starts, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts))
+    by_section = np.sort(starts)
+    section = np.searchsorted(by_section, own, "right") - 1
+    many = (until[own] - row[own]) * width[own]
+    offset = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    source, wide = np.repeat(own, many), np.repeat(width[own], many)
+    down, col = row[source] + offset // wide, first[source] + offset % wide
+    base = row[by_section][section]
+    height = int((until[own] - base).max())
+    place = (np.repeat(section, many) * height + down - np.repeat(base, many)) * n_columns + col
+    keep = np.unique(place, return_index=True)[1]
+    source, down, col = source[keep], down[keep], col[keep]
+    for start in range(0, source.size, 20000):
+        part = slice(start, start + 20000)
+        taken = cells.select(["table_id", "text", "head"]).take(pa.array(source[part])).combine_chunks()
+        table_id, text, head = (taken.column(c).combine_chunks() for c in taken.column_names)
+        yield pa.RecordBatch.from_arrays([table_id, pa.array(down[part]), pa.array(col[part].astype(np.int32)), text, head, pa.array(row[source[part]]), pa.array(first[source[part]].astype(np.int32))], _PLACES)
+
+
+def _lay_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     open_spans: dict[int, list[tuple]] = {}  # column: (until, text, head, from_row, from_col), the first has the place, each ends later
     taken: set[int] = set()  # columns of the present row
     key = row = None
@@ -94,7 +219,7 @@ def _lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def batch() -> pa.RecordBatch:
         columns = list(zip(*out, strict=True))
         out.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], _PLACES)
 
     def rows_until(stop: int | None) -> Iterator[pa.RecordBatch]:
         """Rows below the present one in which only spans lie."""

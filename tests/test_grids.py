@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,6 +68,32 @@ def test_grid_of_nothing_and_of_null_keys(spark):
     assert len(found) == grids.WIDEST and {r.text for r in found} == {""}
 
 
+@pytest.mark.parametrize("limits", [(4096, 256, 200_000), (10, 256, 60), (3, 6, 12)])
+@pytest.mark.parametrize("rows_of_batch", [1, 7, 1000])
+def test_sections_side_by_side_are_those_laid_out_one_by_one(monkeypatch, limits, rows_of_batch):
+    for name, value in zip(("SIDE_CELLS", "SIDE_MOST", "SIDE_PLACES"), limits, strict=True):
+        monkeypatch.setattr(grids, name, value)
+    cells = []
+    for t, row, place, text, down, wide, head in sorted(some_cells(5, tables=20), key=lambda c: c[:3]):
+        cells.append((t, t % 3, row, place, text or "", row + (down or 1), wide or 1, bool(head)))
+    names = ["table_id", "section", "row", "place", "text", "until", "colspan", "head"]
+    kinds = [pa.int64()] * 4 + [pa.string(), pa.int64(), pa.int32(), pa.bool_()]
+    whole = pa.table([pa.array(c, k) for c, k in zip(zip(*cells, strict=True), kinds, strict=True)], names=names)
+    rows = lambda batches: [tuple(r.values()) for b in batches for r in b.to_pylist()]
+    found = rows(grids._lay(iter(whole.to_batches(max_chunksize=rows_of_batch))))
+    assert len(found) == len(set(found)) and set(found) == set(rows(grids._lay_cells(iter(whole.to_batches()))))
+
+
+def test_many_small_sections_take_few_steps(monkeypatch):
+    """Ten thousand tables of three rows: none is laid out cell by cell."""
+    monkeypatch.setattr(grids, "_lay_cells", None)
+    n = 30_000
+    of, row = [k // 3 for k in range(n)], [k % 3 for k in range(n)]
+    cells = pa.table([of, [0] * n, row, [0] * n, ["x"] * n, pa.array([3 if r == 0 else r + 1 for r in row], pa.int64()), pa.array([2] * n, pa.int32()), [False] * n], names=["table_id", "section", "row", "place", "text", "until", "colspan", "head"])
+    found = pa.Table.from_batches(grids._lay(iter(cells.to_batches(max_chunksize=5000))))
+    assert found.num_rows == 10_000 * (6 + 4)
+
+
 def test_headers(spark):
     t = [
         (1, 0, 0, "Study", 1, 1, True), (1, 1, 0, "x", 1, 1, True), (1, 2, 0, "1", 1, 1, False),
