@@ -180,6 +180,18 @@ def test_citations(spark):
     assert {r.s: tuple(r.c) for r in rows} == said | {None: (None,) * 8}
 
 
+def test_citations_are_matched_once(spark):
+    """A text is matched for its source and then taken apart, whatever the number of its parts; brackets are not taken for ends."""
+    assert str(citations.cited(F.col("s"))).count("(?:1[89]|20)") == 2
+    said = {
+        "Doe A. Trials (of) some) drugs. Ann (Med) 2011;S2(Suppl (1):4. 9)x)": ("Doe A", "Trials (of) some) drugs", "Ann (Med)", 2011, "S2", "Suppl (1", "4", None),
+        "2010)1)2)3)4)Ann Med 1999;1:2)": (None, None, "2010)1)2)3)4)Ann Med", 1999, "1", None, "2", None),
+        "2010)1)2)3)4)Ann Med 1999": (None,) * 8,
+    }
+    rows = spark.createDataFrame([(s,) for s in said], "s string").select("s", citations.cited(F.col("s")).alias("c")).collect()
+    assert {r.s: tuple(r.c) for r in rows} == said
+
+
 def test_levels_and_record_order(spark):
     rows = spark.createDataFrame([("1",), ("01",), (" 1",), ("2",), ("2.0",), ("x",), (None,)], "level string")
     met = {v: sorted(r.level for r in citations.with_level(rows, "level", v).collect()) for v in ("1", "01", "1.0", "2", "x", "7")}
