@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from evidra.functions import distributions as D
 
 from .pooling import KEY, usable
+from .titles import many_parts
 
 
 def _mean(y, v, tau2):
@@ -101,7 +102,8 @@ def _grouped(studies: DataFrame, fn, schema: str, columns: tuple[str, ...] = ("r
     from pyspark.sql.types import _parse_datatype_string
 
     target = to_arrow_schema(_parse_datatype_string(full))
-    return rows.groupBy(KEY).applyInArrow(run, full)
+    # The work of an analysis is not in its bytes, so its partitions are not to be put together by their size.
+    return rows.repartition(many_parts(rows), KEY).groupBy(KEY).applyInArrow(run, full)
 
 
 def side_slope(y, v, method: str) -> float:

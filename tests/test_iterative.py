@@ -137,3 +137,11 @@ def test_array_forms_of_distributions():
     t, df = np.array([0.0, 1.0, -2.5, 40.0]), np.array([1.0, 3.0, 17.0, 200.0])
     assert np.allclose(D.t_two_sided(t, df), [2 * (1 - D.t_cdf(abs(a), n)) for a, n in zip(t, df, strict=True)], atol=1e-12)
     assert D.f_tail(np.array([3.0]), np.array([2.0]), np.array([10.0]))[0] == pytest.approx(1 - D.f_cdf(3.0, 2, 10))
+
+
+def test_small_tables_of_many_analyses_are_many_tasks(spark):
+    """Refits cost by the analysis, so few bytes are no reason for one task."""
+    rows = [(a, r, float((7 * a + r) % 11), 1.0 + r % 3) for a in range(200) for r in range(3)]
+    studies = spark.createDataFrame(rows, "analysis_id long, row_index long, yi double, vi double")
+    made = iterative._grouped(studies, lambda rows, y, v: [(len(y),)], "k long")
+    assert made.count() == 200 and made.select(F.spark_partition_id()).distinct().count() > 10
