@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evidra.sources.shared import forget, stored
 
-from .components import components, dealt_join
+from .components import contracted, dealt_join, dealt_left, frequent, renamed
 
 #: Distinct strengths of links; events of one segment of a chain, and children of one node of its tree.
 MOST_LEVELS, SEGMENT, FANOUT = 64, 1024, 64
@@ -22,34 +22,42 @@ def constrained_studies(records: DataFrame, links: DataFrame, apart: DataFrame)
     reported with the studies that they would have joined and their number. A study is named by its least record. Links and pairs
     with a null, a loop or a record that is not there are none.
     """
-    known = records.select("rec").where("rec IS NOT NULL").distinct()
+    known = records.select("rec").where("rec IS NOT NULL")
     is_known = lambda rows: rows.where("a <> b").join(known.withColumnRenamed("rec", "a"), "a", "left_semi").join(known.withColumnRenamed("rec", "b"), "b", "left_semi")
-    own = stored(is_known(links.where("strength IS NOT NULL")).select("a", "b", "strength"), "links")
-    barred = stored(is_known(apart).select("a", "b").distinct(), "apart")
+    own = stored(is_known(links.where("strength IS NOT NULL").select("a", "b", "strength")), "links")
+    barred = stored(is_known(apart.select("a", "b")).distinct(), "apart")
     levels = sorted((r[0] for r in own.select("strength").distinct().limit(MOST_LEVELS + 1).collect()), reverse=True)
     if len(levels) > MOST_LEVELS:
         raise ValueError(f"links of more than {MOST_LEVELS} strengths: round them first")
-    labels = stored(known.select("rec", F.col("rec").alias("study")), "studies")
-    refused = []
-
-    def placed(pairs: DataFrame, by: DataFrame, column: str) -> DataFrame:
-        for end in ("a", "b"):
-            pairs = dealt_join(pairs, by.select(F.col("rec").alias(end), F.col(column).alias(f"study_{end}")), end, "b" if end == "a" else "a")
-        return pairs
-
+    refused, moves = [], []
     for strength in levels:
-        level = stored(placed(own.where(F.col("strength") == strength), labels, "study").where("study_a <> study_b").select("study_a", "study_b"), "level")
-        joined = components(level, "study_a", "study_b").withColumnRenamed("node", "study")
-        after = stored(labels.join(joined, "study", "left").select("rec", "study", F.coalesce("root", "study").alias("root")), "studies")
+        # Links and pairs have the names of studies by now; only studies that a level joins are written, and only their names change.
+        level = own.where((F.col("strength") == strength) & (F.col("a") != F.col("b"))).select("a", "b")
+        joined = contracted(level)
+        hot, hot_pairs = frequent(own, ("a", "b"), ("b", "a")), frequent(barred, ("a", "b"), ("b", "a"))
         # Two records to be kept apart stood in different studies before: in one now, they bar what joined them.
-        met = placed(barred, after, "root").where("study_a = study_b").select(F.col("study_a").alias("root")).distinct()
-        bad = stored(met.withColumn("bad", F.lit(True)), "barred")
-        within = level.join(joined.withColumnRenamed("study", "study_a"), "study_a").join(bad, "root")
-        ends = within.select(F.least("study_a", "study_b").alias("study_a"), F.greatest("study_a", "study_b").alias("study_b"))
+        bad = stored(renamed(barred, joined, "root", hot_pairs).where("a = b").select(F.col("a").alias("root")).distinct(), "barred")
+        within = dealt_left(level, joined.withColumnRenamed("node", "a"), "a", "b", hot).join(bad, "root", "left_semi")
+        ends = within.select(F.least("a", "b").alias("study_a"), F.greatest("a", "b").alias("study_b"))
         refused.append(stored(ends.groupBy("study_a", "study_b").agg(F.count(F.lit(1)).alias("links")).withColumn("strength", F.lit(strength)), "refused"))
-        forget(labels)
-        labels = stored(after.join(bad, "root", "left").select("rec", F.when(F.col("bad"), F.col("study")).otherwise(F.col("root")).alias("study")), "studies")
-        forget(level, after, bad)
+        moves.append(stored(joined.where("node <> root").join(bad, "root", "left_anti").select("node", "root"), "moves"))
+        if strength != levels[-1]:
+            later, pairs = stored(renamed(own.where(F.col("strength") < strength), moves[-1], "root", hot), "links"), stored(renamed(barred, moves[-1], "root", hot_pairs), "apart")
+            forget(own, barred)
+            own, barred = later, pairs
+        forget(joined, bad)
+    # From the last level back, so that each table of moves is read once: where its studies went, and those that moved later only.
+    final = None
+    for move in reversed(moves):
+        if final is not None:
+            onward = final.select(F.col("node").alias("root"), F.col("root").alias("onward"))
+            move = stored(move.join(onward, "root", "left").select("node", F.coalesce("onward", "root").alias("root")).union(final), "moves")
+        final = move
+    labels = known.distinct()
+    if final is None:
+        labels = labels.select("rec", F.col("rec").alias("study"))
+    else:
+        labels = labels.join(final.withColumnRenamed("node", "rec"), "rec", "left").select("rec", F.coalesce("root", "rec").alias("study"))
     every = refused[0] if refused else own.select(F.col("a").alias("study_a"), F.col("b").alias("study_b"), F.lit(0).cast("long").alias("links"), "strength").limit(0)
     for more in refused[1:]:
         every = every.union(more)
