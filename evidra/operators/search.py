@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,12 +15,20 @@ from evidra.sources.shared import stored
 K1, B = 1.2, 0.75
 
 
-def postings(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((chunk_id, token, tf), (chunk_id, length)) of folded texts, both written: an index that many searches read."""
-    words = chunks.select("chunk_id", F.filter(F.split(T.folded(F.col("text")), " "), lambda w: w != "").alias("w"))
-    lengths = words.select("chunk_id", F.size("w").cast("long").alias("length")).where("length > 0")
-    tokens = words.select("chunk_id", F.explode("w").alias("token")).groupBy("chunk_id", "token").agg(F.count(F.lit(1)).alias("tf"))
-    return stored(tokens, "postings"), stored(lengths, "lengths")
+def asked(token: Column, term: str) -> Column:
+    """Whether a folded token answers ``term``; a trailing * asks for a prefix."""
+    return token.startswith(term[:-1]) if term.endswith("*") else token == term
+
+
+def postings(chunks: DataFrame, terms: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """((chunk_id, token, tf), (chunk_id, length)) of folded texts, both written: an index that many searches read. With ``terms``, an
+    index for a search of these: tokens that answer none of them go no further than the scan; lengths are those of whole texts.
+    Texts are folded once."""
+    words = F.filter(F.split(T.folded(F.col("text")), " "), lambda w: w != "")
+    sized = chunks.select("chunk_id", words.alias("w")).select("chunk_id", F.size("w").cast("long").alias("length"), (F.col("w") if terms is None else F.filter("w", lambda w: reduce(or_, [asked(w, t) for t in terms], F.lit(False)))).alias("w"))
+    rows = stored(sized.where("length > 0"), "words")
+    tokens = rows.select("chunk_id", F.explode("w").alias("token")).groupBy("chunk_id", "token").agg(F.count(F.lit(1)).alias("tf"))
+    return stored(tokens, "postings"), rows.select("chunk_id", "length")
 
 
 def bm25(index: tuple[DataFrame, DataFrame], terms: list[str], limit: int | None = None) -> DataFrame:
@@ -28,7 +38,7 @@ def bm25(index: tuple[DataFrame, DataFrame], terms: list[str], limit: int | None
     n, mean = lengths.agg(F.count(F.lit(1)), F.avg("length")).first()
     if not n:
         return lengths.select("chunk_id", F.lit(0.0).alias("score")).limit(0)
-    hits = [F.col("token").startswith(t[:-1]) if t.endswith("*") else F.col("token") == t for t in terms]
+    hits = [asked(F.col("token"), t) for t in terms]
     # One scan: which terms a token answers, then a row for each chunk and term.
     marked = tokens.withColumn("term", F.explode(F.array_compact(F.array(*[F.when(h, F.lit(k)) for k, h in enumerate(hits)]))))
     found = stored(marked.groupBy("chunk_id", "term").agg(F.sum("tf").alias("tf")), "hits")

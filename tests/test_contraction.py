@@ -28,3 +28,14 @@ def test_levels_write_links_not_all_records(spark, monkeypatch):
     assert len(found) == 3000 and {k: v for k, v in found.items() if k != v} == {2: 1, 11: 10, 12: 10, 21: 20}
     assert sorted(tuple(r) for r in refused.collect()) == [(1, 3, 4, 1), (3, 4, 4, 1)]
     assert max(written) < 100
+
+
+def test_postings_of_asked_terms_only(spark):
+    from evidra.operators import search
+
+    chunks = spark.createDataFrame([(1, "The error, the Éra."), (2, "nothing here"), (3, "..."), (4, None), (1, "the end")], "chunk_id long, text string")
+    tokens, lengths = search.postings(chunks, ["the", "er*"])
+    assert sorted(tuple(r) for r in tokens.select("chunk_id", "token", "tf").collect()) == [(1, "era", 1), (1, "error", 1), (1, "the", 3)]
+    assert sorted(tuple(r) for r in lengths.collect()) == [(1, 2), (1, 4), (2, 2)]
+    whole, sizes = search.postings(chunks)
+    assert whole.count() == 6 and sizes.count() == 3
