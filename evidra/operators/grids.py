@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidra.sources.shared import stored
+
 #: Fixed value of HTML: no cell is wider than this.
 WIDEST = 1000
 #: Rows of a table that are looked at together while sections are found.
@@ -362,30 +364,34 @@ def inclusion(references: DataFrame, claims: DataFrame, said: DataFrame) -> tupl
     Returns (review, ref, role, strategy, n_strategies): every included reference by its first strategy (a1, a2, a3, a4) and the
     number of strategies that agree, and, for reviews with none, all references with the role "unknown"; and (review, n_said,
     n_found, complete) of all reviews with references, the greatest believed number said or null."""
-    listed = references.where("review IS NOT NULL AND ref IS NOT NULL").groupBy("review", "ref").agg(
-        F.bool_or(F.coalesce(F.col("section") == "included", F.lit(False))).alias("included"),
-        F.bool_or(F.coalesce(F.col("section") == "excluded", F.lit(False))).alias("excluded"),
-    )
-    a1 = listed.where("included").select("review", "ref", F.lit("a1").alias("strategy"))
-    own = claims.where("strategy IN ('a2', 'a3')").select("review", "ref", "strategy")
-    open_refs = listed.where("included OR NOT excluded").select("review", "ref")
-    firm = a1.union(own).distinct().join(open_refs, ["review", "ref"])
-    found = firm.groupBy("review").agg(F.countDistinct("ref").alias("n_firm"), F.bool_or(F.col("strategy") == "a1").alias("has_a1"))
+    # One row a reference with all that is said of it, written once: strategies are columns, not rows that meet again and again.
+    no = F.lit(False)
+    flag = lambda column, value: F.coalesce(F.col(column) == value, no).alias(value)
+    rows = references.select("review", "ref", F.lit(True).alias("listed"), flag("section", "included"), flag("section", "excluded"), no.alias("a2"), no.alias("a3"))
+    rows = rows.union(claims.select("review", "ref", no, no, no, flag("strategy", "a2"), flag("strategy", "a3")))
+    marks = rows.where("review IS NOT NULL AND ref IS NOT NULL").groupBy("review", "ref").agg(*[F.bool_or(c).alias(c) for c in ("listed", "included", "excluded", "a2", "a3")]).where("listed")
+    counted = F.col("included") | ~F.col("excluded")
+    marks = stored(marks.select("review", "ref", counted.alias("counted"), F.col("included").alias("a1"), (F.col("a2") & counted).alias("a2"), (F.col("a3") & counted).alias("a3")), "marks")
+    found = marks.where("a1 OR a2 OR a3").groupBy("review").agg(F.count(F.lit(1)).alias("n_firm"), F.bool_or("a1").alias("has_a1"))
     n = F.size("refs")
+    said = stored(said.select("review", "n_said", "refs"), "statements")
     believed = said.where((n == F.col("n_said")) | ((n >= 2) & (2 * n >= F.col("n_said"))))
     believed = believed.join(found, "review", "left").withColumn(
         "creates", F.col("n_firm").isNull() | (~F.col("has_a1") & (n == F.col("n_said")) & (F.col("n_said") > F.col("n_firm")))
     )
     told = believed.select("review", F.explode("refs").alias("ref"), "creates").groupBy("review", "ref").agg(F.bool_or("creates").alias("creates"))
-    told = told.join(open_refs, ["review", "ref"]).select("review", "ref", F.lit("a4").alias("strategy"), "creates")
-    votes = firm.withColumn("creates", F.lit(True)).unionByName(told).groupBy("review", "ref").agg(
-        F.min("strategy").alias("strategy"), F.countDistinct("strategy").alias("n_strategies"), F.bool_or("creates").alias("creates")
-    )
-    votes = votes.where("creates").select("review", "ref", F.lit("included").alias("role"), "strategy", "n_strategies")
+    a4 = F.col("counted") & F.col("creates").isNotNull()
+    every = marks.join(told, ["review", "ref"], "left").withColumn("a4", a4)
+    strategies = ("a1", "a2", "a3", "a4")
+    every = stored(every.select(
+        "review", "ref", F.coalesce(*[F.when(F.col(c), c) for c in strategies]).alias("strategy"), sum(F.col(c).cast("long") for c in strategies).alias("n_strategies"),
+        F.expr("a1 OR a2 OR a3 OR (a4 AND creates)").alias("voted"),
+    ), "votes")
+    votes = every.where("voted").select("review", "ref", F.lit("included").alias("role"), "strategy", "n_strategies")
     counts = votes.groupBy("review").agg(F.count(F.lit(1)).alias("n_found"))
-    unknown = listed.join(counts.select("review"), "review", "left_anti")
+    unknown = every.join(counts.select("review"), "review", "left_anti")
     unknown = unknown.select("review", "ref", F.lit("unknown").alias("role"), F.lit("list").alias("strategy"), F.lit(0).cast("long").alias("n_strategies"))
     most = believed.groupBy("review").agg(F.max("n_said").alias("n_said"))
-    whole = listed.select("review").distinct().join(most, "review", "left").join(counts, "review", "left").withColumn("n_found", F.coalesce("n_found", F.lit(0)))
+    whole = every.select("review").distinct().join(most, "review", "left").join(counts, "review", "left").withColumn("n_found", F.coalesce("n_found", F.lit(0)))
     complete = F.when(F.col("n_said").isNotNull(), F.col("n_found") >= F.col("n_said"))
     return votes.unionByName(unknown), whole.select("review", "n_said", "n_found", complete.alias("complete"))

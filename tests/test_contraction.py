@@ -39,3 +39,14 @@ def test_postings_of_asked_terms_only(spark):
     assert sorted(tuple(r) for r in lengths.collect()) == [(1, 2), (1, 4), (2, 2)]
     whole, sizes = search.postings(chunks)
     assert whole.count() == 6 and sizes.count() == 3
+
+
+def test_references_meet_once_for_all_strategies(spark):
+    from evidra.operators import grids
+
+    references = spark.createDataFrame([(1, 1, "included"), (1, 2, "studies"), (2, 1, "studies")], "review int, ref int, section string")
+    claims = spark.createDataFrame([(1, 2, "a2"), (1, 2, "a3")], "review int, ref int, strategy string")
+    said = spark.createDataFrame([(1, 1, [2])], "review int, n_said int, refs array<int>")
+    made = grids.inclusion(references, claims, said)[0]
+    assert sorted(tuple(r) for r in made.collect()) == [(1, 1, "included", "a1", 1), (1, 2, "included", "a2", 3), (2, 1, "unknown", "list", 0)]
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
