@@ -50,3 +50,15 @@ def test_references_meet_once_for_all_strategies(spark):
     made = grids.inclusion(references, claims, said)[0]
     assert sorted(tuple(r) for r in made.collect()) == [(1, 1, "included", "a1", 1), (1, 2, "included", "a2", 3), (2, 1, "unknown", "list", 0)]
     assert made._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+def test_tasks_grow_with_the_values(spark, monkeypatch):
+    from evidra.operators import linkage
+
+    monkeypatch.setattr(linkage, "TASK_ROWS", 10)
+    values = spark.range(200).selectExpr("id % 7 AS review", "id AS study", "'f' AS field", "'o' AS outcome", "'a' AS arm", "1.0D AS value")
+    decisions = spark.createDataFrame([(3, 3, "f", "o", "a", "five"), (3, 3, "f", None, None, "three"), (4, 4, "f", None, None, "three")], "review long, study long, field string, outcome string, arm string, decision string")
+    made = linkage.decided_values(values, decisions)
+    assert made.rdd.getNumPartitions() == 20
+    rows = made.collect()
+    assert len(rows) == 200 and {r["study"]: r["decision"] for r in rows if r["decision"]} == {3: "five", 4: "three"}
