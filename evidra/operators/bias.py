@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evidra.functions.effects import Z975
 from evidra.functions.special import norm_cdf, norm_ppf
+from evidra.sources.shared import stored
 
 from .pooling import KEY, pooled, usable, weighted
 from .ranks import EXACT_MOST, concordance, exact_p
@@ -59,16 +60,21 @@ def deviates(studies: DataFrame) -> DataFrame:
 def begg(studies: DataFrame) -> DataFrame:
     """(analysis_id, k, s, tau_b): Kendall's rank correlation of standardised deviates with variances, of analyses of two or more; no
     pairs are formed, so an analysis may have any size."""
-    m = concordance(deviates(studies), "z", "vi").where("k > 1")
+    return _tau(concordance(deviates(studies), "z", "vi").where("k > 1"))
+
+
+def _tau(m: DataFrame) -> DataFrame:
     return m.select(KEY, "k", "s", (F.col("s") / F.nullif(F.sqrt((F.col("pairs") - F.col("ties_x")) * (F.col("pairs") - F.col("ties_y"))), F.lit(0.0))).alias("tau_b"))
 
 
 def begg_exact(studies: DataFrame) -> DataFrame:
     """(analysis_id, k, s, tau_b, p, method) of analyses of three or more: the chance of an s as far from 0 by its exact distribution
-    where nothing is tied and there are at most 170 studies, else by ``begg_normal``; null where all effects or variances are one."""
-    m = concordance(deviates(studies), "z", "vi").where("k >= 3")
+    where nothing is tied and there are at most 170 studies, else by ``begg_normal``; null where all effects or variances are one. Deviates and their concordance are written once, so
+    that no task holds the sorts of all steps at a time."""
+    rows = stored(deviates(studies), "deviates")
+    m = stored(concordance(rows, "z", "vi").where("k >= 3"), "concordance")
     free = (F.col("ties_x") + F.col("ties_y") == 0) & (F.col("k") <= EXACT_MOST)
-    normal = begg_normal(studies).select(KEY, "tau_b", F.col("p").alias("p_normal"))
+    normal = _normal(rows, _tau(m)).select(KEY, "tau_b", F.col("p").alias("p_normal"))
     out = m.join(normal, KEY, "left").withColumns({"method": F.when(free, "exact").otherwise("normal"), "p_exact": exact_p(F.col("s"), F.col("k"))})
     return out.select(KEY, "k", "s", "tau_b", F.when(F.col("tau_b").isNotNull(), F.when(free, F.col("p_exact")).otherwise(F.col("p_normal"))).alias("p"), "method")
 
@@ -76,14 +82,16 @@ def begg_exact(studies: DataFrame) -> DataFrame:
 def begg_normal(studies: DataFrame, continuity: bool = False) -> DataFrame:
     """(analysis_id, k, s, tau_b, sd_s, z, p): ``begg`` with the variance of s corrected for ties and the normal test; with
     ``continuity``, s is moved by one towards 0."""
-    rows = deviates(studies)
+    return _normal(deviates(studies), begg(studies), continuity)
+
 
+def _normal(rows: DataFrame, taus: DataFrame, continuity: bool = False) -> DataFrame:
     def ties(column: str, name: str) -> DataFrame:
         c = F.col("c").cast("double")
         one = rows.groupBy(KEY, column).agg(F.count(F.lit(1)).alias("c"))
         return one.groupBy(KEY).agg(F.sum(c * (c - 1) * (2 * c + 5)).alias(f"{name}3"), F.sum(c * (c - 1)).alias(f"{name}1"), F.sum(c * (c - 1) * (c - 2)).alias(f"{name}2"))
 
-    both = begg(studies).join(ties("z", "a"), KEY).join(ties("vi", "b"), KEY)
+    both = taus.join(ties("z", "a"), KEY).join(ties("vi", "b"), KEY)
     k = F.col("k").cast("double")
     v = (k * (k - 1) * (2 * k + 5) - F.col("a3") - F.col("b3")) / 18 + F.col("a1") * F.col("b1") / (2 * k * (k - 1)) + F.when(k > 2, F.col("a2") * F.col("b2") / (9 * k * (k - 1) * F.nullif(k - 2, F.lit(0.0)))).otherwise(0.0)
     sd = F.sqrt(F.when(v > 0, v))

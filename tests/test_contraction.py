@@ -62,3 +62,11 @@ def test_tasks_grow_with_the_values(spark, monkeypatch):
     assert made.rdd.getNumPartitions() == 20
     rows = made.collect()
     assert len(rows) == 200 and {r["study"]: r["decision"] for r in rows if r["decision"]} == {3: "five", 4: "three"}
+
+
+def test_rank_test_writes_its_deviates_once(spark):
+    from evidra.operators import bias
+
+    studies = spark.createDataFrame([("a", k, 0.1 * k * (-1) ** k, 0.1 + 0.01 * k) for k in range(6)], "analysis_id string, row_index long, yi double, vi double")
+    made = bias.begg_exact(studies)
+    assert made.first()["method"] == "exact" and made._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 3
