@@ -113,6 +113,21 @@ def test_buckets_have_the_weight_of_their_most_frequent_shingle(spark):
     assert weights[own] == pytest.approx(np.log(3 / 3) + 1) and weights[own - 1] == pytest.approx(np.log(3 / 2) + 1)
 
 
+@pytest.mark.parametrize(("range_bytes", "held"), [(64, 50), (4 << 20, 1_000_000), (64, 1_000_000)])
+def test_shingles_are_added_up_in_ranges_without_a_row_each(spark, monkeypatch, range_bytes, held):
+    monkeypatch.setattr(minhash, "RANGE_BYTES", range_bytes)
+    monkeypatch.setattr(minhash, "HELD_TERMS", held)
+    texts = [*made_texts(), None, "...", "a b c d e"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    terms = [t for _, _, rows in minhash._row_terms(pa.array(texts, pa.string())) for t, _ in rows]
+    df = Counter(s for t in terms for s in t.view(np.int64).tolist()) | {None: sum(t.size > 0 for t in terms)}
+    for least in (1, 2):
+        counts = minhash.shingle_counts(docs, least=least)
+        assert {r["shingle"]: r["df"] for r in counts.collect()} == {s: n for s, n in df.items() if s is None or n >= least}
+        # An aggregate by shingle would hold a row for each of them in the executors' heap.
+        assert "HashAggregate" not in counts._jdf.queryExecution().executedPlan().toString()
+
+
 def test_empty_table_and_null_ids(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
     docs = spark.createDataFrame([(None, "a b c d e f"), (None, None), (5, "a b c d e f"), (5, "a b c d e f")], "doc_id long, text string")
