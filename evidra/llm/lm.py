@@ -163,6 +163,11 @@ def symbols_of(hashes: np.ndarray, counts: Counts) -> np.ndarray:
     return np.where(there, counts.symbol[at] if counts.symbol.size else counts.other, counts.other)
 
 
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal numbers begin in sorted ``x``."""
+    return np.flatnonzero(np.append(True, x[1:] != x[:-1])[: x.size])
+
+
 class Gru:
     """Parameters as float32 arrays. Symbols: head words, then the end, then other. The output is factored: words stand in
     classes, runs of them by frequency (FINE_WORDS each among the first FINE words, CLASS_WORDS each behind them), and the
@@ -215,39 +220,42 @@ class Gru:
 
     def states(self, inputs: np.ndarray, state: np.ndarray, keep: list | None = None) -> np.ndarray:
         """Hidden states [T, B, H] after each of ``inputs`` [T, B], from ``state`` [B, H]; an end token clears the state. ``keep`` gets
-        what backpropagation needs of each step: the state before, both gates, the candidate and its recurrent part."""
-        h, u, n = self.hidden, self.p["u"], inputs.shape[0]
-        out = np.empty((*inputs.shape, h), self.p["u"].dtype)
-        given = self.p["e"][inputs.ravel()] @ self.p["i"]
-        given += self.p["ib"]
-        given = given.reshape(*inputs.shape, 3 * h)
+        what backpropagation needs of each step: the state before, both gates, the candidate and its recurrent part.
+
+        Within the steps lanes are the last axis, [H, B], so that gates and candidates are whole rows of memory."""
+        h, n, ut = self.hidden, inputs.shape[0], np.ascontiguousarray(self.p["u"].T)
+        out = np.empty((n, h, inputs.shape[1]), self.p["u"].dtype)
+        given = self.p["i"].T @ self.p["e"][inputs].transpose(0, 2, 1)
+        given += self.p["ib"][:, None]
         clear = inputs == self.n_head
         cleared = clear.any(axis=1)
+        state = np.ascontiguousarray(state.T)
         with np.errstate(over="ignore"):  # an infinite exponential is a closed gate
             for t in range(n):
                 if cleared[t]:
-                    state = np.where(clear[t][:, None], out.dtype.type(0), state)
-                g = state @ u
-                gates = g[:, : 2 * h] + given[t, :, : 2 * h]
+                    state = np.where(clear[t], out.dtype.type(0), state)
+                g = ut @ state
+                gates = g[: 2 * h] + given[t, : 2 * h]
                 np.negative(gates, out=gates)
                 np.exp(gates, out=gates)
                 gates += 1
                 np.reciprocal(gates, out=gates)
-                new = gates[:, h:] * g[:, 2 * h :]
-                new += given[t, :, 2 * h :]
+                new = gates[h:] * g[2 * h :]
+                new += given[t, 2 * h :]
                 np.tanh(new, out=new)
                 if keep is not None:
-                    keep.append((state, gates[:, :h], gates[:, h:], new, g[:, 2 * h :]))
+                    keep.append((state, gates[:h], gates[h:], new, g[2 * h :]))
                 state = np.subtract(state, new, out=out[t])
-                state *= gates[:, :h]
+                state *= gates[:h]
                 state += new
-        return out
+        return np.ascontiguousarray(out.transpose(0, 2, 1))
 
     def log_chances(self, states: np.ndarray, targets: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural logs of the chances of ``targets`` [M] after ``states`` [M, H]. With ``grads`` (a dict that is filled), also
         the gradient of minus their sum by states."""
         out, back = np.zeros(targets.size), None if grads is None else np.zeros_like(states)
         every = np.arange(targets.size)
+        states = np.concatenate([states, np.ones((len(states), 1), states.dtype)], axis=1)  # the last column meets the bias
         root = self.root_of[targets]
         self._choose(states, every, np.zeros(targets.size, np.intp), root, np.array([0, self.p["rb"].size]), "r", out, back, grads)
         words = np.flatnonzero(targets < self.n_head)
@@ -260,36 +268,35 @@ class Gru:
     def _choose(self, states: np.ndarray, at: np.ndarray, group: np.ndarray, row: np.ndarray, starts: np.ndarray, key: str, out: np.ndarray, back: np.ndarray | None, grads: dict | None) -> None:
         """Adds to ``out`` the log chances of choosing ``row`` among the rows of ``group``, whose bounds are ``starts``, at the places
         ``at`` of the states; and gradients to ``back`` and ``grads``."""
-        w, bias = self.p[key], self.p[key + "b"]
-        order = np.argsort(group, kind="stable") if starts.size > 2 else slice(None)
+        w = np.column_stack([self.p[key], self.p[key + "b"]])
+        order = np.argsort(group.astype(np.min_scalar_type(starts.size)), kind="stable") if starts.size > 2 else slice(None)
         at, group, row = at[order], group[order], row[order]
         here = states if at.size == len(states) and starts.size == 2 else states[at]
-        used, first = np.unique(group, return_index=True)
+        first = _runs(group)
+        used = group[first]
         place, m = row - starts[group], np.arange(at.size)
         totals, best = np.empty(at.size, states.dtype), np.empty(at.size, states.dtype)
         if grads is not None:
-            gw, gb, own_back = np.zeros_like(w), np.zeros_like(bias), np.empty_like(here)
-            grads[key], grads[key + "b"] = gw, gb
+            gw, own_back = np.zeros_like(w), np.empty((at.size, self.hidden), here.dtype)
         pieces = [(k, c, min(b, c + PIECE)) for k, a, b in zip(used, first, np.append(first[1:], at.size), strict=False) for c in range(a, b, PIECE)]
         for k, a, b in pieces:
             rows = slice(starts[k], starts[k + 1])
             own, h, i = w[rows], here[a:b], (m[: b - a], place[a:b])
             chance = h @ own.T
-            chance += bias[rows]
             if not self.safe:
                 chance -= chance.max(axis=1, keepdims=True)
             best[a:b] = chance[i]
             np.exp(chance, out=chance)
             total = totals[a:b] = chance.sum(axis=1)
             if grads is not None:
-                chance *= (1 / total)[:, None]
-                chance[i] -= 1
-                gw[rows] += chance.T @ h
-                gb[rows] += chance.sum(axis=0)
-                own_back[a:b] = chance @ own
+                chance[i] -= total
+                share = (1 / total)[:, None]  # scales what is narrow, not the chances
+                gw[rows] += chance.T @ (h * share)
+                np.multiply(chance @ own[:, :-1], share, out=own_back[a:b])
         out[at] += best - np.log(totals)
         if grads is not None:
             back[at] += own_back
+            grads[key], grads[key + "b"] = np.ascontiguousarray(gw[:, :-1]), np.ascontiguousarray(gw[:, -1])
 
     def learn(self, inputs: np.ndarray, targets: np.ndarray, state: np.ndarray, rate: float) -> tuple[np.ndarray, float]:
         """One window of truncated backpropagation [T, B], in which targets below 0 are none; the state after it and the sum of
@@ -303,9 +310,9 @@ class Gru:
             logs, found = self.log_chances(hs.reshape(-1, h)[there], targets.ravel()[there], grads)
             back = np.zeros((inputs.size, h), hs.dtype)
             back[there] = found
-        back = back.reshape(hs.shape)
-        later, ends, du, ut = np.zeros_like(state), inputs == self.n_head, np.zeros_like(self.p["u"]), np.ascontiguousarray(self.p["u"].T)
-        given = np.empty((*inputs.shape, 3 * h), hs.dtype)
+        back = np.ascontiguousarray(back.reshape(hs.shape).transpose(0, 2, 1))
+        later, ends, du, u = np.zeros_like(state.T, order="C"), inputs == self.n_head, np.zeros_like(self.p["u"]), self.p["u"]
+        given = np.empty((inputs.shape[0], 3 * h, inputs.shape[1]), hs.dtype)
         for t in range(inputs.shape[0] - 1, -1, -1):
             before, z, r, new, part = kept.pop()
             own, dh = given[t], later
@@ -314,27 +321,30 @@ class Gru:
             dh -= kz
             slope = new * new
             np.subtract(1, slope, out=slope)
-            dn = np.multiply(dh, slope, out=own[:, 2 * h :])
+            dn = np.multiply(dh, slope, out=own[2 * h :])
             np.subtract(before, new, out=slope)
             slope *= 1 - z
-            np.multiply(kz, slope, out=own[:, :h])
+            np.multiply(kz, slope, out=own[:h])
             np.subtract(1, r, out=slope)
             slope *= r
             slope *= part
-            np.multiply(dn, slope, out=own[:, h : 2 * h])
+            np.multiply(dn, slope, out=own[h : 2 * h])
             dg = own.copy()
-            dg[:, 2 * h :] *= r
-            du += before.T @ dg
-            later = dg @ ut
+            dg[2 * h :] *= r
+            du += before @ dg.T
+            later = u @ dg
             later += kz
-            later[ends[t]] = 0
-        flat, given = inputs.ravel(), given.reshape(-1, 3 * h)
-        grads["u"], grads["i"], grads["ib"] = du, self.p["e"][flat].T @ given, given.sum(axis=0)
-        order = np.argsort(flat, kind="stable")
-        rows, first = np.unique(flat[order], return_index=True)
+            later[:, ends[t]] = 0
+        flat = inputs.ravel()
+        grads["u"], grads["ib"] = du, given.sum(axis=(0, 2))
+        grads["i"] = (self.p["e"][inputs].transpose(0, 2, 1) @ given.transpose(0, 2, 1)).sum(axis=0)
+        by_input = np.ascontiguousarray((self.p["i"] @ given).transpose(0, 2, 1)).reshape(-1, h)
+        order = np.argsort(flat.astype(np.min_scalar_type(self.n_head + 1)), kind="stable")
+        first = _runs(flat[order])
+        rows = flat[order[first]]
         n = max(1, int(there.sum()))
         self.learned += int(there.sum())
-        self._adam(grads, rate, n, rows, np.add.reduceat((given @ self.p["i"].T)[order], first, axis=0))
+        self._adam(grads, rate, n, rows, np.add.reduceat(by_input[order], first, axis=0))
         return hs[-1], float(logs.sum())
 
     def _adam(self, grads: dict[str, np.ndarray], rate: float, n: int, rows: np.ndarray, row_grads: np.ndarray) -> None:

@@ -396,6 +396,43 @@ def test_models_are_averaged_by_tokens(spark, monkeypatch):
     assert np.allclose(found, np.repeat([(weights * (10.0 * np.arange(5) + part)).sum() / 15 for part in range(lm.SLICES)], 3))
 
 
+def test_lm_choices_are_those_of_whole_softmaxes():
+    for n, expected in (([], []), ([4], [0]), ([1, 1, 2, 5, 5, 5], [0, 2, 3])):
+        assert lm._runs(np.array(n, np.int64)).tolist() == expected
+    rng = np.random.default_rng(3)
+    model = lm.Gru(2000, hidden=5)
+    for key in ("rb", "gb", "wb"):
+        model.p[key][:] = rng.standard_normal(model.p[key].size)
+    inputs, state = rng.integers(0, 2002, (7, 9)), rng.standard_normal((9, 5)).astype(np.float32) / 3
+    states, p, h = model.states(inputs, state), model.p, 5
+    for lane in range(9):
+        s = state[lane]
+        for t in range(7):
+            s = s * (inputs[t, lane] != model.n_head)
+            given, own = p["e"][inputs[t, lane]] @ p["i"] + p["ib"], s @ p["u"]
+            z, r = 1 / (1 + np.exp(-(given[:h] + own[:h]))), 1 / (1 + np.exp(-(given[h : 2 * h] + own[h : 2 * h])))
+            new = np.tanh(given[2 * h :] + r * own[2 * h :])
+            s = z * s + (1 - z) * new
+            assert np.allclose(states[t, lane], s, atol=1e-5)
+    flat, targets = states.reshape(-1, 5), rng.integers(0, 2002, 63)
+    found = model.log_chances(flat, targets)[0]
+
+    def log_softmax(x: np.ndarray) -> np.ndarray:
+        return x - np.log(np.exp(x).sum())
+
+    for k, target in enumerate(targets):
+        root = model.root_of[target]
+        log = log_softmax(p["r"] @ flat[k] + p["rb"])[root]
+        if target < model.n_head:
+            own = model.class_of[target]
+            a, b = model.starts[own], model.starts[own + 1]
+            log += log_softmax(p["w"][a:b] @ flat[k] + p["wb"][a:b])[target - a]
+            if own >= model.fine:
+                a, b = model.group_starts[root - model.fine], model.group_starts[root - model.fine + 1]
+                log += log_softmax(p["g"][a:b] @ flat[k] + p["gb"][a:b])[own - model.fine - a]
+        assert found[k] == pytest.approx(log, abs=1e-4)
+
+
 def test_lm_of_nothing(spark):
     schema = "doc_id long, text string"
     assert lm.judged(spark.createDataFrame([], schema)).count() == 0
