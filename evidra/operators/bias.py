@@ -9,6 +9,7 @@ from evidra.functions.effects import Z975
 from evidra.functions.special import norm_cdf, norm_ppf
 from evidra.sources.shared import stored
 
+from . import refits
 from .pooling import KEY, pooled, usable, weighted
 from .ranks import EXACT_MOST, concordance, exact_p
 
@@ -159,17 +160,9 @@ def leave_one_out(studies: DataFrame) -> DataFrame:
 
 
 def cumulative(studies: DataFrame, order: str) -> DataFrame:
-    """(analysis_id, row_index, k, tau2, estimate, se): DL refits over growing prefixes in the order of ``order``."""
-    rows = usable(studies).withColumn("w", 1.0 / F.col("vi"))
-    whole = Window.partitionBy(KEY)
-    growing = whole.orderBy(F.asc_nulls_last(order), "row_index").rowsBetween(Window.unboundedPreceding, 0)
-    centred = rows.withColumn("yc", F.col("yi") - F.avg("yi").over(whole))
-    w, y = F.col("w"), F.col("yc")
-    taus = centred.withColumn("k", F.count(F.lit(1)).over(growing)).withColumn("tau2", _dl(*(F.sum(x).over(growing) for x in (w, w * w, w * y, w * y * y)), F.col("k")))
-    out, part = taus.select(KEY, F.col("row_index").alias("at"), "k", "tau2"), taus.select(KEY, "yi", "vi", F.col("k").alias("place"))
-    pairs = out.join(part, KEY).where("place <= k").withColumn("ws", 1.0 / (F.col("vi") + F.col("tau2")))
-    made = pairs.groupBy(KEY, "at", "k", "tau2").agg(F.sum("ws").alias("sw"), F.sum(F.col("ws") * F.col("yi")).alias("swy"))
-    return made.select(KEY, F.col("at").alias("row_index"), "k", "tau2", (F.col("swy") / F.col("sw")).alias("estimate"), (1.0 / F.sqrt("sw")).alias("se"))
+    """(analysis_id, row_index, k, tau2, estimate, se): DL refits over growing prefixes in the order of ``order``; an analysis may have
+    any size."""
+    return refits.cumulative(studies, order, "DL")
 
 
 def leave_one_out_fixed(studies: DataFrame) -> DataFrame:

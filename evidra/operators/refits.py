@@ -1,13 +1,16 @@
-"""Leave-one-out and cumulative random-effects fits of analyses of any size, for variances that need iteration.
+"""Leave-one-out and cumulative random-effects fits of analyses of any size, for variances that need iteration, and cumulative DL fits.
 
 The sums that a fit needs are taken for all studies of an analysis at shared points of the variance, part by part: the sums of a
 fit without one study are those of all less its own, the sums of a growing prefix those of the parts before and of its part
 up to there. Each fit then looks up where its score changes sign between points, with a polynomial through six of them, so the
-work is the number of studies times the number of points, never the square of an analysis.
+work is the number of studies times the number of points, never the square of an analysis. The variance of DL is in the sums at 0, and
+the sums at that variance in a polynomial through Chebyshev's points.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -20,6 +23,8 @@ from .ranking import global_places
 
 #: Points of the variance, besides 0, over ten decades; studies of a part.
 POINTS, PART_ROWS, NODES = 240, 2048, 6
+#: Chebyshev's points of DL: sums differ by about 1e-12 of their size where the variance is up to 1e12 times the least one of a study.
+DL_POINTS = 128
 _SUMS = 7  # of w, wy, wyy, ww, wwy, wwyy and log variance
 
 
@@ -27,6 +32,12 @@ def grid(high: float) -> np.ndarray:
     return np.concatenate(([0.0], high * np.logspace(-10, 0, POINTS)))
 
 
+def dl_grid(low: float, high: float) -> np.ndarray:
+    """0 and Chebyshev's points, on the scale of log(tau2 + low), of variances up to ``high``; ``low`` is the least one of a study."""
+    at = np.cos((2 * np.arange(DL_POINTS) + 1) * np.pi / (2 * DL_POINTS))
+    return np.concatenate(([0.0], low * np.expm1((at + 1) / 2 * math.log1p(high / low))))
+
+
 def terms(y: np.ndarray, v: np.ndarray, points: np.ndarray) -> np.ndarray:
     """float[studies, points, sums]: what each study adds."""
     w = 1.0 / (v[:, None] + points)
@@ -85,6 +96,26 @@ def solve(sums: np.ndarray, k: np.ndarray, points: np.ndarray, method: str) -> t
     return tau2, wy / w, w
 
 
+def solve_dl(sums: np.ndarray, k: np.ndarray, points: np.ndarray, low: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tau2, mean, weight) of DL fits with sums [fits, points, 7] of ``k`` studies each, at the points of ``dl_grid``."""
+    w, wy, wyy, ww = np.moveaxis(sums[:, 0, :4], -1, 0)
+    q, c = np.maximum(wyy - wy * wy / w, 0.0), w - ww / w
+    some = (k > 1) & (c > 0)
+    tau2 = np.where(some, np.maximum(q - (k - 1), 0.0) / np.where(some, c, 1.0), 0.0)
+    w, wy = w.copy(), wy.copy()
+    rows = np.flatnonzero(tau2 > 0)
+    if rows.size:
+        # (tau2 + low) times a sum is smooth on this scale, whatever the studies' variances.
+        turn = np.arange(DL_POINTS)
+        share = (-1.0) ** turn * np.sin((2 * turn + 1) * np.pi / (2 * DL_POINTS))
+        gap = np.log1p(tau2[rows] / low)[:, None] - np.log1p(points[1:] / low)
+        share = share / np.where(gap == 0, 1e-300, gap)
+        share /= share.sum(axis=1)[:, None]
+        scale = points[1:] + low
+        w[rows], wy[rows] = ((share * sums[rows, 1:, c] * scale).sum(axis=1) / (tau2[rows] + low) for c in (0, 1))
+    return tau2, wy / w, w
+
+
 def _bounds(studies: DataFrame, moments: DataFrame | None = None) -> DataFrame:
     most = usable(studies).groupBy(KEY).agg(F.max("vi").alias("v"))
     moments = weighted(studies) if moments is None else moments
@@ -123,20 +154,33 @@ def estimated(studies: DataFrame, moments: DataFrame, method: str) -> DataFrame:
 
 
 def _fitted(studies: DataFrame, method: str, order: str | None) -> DataFrame:
-    if method not in ("PM", "ML", "REML"):
+    if method not in ("PM", "ML", "REML") and (method, order is None) != ("DL", False):
         raise ValueError(f"{method} has a closed form")
-    bounds, rows = _bounds(studies), usable(studies)
+    rows = usable(studies)
+    if method == "DL":
+        # No prefix has a greater variance: Q / C is a mean of the halved squares of its effects' differences.
+        gap = F.max("yi") - F.min("yi")
+        bounds = rows.groupBy(KEY).agg(F.count(F.lit(1)).alias("n_all"), F.avg("yi").alias("mean_y"), (gap * gap / 2).alias("high"), F.min("vi").alias("low"))
+    else:
+        bounds = _bounds(studies).withColumn("low", F.lit(0.0))
     if order is None:
         rows = rows.join(bounds, KEY).withColumn("part", F.pmod(F.xxhash64("row_index"), F.ceil(F.col("n_all") / PART_ROWS))).withColumn("place", F.lit(0).cast("long"))
     else:
         numbered = global_places(rows.select(KEY, "row_index", "yi", "vi", F.col(order).alias("at")), [F.asc(KEY), F.asc_nulls_last("at"), F.asc("row_index")])
         rows = numbered.withColumn("part", F.floor(F.col("place") / PART_ROWS)).join(bounds, KEY)
-    rows = stored(rows.select(KEY, "part", "place", "row_index", (F.col("yi") - F.col("mean_y")).alias("yc"), "vi", "n_all", "mean_y", "high"), "refits")
+    rows = stored(rows.select(KEY, "part", "place", "row_index", (F.col("yi") - F.col("mean_y")).alias("yc"), "vi", "n_all", "mean_y", "high", "low"), "refits")
     kind = dict(rows.dtypes)[KEY]
     names = [f"s{c}" for c in range(_SUMS)]
 
+    def points_of(group: pa.Table) -> np.ndarray:
+        low, high = (group.column(c)[0].as_py() for c in ("low", "high"))
+        return dl_grid(low, high) if method == "DL" else grid(high)
+
+    def solved(sums: np.ndarray, k: np.ndarray, points: np.ndarray, low: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return solve_dl(sums, k, points, low) if method == "DL" else solve(sums, k, points, method)
+
     def total(key: tuple, group: pa.Table) -> pa.Table:
-        points = grid(group.column("high")[0].as_py())
+        points = points_of(group)
         sums = np.zeros((points.size, _SUMS))
         y, v = (group.column(c).to_numpy() for c in ("yc", "vi"))
         for i in range(0, y.size, 256):
@@ -155,7 +199,7 @@ def _fitted(studies: DataFrame, method: str, order: str | None) -> DataFrame:
 
     def fit(key: tuple, group: pa.Table, held: pa.Table) -> pa.Table:
         group, held = group.sort_by([("place", "ascending"), ("row_index", "ascending")]), held.sort_by("g")
-        points = grid(group.column("high")[0].as_py())
+        points, low = points_of(group), group.column("low")[0].as_py()
         y, v = (group.column(c).to_numpy() for c in ("yc", "vi"))
         start = np.column_stack([held.column(c).to_numpy() for c in names])
         n, made = held.column("n")[0].as_py(), []
@@ -167,7 +211,7 @@ def _fitted(studies: DataFrame, method: str, order: str | None) -> DataFrame:
             else:
                 sums = start + np.cumsum(own, axis=0)
                 start, k = sums[-1], n + 1 + i + np.arange(own.shape[0])
-            made.append((k, *solve(sums, k, points, method)))
+            made.append((k, *solved(sums, k, points, low)))
         k, tau2, mean, weight = (np.concatenate(x) for x in zip(*made, strict=True))
         return pa.table({KEY: group.column(KEY), "row_index": group.column("row_index"), "k": pa.array(k, pa.int64()), "tau2": tau2, "estimate": mean + group.column("mean_y")[0].as_py(), "se": 1 / np.sqrt(weight)})
 
@@ -181,6 +225,6 @@ def leave_one_out(studies: DataFrame, method: str = "REML") -> DataFrame:
 
 
 def cumulative(studies: DataFrame, order: str, method: str = "REML") -> DataFrame:
-    """(analysis_id, row_index, k, tau2, estimate, se): fits of growing prefixes in the order of ``order`` (nulls last, then
-    row_index); the first has a variance of 0."""
+    """(analysis_id, row_index, k, tau2, estimate, se): fits by PM, ML, REML or DL of growing prefixes in the order of ``order`` (nulls
+    last, then row_index); the first has a variance of 0."""
     return _fitted(studies, method, order)

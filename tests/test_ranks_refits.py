@@ -5,9 +5,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidra.operators import bias, iterative, ranks, refits
+from evidra.plans import catalog, load_all
 
+from .conftest import SF
 from .test_statistics import rows
 
+load_all()
+
 
 def brute_s(x, y):
     x, y = np.asarray(x, float), np.asarray(y, float)
@@ -83,3 +87,26 @@ def test_refits_are_those_of_each_subset(spark, monkeypatch, method):
                 assert abs(row["tau2"] - tau2) <= 2e-6 * scale, (name, i, len(part), row["tau2"], tau2)
                 assert row["estimate"] == pytest.approx((w * y[part]).sum() / w.sum(), abs=2e-6) and row["se"] == pytest.approx(w.sum() ** -0.5, rel=2e-6)
             assert grown[name, i]["k"] == place
+
+
+def test_dl_prefixes_are_those_of_whole_analyses(spark, monkeypatch):
+    """More than fifty studies in one analysis, and variances of many sizes."""
+    monkeypatch.setattr(refits, "PART_ROWS", 10)
+    rng = np.random.default_rng(5)
+    own = {"a": (rng.normal(0.3, 0.6, 120), rng.gamma(2, 0.05, 120)), "wide": (rng.normal(0, 30, 40), 10.0 ** rng.uniform(-6, 2, 40)), "flat": ([0.5] * 4, [0.1, 0.2, 0.3, 0.4]), "two": ([0.1, 0.9], [0.01, 0.02]), "one": ([0.1], [0.01])}
+    frame = rows(spark, own).withColumn("year", -F.col("row_index") % 5)
+    grown = {(r["analysis_id"], r["row_index"]): r for r in bias.cumulative(frame, "year").collect()}
+    for name, (y, v) in own.items():
+        y, v = np.asarray(y, float), np.asarray(v, float)
+        order = sorted(range(y.size), key=lambda i: (-(i % 5), i))
+        for place, i in enumerate(order, 1):
+            row, part = grown[name, i], order[:place]
+            tau2 = iterative.tau2_dl(y[part], v[part])
+            w = 1 / (v[part] + tau2)
+            assert row["k"] == place and row["tau2"] == pytest.approx(tau2, rel=1e-7, abs=1e-9)
+            assert row["estimate"] == pytest.approx((w * y[part]).sum() / w.sum(), rel=1e-7, abs=1e-8) and row["se"] == pytest.approx(w.sum() ** -0.5, rel=1e-8)
+
+
+def test_cumulative_dl_takes_whole_regions(spark):
+    of = lambda name: {r["analysis_id"] for r in catalog.QUERIES[name](spark, SF).collect()}
+    assert of("cumulative_dl") == of("pool_dl")
