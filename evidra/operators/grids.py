@@ -53,26 +53,72 @@ def sections(cells: DataFrame) -> DataFrame:
     return rows.select("table_id", "row", section.alias("section"), "last")
 
 
-def laid_out(cells: DataFrame) -> DataFrame:
+def laid_out(cells: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """(table_id, row, col, text, head, from_row, from_col) of cells (table_id, row, place, text, rowspan, colspan, head): each place of
     the grid that a cell covers, by HTML's rule: cells of a row take the first free columns in the order of ``place`` (ties: text).
 
     A span of rows ends with the table, 0 means up to there; missing or negative spans are 1; a cell is at most WIDEST columns
     wide. Where a wide cell meets one from above, the upper cell keeps its place as long as it lasts. Rows without a cell of their own that lie below a
     span are part of the grid. Cells without table or row are no part of one, null texts are empty. A task holds the open spans of
-    one row only, whatever a table's length."""
-    keyed = cells.select(
+    one row only, whatever a table's length.
+
+    Tables within BLOCK rows are cut into sections as they come, so their cells are shuffled once, or not at all where they lie
+    table by table; longer ones are many tasks. Which are longer is read from ``rows`` (table_id, row), the cells' own or a table that
+    is read faster."""
+    keyed = cells.where("table_id IS NOT NULL AND row IS NOT NULL").select(
         "table_id", F.col("row").cast("long").alias("row"), "place", F.coalesce("text", F.lit("")).alias("text"),
         F.greatest(F.coalesce(F.col("rowspan"), F.lit(1)), F.lit(0)).cast("long").alias("rowspan"),
         F.least(F.greatest(F.coalesce(F.col("colspan"), F.lit(1)), F.lit(1)), F.lit(WIDEST)).cast("int").alias("colspan"),
         F.coalesce("head", F.lit(False)).alias("head"),
     )
-    keyed = keyed.join(sections(keyed), ["table_id", "row"])
-    end = F.when(F.col("rowspan") == 0, F.col("last") + 1).otherwise(F.least(F.col("row") + F.col("rowspan"), F.col("last") + 1))
-    keyed = keyed.select("table_id", "section", "row", "place", "text", end.alias("until"), "colspan", "head")
     kind = dict(keyed.dtypes)["table_id"]
+    schema = f"table_id {kind}, row long, col int, text string, head boolean, from_row long, from_col int"
+    long = (cells if rows is None else rows).where((F.col("row") < 0) | (F.col("row") >= BLOCK)).select("table_id").where("table_id IS NOT NULL").distinct()
+    some_long = not long.isEmpty()
+    if some_long:
+        long = stored(long, "long-tables")
+        short, keyed = (keyed.join(long, "table_id", how) for how in ("left_anti", "left_semi"))
+    else:
+        short = keyed
+    order = Window.partitionBy("table_id").orderBy("row", "place", "text")
+    last = F.max("row").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    short = _until(short.withColumn("last", last)).sortWithinPartitions("table_id", "row", "place", "text")
+    found = short.mapInArrow(_lay_tables, schema)
+    if not some_long:
+        return found
+    keyed = _until(keyed.join(sections(keyed), ["table_id", "row"]), "section")
     ordered = keyed.repartition("table_id", "section").sortWithinPartitions("table_id", "section", "row", "place", "text")
-    return ordered.mapInArrow(_lay, f"table_id {kind}, row long, col int, text string, head boolean, from_row long, from_col int")
+    return found.union(ordered.mapInArrow(_lay, schema))
+
+
+def _until(keyed: DataFrame, *more: str) -> DataFrame:
+    """Cells with the row before which they end, within their table."""
+    end = F.when(F.col("rowspan") == 0, F.col("last") + 1).otherwise(F.least(F.col("row") + F.col("rowspan"), F.col("last") + 1))
+    return keyed.select("table_id", *more, "row", "place", "text", end.alias("until"), "colspan", "head")
+
+
+def _lay_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The grid of whole tables, rows 0 to BLOCK - 1, whose cells come in order: a section begins in a row that no cell before reaches."""
+
+    def cut() -> Iterator[pa.RecordBatch]:
+        key, at, reach, section = None, -1, 0, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table_id = batch.column(0)
+            row, until = batch.column(1).to_numpy(), batch.column(4).to_numpy()
+            begins = np.ones(row.size, bool)
+            begins[1:] = pc.not_equal(table_id.slice(1), table_id.slice(0, row.size - 1)).to_numpy(zero_copy_only=False)
+            begins[0] = key is None or table_id[0].as_py() != key
+            base = np.cumsum(begins) * (BLOCK + 1)  # tables lie one above the other, the one that goes on below all
+            reached = np.maximum.accumulate(np.concatenate(([reach], base + until)))
+            starts = (begins | (row != np.concatenate(([at], row[:-1])))) & (reached[:-1] <= base + row)
+            of = np.maximum.accumulate(np.where(starts, np.arange(row.size), -1))
+            sections_of = np.where(of >= 0, row[of], section)
+            key, at, reach, section = table_id[row.size - 1].as_py(), row[-1], reached[-1] - base[-1], sections_of[-1]
+            yield pa.RecordBatch.from_arrays([table_id, pa.array(sections_of), *batch.columns[1:]], ["table_id", "section", *batch.schema.names[1:]])
+
+    return _lay(cut())
 
 
 _PLACES = ["table_id", "row", "col", "text", "head", "from_row", "from_col"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidra.functions import citations
@@ -14,36 +14,48 @@ from .catalog import query
 # Tables of reports ----------------------------------------------------------------------------------------------------
 
 
+_HEADS = ((0, 0, "Study", 2, 1), (0, 1, "Arm", 1, 2), (0, 2, "Note", 2, 1), (1, 0, "N", 1, 1), (1, 1, "Events", 1, 1))
+
+
+def _cell(row, place, text, rowspan, colspan, head):
+    return F.struct(row.cast("long").alias("row"), place.cast("int").alias("place"), text.alias("text"), rowspan.cast("int").alias("rowspan"), colspan.cast("int").alias("colspan"), head.alias("head"))
+
+
+def _head_cells():
+    """The two rows of headers of each table."""
+    return F.array(*[_cell(*map(F.lit, cell), F.lit(True)) for cell in _HEADS])
+
+
 def spanned_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order as a table: two rows of headers and a row of two to four cells for each line, some of them over several rows or
-    columns; the first cell of a line names a study."""
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"), F.min("l_quantity").alias("q"))
-    p, s = F.col("p"), F.col("s")
+    columns; the first cell of a line names a study. Lines are dealt by order, so that cells lie table by table."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity").repartition("l_orderkey")
+    lines = lines.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"), F.min("l_quantity").alias("q"))
+    p, s, q = F.col("p"), F.col("s"), F.col("q")
     label = F.concat(F.lit("Supplier"), F.translate(s.cast("string"), "0123456789", "abcdefghij"), F.lit(" et al. "), (1990 + p % 30).cast("string"))
-    places = F.explode(F.sequence(F.lit(0), (1 + p % 3).cast("int")))
-    body = lines.select(F.col("l_orderkey").alias("table_id"), (F.col("l_linenumber") + 1).cast("long").alias("row"), places.alias("place"), "p", "s", "q", label.alias("label"))
-    k = F.col("place")
-    body = body.select(
-        "table_id", "row", "place", F.when(k == 0, F.col("label")).otherwise(F.format_string("%.0f", F.col("q") + k)).alias("text"),
-        F.when(k == 0, 1 + (s % 5 == 0).cast("int")).otherwise((s + 2 * k) % 4).cast("int").alias("rowspan"),
-        F.when(k == 0, F.lit(None)).otherwise(1 + (p + k) % 2).cast("int").alias("colspan"), F.lit(False).alias("head"),
-    )
-    heads = F.array(*[
-        F.struct(F.lit(r).cast("long").alias("row"), F.lit(c).alias("place"), F.lit(t).alias("text"), F.lit(rs).alias("rowspan"), F.lit(cs).alias("colspan"))
-        for r, c, t, rs, cs in ((0, 0, "Study", 2, 1), (0, 1, "Arm", 1, 2), (0, 2, "Note", 2, 1), (1, 0, "N", 1, 1), (1, 1, "Events", 1, 1))
-    ])
-    top = lines.select(F.col("l_orderkey").alias("table_id")).distinct().select("table_id", F.inline(heads)).withColumn("head", F.lit(True))
-    return top.unionByName(body)
+    body = F.transform(F.sequence(F.lit(0), (1 + p % 3).cast("int")), lambda k: _cell(
+        F.col("l_linenumber") + 1, k, F.when(k == 0, label).otherwise(F.format_string("%.0f", q + k)),
+        F.when(k == 0, 1 + (s % 5 == 0).cast("int")).otherwise((s + 2 * k) % 4), F.when(k == 0, F.lit(None)).otherwise(1 + (p + k) % 2), F.lit(False),
+    ))
+    none = F.slice(_head_cells(), 1, 0)
+    first = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")) == 1
+    lines = lines.withColumn("first", first)
+    return lines.select(F.col("l_orderkey").alias("table_id"), F.inline(F.concat(F.when(F.col("first"), _head_cells()).otherwise(none), F.coalesce(body, none))))
+
+
+def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("table_id"), (F.col("l_linenumber") + 1).alias("row"))
+    return grids.laid_out(spanned_cells(spark, sf_dir), rows)
 
 
 @query("table_grid")
 def table_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grids.laid_out(spanned_cells(spark, sf_dir))
+    return _grid(spark, sf_dir)
 
 
 @query("table_studies")
 def table_studies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = stored(grids.laid_out(spanned_cells(spark, sf_dir)), "grid")  # three passes read it
+    grid = stored(_grid(spark, sf_dir), "grid")  # several passes read it
     headers = grids.header_rows(grid)
     return grids.study_rows(grid, headers, grids.column_heads(grid, headers))
 

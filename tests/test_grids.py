@@ -118,6 +118,31 @@ def test_query_grid_and_studies(spark):
     assert named and all(v[1] == v[0].split()[0].lower() and v[2] == int(v[0][-4:]) for v in named)
 
 
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def test_cells_of_short_tables_are_shuffled_once(spark):
+    """Lines are dealt by order, and their cells stay there; cells that lie anywhere are dealt by table."""
+    assert exchanges(catalog.QUERIES["table_grid"](spark, SF)) == 1
+    assert exchanges(grids.laid_out(spark.createDataFrame(some_cells(1), CELLS))) == 1
+
+
+@pytest.mark.parametrize("batch", [1, 5, 10_000])
+def test_short_and_long_tables_side_by_side(spark, monkeypatch, batch):
+    monkeypatch.setattr(grids, "BLOCK", 4)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        cells = some_cells(6, tables=30, rows=8) + [(99, -1, 0, "a", 3, 1, True), (99, 0, 0, "b", 1, 1, False)]
+        df = spark.createDataFrame(cells, CELLS)
+        for rows in (None, df.select("table_id", "row")):
+            found = grids.laid_out(df, rows).collect()
+            assert len(found) == len(set(found)) and {tuple(r) for r in found} == laid_out_plainly(cells)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_labels(spark):
     said = ["Smith 2001", "Smith AB et al., 2001a", "Smith & Jones (1999)", "Ødegård and Li, 2010", "van der Berg 2005", "in 2001", "Smith", "Smith 3001", None, ""]
     rows = spark.createDataFrame([(i, s) for i, s in enumerate(said)], "i int, s string").select("i", grids.author_year(F.col("s")).alias("a")).orderBy("i").collect()
