@@ -316,27 +316,30 @@ def header_rows(grid: DataFrame) -> DataFrame:
     of head cells; without one, the first row if it has a text, no number, and a number stands below it. More than MOST_HEADS head
     rows, or nothing but head rows, mean that the first alone is the header."""
     number = F.col("text").rlike(r"^\s*[-+]?\d+([.,]\d+)?\s*%?\s*$")
-    rows = grid.groupBy("table_id", "row").agg(
-        F.bool_and("head").alias("head"), F.bool_or(number).alias("number"), F.bool_or(F.trim("text") != "").alias("said")
-    )
-    opening = rows.groupBy("table_id").agg(
-        F.min("row").alias("first"), F.max("row").alias("last"), F.min(F.when(~F.col("head"), F.col("row"))).alias("plain"),
-        F.min_by(F.struct("number", "said"), "row").alias("top"), F.max(F.when(F.col("number"), F.col("row"))).alias("lowest_number"),
+    # What holds of a row is asked for as the least or greatest row of which it holds: one aggregate by table, and no rows between.
+    row_if = lambda condition: F.when(condition, F.col("row"))
+    opening = grid.groupBy("table_id").agg(
+        F.min("row").alias("first"), F.min(row_if(~F.col("head"))).alias("plain"), F.min(row_if(number)).alias("number"), F.max(row_if(number)).alias("lowest_number"),
+        F.min(row_if(F.trim("text") != "")).alias("said"),
     )
     levels = F.col("plain") - F.col("first")
-    inferred = F.col("top.said") & ~F.col("top.number") & F.coalesce(F.col("lowest_number") > F.col("first"), F.lit(False))
+    in_first = lambda c: F.coalesce(F.col(c) == F.col("first"), F.lit(False))
+    inferred = in_first("said") & ~in_first("number") & F.coalesce(F.col("lowest_number") > F.col("first"), F.lit(False))
     body = F.when(F.col("plain").isNull() | (levels > MOST_HEADS), F.col("first") + 1).when(levels > 0, F.col("plain"))
     return opening.select("table_id", "first", body.when(inferred, F.col("first") + 1).otherwise(F.col("first")).alias("body"))
 
 
 def column_heads(grid: DataFrame, headers: DataFrame) -> DataFrame:
     """(table_id, col, path): the header texts above a column from the top, joined by " > ", a text that spans rows once; columns
-    without a header have the empty path."""
+    without a header have the empty path. ``headers`` as of ``header_rows``: below the first row, only head cells are headers."""
     own = F.struct("row", "text", "from_row", "from_col")
-    above = F.array_sort(F.collect_list(F.when((F.col("row") < F.col("body")) & (F.col("row") == F.col("from_row")), own)))
+    # Below its top cell, a column's headers are head cells; the others stay where they are.
+    tops = grid.groupBy("table_id", "col").agg(F.min(own).alias("own"))
+    below = grid.where(F.col("head") & (F.col("row") == F.col("from_row")) & (F.trim("text") != "")).select("table_id", "col", own.alias("own"))
+    cells = tops.union(below).join(headers.select("table_id", "body"), "table_id")
+    above = F.array_sort(F.collect_set(F.when((F.col("own.row") < F.col("body")) & (F.col("own.row") == F.col("own.from_row")), F.col("own"))))
     said = F.filter(F.transform(above, lambda c: F.trim(c["text"])), lambda t: t != "")
-    paths = grid.join(headers, "table_id").groupBy("table_id", "col").agg(F.array_join(said, " > ").alias("path"))
-    return paths
+    return cells.groupBy("table_id", "col").agg(F.array_join(said, " > ").alias("path"))
 
 
 def study_rows(grid: DataFrame, headers: DataFrame, heads: DataFrame) -> DataFrame:
@@ -346,7 +349,8 @@ def study_rows(grid: DataFrame, headers: DataFrame, heads: DataFrame) -> DataFra
     lowest = F.lower(F.trim(F.element_at(F.split("path", " > "), -1)))
     named = heads.where(F.col("col") < 3).groupBy("table_id").agg(F.min(F.when(lowest.rlike(STUDY_HEAD), F.col("col"))).alias("named"))
     place = headers.join(named, "table_id", "left").select("table_id", "body", F.coalesce("named", F.lit(0)).alias("__col"))
-    rows = grid.join(place, "table_id").where("col = __col AND row >= body AND row = from_row")
+    rows = grid.where((F.col("col") < 3) & (F.col("row") == F.col("from_row")) & (F.trim("text") != "")).select("table_id", "row", "col", "text")
+    rows = rows.join(place, "table_id").where("col = __col AND row >= body")
     label = F.trim("text")
     said = author_year(label)
     return rows.select("table_id", "row", label.alias("label"), said["surname"].alias("surname"), said["year"].alias("year")).where("label <> ''")

@@ -128,6 +128,30 @@ def test_cells_of_short_tables_are_shuffled_once(spark):
     assert exchanges(grids.laid_out(spark.createDataFrame(some_cells(1), CELLS))) == 1
 
 
+def test_headers_take_one_aggregate_by_table(spark):
+    grid = grids.laid_out(spark.createDataFrame(some_cells(2), CELLS))
+    assert exchanges(grids.header_rows(grid)) == exchanges(grid) + 1
+
+
+def test_heads_and_studies_of_tables_of_any_form(spark):
+    """Header paths and studies of tables with and without head cells, against plain ones."""
+    cells = [c for seed in range(4) for c in [(c[0] + 20 * seed, *c[1:3], ["Study", "a", "7", "", None][(7 * c[1] + 3 * c[2] + c[0]) % 5], *c[4:6], c[6] and c[1] < 3) for c in some_cells(seed, rows=6)]]
+    grid = grids.laid_out(spark.createDataFrame(cells, CELLS)).cache()
+    headers = grids.header_rows(grid)
+    heads = grids.column_heads(grid, headers)
+    places, paths = [tuple(r) for r in grid.collect()], {}
+    bodies = {r.table_id: r.body for r in headers.collect()}
+    for t, row, col, text, _, from_row, from_col in sorted(places):
+        own = paths.setdefault((t, col), [])
+        if row < bodies[t] and row == from_row and text.strip():
+            own.append(text.strip())
+    paths = {k: " > ".join(v) for k, v in paths.items()}
+    assert {(r.table_id, r.col): r.path for r in heads.collect()} == paths
+    named = {t: min((c for (u, c), p in paths.items() if u == t and c < 3 and p.split(" > ")[-1] == "Study"), default=0) for t in bodies}
+    expected = {(t, row, text) for t, row, col, text, _, from_row, _ in places if col == named[t] and row >= bodies[t] and row == from_row and text}
+    assert {tuple(r)[:3] for r in grids.study_rows(grid, headers, heads).collect()} == expected and expected
+
+
 @pytest.mark.parametrize("batch", [1, 5, 10_000])
 def test_short_and_long_tables_side_by_side(spark, monkeypatch, batch):
     monkeypatch.setattr(grids, "BLOCK", 4)
