@@ -86,7 +86,8 @@ def laid_out(cells: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     found = short.mapInArrow(_lay_tables, schema)
     if not some_long:
         return found
-    keyed = _until(keyed.join(sections(keyed), ["table_id", "row"]), "section")
+    # Merge: rows of few values look small enough to send to the driver, in their compressed form.
+    keyed = _until(keyed.join(sections(keyed).hint("merge"), ["table_id", "row"]), "section")
     ordered = keyed.repartition("table_id", "section").sortWithinPartitions("table_id", "section", "row", "place", "text")
     return found.union(ordered.mapInArrow(_lay, schema))
 
@@ -336,7 +337,7 @@ def column_heads(grid: DataFrame, headers: DataFrame) -> DataFrame:
     # Below its top cell, a column's headers are head cells; the others stay where they are.
     tops = grid.groupBy("table_id", "col").agg(F.min(own).alias("own"))
     below = grid.where(F.col("head") & (F.col("row") == F.col("from_row")) & (F.trim("text") != "")).select("table_id", "col", own.alias("own"))
-    cells = tops.union(below).join(headers.select("table_id", "body"), "table_id")
+    cells = tops.union(below).join(headers.select("table_id", "body").hint("merge"), "table_id")
     above = F.array_sort(F.collect_set(F.when((F.col("own.row") < F.col("body")) & (F.col("own.row") == F.col("own.from_row")), F.col("own"))))
     said = F.filter(F.transform(above, lambda c: F.trim(c["text"])), lambda t: t != "")
     return cells.groupBy("table_id", "col").agg(F.array_join(said, " > ").alias("path"))
@@ -348,9 +349,9 @@ def study_rows(grid: DataFrame, headers: DataFrame, heads: DataFrame) -> DataFra
     have no row of their own here. Surname and year are those of labels like "Smith 2001", "Smith et al., 2001a", else null."""
     lowest = F.lower(F.trim(F.element_at(F.split("path", " > "), -1)))
     named = heads.where(F.col("col") < 3).groupBy("table_id").agg(F.min(F.when(lowest.rlike(STUDY_HEAD), F.col("col"))).alias("named"))
-    place = headers.join(named, "table_id", "left").select("table_id", "body", F.coalesce("named", F.lit(0)).alias("__col"))
+    place = headers.join(named.hint("merge"), "table_id", "left").select("table_id", "body", F.coalesce("named", F.lit(0)).alias("__col"))
     rows = grid.where((F.col("col") < 3) & (F.col("row") == F.col("from_row")) & (F.trim("text") != "")).select("table_id", "row", "col", "text")
-    rows = rows.join(place, "table_id").where("col = __col AND row >= body")
+    rows = rows.join(place.hint("merge"), "table_id").where("col = __col AND row >= body")
     label = F.trim("text")
     said = author_year(label)
     return rows.select("table_id", "row", label.alias("label"), said["surname"].alias("surname"), said["year"].alias("year")).where("label <> ''")

@@ -152,6 +152,14 @@ def test_heads_and_studies_of_tables_of_any_form(spark):
     assert {tuple(r)[:3] for r in grids.study_rows(grid, headers, heads).collect()} == expected and expected
 
 
+def test_no_rows_of_tables_go_through_the_driver(spark):
+    """Head cells of many tables are alike, so their shuffles are small, but not the rows."""
+    for name in ("table_heads", "table_studies"):
+        df = catalog.QUERIES[name](spark, SF)
+        df.collect()
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("batch", [1, 5, 10_000])
 def test_short_and_long_tables_side_by_side(spark, monkeypatch, batch):
     monkeypatch.setattr(grids, "BLOCK", 4)
