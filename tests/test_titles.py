@@ -210,3 +210,20 @@ def test_pairs_are_counted_a_few_titles_at_a_time(monkeypatch):
     monkeypatch.setattr(linkage, "MET_PAIRS", 50)
     monkeypatch.setattr(linkage, "MET_BATCH", 3)
     assert pairs() == whole and len(whole) > 100
+
+
+def test_bits_differ_at_most_by_the_words_that_one_title_has_alone(spark):
+    own = [t.split() for t in variants(9, 40)]
+    rows = spark.createDataFrame([(sorted(set(w)),) for w in own], "w array<string>")
+    marks = [[r[k] & (2**64 - 1) for k in range(linkage.MARKS)] for r in rows.select(*[linkage._mark(F.col("w"), k) for k in range(linkage.MARKS)]).collect()]
+    for a, x in zip(own, marks, strict=True):
+        for b, y in zip(own, marks, strict=True):
+            n = sum((p ^ q).bit_count() for p, q in zip(x, y, strict=True))
+            assert n <= len(set(a) ^ set(b)) and n % 2 == len(set(a) ^ set(b)) % 2
+
+
+@pytest.mark.parametrize("name", ["l4_series", "l4_ratio"])
+def test_similar_titles_are_looked_for_once(spark, monkeypatch, name):
+    calls, similar = [], linkage.similar_titles
+    monkeypatch.setattr(linkage, "similar_titles", lambda *a: calls.append(1) or similar(*a))
+    assert catalog.QUERIES[name](spark, SF).columns == ["a", "b", "rule"] and len(calls) == 1
