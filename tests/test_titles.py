@@ -212,6 +212,39 @@ def test_pairs_are_counted_a_few_titles_at_a_time(monkeypatch):
     assert pairs() == whole and len(whole) > 100
 
 
+def test_letter_groups_leave_out_no_common_subsequence():
+    own = sorted({*variants(13, 30), "é" * 9 + " diet", "zz 12"}, key=lambda t: (len(t), t))
+    letters = titles._Letters(own)
+    for k in range(len(own) - 1):
+        rest = np.arange(k + 1, len(own))
+        n = titles.common_lengths(own[k], [own[m] for m in rest])
+        for share in (0.3, 0.4, 0.45):
+            enough = share * np.array([len(own[k]) + len(own[m]) for m in rest]) - 1e-9
+            assert letters.may_share(k, rest, enough).tolist() == rest[n >= enough].tolist()
+
+
+def test_titles_of_which_neither_leads_do_not_meet(spark):
+    """A year's titles meet once, not with those of the year behind again; unweighed pairs hold all that have the ratio."""
+    own = [("y1", t, k % 3 == 0) for k, t in enumerate(variants(1))]
+    leads = {t for _, t, lead in own if lead}
+    rows = spark.createDataFrame(own, "key string, title string, lead boolean")
+    expected = {(a, b) for _, a, _ in own for _, b, _ in own if a < b and (a in leads or b in leads) and titles.sequence_ratio(a, b, 0.8)}
+    for weighed in (True, False):
+        found = [(r["title_a"], r["title_b"]) for r in titles.met_in_blocks(rows, 0.8, block_rows=20, weighed=weighed).collect()]
+        assert len(found) == len(set(found)) and (set(found) == expected if weighed else set(found) >= expected)
+    assert set(found) != {(a, b) for _, a, _ in own for _, b, _ in own if a < b}
+
+
+def test_ratio_of_a_pair_is_taken_once(spark):
+    rows = [(k, t, "Pérez", "J", 2000 + k % 2) for k, t in enumerate(variants(2))]
+    reps = linkage.signatures(spark.createDataFrame(rows, RECORD))[0]
+    found = {(r["title_a"], r["title_b"]): r["similarity"] for r in linkage.ratio_pairs(reps).collect()}
+    plan = linkage.ratio_pairs(reps)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and plan.index("MapInArrow") < plan.index("FlatMapGroupsInArrow")
+    own = sorted({r["title"] for r in reps.collect()})
+    assert found == {(a, b): titles.sequence_ratio(a, b) for a in own for b in own if a < b and titles.sequence_ratio(a, b) >= 0.8}
+
+
 def test_bits_differ_at_most_by_the_words_that_one_title_has_alone(spark):
     own = [t.split() for t in variants(9, 40)]
     rows = spark.createDataFrame([(sorted(set(w)),) for w in own], "w array<string>")
